@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scorepool.llm.common import materialise
 from scorepool.llm.decontaminate import clean
 from scorepool.llm.language_id import UNDETERMINED, identify, train
+from scorepool.llm.ngram_join import one_of_each
 from scorepool.llm.packing import pack
 from scorepool.llm.pii import redact
 
@@ -22,6 +23,11 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_rejected_id"]), "left_anti")
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that n-gram Jaccard links connect."""
+    return one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -39,6 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", keep_identified),
+    ("ngram_join", deduplicated),
     ("decontamination", decontaminated),
     ("pii", redacted),
     ("packing", packed),

@@ -32,6 +32,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.ngram_join import shingle_components
+
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorepool.llm.language_id import identify, train
 
@@ -46,8 +58,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.ctw import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    learns = crc_bucket(F.col("doc_id"), 7) != 2
+    return score(docs, train(docs.where(learns)), learns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_pii, op4_decontaminate, op8_language_id, op9_packing)
+    f.__name__: f for f in (op1_token_counts, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op8_language_id, op9_packing, op10_ctw_scores)
 }
 
 #: None of the eleven can be written in plain SQL as it stands; tests hold each against a brute-force version instead.
