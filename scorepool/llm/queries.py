@@ -20,6 +20,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorepool.llm.pii import find
 
@@ -44,6 +50,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.webp import stored_media
+
+    return stored_media(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorepool.llm.language_id import identify, train
 
@@ -67,7 +79,8 @@ def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op8_language_id, op9_packing, op10_ctw_scores)
+    f.__name__: f
+    for f in (op1_token_counts, op2_token_files, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op7_webp, op8_language_id, op9_packing, op10_ctw_scores)
 }
 
 #: None of the eleven can be written in plain SQL as it stands; tests hold each against a brute-force version instead.

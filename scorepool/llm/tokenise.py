@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Words kept in a worker's memo; beyond it the memo starts anew. It changes speed only.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 
 @lru_cache(maxsize=4)
@@ -49,6 +51,8 @@ class _Memo:
     def __init__(self, path: str, prefix: str, lower: bool):
         self.tokenizer, self.prefix, self.lower, self.ids = _load(path), prefix, lower, {}
         self.head = prefix.translate(_LETTERS)
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
         self.marks = {m: self._merge(m) for m in (".", ",")} | {"": []}
 
     def _merge(self, part: str) -> list[int]:
@@ -59,17 +63,27 @@ class _Memo:
         if len(self.ids) + len(new) > MEMO_WORDS:
             self.ids.clear()
             new = words
-        rest = []
+        rest, ids, merge, head, lower, marks = [], self.ids, self._merge, self.head, self.lower, self.marks
         for word in new:
             text = word if isinstance(word, str) else word.decode("utf-8")
-            if m := _PLAIN.fullmatch(text):
-                part = (m[1].lower() if self.lower else m[1]).encode().decode("latin-1").translate(_LETTERS)
-                self.ids[word] = np.array(self._merge(self.head + part) + self.marks[m[2]], "<u4").tobytes()
+            if text.isascii():
+                part, mark = (text[:-1], text[-1]) if text[-1:] in (".", ",") else (text, "")
+                plain = part.isalpha()
+            elif m := _PLAIN.fullmatch(text):
+                part, mark, plain = m[1], m[2], True
             else:
+                plain = False
+            if not plain:
                 rest.append((word, self.prefix + text))
+                continue
+            if lower:
+                part = part.lower()
+            if not text.isascii():
+                part = part.encode().decode("latin-1").translate(_LETTERS)
+            ids[word] = array("I", merge(head + part) + marks[mark]).tobytes()
         got = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
         for (word, _), g in zip(rest, got, strict=True):
-            self.ids[word] = np.array(g.ids, "<u4").tobytes()
+            self.ids[word] = array("I", g.ids).tobytes()
 
 
 @lru_cache(maxsize=4)
