@@ -43,8 +43,22 @@ def ids_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(-(1 << 63)).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
 
 
+def planes(x: np.ndarray, kind: str, cuts: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """For each stretch of x its first bytes, then its second ones and so on: high bytes of small numbers compress to nothing."""
+    size = np.dtype(kind).itemsize
+    raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, size)
+    return [raw[cuts[k] : cuts[k + 1]].T.tobytes() for k in which.tolist()]
+
+
+def unplaned(parts: list, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    arrays = [np.frombuffer(p, np.uint8).reshape(size, -1).T for p in parts]
+    return np.ascontiguousarray(np.concatenate(arrays)).view(kind).ravel() if arrays else np.zeros(0, kind)
+
+
 class Format:
-    """Rows (packet, bucket, keys, one binary for each value); keys lose their top bytes beyond `width`, which the bucket mostly implies."""
+    """Rows (packet, bucket, keys, one binary for each value); keys lose their top bytes beyond `width`, which the bucket mostly
+    implies: buckets grow in number with the input, so the share of keys that then look alike does not."""
 
     def __init__(self, n: int, width: int, **values: str):
         self.n, self.width, self.values = n, width, values
@@ -62,8 +76,7 @@ class Format:
         raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
         columns = [pa.array(np.full(len(full), packet, np.int32)), pa.array(full.astype(np.int32)), pa.array([raw[at[b] * self.width : at[b + 1] * self.width] for b in full], pa.binary())]
         for name, kind in self.values.items():
-            size, raw = np.dtype(kind).itemsize, np.ascontiguousarray(values[name].astype(kind)).tobytes()
-            columns.append(pa.array([raw[at[b] * size : at[b + 1] * size] for b in full], pa.binary()))
+            columns.append(pa.array(planes(values[name], kind, at, full), pa.binary()))
         return pa.Table.from_arrays(columns, schema=self.arrow)
 
     def read(self, table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -74,7 +87,7 @@ class Format:
         raw = np.frombuffer(b"".join(joined["keys"]), np.uint8).reshape(-1, self.width)
         keys = np.zeros((len(raw), 8), np.uint8)
         keys[:, : self.width] = raw
-        return table.column("packet").to_pylist(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), keys.view("<u8").ravel(), {v: np.frombuffer(b"".join(joined[v]), kind) for v, kind in self.values.items()}
+        return table.column("packet").to_pylist(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), keys.view("<u8").ravel(), {v: unplaned(joined[v], kind) for v, kind in self.values.items()}
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +110,13 @@ class Answers:
     def write(self, bucket: int, packets: list[int], bounds: np.ndarray, **values: np.ndarray) -> pa.Table:
         columns = [pa.array(packets, pa.int32()), pa.array([bucket] * len(packets), pa.int32())]
         for name, kind in self.values.items():
-            size, raw = np.dtype(kind).itemsize, np.ascontiguousarray(values[name].astype(kind)).tobytes()
-            columns.append(pa.array([raw[a * size : b * size] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()))
+            columns.append(pa.array(planes(values[name], kind, bounds, np.arange(len(packets))), pa.binary()))
         return pa.Table.from_arrays(columns, schema=self.arrow)
 
     def read(self, table: pa.Table) -> dict[str, np.ndarray]:
         """Answers to all of a packet's sorted keys."""
         table = table.combine_chunks().sort_by("bucket")
-        return {v: np.frombuffer(b"".join([x.as_buffer() for x in table.column(v)]), kind) for v, kind in self.values.items()}
+        return {v: unplaned([x.as_buffer() for x in table.column(v)], kind) for v, kind in self.values.items()}
 
 
 def ask(dealt: DataFrame, form: Format, send: Callable[[int, pa.Table], pa.Table], answer: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -55,9 +55,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     n = cells(docs)
     dealt = packets(docs, n)
-    probe = Format(n, 6, flags="u1")
+    probe = Format(n, 5, flags="u1")
     verdict = Answers(verdict="u1")
-    repeat = Format(n, 8, doc="<i8", start="<u4", at="<u4")
+    repeat = Format(n, 7, doc="<i8", start="<u4", at="<u4")
 
     def send(packet, table):
         b = _Blocks(table)
@@ -106,7 +106,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         mine = pa.Table.from_arrays([pa.array([packet], pa.int32()), pa.array([packet % n], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([known.astype("<u4").tobytes()], pa.binary())], schema=repeat.arrow)
         equal = np.flatnonzero(~later & (np.arange(len(s)) != np.repeat(first, size)))  # rows repeated under one id share a place
         if len(equal):
-            extra = pa.Table.from_arrays([pa.array([packet] * len(equal), pa.int32()), pa.array(((h[order][equal] >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)), pa.array([x.tobytes() for x in h[order][equal].astype("<u8")], pa.binary()), pa.array([x.tobytes() for x in doc[equal].astype("<i8")], pa.binary()), pa.array([x.tobytes() for x in start[equal].astype("<u4")], pa.binary()), pa.array([x.tobytes() for x in s[equal].astype("<u4")], pa.binary())], schema=repeat.arrow)
+            extra = pa.Table.from_arrays([pa.array([packet] * len(equal), pa.int32()), pa.array(((h[order][equal] >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)), pa.array([x.tobytes()[: repeat.width] for x in h[order][equal].astype("<u8")], pa.binary()), pa.array([x.tobytes() for x in doc[equal].astype("<i8")], pa.binary()), pa.array([x.tobytes() for x in start[equal].astype("<u4")], pa.binary()), pa.array([x.tobytes() for x in s[equal].astype("<u4")], pa.binary())], schema=repeat.arrow)
             return pa.concat_tables([out, mine, extra])
         return pa.concat_tables([out, mine])
 
