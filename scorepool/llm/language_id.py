@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.llm.common import _LOWER, doc_text, slices, utf8
 
-#: Labelled rows used for training, for each language; the bound of the training sample.
+#: Labelled rows used for training, about as many for each language and at most twice that in all; the bound of the sample.
 SAMPLE_PER_LANGUAGE = 400
 #: Languages at most; the most frequent ones are learned. Bounds the codebook and the sample.
 MAX_LANGUAGES = 256
@@ -106,16 +106,15 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Learns from docs (doc_id, text, lang): the sample_per_language rows of each language that come first by a hash of their id."""
-    from pyspark.sql.functions import broadcast
-
+    """Learns from docs (doc_id, text, lang): about sample_per_language rows of each language, those of the least hashes of their ids."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    common = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ranked = docs.where(F.col("lang").isin(common)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_language).select("doc_id", "lang")
-    # at most MAX_LANGUAGES * sample_per_language ids
-    rows = docs.join(broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_LANGUAGES * sample_per_language).collect() if common else []
+    common = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not common:
+        return None
+    # a share of each language by the hash of the id: no ranking, so no language is one task's work
+    share = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, min(1 << 31, sample_per_language * (1 << 31) // n + 1))])
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    rows = docs.where(h < F.try_element_at(share, F.col("lang"))).orderBy(h, "doc_id", "text").limit(2 * sample_per_language * len(common)).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
