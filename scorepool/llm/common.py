@@ -97,6 +97,7 @@ def _byte_values() -> np.ndarray:
 
 
 _BYTE = _byte_values()
+_STRETCH = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -145,12 +146,19 @@ class Words:
         self.hash = self._hashes() if len(self.start) else np.zeros(0, np.uint64)
 
     def _hashes(self) -> np.ndarray:
-        n = len(self.data)
-        power, inverse = _powers(max(16, int(n).bit_length()))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        return mix64(h + (self.end - self.start).astype(np.uint64))
+        """Polynomial sums, a stretch of words at a time, so that tables of powers stay small."""
+        out, at = np.empty(len(self.start), np.uint64), 0
+        while at < len(out):
+            low = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.end, low + _STRETCH, side="right")))
+            n = int(self.end[to - 1]) - low
+            power, inverse = _powers(max(_STRETCH.bit_length() - 1, (n - 1).bit_length()))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[self.data[low : low + n]] * power[:n], out=sums[1:])
+            start, end = self.start[at:to] - low, self.end[at:to] - low
+            out[at:to] = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)
+            at = to
+        return mix64(out)
 
     def text(self, doc: int) -> bytes:
         return self.data[self.offsets[doc] : self.offsets[doc + 1]].tobytes()

@@ -216,7 +216,7 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     """
     n = cells(docs)
     dealt = packets(docs, n)
-    form = Format(n, 6, df="u1")
+    form = Format(n, 5, df="u1")
     verdict = Answers(df="<u2", owner="<i4")
 
     def send(packet, table):
@@ -267,7 +267,7 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     spread = spread.select("owner", F.least("_b", "_c").alias("lo"), F.greatest("_b", "_c").alias("hi"), "rep", "items")
 
     def linked(key, table):
-        table = table.combine_chunks().sort_by("rep")
+        table = table.sort_by("rep")
         rep = table.column("rep").to_numpy()
         root = link([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("items")])
         root = np.array(root, np.int64)
