@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorepool.constants import RISK_TERMS
 
@@ -44,11 +45,11 @@ def overlap_score(pairs: DataFrame, key: str, prediction: str, reference: str, o
     One aggregation by (key, n-gram) holds both sides' counts, so no join is needed and each side is combined before the shuffle.
     """
     both = pairs.select(key, tokens(F.col(prediction)).alias("p"), tokens(F.col(reference)).alias("r"))
-    sides = [
-        F.transform(ngrams(F.col(side), n), lambda g, n=n, p=p: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(p).alias("p")))
-        for n in range(1, orders + 1)
-        for side, p in (("p", 1), ("r", 0))
-    ]
+
+    def side(name: str, n: int, own: int) -> Column:
+        return F.transform(ngrams(F.col(name), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(own).alias("p")))
+
+    sides = [side(name, n, own) for n in range(1, orders + 1) for name, own in (("p", 1), ("r", 0))]
     counts = both.select(key, F.explode(F.concat(*sides)).alias("x")).groupBy(key, "x.n", "x.g").agg(F.sum("x.p").alias("np"), F.sum(1 - F.col("x.p")).alias("nr"))
     by_order = counts.groupBy(key, "n").agg(F.sum(F.least("np", "nr")).alias("both"), F.sum("np").alias("np"), F.sum("nr").alias("nr"))
     f1 = F.when((F.col("np") > 0) & (F.col("nr") > 0), 2 * F.col("both") / (F.col("np") + F.col("nr"))).otherwise(F.lit(0.0))
@@ -59,7 +60,7 @@ def overlap_score(pairs: DataFrame, key: str, prediction: str, reference: str, o
 _ENGLISH = re.compile(r"[A-Za-z]+(?:['’-][A-Za-z]+)?")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def english_word_count(text: pd.Series) -> pd.Series:
     """Words of A-Z after compatibility decomposition without combining marks."""
 
@@ -73,7 +74,7 @@ def english_word_count(text: pd.Series) -> pd.Series:
     return text.map(count).astype("int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_non_latin(text: pd.Series) -> pd.Series:
     """The first letter whose Unicode name lacks LATIN, as U+XXXX (NAME); null if there is none."""
 
@@ -88,7 +89,7 @@ def first_non_latin(text: pd.Series) -> pd.Series:
     return text.map(find, na_action=None).astype(object).where(lambda s: s.notna(), None)
 
 
-@F.pandas_udf("letters int, non_latin int")
+@F.pandas_udf(T.StructType([T.StructField("letters", T.IntegerType()), T.StructField("non_latin", T.IntegerType())]))
 def letter_audit(text: pd.Series) -> pd.DataFrame:
     """Numbers of letters, and of letters whose Unicode name lacks LATIN."""
     rows = []
@@ -148,7 +149,7 @@ def hashed_vector(rows: DataFrame, key: str, text: str, dim: int = 128) -> DataF
 def degenerate_period(text: Column, least: int = 256, repeats: int = 8, periods: int = 24) -> Column:
     """The smallest period up to `periods` with which a text of at least `least` characters ends `repeats` times, letters included; else null."""
     value = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")
-    hits = [F.when(F.expr("true") & (F.right(value, F.lit(p * repeats)) == F.repeat(F.right(value, F.lit(p)), F.lit(repeats))) & F.right(value, F.lit(p)).rlike(r"\p{L}"), F.lit(p)) for p in range(1, periods + 1)]
+    hits = [F.when((F.right(value, F.lit(p * repeats)) == F.repeat(F.right(value, F.lit(p)), F.lit(repeats))) & F.right(value, F.lit(p)).rlike(r"\p{L}"), F.lit(p)) for p in range(1, periods + 1)]
     return F.when(F.length(value) >= least, F.coalesce(*hits))
 
 
