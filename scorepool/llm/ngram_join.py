@@ -4,8 +4,8 @@ Sets of word shingles are put in one global order, rarest first (document freque
 Two sets can only be similar if their prefixes share a shingle, and a shingle that occurs once joins nothing. Every repeated
 shingle has an owner, the first packet that holds it; a set goes once to each owner of its prefix, whatever number of
 shingles lead there. In an owner's group, sets that share a prefix shingle form a cluster, whose sets are stored in a trie
-with merged chains; a lookup walks it with the overlap so far, leaves subtrees that remaining lengths rule out, and skips
-those already in its own component. Groups beyond GROUP_SETS are split into blocks, compared block by block.
+with merged chains; lookups walk it together with their overlaps so far, leave subtrees that remaining lengths rule out, and
+skip those already in their own component. Groups beyond GROUP_SETS are split into blocks, compared block by block.
 """
 
 from __future__ import annotations
@@ -109,40 +109,21 @@ class _Node:
         self.run, self.below, self.sets, self.least, self.most, self.member, self.mixed = run, {}, [], 1 << 60, 0, -1, False
 
 
-class Trie:
-    """Sets as ascending arrays of small integers. add() first links the set with every similar set that it isn't connected with yet."""
+#: Bytes of the table of which items the lookups of one walk hold, and lookups of one walk at most.
+WALK_BYTES, WALK_SETS = 16 << 20, 512
+#: In larger clusters, sets are first compared with this many central ones: what those connect need not be walked.
+PIVOTS = 8
 
-    def __init__(self, union: _Union, universe: int):
-        self.root, self.union, self.mark = _Node(np.zeros(0, np.int64)), union, np.zeros(universe + 1, bool)
 
-    def add(self, who: int, items: np.ndarray) -> None:
-        self.mark[items] = True
-        self._link(who, items)
-        self.mark[items] = False
-        self._insert(who, items)
+class Trie:
+    """Sets as ascending arrays of small integers, in a trie with merged chains. walk() takes many lookups down it together:
+    what a node's run adds to their overlaps is counted once for all, and each leaves where remaining lengths rule it out."""
 
-    def _link(self, who: int, items: np.ndarray) -> None:
-        find, size = self.union.find, len(items)
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, overlap, depth = stack.pop()
-            if node.member >= 0 and not node.mixed and find(node.member) == find(who):
-                continue
-            if len(node.run):
-                overlap += int(self.mark[node.run].sum())
-                depth += len(node.run)
-                left = size - int(np.searchsorted(items, node.run[-1], side="right"))
-                if 9 * (overlap + min(left, node.most - depth)) < 4 * (size + max(node.least, depth)):
-                    continue
-            if node.sets and similar(overlap, size, depth):
-                self.union.join(who, node.sets[0])  # sets that end here are equal
-            best = []
-            for child in node.below.values():
-                (best if self.mark[child.run[0]] else stack).append((child, overlap, depth))
-            stack.extend(best)
-
-    def _insert(self, who: int, items: np.ndarray) -> None:
-        node, at, find = self.root, 0, self.union.find
+    def __init__(self, union: _Union, sets: list[np.ndarray], universe: int):
+        self.root, self.union, self.sets, self.universe = _Node(np.zeros(0, np.int64)), union, sets, universe
+
+    def insert(self, who: int, own: int) -> None:
+        node, at, items, find = self.root, 0, self.sets[own], self.union.find
         while True:
             node.least, node.most = min(node.least, len(items)), max(node.most, len(items))
             if node.member < 0:
@@ -171,6 +152,71 @@ class Trie:
                 child = upper
             node, at = child, at + k
 
+    def walk(self, who: list[int], own: list[int]) -> None:
+        """Links the sets `own`, known to the union as `who`, with every similar one that they aren't connected with yet."""
+        find, names = self.union.find, np.array(who)
+        size = np.array([len(self.sets[i]) for i in own], np.int64)
+        span = self.universe + 1
+        holds = np.zeros((span, len(own)), np.uint8)
+        keys = np.concatenate([self.sets[i] + k * span for k, i in enumerate(own)])
+        holds[keys % span, keys // span] = 1
+        ptr = np.concatenate([[0], np.cumsum(size)])
+        roots, stale = np.array([find(w) for w in who]), False
+        stack = [(self.root, np.arange(len(own)), np.zeros(len(own), np.int64), 0)]
+        while stack:
+            node, live, overlap, depth = stack.pop()
+            if not node.mixed:
+                if stale:
+                    roots, stale = np.array([find(w) for w in who]), False
+                other = roots[live] != find(node.member)
+                if not other.any():
+                    continue
+                live, overlap = live[other], overlap[other]
+            if len(node.run):
+                depth += len(node.run)
+                held = holds[node.run].sum(0, dtype=np.int64)[live] if len(live) * 4 > len(own) else holds[np.ix_(node.run, live)].sum(0, dtype=np.int64)
+                overlap = overlap + held
+                need = 4 * (size[live] + max(node.least, depth))
+                fits = 9 * (overlap + np.minimum(size[live] - overlap, node.most - depth)) >= need
+                if not fits.any():
+                    continue
+                live, overlap, need = live[fits], overlap[fits], need[fits]
+                passed = np.searchsorted(keys, live * span + node.run[-1], side="right") - ptr[live]
+                fits = 9 * (overlap + np.minimum(size[live] - passed, node.most - depth)) >= need
+                live, overlap = live[fits], overlap[fits]
+                if not len(live):
+                    continue
+            if node.sets:  # those that end here are equal
+                for q in live[9 * overlap >= 4 * (size[live] + depth)].tolist():
+                    if find(int(names[q])) != find(node.sets[0]):
+                        self.union.join(int(names[q]), node.sets[0])
+                        stale = True
+            stack.extend((child, live, overlap, depth) for child in node.below.values())
+
+
+def _link_cluster(union: _Union, own: list[int], sets: list[np.ndarray]) -> None:
+    flat = np.concatenate([sets[i] for i in own])
+    value, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(value), np.int64)
+    rank[np.lexsort((value, -count))] = np.arange(len(value))  # the most frequent first: chains are shared longest
+    sizes = np.array([len(sets[i]) for i in own])
+    ptr = np.concatenate([[0], np.cumsum(sizes)])
+    items = [np.sort(rank[back[a:b]]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+    if len(own) > 8 * PIVOTS:
+        central = np.add.reduceat(count[back], ptr[:-1]) / sizes
+        for pivot in np.argsort(-central, kind="stable")[:PIVOTS].tolist():
+            mark = np.zeros(len(value), np.int64)
+            mark[items[pivot]] = 1
+            overlap = np.add.reduceat(mark[rank[back]], ptr[:-1])
+            for k in np.flatnonzero(9 * overlap >= 4 * (sizes + sizes[pivot])).tolist():
+                union.join(own[k], own[pivot])
+    trie = Trie(union, items, len(value))
+    for k, i in enumerate(own):
+        trie.insert(i, k)
+    step = max(1, min(WALK_SETS, WALK_BYTES // (len(value) + 1)))
+    for at in range(0, len(own), step):
+        trie.walk(own[at : at + step], list(range(at, min(at + step, len(own)))))
+
 
 def link(sets: list[np.ndarray]) -> list[int]:
     """For sets in global order: the least index of each one's component under similar()."""
@@ -195,15 +241,7 @@ def link(sets: list[np.ndarray]) -> list[int]:
             if similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
                 union.join(*own)
             continue
-        flat = np.concatenate([sets[i] for i in own])
-        value, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(value), np.int64)
-        rank[np.lexsort((value, -count))] = np.arange(len(value))  # the most frequent first: chains are shared longest
-        ranked, at = rank[back], 0
-        trie = Trie(union, len(value))
-        for i in own:
-            trie.add(i, np.sort(ranked[at : at + len(sets[i])]))
-            at += len(sets[i])
+        _link_cluster(union, own, sets)
     return [union.find(i) for i in range(len(sets))]
 
 
