@@ -5,7 +5,7 @@ Two sets can only be similar if their prefixes share a shingle, and a shingle th
 shingle has an owner, the first packet that holds it; a set goes once to each owner of its prefix, whatever number of
 shingles lead there. In an owner's group, sets that share a prefix shingle form a cluster, whose sets are stored in a trie
 with merged chains; lookups walk it together with their overlaps so far, leave subtrees that remaining lengths rule out, and
-skip those already in their own component. Groups beyond GROUP_SETS are split into blocks, compared block by block.
+skip those already in their own component. Groups far beyond the mean are split into blocks, compared pair by pair.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from scorepool.llm.components import components
 from scorepool.llm.exchange import Answers, Format, ask, cells, grouped, ids_of, meet, packets
 
 SHINGLE = 5
-#: Sets handled by one task at once; a larger group is split into pairs of blocks of this size.
-GROUP_SETS = 20_000
+#: A group of more sets than this, and than GROUP_SHARE times the mean group, is split into blocks of that many and compared
+#: as pairs of blocks, each a task's group by itself.
+GROUP_SETS, GROUP_SHARE = 500, 2
 
 
 class _Sets:
@@ -298,7 +299,9 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     held = materialise(meet(dealt, answers, route, "doc_id long, n_shingles long, rep long, owner int, items binary"), "routes")
     sets = held.where("owner is not null").select("owner", "rep", "items")
     size = sets.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / GROUP_SETS).cast("int")
+    mean = size.agg(F.avg("_n").alias("_mean"))
+    size = size.crossJoin(F.broadcast(mean))  # one row
+    blocks = F.ceil(F.col("_n") / F.greatest(F.lit(float(GROUP_SETS)), GROUP_SHARE * F.col("_mean"))).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("_s")).cast("int")
     spread = sets.join(size, "owner").withColumn("_s", blocks).withColumn("_b", own)
     spread = spread.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))

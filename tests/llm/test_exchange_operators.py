@@ -35,6 +35,7 @@ def test_shingle_components(docs, rows, cells):
 
 def test_split_groups_link_alike(docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_SETS", 1)
+    monkeypatch.setattr(ngram_join, "GROUP_SHARE", 0)
     assert ranked(ngram_join.shingle_components(docs).collect()) == ranked(brute.shingle_components(rows))
 
 
