@@ -21,8 +21,8 @@ from scorepool.llm.common import crc, doc_text, materialise, slices, utf8
 from scorepool.llm.tokenise import default_path, split_word_ids
 
 CAPACITY = 2048
-#: Lengths up to this share of the capacity are small: they are placed best-fit after the rest.
-SMALL_SHARE = 8
+#: Lengths up to the capacity over one of these are small, to be placed best-fit after the rest; the split that needs fewest sequences is taken.
+SMALL_SHARES = (2, 4)
 #: Distinct rounded sizes of the configuration program.
 GROUPS = 40
 
@@ -125,12 +125,16 @@ def _take(runs: list[list[int]], n: int) -> list[tuple[int, int]]:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple[int, ...]]]:
-    """Bins as (how many, the lengths in each); uses every item of the histogram once."""
+    """Bins as (how many, the lengths in each); uses every item of the histogram once. The best of SMALL_SHARES, the first of equals."""
+    return min((_plan(histogram, capacity, groups, share) for share in SMALL_SHARES), key=lambda bins: sum(many for many, _ in bins))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, share: int) -> list[tuple[int, tuple[int, ...]]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     bins: list[tuple[int, tuple[int, ...]]] = []
     if left.get(capacity):
         bins.append((left.pop(capacity), (capacity,)))
-    long = [[n, left[n]] for n in sorted(left, reverse=True) if n * SMALL_SHARE > capacity]
+    long = [[n, left[n]] for n in sorted(left, reverse=True) if n * share > capacity]
     total = sum(c for _, c in long)
     open_bins: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     if total:
