@@ -66,8 +66,7 @@ o AS (SELECT gp.doc_id, gp.k, sum(least(gp.c, gr.c)) AS o FROM gp JOIN gr USING
 tp AS (SELECT doc_id, k, sum(c) AS c FROM gp GROUP BY 1, 2), tr AS (SELECT doc_id, k, sum(c) AS c FROM gr GROUP BY 1, 2)
 SELECT d.doc_id, round(coalesce(sum(2 * o.o / (tp.c + tr.c)), 0) / 4, 9) AS cider_lite FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN tp USING (doc_id, k) LEFT JOIN tr USING (doc_id, k) GROUP BY d.doc_id""")
 def cider_lite(spark, sf_dir):
-    out = text.overlap_score(V.references(spark, sf_dir), "doc_id", "text", "reference")
-    return out.select("doc_id", r9(F.col("cider_lite")).alias("cider_lite"))
+    return V.references(spark, sf_dir).select("doc_id", r9(text.cider_lite("text", "reference")).alias("cider_lite"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(strip_accents(text), '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) AS INT) AS words FROM documents")

@@ -25,9 +25,9 @@ def test_repetition(spark):
     assert one(spark, text.repetition_rate(text.tokens(F.lit("")))) == 0.0
 
 
-def test_overlap_score(spark):
+def test_cider_lite(spark):
     rows = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "a b", "a b"), (3, "a", "b"), (4, "", "x"), (5, None, None)], "k int, p string, r string")
-    got = {r["k"]: r["cider_lite"] for r in text.overlap_score(rows, "k", "p", "r").collect()}
+    got = {r["k"]: r["x"] for r in rows.select("k", text.cider_lite("p", "r").alias("x")).collect()}
     assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0, 5: 0.0}
 
 
