@@ -6,11 +6,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scorepool.llm.common import materialise
 from scorepool.llm.decontaminate import clean
-from scorepool.llm.language_id import UNDETERMINED, identify, train
+from scorepool.llm.language_id import identified, train
 from scorepool.llm.ngram_join import one_of_each
 from scorepool.llm.packing import pack
 from scorepool.llm.pii import redact
@@ -18,9 +17,7 @@ from scorepool.llm.pii import redact
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null texts, texts without a letter, and ambiguous ones. Trains on the labelled rows of docs."""
-    verdict = identify(docs, train(docs)).where(F.col("ambiguous") | (F.col("lang_pred") == UNDETERMINED))
-    bad = verdict.select(F.col("doc_id").alias("_rejected_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_rejected_id"]), "left_anti")
+    return identified(docs, train(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

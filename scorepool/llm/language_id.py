@@ -121,6 +121,25 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _judged(batches, own: Model | None):
+    """Slices of rows with the predicted language and the score of each."""
+    for batch in batches:
+        for part in slices(batch):
+            data, offsets = utf8(part.column("text"))
+            ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+            seen = np.concatenate([[0], np.cumsum(ascii_letter)])
+            lettered = seen[offsets[1:]] > seen[offsets[:-1]]
+            for i in np.flatnonzero(~lettered):
+                lettered[i] = bool(_LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+            if own is None:
+                lettered[:] = False
+                best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
+                names = [UNDETERMINED]
+            else:
+                (best, score), names = own.predict(data, offsets), own.languages
+            yield part, [names[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score (0 to 1), ambiguous.
 
@@ -130,24 +149,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x bits of the codebook
 
     def run(batches):
-        own = held.value
-        for batch in batches:
-            for part in slices(batch):
-                data, offsets = utf8(part.column("text"))
-                ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-                seen = np.concatenate([[0], np.cumsum(ascii_letter)])
-                lettered = seen[offsets[1:]] > seen[offsets[:-1]]
-                for i in np.flatnonzero(~lettered):
-                    lettered[i] = bool(_LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
-                if own is None:
-                    lettered[:] = False
-                    best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
-                    names = [UNDETERMINED]
-                else:
-                    (best, score), names = own.predict(data, offsets), own.languages
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([names[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)], pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(np.where(lettered, score, 0.0) < AMBIGUOUS)],
-                    names=["doc_id", "lang_pred", "score", "ambiguous"],
-                )
+        for part, names, score in _judged(batches, held.value):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose language can be told without ambiguity, all columns kept. Each row is judged where it is read."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part, _, score in _judged(batches, held.value):
+            yield part.filter(pa.array(score >= AMBIGUOUS))
+
+    return docs.mapInArrow(run, docs.schema)
