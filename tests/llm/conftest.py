@@ -32,7 +32,3 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.where("false")
-
-
-def ranked(rows):
-    return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))

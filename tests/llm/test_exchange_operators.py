@@ -5,7 +5,6 @@ import math
 import brute
 import numpy as np
 import pytest
-from conftest import ROWS  # noqa: F401
 from pyspark.sql import functions as F
 
 from scorepool.llm import ctw, exchange, ngram_join
