@@ -31,7 +31,7 @@ LANES = 2048
 #: Text of a file's range of documents, in bytes.
 FILE_BYTES = 24 << 20
 
-_ONE, _TWO, _ZERO = 11, 12, 8  # bits of the tables of each order
+_ONE, _TWO, _ZERO = 10, 11, 8  # bits of the tables of each order; small enough to stay in cache over all lanes
 _TOP, _STEP = 1 << 24, np.int64(0xFFFFFF)
 
 #: Fixed points of the logistic curve, 4096 / (1 + exp(-x / 256)) at x = -2048, -1920 ... 2048.
@@ -132,7 +132,6 @@ def _run(coder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.nda
     lanes, steps = len(sizes), int(sizes.max(initial=0))
     got = np.zeros((lanes, steps), np.int64) if ids is None else ids
     two, one, zero = (np.zeros(lanes << bits, np.int64 if wide else np.int32) for bits in (_TWO, _ONE, _ZERO))
-    sure2, sure1 = np.zeros(lanes << _TWO, np.uint8), np.zeros(lanes << _ONE, np.uint8)
     odds2, odds1 = np.full(lanes * 16, 2048, np.int64), np.full(lanes * 16, 2048, np.int64)
     odds0, lately = np.full(lanes, 1024, np.int64), np.full(lanes, 2048, np.int64)
     weights = [np.full(lanes * 4, w, np.int64) for w in (24000, 20000, 16000)]
@@ -147,18 +146,18 @@ def _run(coder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.nda
         h2 = (((a * 40503 + b * 60493 + 12345) & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _TWO)
         h1 += lane << _ONE
         h2 += lane << _TWO
-        e1, e2 = one[h1], two[h2]  # predicted id + 1, or 0
-        c1, c2 = sure1[h1], sure2[h2]
-        guess = np.where(e2 > 0, e2, e1).astype(np.int64)
+        e1, e2 = one.take(h1).astype(np.int64), two.take(h2).astype(np.int64)
+        c1, c2, e1, e2 = e1 & 15, e2 & 15, e1 >> 4, e2 >> 4  # confidence, and predicted id + 1 or 0
+        guess = np.where(e2 > 0, e2, e1)
         k1, k2 = (lane << 4) + c1, (lane << 4) + c2
         has2, agree = e2 > 0, e1 == guess
-        x2 = np.where(has2, _STRETCH[odds2[k2]], 0)
-        p1 = odds1[k1]
-        x1 = np.where(e1 > 0, _STRETCH[np.where(agree, p1, 4095 - p1)], 0)
-        x0 = _STRETCH[odds0[:live]]
+        p1, p2 = odds1.take(k1), odds2.take(k2)
+        x2 = _STRETCH.take(p2) * has2
+        x1 = _STRETCH.take(np.where(agree, p1, 4095 - p1)) * (e1 > 0)
+        x0 = _STRETCH.take(odds0[:live])
         kw = (lane << 2) + (has2 << 1) + agree
-        w2, w1, w0 = weights[0][kw], weights[1][kw], weights[2][kw]
-        p = _SQUASH[((w2 * x2 + w1 * x1 + w0 * x0) >> 16).clip(-2047, 2047) + 2047].clip(32, 4064)
+        w2, w1, w0 = (w.take(kw) for w in weights)
+        p = _SQUASH.take(((w2 * x2 + w1 * x1 + w0 * x0) >> 16) + 2047, mode="clip").clip(32, 4064)
         asked = guess > 0
         want = None if ids is None else ids[:live, step]
         hit = np.zeros(live, bool)
@@ -197,12 +196,9 @@ def _run(coder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.nda
         odds0[:live] += ((hit * 4095) - odds0[:live]) >> 5
         true1, true2 = e1 == value + 1, e2 == value + 1
         odds1[k1] = p1 + (((true1 * 4095) - p1) >> 4)
-        p2 = odds2[k2]
         odds2[k2] = p2 + (((true2 * 4095) - p2) >> 4)
-        sure1[h1] = np.where(true1, np.minimum(c1 + 1, 15), c1 >> 1)
-        sure2[h2] = np.where(true2, np.minimum(c2 + 1, 15), c2 >> 1)
-        one[h1] = np.where(true1 | (c1 > 1), e1, value + 1)
-        two[h2] = np.where(true2 | (c2 > 1), e2, value + 1)
+        one[h1] = (np.where(true1 | (c1 > 1), e1, value + 1) << 4) | np.where(true1, np.minimum(c1 + 1, 15), c1 >> 1)
+        two[h2] = (np.where(true2 | (c2 > 1), e2, value + 1) << 4) | np.where(true2, np.minimum(c2 + 1, 15), c2 >> 1)
         before[:live] = a
         last[:live] = value
     return got
