@@ -23,6 +23,8 @@ SHINGLE = 5
 #: A group of more sets than this, and than GROUP_SHARE times the mean group, is split into blocks of that many and compared
 #: as pairs of blocks, each a task's group by itself.
 GROUP_SETS, GROUP_SHARE = 500, 2
+#: Large groups whose list is broadcast (16 bytes each); a longer list is joined by shuffle.
+LARGE_GROUPS = 100_000
 
 
 class _Sets:
@@ -299,13 +301,15 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     held = materialise(meet(dealt, answers, route, "doc_id long, n_shingles long, rep long, owner int, items binary"), "routes")
     sets = held.where("owner is not null").select("owner", "rep", "items")
     size = sets.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
-    mean = size.agg(F.avg("_n").alias("_mean"))
-    size = size.crossJoin(F.broadcast(mean))  # one row
-    blocks = F.ceil(F.col("_n") / F.greatest(F.lit(float(GROUP_SETS)), GROUP_SHARE * F.col("_mean"))).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("_s")).cast("int")
-    spread = sets.join(size, "owner").withColumn("_s", blocks).withColumn("_b", own)
-    spread = spread.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    mean = size.agg(F.avg("_n")).first()[0] or 0.0
+    limit = max(float(GROUP_SETS), GROUP_SHARE * mean, 1.0)
+    large = size.where(F.col("_n") > limit).select("owner", F.ceil(F.col("_n") / limit).cast("int").alias("_s"))
+    few = large.count() <= LARGE_GROUPS
+    spread = sets.join(F.broadcast(large) if few else large, "owner", "left").withColumn("_s", F.coalesce("_s", F.lit(1)))
+    spread = spread.withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_s")).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     spread = spread.select("owner", F.least("_b", "_c").alias("lo"), F.greatest("_b", "_c").alias("hi"), "rep", "items")
+    if not few:  # a join by owner leaves the rows by owner, and grouping would keep a large group's pairs of blocks together
+        spread = spread.repartition("owner", "lo", "hi")
 
     def linked(key, table):
         table = table.sort_by("rep")

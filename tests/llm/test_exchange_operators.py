@@ -32,7 +32,9 @@ def test_shingle_components(docs, rows, cells):
     assert ranked(ngram_join.shingle_components(docs).collect()) == ranked(brute.shingle_components(rows))
 
 
-def test_split_groups_link_alike(docs, rows, monkeypatch):
+@pytest.mark.parametrize("most", [0, 100])
+def test_split_groups_link_alike(docs, rows, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "LARGE_GROUPS", most)
     monkeypatch.setattr(ngram_join, "GROUP_SETS", 1)
     monkeypatch.setattr(ngram_join, "GROUP_SHARE", 0)
     assert ranked(ngram_join.shingle_components(docs).collect()) == ranked(brute.shingle_components(rows))
