@@ -1,8 +1,9 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds of three words.
 
-A seed is a fixed mask over a run of words: it hashes the marked positions and ignores the others, so a run with words
-replaced at ignored positions still meets its benchmark run. Training and benchmark hashes are joined, and around each hit the
-benchmark item is laid over the text on the hit's diagonal; the best run on that diagonal decides.
+Runs of SEED words of training texts and benchmark are joined by hash; a pair that shares one lies on a diagonal, on which the
+benchmark item is laid over the text. The best run on that diagonal decides, or the agreeing words of the whole item. Where at
+most a quarter of SHORT or more words differ, three in a row always agree, so no such overlap is missed. Shorter items are
+found word for word.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorepool.llm.common import Words, doc_text, mix64, slices
+from scorepool.llm.common import Words, doc_text, slices, windows
 
-#: Masks over 11 words; a 1 is a position that must agree. Each has 7 marks, so a lone replaced word always leaves a mask that ignores it within a few positions.
-MASKS = ("11101001101", "11011010011", "11110111000")
+#: Words of a seed: the longest run that is sure to agree where MIN_SHARE of the words do.
+SEED = 3
+#: An item with fewer words counts only as a whole, word for word.
+SHORT = 11
 #: A hit counts if this many words agree on its diagonal, within a run in which matches outweigh mismatches...
 MIN_AGREE = 11
-#: ...and at least this share of the run's words agree.
+#: ...and at least this share of the run's words agree; or if this share of a whole item's words agree.
 MIN_SHARE = 0.75
 #: Cost of a mismatch against the gain of 1 for a match, when the run is extended.
 MISMATCH = 2.5
@@ -26,19 +29,8 @@ MISMATCH = 2.5
 BLOCK_WORDS = 4_000_000
 
 
-def _marks(mask: str) -> list[int]:
-    return [i for i, c in enumerate(mask) if c == "1"]
-
-
-def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
-    """The seed at each position at which the mask fits."""
-    n = len(words) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, len(mask), np.uint64)
-    for i in _marks(mask):
-        h = h * np.uint64(0xA0761D6478BD642F) + words[i : i + n]
-    return mix64(h)
+#: Hits of seeds that are held at once, but for a text with more.
+HITS = 2_000_000
 
 
 class Index:
@@ -49,44 +41,61 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         w = Words(pa.array([t for _, t in items], pa.large_string()), lower=True)
         self.words, self.ptr = w.hash, w.ptr
-        self.known = np.unique(self.words)
-        item_of = np.repeat(np.arange(len(items)), np.diff(w.ptr))
-        self.seeds = []
-        for mask in MASKS:
-            h = seed_hashes(self.words, mask)
-            at = np.flatnonzero(item_of[: len(h)] == item_of[len(self.words) - len(h) :]) if len(h) else np.zeros(0, np.int64)
-            order = np.argsort(h[at], kind="stable")
-            self.seeds.append((h[at][order], at[order]))
-        self.item_of = item_of
+        size = np.diff(w.ptr)
+        self.item_of = np.repeat(np.arange(len(items)), size)
+        self.seeds = self._sorted(SEED, size >= SHORT)
+        self.shorts = [(int(n), *self._sorted(int(n), size == n)) for n in np.unique(size[size < SHORT]) if n]
+
+    def _sorted(self, n: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of runs of n words within the items of some sizes, sorted, and where they are."""
+        h = windows(self.words, n)
+        at = np.flatnonzero((self.item_of[: len(h)] == self.item_of[n - 1 :]) & of[self.item_of[: len(h)]]) if len(h) else np.zeros(0, np.int64)
+        order = np.argsort(h[at], kind="stable")
+        return h[at][order], at[order]
+
+    def _hits(self, w: Words, doc_of: np.ndarray, n: int, hashes: np.ndarray, where: np.ndarray):
+        """(text, item, shift) of each equal run of n words, in blocks of whole texts."""
+        h = windows(w.hash, n)
+        if not len(h) or not len(hashes):
+            return
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        spots = np.flatnonzero((hashes[at] == h) & (doc_of[: len(h)] == doc_of[n - 1 :]))
+        low, doc = at[spots], doc_of[spots]
+        many = np.searchsorted(hashes, h[spots], "right") - low
+        total, a = np.cumsum(many), 0
+        while a < len(spots):
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right"))
+            b = len(spots) if b >= len(spots) else int(np.searchsorted(doc, doc[b]))  # whole texts
+            b = b if b > a else int(np.searchsorted(doc, doc[a], "right"))
+            each = many[a:b]
+            of = np.repeat(np.arange(a, b), each)
+            b_at = where[low[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)]
+            yield doc[of], self.item_of[b_at], spots[of] - b_at
+            a = b
+
+    def _candidates(self, w: Words, doc_of: np.ndarray):
+        """Distinct (text, item, shift) that the rules may accept. With m words of a run of n different, at least n - m - 2 (m + 1)
+        of its seeds agree; by the rules that is 2 or more but for a whole item of 12 words, where it may be 1."""
+        for doc, item, shift in self._hits(w, doc_of, SEED, *self.seeds):
+            order = np.lexsort((shift, item, doc))
+            doc, item, shift = doc[order], item[order], shift[order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])])
+            first = np.flatnonzero(new)
+            number, size = np.diff(np.append(first, len(doc))), self.ptr[item[first] + 1] - self.ptr[item[first]]
+            first = first[(number > 1) | (size == 12)]
+            yield from zip(doc[first].tolist(), item[first].tolist(), shift[first].tolist(), strict=True)
 
     def search(self, w: Words) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, first word, words, words that agree, first word in the item) of verified overlaps, best one for each text and item."""
         if not len(w.hash) or not len(self.words):
             return []
-        at = np.searchsorted(self.known, w.hash)
-        known = self.known[np.minimum(at, len(self.known) - 1)] == w.hash
         doc_of = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
-        found: set[tuple[int, int, int]] = set()
-        for mask, (hashes, where) in zip(MASKS, self.seeds, strict=True):
-            n = len(w.hash) - len(mask) + 1
-            if n <= 0 or not len(hashes):
-                continue
-            ok = doc_of[:n] == doc_of[len(mask) - 1 :]
-            for i in _marks(mask):
-                ok &= known[i : i + n]
-            spots = np.flatnonzero(ok)
-            if not len(spots):
-                continue
-            h = np.full(len(spots), len(mask), np.uint64)
-            for i in _marks(mask):
-                h = h * np.uint64(0xA0761D6478BD642F) + w.hash[spots + i]
-            h = mix64(h)
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for k in np.flatnonzero(hi > lo):
-                for b in where[lo[k] : hi[k]]:
-                    found.add((int(doc_of[spots[k]]), int(self.item_of[b]), int(spots[k] - b)))
         best: dict[tuple[int, int], tuple] = {}
-        for doc, item, shift in found:
+        for n, *runs in self.shorts:
+            for found in self._hits(w, doc_of, n, *runs):
+                for doc, item, shift in zip(*(x.tolist() for x in found), strict=True):  # in order of place: the first stays
+                    best.setdefault((doc, item), (n, -n, -(int(self.ptr[item]) + shift), n, int(self.ptr[item]) + shift - int(w.ptr[doc]), 0))
+        for doc, item, shift in self._candidates(w, doc_of):
             lo = max(int(w.ptr[doc]), int(self.ptr[item]) + shift)
             hi = min(int(w.ptr[doc + 1]), int(self.ptr[item + 1]) + shift)
             same = w.hash[lo:hi] == self.words[lo - shift : hi - shift]
@@ -96,7 +105,9 @@ class Index:
             start = int(gain[: end + 1].argmin()) if end else 0
             agree = int(same[start:end].sum())
             whole = hi - lo == int(self.ptr[item + 1] - self.ptr[item]) and same.sum() >= MIN_SHARE * (hi - lo)
-            if (agree >= MIN_AGREE and agree >= MIN_SHARE * (end - start)) or (whole and agree >= min(MIN_AGREE, hi - lo)):
+            if not (agree >= MIN_AGREE and agree >= MIN_SHARE * (end - start)):
+                start, end, agree = 0, hi - lo, int(same.sum())
+            if whole or (agree >= MIN_AGREE and agree >= MIN_SHARE * (end - start)):
                 row = (agree, -(end - start), -(lo + start), end - start, lo + start - int(w.ptr[doc]), lo + start - shift - int(self.ptr[item]))
                 best[doc, item] = max(best.get((doc, item), row), row)
         return [(doc, item, r[4], r[3], r[0], r[5]) for (doc, item), r in sorted(best.items())]
@@ -105,9 +116,10 @@ class Index:
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, n_agree long, item_word long"
 
 
-def _blocks(benchmark: DataFrame):
-    """The benchmark in blocks of whole items of about BLOCK_WORDS words (a longer item makes its own), ordered by id."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+def _blocks(benchmark: DataFrame, unnamed: bool = False):
+    """The benchmark in blocks of whole items of about BLOCK_WORDS words (a longer item makes its own), ordered by id; with unnamed also those without an id, which get 0."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = items.fillna(0, ["item_id"]) if unnamed else items.where("item_id is not null")
     block, size = [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
         n = r["text"].count(" ") + 1
@@ -124,7 +136,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, start_word, n_words, n_agree, item_word): texts that hold a benchmark passage, one row for each
     text row and item, with the best run.
 
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. An item shorter than the masks is never found. Null texts, null ids of
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. An item of less than SHORT words is found word for word. Null texts, null ids of
     items and empty tables give no rows; repeated rows of docs give repeated rows; extra columns are ignored. Of equally good
     runs the earliest counts.
     """
@@ -148,9 +160,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs without an overlap, all columns kept. Each row is judged where it is read: no join, no shuffle."""
+    """Rows of docs without an overlap, also with items that have no id; all columns kept. Each row is judged where it is read: no join, no shuffle."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, unnamed=True):
         held = docs.sparkSession.sparkContext.broadcast(Index(items))  # at most BLOCK_WORDS words
 
         def run(batches, held=held):

@@ -202,6 +202,25 @@ def test_planted_items_are_all_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(60)}
 
 
+def test_every_overlap_by_the_rules_is_found(spark):
+    """Whole items of 11 to 40 words with up to a quarter replaced anywhere, shorter ones word for word, and items without an id."""
+    rng = np.random.default_rng(8)
+    items = [[f"i{n}_{j}" for j in range(n)] for n in range(1, 41)]
+    b = spark.createDataFrame([(len(t), " ".join(t)) for t in items] + [(None, "an item without any id")], "item_id long, text string")
+    texts, want = [], set()
+    for t in items:
+        for k in range(4):
+            gone = set(rng.permutation(len(t))[: len(t) // 4].tolist() if len(t) >= 11 else [])
+            if len(t) % 4 == 0 and k == 0 and len(t) >= 11:
+                gone = set(range(3, len(t), 4))
+            want.add((len(texts), len(t)))
+            texts.append(" ".join(["pre"] * k + ["new" if j in gone else x for j, x in enumerate(t)] + ["post"]))
+    texts += ["i10_0 i10_1 i10_2 i10_3 new i10_5 i10_6 i10_7 i10_8 i10_9", "here is An item without any id too"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, b).collect()} == want
+    assert [r["doc_id"] for r in decontaminate.clean(docs, b).collect()] == [len(texts) - 2]
+
+
 # --- media --------------------------------------------------------------------------------------------------------
 
 
