@@ -165,6 +165,21 @@ def test_tree_equals_plain_recursion():
     assert got.tolist() == pytest.approx(want, rel=2e-3)  # stopping weights are kept in half precision
 
 
+def test_every_node_is_kept(spark):
+    """Contexts that would meet in tables of a fixed size: scores equal plain recursion."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x21, 0x41, 1500))) for _ in range(16)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score(docs, ctw.train(docs.where("doc_id < 15")), F.col("doc_id") < 15).collect()}
+
+    def steps(t):
+        raw = bytes([ctw.END] * ctw.DEPTH) + t.encode() + bytes([ctw.END])
+        return [(raw[i : i + ctw.DEPTH], raw[i + ctw.DEPTH]) for i in range(len(t) + 1)]
+
+    want = kt_tree([s for t in texts[:15] for s in steps(t)], [s for t in texts for s in steps(t)])
+    assert [got[i] for i in range(16)] == pytest.approx([sum(want[1501 * i : 1501 * (i + 1)]) for i in range(16)], rel=1e-6)
+
+
 def test_empty_tables(empty):
     assert remove_repeats(empty).count() == 0
     assert ngram_join.shingle_components(empty).count() == 0
