@@ -96,7 +96,7 @@ _AGAINST = ("version", "order", "invoice", "isbn", "token", "page", "section", "
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Every generator's spans, overlaps and all. Written-out addresses start from their sign for "at", the rest needs a digit."""
     out = set()
-    if "@" in text or "at" in text:
+    if "@" in text or "at" in text.lower():
         for m in _MARK.finditer(text):
             start = m.start()
             while start and (text[start - 1] in _LOCAL or text[start - 1].isalnum()):

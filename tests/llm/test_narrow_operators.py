@@ -156,6 +156,10 @@ def test_redact(docs):
     assert out.where("doc_id = 3").first()["text"] is None
 
 
+def test_upper_case_address_is_a_candidate():
+    assert ("email", 0, 24) in pii.candidates("JOHN (AT) ACME (DOT) COM")
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
