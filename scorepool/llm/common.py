@@ -126,7 +126,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a slice of texts: 64-bit hashes, byte bounds, and each text's range of words."""
 
-    def __init__(self, array: pa.Array, lower: bool):
+    def __init__(self, array: pa.Array, lower: bool, hashed: bool = True):
         self.data, self.offsets = utf8(array)
         if lower and len(self.data):
             self.data = _LOWER[self.data]
@@ -143,9 +143,10 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.ptr = np.searchsorted(self.start, self.offsets)
-        self.hash = self._hashes() if len(self.start) else np.zeros(0, np.uint64)
+        if hashed:
+            self.hash = self.hashes()
 
-    def _hashes(self) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         """Polynomial sums, a stretch of words at a time, so that tables of powers stay small."""
         out, at = np.empty(len(self.start), np.uint64), 0
         while at < len(out):

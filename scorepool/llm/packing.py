@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorepool.llm.common import crc, doc_text, materialise, slices, utf8
-from scorepool.llm.tokenise import default_path, split_word_ids
+from scorepool.llm.common import crc, doc_text, materialise, slices
+from scorepool.llm.tokenise import default_path, text_ids, with_end
 
 CAPACITY = 2048
 #: Lengths up to the capacity over one of these are small, to be placed best-fit after the rest; the split that needs fewest sequences is taken.
@@ -29,36 +29,39 @@ GROUPS = 40
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
+def _ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Of each piece, how many of its length came before; seen counts on."""
+    order = np.argsort(length, kind="stable")
+    s = length[order]
+    first = np.searchsorted(s, s)
+    out = np.empty(len(length), np.int64)
+    out[order] = np.arange(len(s)) - first + seen[s]
+    seen += np.bincount(length, minlength=len(seen))
+    return out
+
+
 def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Token pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32, and the rank among a task's pieces of that length."""
     path = vocabulary_path or default_path("word_bpe_49k.json")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch):
-                data, offsets = utf8(part.column("text"))
-                raw = data.tobytes()
-                ids = split_word_ids([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], path)
-                row, piece, start, length, crcs, rank = [], [], [], [], [], []
-                for i, x in enumerate(ids):
-                    x += end
-                    n = len(x) // 4
-                    for k, at in enumerate(range(0, n, capacity)):
-                        size = min(capacity, n - at)
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(size)
-                        crcs.append(crc(x[4 * at : 4 * (at + size)]))
-                        rank.append(seen[size])
-                        seen[size] += 1
+                flat, many = with_end(*text_ids(part.column("text"), path, split=True), end_id)
+                pieces_of = -(-many // capacity)
+                row = np.repeat(np.arange(len(many)), pieces_of)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+                start = piece * capacity
+                length = np.minimum(capacity, many[row] - start)
+                raw, at = memoryview(flat.tobytes()), 4 * np.concatenate([[0], np.cumsum(length)])
+                crcs = [crc(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                rank = _ranks(length, seen)
                 yield pa.RecordBatch.from_arrays(
-                    [pc.take(part.column("doc_id"), pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64()), pa.array([here] * len(row), pa.int32()), pa.array(rank, pa.int64())],
+                    [pc.take(part.column("doc_id"), pa.array(row, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(np.full(len(row), here, np.int32)), pa.array(rank)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
 

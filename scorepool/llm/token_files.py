@@ -1,14 +1,15 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-In each block, order-2 and order-1 contexts predict the next id by what followed last time, with a confidence. Whether the
-prediction holds is one binary decision; its probability mixes order 2, order 1 and order 0 in the logistic domain, with
-weights that learn. A miss names one of the ids seen lately (order 0, by place), or else spells the id. All arithmetic is in
-integers, so files read the same on every machine. Blocks don't depend on each other: a segment codes its blocks in
-lockstep, one lane each, in vector operations.
+In each block, order-2 and order-1 contexts each predict one next id, with a confidence, by what followed them last. Order 0
+predicts over all ids: adaptive frequencies of classes of ids (a power of two's eighth each), and in a class the id it held
+last, with an adaptive probability, against the others evenly. The three are mixed into one distribution by shares that
+adapt for each pair of confidences, and that distribution drives the range coder; what is even goes as plain bits beside it.
+All numbers are integers below 2^53, held in float64, where each step is exact: files read the same on every machine. Blocks
+don't depend on each other: a segment codes its blocks in lockstep, one lane each, in vector operations.
 
 A segment, all integers little-endian: magic, format flags u32, documents u32, blocks u32, crc32 u32 of the tables; ids of
-documents i64, their null marks u8, their numbers of tokens u32; numbers of ids u32, payload bytes u32 and crc32 u32 of the
-ids of each block; payloads.
+documents i64, their null marks u8, their numbers of tokens u32; numbers of ids u32, coded bytes u32, plain bytes u32 and crc32
+u32 of the ids of each block; coded bytes of all blocks, then their plain bytes.
 """
 
 from __future__ import annotations
@@ -21,211 +22,305 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorepool.llm.common import crc, doc_text, materialise, slices
-from scorepool.llm.tokenise import default_path, spaced_ids
+from scorepool.llm.tokenise import default_path, text_ids, with_end
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 WIDE = 1
 #: Ids of a block, and blocks of a segment.
 BLOCK = 4096
-LANES = 2048
+LANES = 3072
 #: Text of a file's range of documents, in bytes.
 FILE_BYTES = 24 << 20
 
-_ONE, _TWO, _ZERO = 10, 11, 8  # bits of the tables of each order; small enough to stay in cache over all lanes
-_TOP, _STEP = 1 << 24, np.int64(0xFFFFFF)
+_ONE, _TWO = 9, 10  # bits of the tables of contexts
+_SHARE, _PLACE, _SAME = 16, 10, 12  # bits of probabilities: of the orders' shares, of classes, of a class's last id
+_MOST, _LEAST = 62000, 32  # about what order 2 and order 1 may take together, and each at least
+_LEARN = np.array([1 << 32 | 1, 1 << 32 | _MOST >> 5, _MOST >> 5 << 32 | 1])  # what shares gain, less a 32nd, where neither, order 1 or order 2 is right
+_PER = 3  # bits of a class's place between two powers of two
+_RENEW = 512  # order 0 takes up what it has seen after 8, 16, 32 ... steps and then after each so many
 
-#: Fixed points of the logistic curve, 4096 / (1 + exp(-x / 256)) at x = -2048, -1920 ... 2048.
-_CURVE = (1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4024, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094)
+# the coder's interval lies between _NARROW and _WHOLE, and gives a digit off where it would get narrower
+_DIGIT, _NARROW, _WHOLE = 2.0**24, 2.0**28, 2.0**52
 
 
-def _squash_table() -> np.ndarray:
-    x = np.arange(-2047, 2048)
-    k, w = (x >> 7) + 16, x & 127
-    c = np.array(_CURVE + (4095,))
-    return ((c[k] * (128 - w) + c[k + 1] * w + 64) >> 7).astype(np.int64)
+def _classes(wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First id and number of plain bits of each class."""
+    k = np.arange((33 - _PER if wide else 17 - _PER) << _PER)
+    bits = np.maximum((k >> _PER) - 1, 0)
+    return np.where(k < 2 << _PER, k, ((k & ((1 << _PER) - 1)) + (1 << _PER)) << bits), bits
 
 
-_SQUASH = _squash_table()
-_STRETCH = (np.searchsorted(_SQUASH, np.arange(4096)) - 2047).clip(-2047, 2047).astype(np.int64)
+def _class_of(ids: np.ndarray) -> np.ndarray:
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1].astype(np.int64) - _PER - 1, 0)
+    return (bits << _PER) + (ids >> bits)
+
+
+def _first_shares() -> np.ndarray:
+    """Shares of order 2 (high) and order 1 (low) by their confidences: 0 for no prediction, else 1 to 4."""
+    sure = np.array([0, 10000, 28000, 40000, 52000, 0, 0, 0])
+    two, one = sure[:, None], sure[None, :]
+    return (np.maximum(two, _LEAST) << 32 | np.maximum((_MOST - two) * one >> 18, _LEAST)).ravel()
 
 
 class _Encoder:
     """Range coders in lockstep; carries are settled at the end."""
 
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.out, self.n = np.zeros((lanes, room), np.int16), np.zeros(lanes, np.int64)
-
-    def _shift(self, lane, low, rng) -> None:
-        short = np.flatnonzero(rng < _TOP)
-        if len(short):
-            at = lane[short]
-            self.out[at, self.n[at]] = low[short] >> 24
-            self.n[at] += 1
-            low[short] = (low[short] & _STEP) << 8
-            rng[short] <<= 8
-        self.low[lane], self.range[lane] = low, rng
-
-    def bit(self, lane, p, bit):
-        low, rng = self.low[lane], self.range[lane]
-        bound = (rng >> 12) * p
-        self._shift(lane, np.where(bit, low, low + bound), np.where(bit, bound, rng - bound))
-        return bit
-
-    def byte(self, lane, value):
-        rng = self.range[lane] >> 8
-        self._shift(lane, self.low[lane] + value * rng, rng)
-        return value
-
-    def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.n)), self.n] = self.low >> 24
-            self.n += 1
-            self.low = (self.low & _STEP) << 8
-        while (over := self.out > 255).any():
-            rows, at = np.nonzero(over)
-            self.out[rows, at] &= 255
-            np.add.at(self.out, (rows, at - 1), 1)
-        raw = self.out.astype(np.uint8)
-        return [raw[k, :n].tobytes() for k, n in enumerate(self.n.tolist())]
+    def __init__(self, lanes: int, steps: int, wide: bool):
+        self.low, self.range = np.zeros(lanes), np.full(lanes, _WHOLE)
+        self.room = steps + 8
+        self.out, self.at = np.zeros(lanes * self.room, np.int32), np.arange(lanes) * self.room
+        self.plain, self.many = np.zeros((steps, lanes), np.uint32 if wide else np.uint16), np.zeros((steps, lanes), np.uint8)
+
+    def move(self, low: np.ndarray, by: np.ndarray) -> None:
+        low += by
+
+    def settle(self, live: int) -> None:
+        few = np.flatnonzero(self.range[:live] < _NARROW)
+        low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
+        digit = np.floor(low * (1 / _NARROW))
+        self.out[at] = digit
+        at += 1
+        digit *= _NARROW
+        low -= digit
+        low *= _DIGIT
+        rng *= _DIGIT
+        self.low[few], self.at[few], self.range[few] = low, at, rng
+
+    def finish(self) -> tuple[list[bytes], list[bytes]]:
+        """Coded and plain bytes of each lane."""
+        lanes = len(self.at)
+        for _ in range(3):
+            digit = np.floor(self.low * (1 / _NARROW))
+            self.out[self.at] = digit
+            self.at += 1
+            self.low = (self.low - digit * _NARROW) * _DIGIT
+        out, size = self.out.reshape(lanes, self.room), self.at - np.arange(lanes) * self.room
+        rows, at = np.nonzero(out >> 24)
+        while len(rows):
+            out[rows, at] &= 0xFFFFFF
+            np.add.at(out, (rows, at - 1), 1)
+            rows, at = np.divmod(np.unique(rows * self.room + at - 1), self.room)
+            over = out[rows, at] >> 24 > 0
+            rows, at = rows[over], at[over]
+        raw = np.ascontiguousarray(out.astype(">i4").view(np.uint8).reshape(lanes, self.room, 4)[:, :, 1:]).reshape(lanes, -1)
+        return [raw[k, : 3 * n].tobytes() for k, n in enumerate(size.tolist())], self._bits()
+
+    def _bits(self) -> list[bytes]:
+        """Plain bits of each lane, the lowest first, from a whole byte on."""
+        many, value = np.ascontiguousarray(self.many.T), np.ascontiguousarray(self.plain.T)
+        held = np.flatnonzero(many)
+        lane = held // many.shape[1]
+        many, value = many.ravel()[held].astype(np.int64), value.ravel()[held].astype(np.uint64)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        lanes = ends[np.searchsorted(lane, np.arange(len(self.at) + 1))]
+        cut = np.concatenate([[0], np.cumsum(-(-np.diff(lanes) // 8))])
+        place = ends[:-1] + (8 * cut - lanes)[lane]
+        out = np.zeros(cut[-1] // 8 + 2, np.uint64)
+        if len(place):
+            word, shift = place >> 6, (place & 63).astype(np.uint64)
+            first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+            out[word[first]] = np.add.reduceat(value << shift, first)  # bits never meet, so sums are unions
+            over = np.flatnonzero((place & 63) + many > 64)
+            out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+        raw = out.tobytes()
+        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        self.data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
-        size = np.array([len(p) for p in payloads], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(size)])[:-1]
-        self.end = self.at + size
-        self.range = np.full(len(payloads), 0xFFFFFFFF, np.int64)
-        self.code = np.zeros(len(payloads), np.int64)
-        for _ in range(4):
-            self.code = (self.code << 8) | self._next(np.arange(len(payloads)))
-
-    def _next(self, lane):
-        at = self.at[lane]
-        self.at[lane] = at + 1
-        return np.where(at < self.end[lane], self.data[np.minimum(at, len(self.data) - 1)], 0).astype(np.int64)
-
-    def _shift(self, lane, code, rng) -> None:
-        short = np.flatnonzero(rng < _TOP)
-        if len(short):
-            code[short] = (code[short] << 8) | self._next(lane[short])
-            rng[short] <<= 8
-        self.code[lane], self.range[lane] = code, rng
-
-    def bit(self, lane, p, _):
-        code, rng = self.code[lane], self.range[lane]
-        bound = (rng >> 12) * p
-        bit = code < bound
-        self._shift(lane, np.where(bit, code, code - bound), np.where(bit, bound, rng - bound))
-        return bit
-
-    def byte(self, lane, _):
-        code, rng = self.code[lane], self.range[lane] >> 8
-        value = np.minimum(code // rng, 255)
-        self._shift(lane, code - value * rng, rng)
-        return value
-
-
-def _run(coder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.ndarray:
-    """The model, for both directions: codes ids[lane, step], or finds them. Lanes must be in order of size, longest first."""
-    lanes, steps = len(sizes), int(sizes.max(initial=0))
-    got = np.zeros((lanes, steps), np.int64) if ids is None else ids
-    two, one, zero = (np.zeros(lanes << bits, np.int64 if wide else np.int32) for bits in (_TWO, _ONE, _ZERO))
-    odds2, odds1 = np.full(lanes * 16, 2048, np.int64), np.full(lanes * 16, 2048, np.int64)
-    odds0, lately = np.full(lanes, 1024, np.int64), np.full(lanes, 2048, np.int64)
-    weights = [np.full(lanes * 4, w, np.int64) for w in (24000, 20000, 16000)]
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    live = lanes
+    def __init__(self, coded: list[bytes], plain: list[bytes]):
+        self.low, self.range = np.zeros(len(coded)), np.full(len(coded), _WHOLE)
+        digits = np.frombuffer(b"".join(coded) + bytes(9), np.uint8).reshape(-1, 3).astype(np.uint32)
+        digits = digits[:, 0] << 16 | digits[:, 1] << 8 | digits[:, 2]
+        self.data = ((digits[:-1] << 4 | digits[1:] >> 20) & 0xFFFFFF).astype(np.float64)  # an interval ends 4 bits into a digit
+        self.at = np.cumsum([0] + [len(x) // 3 for x in coded])[:-1]
+        self.low += digits.take(self.at) >> 20
+        for _ in range(2):
+            self.low = self.low * _DIGIT + self.data.take(self.at)
+            self.at += 1
+        byte = np.frombuffer(b"".join(plain) + bytes(8), np.uint8).astype(np.int64)
+        self.window = byte[:-4] | byte[1:-3] << 8 | byte[2:-2] << 16 | byte[3:-1] << 24 | byte[4:] << 32
+        self.bit = 8 * np.cumsum([0] + [len(x) for x in plain])[:-1]
+
+    def move(self, low: np.ndarray, by: np.ndarray) -> None:
+        low -= by
+
+    def settle(self, live: int) -> None:
+        few = np.flatnonzero(self.range[:live] < _NARROW)
+        low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
+        low *= _DIGIT
+        low += self.data.take(at, mode="clip")
+        at += 1
+        rng *= _DIGIT
+        self.low[few], self.at[few], self.range[few] = low, at, rng
+
+    def bits(self, who: np.ndarray, many: np.ndarray) -> np.ndarray:
+        bit = self.bit.take(who)
+        out = self.window.take(bit >> 3, mode="clip")
+        out >>= bit & 7
+        out &= (1 << many) - 1
+        bit += many
+        self.bit[who] = bit
+        return out
+
+
+def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.ndarray:
+    """The model, for both directions: codes ids[step, lane], or finds them. Lanes must be in order of size, longest first."""
+    lanes, steps, kind = len(sizes), int(sizes.max(initial=0)), np.int64 if wide else np.int32
+    got = np.zeros((steps, lanes), kind) if ids is None else ids
+    first, extra = _classes(wide)
+    n = len(first)
+    known = None if wide else _class_of(np.arange(1 << 16))
+    surer = np.array([1, 2, 3, 4, 4, 4, 4, 4], kind)  # confidence after a hit
+    one, two = np.zeros(lanes << _ONE, kind), np.zeros(lanes << _TWO, kind)  # id + 1, and three bits of confidence
+    shares, same, last = np.tile(_first_shares(), lanes), np.full(lanes << 3, 1024), np.zeros(lanes * n, kind)
+    seen, missed = np.zeros((lanes, n), np.int32), []
+    bounds = np.full((lanes, n + 1), 1 << _PLACE, np.int32)
+    names = np.tile(np.arange(n, dtype=np.uint8), lanes)
+    every = np.arange(lanes)
+    in_one, in_two, in_shares, in_class, in_place, in_same = every << _ONE, every << _TWO, every << 6, every * n, every << _PLACE, every << 3
+    last_id, last_hash = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    live, due = lanes, 0
     for step in range(steps):
-        while sizes[live - 1] <= step:
-            live -= 1
-        lane = np.arange(live)
-        b, a = before[:live], last[:live]
-        h1 = ((a * 40503) & 0xFFFF) >> (16 - _ONE)
-        h2 = (((a * 40503 + b * 60493 + 12345) & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _TWO)
-        h1 += lane << _ONE
-        h2 += lane << _TWO
-        e1, e2 = one.take(h1).astype(np.int64), two.take(h2).astype(np.int64)
-        c1, c2, e1, e2 = e1 & 15, e2 & 15, e1 >> 4, e2 >> 4  # confidence, and predicted id + 1 or 0
-        guess = np.where(e2 > 0, e2, e1)
-        k1, k2 = (lane << 4) + c1, (lane << 4) + c2
-        has2, agree = e2 > 0, e1 == guess
-        p1, p2 = odds1.take(k1), odds2.take(k2)
-        x2 = _STRETCH.take(p2) * has2
-        x1 = _STRETCH.take(np.where(agree, p1, 4095 - p1)) * (e1 > 0)
-        x0 = _STRETCH.take(odds0[:live])
-        kw = (lane << 2) + (has2 << 1) + agree
-        w2, w1, w0 = (w.take(kw) for w in weights)
-        p = _SQUASH.take(((w2 * x2 + w1 * x1 + w0 * x0) >> 16) + 2047, mode="clip").clip(32, 4064)
-        asked = guess > 0
-        want = None if ids is None else ids[:live, step]
-        hit = np.zeros(live, bool)
-        who = np.flatnonzero(asked)
-        if len(who):
-            hit[who] = coder.bit(who, p[who], None if want is None else (want[who] + 1) == guess[who])
-        value = guess - 1
+        if sizes[live - 1] <= step:
+            while sizes[live - 1] <= step:
+                live -= 1
+            last_id, last_hash, in_one, in_two, in_shares = (x[:live] for x in (last_id, last_hash, in_one, in_two, in_shares))
+        if step == due:
+            due = step + min(max(8, step), _RENEW)
+            if missed:
+                seen += np.bincount(np.concatenate(missed), minlength=lanes * n).reshape(lanes, n).astype(np.int32)
+                missed = []
+            width = (seen * 24 + 1) * ((1 << _PLACE) - n) // (seen.sum(1, keepdims=True, dtype=np.int32) * 24 + n) + 1
+            np.cumsum(width[:, :-1], axis=1, out=bounds[:, 1:n])
+            bounds[:, 0] = 0
+            width = np.diff(bounds, axis=1)
+            spans = (bounds[:, :-1] * 4096 + width).ravel()
+            if ids is None:
+                named = np.repeat(names, width.ravel())
+        # what the contexts say
+        h = last_id * 0x9E3779B1
+        h &= 0xFFFFFFFF
+        h1 = h >> (32 - _ONE)
+        h1 += in_one
+        h2 = last_hash
+        h2 *= 5
+        h2 += h
+        h2 &= 0xFFFFFFFF
+        h2 >>= 32 - _TWO
+        h2 += in_two
+        last_hash = h
+        c1, c2 = one.take(h1), two.take(h2)
+        g1, g2 = c1 >> 3, c2 >> 3
+        c1 &= 7
+        c2 &= 7
+        state = in_shares + c1
+        state += c2 << 3
+        share = shares.take(state)
+        p2, p1 = share >> 32, share & 0xFFFFFFFF
+        # one step of the coder: order 2's id, order 1's, or another
+        low, rng = coder.low[:live], coder.range[:live]
+        rng *= 2.0**-_SHARE
+        np.floor(rng, out=rng)
+        to2, own1 = rng * p2, rng * p1
+        to1 = to2 + own1
+        if ids is None:
+            hit2, hit = low < to2, low < to1
+            found = np.where(hit2, g2, g1)
+            value = found - 1
+        else:
+            value = ids[step, :live]
+            found = value + 1
+            hit2 = found == g2
+            hit = hit2 | (found == g1)
+        rng *= 2.0**_SHARE
+        rng -= to1
+        rng[:] = np.where(hit2, to2, np.where(hit, own1, rng))
+        coder.move(low, np.where(hit2, 0.0, np.where(hit, to2, to1)))
         who = np.flatnonzero(~hit)
-        if len(who):
-            old_odds = lately[who]
-            if want is not None:
-                w = want[who]
-                slot = ((w * 40503) & 0xFFFF) >> (16 - _ZERO)
-                held = zero[(who << _ZERO) + slot] == w + 1
+        if len(who):  # order 0: a class, its last id or another
+            low, rng = coder.low.take(who), coder.range.take(who)
+            rng *= 2.0**-_PLACE
+            np.floor(rng, out=rng)
+            if ids is None:
+                c = (low / rng).astype(np.int64)  # exact: the quotient is below 2^10
+                np.minimum(c, (1 << _PLACE) - 1, out=c)
+                c += in_place.take(who)
+                c = named.take(c).astype(np.int64)
+            else:
+                v = value.take(who)
+                c = _class_of(v) if wide else known.take(v)
+            at = in_class.take(who)
+            at += c
+            missed.append(at)
+            span = spans.take(at)
+            coder.move(low, rng * (span >> 12))
+            span &= 4095
+            rng *= span
+            many = extra.take(c)
+            k = in_same.take(who)
+            k += many >> 2
+            p, old = same.take(k), last.take(at)
+            rng *= 2.0**-_SAME
+            np.floor(rng, out=rng)
+            own = rng * p
+            again = low < own if ids is None else v == old
+            fresh = ~again
+            rng *= 2.0**_SAME
+            rng -= own
+            rng = np.where(again, own, rng)
+            own *= fresh
+            coder.move(low, own)
+            coder.low[who], coder.range[who] = low, rng
+            p -= p >> 5
+            p += np.where(again, 126, 1)
+            same[k] = p
+            many *= fresh
+            if ids is None:
+                v = np.where(again, old, first.take(c) + coder.bits(who, many))
+                value[who] = v
+                found[who] = v + 1
             else:
-                w = slot = held = None
-            held = coder.bit(who, old_odds.clip(32, 4064), held)
-            lately[who] = old_odds + (((held * 4095) - old_odds) >> 5)
-            own = who[held]
-            if len(own):
-                s = coder.byte(own, None if w is None else slot[held])
-                value[own] = zero[(own << _ZERO) + s] - 1
-            own = who[~held]
-            if len(own):
-                spelled = np.zeros(len(own), np.int64)
-                for shift in (24, 16, 8, 0) if wide else (8, 0):
-                    spelled |= coder.byte(own, None if w is None else (w[~held] >> shift) & 255) << shift
-                value[own] = spelled
-                zero[(own << _ZERO) + (((spelled * 40503) & 0xFFFF) >> (16 - _ZERO))] = spelled + 1
+                coder.plain[step, who] = (v - first.take(c)) * fresh
+                coder.many[step, who] = many
+            last[at] = v
+        coder.settle(live)
         if ids is None:
-            got[:live, step] = value
+            got[step, :live] = value
         # learn
-        error = np.where(asked, ((hit * 4096) - p) * 7, 0)
-        for w, x, now in zip(weights, (x2, x1, x0), (w2, w1, w0), strict=True):
-            w[kw] = now + ((x * error + 0x2000) >> 14)
-        odds0[:live] += ((hit * 4095) - odds0[:live]) >> 5
-        true1, true2 = e1 == value + 1, e2 == value + 1
-        odds1[k1] = p1 + (((true1 * 4095) - p1) >> 4)
-        odds2[k2] = p2 + (((true2 * 4095) - p2) >> 4)
-        one[h1] = (np.where(true1 | (c1 > 1), e1, value + 1) << 4) | np.where(true1, np.minimum(c1 + 1, 15), c1 >> 1)
-        two[h2] = (np.where(true2 | (c2 > 1), e2, value + 1) << 4) | np.where(true2, np.minimum(c2 + 1, 15), c2 >> 1)
-        before[:live] = a
-        last[:live] = value
+        share -= (share >> 5) & 0x07FFFFFF07FFFFFF
+        share += _LEARN.take(hit2.view(np.uint8) + hit.view(np.uint8))
+        shares[state] = share
+        new = found << 3
+        one[h1] = new | np.where(found == g1, surer.take(c1), 1)
+        two[h2] = new | np.where(found == g2, surer.take(c2), 1)
+        last_id = value.astype(np.int64)
     return got
 
 
-def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes]]:
-    """Sizes and payloads of the blocks of a run of ids."""
+def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Sizes, coded and plain bytes of the blocks of a run of ids."""
     n = -(-len(ids) // BLOCK)
     sizes = np.full(n, BLOCK, np.int64)
-    if n:
-        sizes[-1] = len(ids) - BLOCK * (n - 1)
-    grid = np.zeros((n, BLOCK), np.int64)
+    if not n:
+        return sizes, [], []
+    sizes[-1] = len(ids) - BLOCK * (n - 1)
+    grid = np.zeros((n, BLOCK), np.int64 if wide else np.int32)
     grid.ravel()[: len(ids)] = ids
-    coder = _Encoder(n, BLOCK * (5 if wide else 3) + 16)
-    _run(coder, sizes, wide, grid)
-    return sizes, coder.finish() if n else []
+    coder = _Encoder(n, int(sizes[0]), wide)
+    _run(coder, sizes, wide, np.ascontiguousarray(grid.T))
+    return sizes, *coder.finish()
 
 
-def write_segment(doc_ids: np.ndarray, null: np.ndarray, ids: list[bytes]) -> bytes:
-    counts = np.array([len(x) // 4 for x in ids], "<u4")
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def write_segment(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> bytes:
+    """Of documents: their ids, null marks, numbers of tokens and all token ids in a row (unsigned 32 bits)."""
     wide = bool(len(flat) and flat.max() > 0xFFFF)
-    sizes, payloads = encode_blocks(flat, wide)
+    sizes, coded, plain = encode_blocks(flat, wide)
+    flat = np.ascontiguousarray(flat, "<u4")
     checks = [crc(flat[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(len(sizes))]
-    tables = doc_ids.astype("<i8").tobytes() + null.astype("u1").tobytes() + counts.tobytes() + sizes.astype("<u4").tobytes() + np.array([len(p) for p in payloads], "<u4").tobytes() + np.array(checks, "<u4").tobytes()
+    tables = [doc_ids.astype("<i8"), null.astype("u1"), counts.astype("<u4"), sizes.astype("<u4"), *(np.array([len(x) for x in part], "<u4") for part in (coded, plain)), np.array(checks, "<u4")]
+    tables = b"".join(x.tobytes() for x in tables)
     head = MAGIC + np.array([WIDE * wide, len(doc_ids), len(sizes), crc(tables)], "<u4").tobytes()
-    return head + tables + b"".join(payloads)
+    return b"".join([head, tables, *coded, *plain])
 
 
 def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,20 +328,22 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
     flags, docs, blocks, check = np.frombuffer(data, "<u4", 4, 4).tolist()
-    size = docs * 13 + blocks * 12
+    size = docs * 13 + blocks * 16
     tables = data[20 : 20 + size]
     if len(tables) != size or crc(tables) != check:
         raise ValueError("the tables of a token segment are damaged")
     at = 0
     parts = []
-    for kind, n in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks), ("<u4", blocks)):
+    for kind, n in (("<i8", docs), ("u1", docs), ("<u4", docs), *[("<u4", blocks)] * 4):
         parts.append(np.frombuffer(tables, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    doc_ids, null, counts, sizes, lengths, checks = parts
-    bounds = 20 + size + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    payloads = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    grid = _run(_Decoder(payloads), sizes.astype(np.int64), bool(flags & WIDE), None) if blocks else np.zeros((0, 0), np.int64)
-    flat = np.concatenate([grid[k, :n] for k, n in enumerate(sizes.tolist())]).astype("<u4") if blocks else np.zeros(0, "<u4")
+    doc_ids, null, counts, sizes, coded, plain, checks = parts
+    flat = np.zeros(0, "<u4")
+    if blocks:
+        bounds = (20 + size + np.concatenate([[0], np.cumsum(np.concatenate([coded, plain]), dtype=np.int64)])).tolist()
+        pieces = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        grid = _run(_Decoder(pieces[:blocks], pieces[blocks:]), sizes.astype(np.int64), bool(flags & WIDE), None)
+        flat = np.ascontiguousarray(grid.T).ravel().astype("<u4")[: int(sizes.sum())]  # only the last block may be short
     for k, c in enumerate(checks.tolist()):
         if crc(flat[k * BLOCK : (k + 1) * BLOCK].tobytes()) != c:
             raise ValueError(f"block {k} of a token segment is damaged")
@@ -257,20 +354,19 @@ def write_files(docs: DataFrame, vocabulary_path: str | None = None, end_id: int
     """Writes the segments of docs in ascending order of doc_id (nulls first, equal ids by text) and returns them as rows
     (part, segment, n_ids, data), read back from the shared folder."""
     path = vocabulary_path or default_path("byte_bpe_50k.json")
-    end = np.array([end_id], "<u4").tobytes()
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
     def run(batches):
         from pyspark import TaskContext
 
         here, segment = TaskContext.get().partitionId(), 0
-        doc_ids, null, ids, n = [], [], [], 0
+        doc_ids, null, counts, ids, n = [], [], [], [], 0
 
         def flush():
-            nonlocal segment, doc_ids, null, ids, n
-            data = write_segment(np.concatenate(doc_ids), np.concatenate(null), ids)
+            nonlocal segment, doc_ids, null, counts, ids, n
+            data = write_segment(*map(np.concatenate, (doc_ids, null, counts, ids)))
             row = pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["part", "segment", "n_ids", "data"])
-            segment, doc_ids, null, ids, n = segment + 1, [], [], [], 0
+            segment, doc_ids, null, counts, ids, n = segment + 1, [], [], [], [], 0
             return row
 
         for batch in batches:
@@ -278,9 +374,10 @@ def write_files(docs: DataFrame, vocabulary_path: str | None = None, end_id: int
                 column = part.column("doc_id")
                 doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
                 null.append(column.is_null().to_numpy(zero_copy_only=False))
-                got = [x + end for x in spaced_ids([t or "" for t in part.column("text").to_pylist()], path)]
-                ids += got
-                n += sum(map(len, got)) // 4
+                flat, many = with_end(*text_ids(part.column("text"), path, split=False), end_id)
+                ids.append(flat)
+                counts.append(many)
+                n += len(flat)
                 if n >= BLOCK * LANES - BLOCK * LANES // 8:
                     yield flush()
         if ids:

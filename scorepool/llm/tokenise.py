@@ -1,18 +1,24 @@
 """Token ids by public tokenizers, a word at a time: both vocabularies never merge over a plain word boundary, so a bounded
-word memo per worker gives the same ids as encoding the whole text."""
+word memo per worker gives the same ids as encoding the whole text. Texts with a special token's name, with a very long word
+or with odd white space are encoded whole."""
 
 from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words kept in a worker's memo; beyond it the memo starts anew. It changes speed only.
-MEMO_WORDS = 800_000
+from scorepool.llm.common import Words, mix64, utf8
+
+#: Words and ids kept in a worker's memo; beyond either it starts anew. They change speed only.
+MEMO_WORDS, MEMO_IDS = 1 << 20, 1 << 23
+#: Longest word that is kept, in bytes.
+LONG_WORD = 200
 
 
 @lru_cache(maxsize=4)
@@ -20,9 +26,7 @@ def _load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def default_path(name: str) -> str:
@@ -31,10 +35,6 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A word that both vocabularies' splitters keep whole but for one mark at its end; its parts can go straight to the merges.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
-
-
 def _byte_letters() -> dict[int, int]:
     """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next code from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -44,87 +44,219 @@ def _byte_letters() -> dict[int, int]:
 
 _LETTERS = _byte_letters()
 
+#: How a word begins: after a space, at the start of a text, after a line feed.
+SPACED, BARE, AFTER_LINE = 0, 1, 2
+#: White space that byte-level splitters see inside or beside words, apart from single spaces and line feeds between two words.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+#: Bytes of plain words: ASCII letters, and the two-byte letters from U+00C0 to U+00FF, whose second byte is looked up apart.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
+_LATIN = np.zeros(256, bool)
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+_FRONT = (1 << 8 * np.arange(9, dtype=object)) - 1
+_FRONT = _FRONT.astype(np.uint64)
+
 
-class _Memo:
-    """Little-endian uint32 ids of words, filled a slice at a time."""
+class Memo:
+    """Ids of words under one vocabulary: an open-addressed table of word hashes, each with a second check of the word's length and
+    first eight bytes, and the ids of all of them in a row."""
 
-    def __init__(self, path: str, prefix: str, lower: bool):
-        self.tokenizer, self.prefix, self.lower, self.ids = _load(path), prefix, lower, {}
-        self.head = prefix.translate(_LETTERS)
-        if array("I").itemsize != 4 or sys.byteorder != "little":
-            raise RuntimeError("ids are kept as little-endian 32-bit integers")
-        self.marks = {m: self._merge(m) for m in (".", ",")} | {"": []}
+    def __init__(self, path: str, split: bool):
+        self.tokenizer, self.split, self.path = _load(path), split, path
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.heads = ["", "", ""] if split else [" ".translate(_LETTERS), "", ""]
+        self.line = [] if split else self._merge("\n".translate(_LETTERS))
+        self.bits = (2 * MEMO_WORDS - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.ptr, self.size, self.flat = np.zeros(MEMO_WORDS, np.int64), np.zeros(MEMO_WORDS, np.int64), np.zeros(1 << 16, "<u4")
+        self.n, self.used = 0, 0
+        self._add(np.array([1, 2], np.uint64), np.zeros(2, np.uint64), [self._merge("."), self._merge(",")])  # entries 0 and 1
 
     def _merge(self, part: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(part)]
 
-    def fill(self, words: set) -> None:
-        new = words.difference(self.ids)
-        if len(self.ids) + len(new) > MEMO_WORDS:
-            self.ids.clear()
-            new = words
-        rest, ids, merge, head, lower, marks = [], self.ids, self._merge, self.head, self.lower, self.marks
-        for word in new:
-            text = word if isinstance(word, str) else word.decode("utf-8")
-            if text.isascii():
-                part, mark = (text[:-1], text[-1]) if text[-1:] in (".", ",") else (text, "")
-                plain = part.isalpha()
-            elif m := _PLAIN.fullmatch(text):
-                part, mark, plain = m[1], m[2], True
-            else:
-                plain = False
-            if not plain:
-                rest.append((word, self.prefix + text))
+    def _encode(self, words: list[bytes], kinds: list[int], plain: list[bool]) -> list[list[int]]:
+        """Ids of each word in its place. Plain ones, of letters alone, go straight to the merges."""
+        out: list[list[int]] = []
+        rest, tokenize, heads = [], self.tokenizer.model.tokenize, self.heads
+        for word, kind, letters in zip(words, kinds, plain, strict=True):
+            if not letters:
+                rest.append(len(out))
+                out.append([])
                 continue
-            if lower:
-                part = part.lower()
-            if not text.isascii():
-                part = part.encode().decode("latin-1").translate(_LETTERS)
-            ids[word] = array("I", merge(head + part) + marks[mark]).tobytes()
-        got = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-        for (word, _), g in zip(rest, got, strict=True):
-            self.ids[word] = array("I", g.ids).tobytes()
+            if self.split:
+                word = word.lower() if word.isascii() else word.decode("utf-8").lower().encode()
+            part = word.decode("latin-1")
+            if not word.isascii():
+                part = part.translate(_LETTERS)
+            ids = [t.id for t in tokenize(heads[kind] + part)]
+            out.append(self.line + ids if kind == AFTER_LINE else ids)
+        texts = [(" " if kinds[i] == SPACED and not self.split else "") + words[i].decode("utf-8") for i in rest]
+        for i, g in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            out[i] = self.line + g.ids if kinds[i] == AFTER_LINE else g.ids
+        return out
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entries of words, -1 for unknown ones."""
+        mask, shift = (1 << self.bits) - 1, np.uint64(64 - self.bits)
+        slot = (key >> shift).astype(np.int64)
+        out = np.where(self.checks.take(slot) == check, self.entry.take(slot), -1).astype(np.int64)
+        held = self.keys.take(slot)
+        out[held != key] = -1
+        left = np.flatnonzero((out < 0) & (held != 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & mask
+            held = self.keys.take(slot)
+            hit = (held == key[left]) & (self.checks.take(slot) == check[left])
+            out[left[hit]] = self.entry[slot[hit]]
+            on = ~hit & (held != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def _add(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
+        """New distinct words."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), "<u4")])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        at = np.arange(self.n, self.n + len(ids))
+        self.ptr[at], self.size[at] = self.used + np.cumsum(size) - size, size
+        self.n, self.used = self.n + len(ids), self.used + total
+        mask, slot = (1 << self.bits) - 1, (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            free = np.flatnonzero(self.keys.take(slot) == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.checks[slot[put]], self.entry[slot[put]] = key[left[put]], check[left[put]], at[left[put]]
+            on = np.ones(len(left), bool)
+            on[put] = False
+            left, slot = left[on], slot[on] + 1 & mask
+
+    def _odd(self, array: pa.Array, w: Words, doc_of: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Texts to encode whole."""
+        odd = np.zeros(len(array), bool)
+        for name in self.special:
+            odd |= pc.match_substring(array, name).to_numpy(zero_copy_only=False)
+        odd[doc_of[size > LONG_WORD]] = True
+        if self.split:
+            return odd
+        # one space or line feed between two words, none before the first and after the last
+        inner = np.flatnonzero(doc_of[1:] == doc_of[:-1])
+        wide = (w.start[inner + 1] - w.end[inner] != 1) | ~np.isin(w.data[w.end[inner]], (0x20, 0x0A))
+        odd[doc_of[inner[wide]]] = True
+        filled = w.ptr[1:] > w.ptr[:-1]
+        odd |= ~filled & (w.offsets[1:] > w.offsets[:-1])
+        first, last = w.ptr[:-1][filled], w.ptr[1:][filled] - 1
+        odd[filled] |= (w.start[first] != w.offsets[:-1][filled]) | (w.end[last] != w.offsets[1:][filled])
+        lead = _ODD_LEAD[w.data]
+        two = w.data[:-1] == 0xC2
+        lead[:-1] |= two & ((w.data[1:] == 0x85) | (w.data[1:] == 0xA0))
+        suspect = np.unique(np.searchsorted(w.offsets, np.flatnonzero(lead), side="right") - 1)
+        for i in suspect[~odd[suspect]].tolist():
+            odd[i] = bool(_ODD.search(w.text(i).decode("utf-8")))
+        return odd
+
+    def ids(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (null counts as empty), and the number of each text's."""
+        array = pc.fill_null(array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array, "")
+        w = Words(array, lower=False, hashed=False)
+        doc_of = np.repeat(np.arange(len(array)), np.diff(w.ptr))
+        size = w.end - w.start
+        odd = self._odd(array, w, doc_of, size)
+        # letters of both vocabularies' splitters, as bytes; a mark after letters alone is a piece of its own
+        letter = _LETTER[w.data]
+        second = np.flatnonzero(w.data == 0xC3) + 1
+        letter[second] = _LATIN[w.data[second]]
+        strange = np.concatenate([[0], np.cumsum(~letter)])
+        mark = np.where(size > 1, w.data[np.maximum(w.end - 1, 0)], 0) if len(size) else size
+        marked = ((mark == 0x2E) | (mark == 0x2C)) & (strange[w.end] - strange[w.start] == 1)
+        w.end -= marked
+        size = size - marked
+        plain = strange[w.end] == strange[w.start]
+        hashes = w.hashes()
+        at = np.flatnonzero(~odd[doc_of]) if odd.any() else np.arange(len(doc_of))
+        doc_of, start, end, size = doc_of[at], w.start[at], w.end[at], size[at]
+        key, plain, marked, mark = hashes[at], plain[at], marked[at], mark[at]
+        kind = np.zeros(len(at), np.int64)
+        if not self.split and len(at):
+            fed = w.data[np.maximum(start - 1, 0)] == 0x0A
+            kind[fed] = AFTER_LINE
+            kind[start == w.offsets[doc_of]] = BARE
+            key = mix64(key + kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = np.where(key < 3, key + np.uint64(3), key)  # 0 marks a free place; 1 and 2 are the marks'
+        padded = np.concatenate([w.data, np.zeros(8, np.uint8)])
+        front = np.ndarray((len(w.data) + 1,), "<u8", padded, strides=(1,))[start] & _FRONT[np.minimum(size, 8)]
+        check = front ^ (size.astype(np.uint64) << np.uint64(56))
+        entry = self._find(key, check)
+        new, first = self._new(entry, key, check)
+        if self.n and len(first) and (self.n + len(first) > MEMO_WORDS or self.used > MEMO_IDS):
+            self.clear()
+            entry[:] = -1
+            new, first = self._new(entry, key, check)
+        if len(first):
+            self._reserve(len(first))
+            raw = w.data.tobytes()
+            words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            self._add(key[first], check[first], self._encode(words, kind[first].tolist(), plain[first].tolist()))
+            entry[new] = self._find(key[new], check[new])
+        place = np.arange(len(entry)) + np.cumsum(marked) - marked
+        every = np.full(len(entry) + int(marked.sum()), 0)
+        every[place] = entry
+        every[place[marked] + 1] = mark[marked] == 0x2C
+        entry, many = every, self.size[every]
+        sums = np.concatenate([[0], np.cumsum(many)])
+        cut = sums[np.append(place, len(entry))[np.searchsorted(doc_of, np.arange(len(array) + 1))]]
+        counts = np.diff(cut)
+        flat = self.flat[np.repeat(self.ptr[entry] - sums[:-1], many) + np.arange(sums[-1])]
+        if odd.any():
+            which = np.flatnonzero(odd).tolist()
+            whole = [np.array(g.ids, "<u4") for g in self.tokenizer.encode_batch_fast([w.text(i).decode("utf-8") for i in which], add_special_tokens=False)]
+            parts, done = [], 0
+            for i, ids in zip(which, whole, strict=True):
+                parts += [flat[done : cut[i]], ids]
+                counts[i], done = len(ids), cut[i]
+            flat = np.concatenate([*parts, flat[done:]])
+        return flat, counts
+
+    @staticmethod
+    def _new(entry: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of unknown words, and the first place of each distinct one."""
+        new = np.flatnonzero(entry < 0)
+        order = new[np.lexsort((check[new], key[new]))]
+        differ = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+        return new, order[np.concatenate([[True], differ])] if len(order) else order
+
+    def _reserve(self, n: int) -> None:
+        """Room for n more words; only a slice with more distinct words than the memo holds needs any."""
+        if self.n + n > len(self.ptr):
+            self.bits = max(self.bits, (2 * n + 7).bit_length())
+            self.clear()
+            self.ptr, self.size = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.ptr, self.size))
 
 
 @lru_cache(maxsize=4)
-def memo(path: str, prefix: str, lower: bool = False) -> _Memo:
-    return _Memo(path, prefix, lower)
-
-
-def split_word_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of texts under a vocabulary that drops white space."""
-    words = [t.split() for t in texts]
-    own = memo(path, "", True)
-    own.fill(set().union(*words))
-    get = own.ids.__getitem__
-    return [b"".join(map(get, w)) for w in words]
-
-
-#: White space that is more than one space or line feed between two words; such a text is encoded whole.
-_ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|  | \n|\n |\n\n|^[ \n]|[ \n]\\Z|\\A\\Z")
-_LINES = re.compile("(\n)")
-
-
-def spaced_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of texts under a byte-level vocabulary, whose words carry the space before them."""
-    bare, spaced = memo(path, ""), memo(path, " ")
-    parts: list[list[list[str]] | None] = []
-    first, rest = set(), set()
-    for text in texts:
-        if _ODD.search(text):
-            parts.append(None)
-            continue
-        lines = [line.split(" ") for line in _LINES.split(text)]  # each second one is a line feed
-        first.update([line[0] for line in lines])
-        for line in lines:
-            rest.update(line[1:])
-        parts.append(lines)
-    bare.fill(first)
-    spaced.fill(rest)
-    get, out = spaced.ids.__getitem__, []
-    for text, lines in zip(texts, parts, strict=True):
-        if lines is None:
-            out.append(np.array(bare.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-        else:
-            out.append(b"".join([bare.ids[line[0]] + b"".join(map(get, line[1:])) for line in lines]))
-    return out
+def memo(path: str, split: bool) -> Memo:
+    return Memo(path, split)
+
+
+def text_ids(array: pa.Array, path: str, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts and their numbers. `split`: a vocabulary that drops white space; else a byte-level one, whose words carry the space before them."""
+    return memo(path, split).ids(array)
+
+
+def with_end(flat: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids followed by the end id."""
+    bounds = np.cumsum(counts + 1)
+    out = np.empty(len(flat) + len(counts), "<u4")
+    inside = np.ones(len(out), bool)
+    inside[bounds - 1] = False
+    out[inside], out[bounds - 1] = flat, end
+    return out, counts + 1

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,13 +51,31 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def plain_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenise.default_path(name))
+
+
 @pytest.mark.parametrize("name, split", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_word_memo_equals_whole_texts(rows, name, split):
     path = tokenise.default_path(name)
-    texts = [t or "" for _, t in rows] + ["a  b", "\n x", "x \ny", "don't it's I'LL", "naïve ÀÉ. ß, x", "a\n\nb c.", "é x", "Σας ΟΔΟΣ a", "<|endoftext|> z", "Ab12,cd.", "İstanbul", "x́ y", "a\r\nb", "...", "é,", "ab."]
-    got = tokenise.split_word_ids([t.encode() for t in texts], path) if split else tokenise.spaced_ids(texts, path)
-    want = tokenise._load(path).encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+    texts = [t for _, t in rows] + ["a  b", "\n x", "x \ny", "don't it's I'LL", "naïve ÀÉ. ß, x", "a\n\nb c.", "é x", "Σας ΟΔΟΣ a", "<|endoftext|> z", "a <|startoftext|>b", "a<|endoftext|>", "q " + "z" * 500 + " r", "a\x1cb", "foo, foo. foo,\nfoo ,", "Ab12,cd.", "İstanbul", "x́ y", "a\r\nb", "...", "é,", "ab."]
+    want = [plain_tokenizer(name).encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # with an empty memo and a full one
+        flat, counts = tokenise.text_ids(pa.array(texts, pa.string()), path, split)
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+
+
+@pytest.mark.parametrize("words", [3, 40])
+def test_small_memo_equals_whole_texts(rows, words, monkeypatch):
+    """A memo that overflows in every slice, and one that single slices overflow."""
+    monkeypatch.setattr(tokenise, "MEMO_WORDS", words)
+    own = tokenise.Memo(tokenise.default_path("byte_bpe_50k.json"), False)
+    for text in [t or "" for _, t in rows] * 2:
+        flat, counts = own.ids(pa.array([text, None, text]))
+        want = plain_tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+        assert counts.tolist() == [len(want), 0, len(want)] and flat.tolist() == want * 2
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, token_files.BLOCK, token_files.BLOCK + 1])
@@ -64,14 +83,30 @@ def test_word_memo_equals_whole_texts(rows, name, split):
 def test_segment_round_trip(n, top):
     ids = np.random.default_rng(n).integers(0, top, n, endpoint=True).astype("<u4")
     cut = n // 3
-    data = token_files.write_segment(np.array([5, -1]), np.array([0, 1]), [ids[:cut].tobytes(), ids[cut:].tobytes()])
+    data = token_files.write_segment(np.array([5, -1]), np.array([0, 1]), np.array([cut, n - cut]), ids)
     doc, null, counts, flat = token_files.read_segment(data)
     assert doc.tolist() == [5, -1] and null.tolist() == [False, True] and counts.tolist() == [cut, n - cut] and (flat == ids).all()
 
 
+def test_odd_ids_round_trip():
+    rng = np.random.default_rng(1)
+    for ids in (np.zeros(9000), 1 << rng.integers(0, 32, 9000), np.arange(5000) % 3, 65535 - rng.integers(0, 3, 5000), np.minimum(rng.geometric(0.001, 9000), 65535)):
+        flat = ids.astype("<u4")
+        data = token_files.write_segment(np.array([0]), np.array([0]), np.array([len(flat)]), flat)
+        assert (token_files.read_segment(data)[3] == flat).all()
+
+
+def test_text_ids_shrink(spark):
+    """On ids of plain text the files are smaller than 16-bit ids by a third at least."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").toPandas()["text"]
+    flat, counts = tokenise.text_ids(pa.array(texts, pa.string()), tokenise.default_path("byte_bpe_50k.json"), False)
+    data = token_files.write_segment(np.arange(len(counts)), np.zeros(len(counts)), counts, flat)
+    assert len(data) < 2 * len(flat) * 2 / 3
+
+
 def test_damage_is_found():
     ids = np.arange(6000, dtype="<u4") % 977
-    data = bytearray(token_files.write_segment(np.array([0]), np.array([0]), [ids.tobytes()]))
+    data = bytearray(token_files.write_segment(np.array([0]), np.array([0]), np.array([len(ids)]), ids))
     for at in (30, len(data) // 2):
         bad = bytearray(data)
         bad[at] ^= 0x55
@@ -83,12 +118,12 @@ def test_damage_is_found():
 
 def test_predictable_ids_shrink():
     ids = np.tile(np.random.default_rng(0).integers(0, 50000, 97), 40).astype("<u4")
-    assert len(token_files.write_segment(np.array([0]), np.array([0]), [ids.tobytes()])) < len(ids) / 4
+    assert len(token_files.write_segment(np.array([0]), np.array([0]), np.array([len(ids)]), ids)) < len(ids) / 4
 
 
 def test_token_files(docs, rows, empty):
     got = by_id(token_files.token_files(docs))
-    tok, at, want = tokenise._load(tokenise.default_path("byte_bpe_50k.json")), 0, []
+    tok, at, want = plain_tokenizer("byte_bpe_50k.json"), 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
@@ -324,9 +359,9 @@ def check_packing(got, capacity):
 
 def test_packing(docs, rows, empty):
     got = packing.pack(docs).collect()
-    path, want = tokenise.default_path("word_bpe_49k.json"), []
+    want = []
     for doc, text in rows:
-        ids = np.array(tokenise._load(path).encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        ids = np.array(plain_tokenizer("word_bpe_49k.json").encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         want += [(doc, k, at, min(2048, len(ids) - at), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
     key = lambda r: tuple((x is not None, str(x)) for x in r)
     assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(want, key=key)
