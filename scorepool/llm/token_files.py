@@ -102,28 +102,32 @@ class _Encoder:
             rows, at = np.divmod(np.unique(rows * self.room + at - 1), self.room)
             over = out[rows, at] >> 24 > 0
             rows, at = rows[over], at[over]
-        raw = np.ascontiguousarray(out.astype(">i4").view(np.uint8).reshape(lanes, self.room, 4)[:, :, 1:]).reshape(lanes, -1)
-        return [raw[k, : 3 * n].tobytes() for k, n in enumerate(size.tolist())], self._bits()
-
-    def _bits(self) -> list[bytes]:
-        """Plain bits of each lane, the lowest first, from a whole byte on."""
-        many, value = np.ascontiguousarray(self.many.T), np.ascontiguousarray(self.plain.T)
-        held = np.flatnonzero(many)
-        lane = held // many.shape[1]
-        many, value = many.ravel()[held].astype(np.int64), value.ravel()[held].astype(np.uint64)
-        ends = np.concatenate([[0], np.cumsum(many)])
-        lanes = ends[np.searchsorted(lane, np.arange(len(self.at) + 1))]
-        cut = np.concatenate([[0], np.cumsum(-(-np.diff(lanes) // 8))])
-        place = ends[:-1] + (8 * cut - lanes)[lane]
-        out = np.zeros(cut[-1] // 8 + 2, np.uint64)
-        if len(place):
-            word, shift = place >> 6, (place & 63).astype(np.uint64)
-            first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
-            out[word[first]] = np.add.reduceat(value << shift, first)  # bits never meet, so sums are unions
-            over = np.flatnonzero((place & 63) + many > 64)
-            out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
-        raw = out.tobytes()
-        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return [out[k, :n].astype(">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() for k, n in enumerate(size.tolist())], self._bits()
+
+    def _bits(self, stretch: int = 256) -> list[bytes]:
+        """Plain bits of each lane, the lowest first, from a whole byte on; a stretch of lanes at a time, to hold little at once."""
+        return [x for at in range(0, len(self.at), stretch) for x in _packed(self.many[:, at : at + stretch], self.plain[:, at : at + stretch])]
+
+
+def _packed(many: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """The lowest many[step, lane] bits of value[step, lane], a byte string for each lane."""
+    many, value, lanes = np.ascontiguousarray(many.T), np.ascontiguousarray(value.T), many.shape[1]
+    held = np.flatnonzero(many)
+    lane = held // many.shape[1]
+    many, value = many.ravel()[held].astype(np.int64), value.ravel()[held].astype(np.uint64)
+    ends = np.concatenate([[0], np.cumsum(many)])
+    first_of = ends[np.searchsorted(lane, np.arange(lanes + 1))]
+    cut = np.concatenate([[0], np.cumsum(-(-np.diff(first_of) // 8))])
+    place = ends[:-1] + (8 * cut - first_of)[lane]
+    out = np.zeros(cut[-1] // 8 + 2, np.uint64)
+    if len(place):
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        out[word[first]] = np.add.reduceat(value << shift, first)  # bits never meet, so sums are unions
+        over = np.flatnonzero((place & 63) + many > 64)
+        out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    raw = out.tobytes()
+    return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 class _Decoder:
@@ -306,8 +310,10 @@ def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes],
     sizes[-1] = len(ids) - BLOCK * (n - 1)
     grid = np.zeros((n, BLOCK), np.int64 if wide else np.int32)
     grid.ravel()[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.T)
     coder = _Encoder(n, int(sizes[0]), wide)
-    _run(coder, sizes, wide, np.ascontiguousarray(grid.T))
+    _run(coder, sizes, wide, grid)
+    del grid
     return sizes, *coder.finish()
 
 
@@ -364,7 +370,9 @@ def write_files(docs: DataFrame, vocabulary_path: str | None = None, end_id: int
 
         def flush():
             nonlocal segment, doc_ids, null, counts, ids, n
-            data = write_segment(*map(np.concatenate, (doc_ids, null, counts, ids)))
+            held = [np.concatenate(x) for x in (doc_ids, null, counts, ids)]
+            ids = []
+            data = write_segment(*held)
             row = pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["part", "segment", "n_ids", "data"])
             segment, doc_ids, null, counts, ids, n = segment + 1, [], [], [], [], 0
             return row
