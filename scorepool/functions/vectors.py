@@ -90,9 +90,19 @@ def alignment(script: Column, video: Column, anchor: Column, text: Column, tags:
     return VISUAL_BALANCE * (cosine(script, video) + 1) / 2 + (1 - VISUAL_BALANCE) * evidence
 
 
-def point_coverage(points: DataFrame, segments: DataFrame, threshold: float, key: str = "sample_key") -> DataFrame:
+def point_coverage(points: DataFrame, segments: DataFrame, threshold: float, key: str = "sample_key", whole: DataFrame | None = None) -> DataFrame:
     """points (key, point_index, embedding), segments (key, segment_index, embedding): for each point the best similarity and
-    the first segment that has it, and whether it reaches the threshold. A join on the sample, not a product."""
-    pairs = points.join(segments.select(key, "segment_index", F.col("embedding").alias("_other")), key)
+    the first segment that has it, and whether it reaches the threshold. A join on the sample, not a product. Samples without
+    segments are held against their whole text (key, embedding) as segment 0, where `whole` is given."""
+    others = segments.select(key, F.col("segment_index").cast("long").alias("segment_index"), F.col("embedding").alias("_other"))
+    if whole is not None:
+        bare = whole.join(segments.select(key).distinct(), key, "left_anti")
+        others = others.unionByName(bare.select(key, F.lit(0).cast("long").alias("segment_index"), F.col("embedding").alias("_other")))
+    pairs = points.join(others, key)
     best = F.max(F.struct(cosine(F.col("embedding"), F.col("_other")).alias("s"), (-F.col("segment_index")).alias("i")))
     return pairs.groupBy(key, "point_index").agg(best.alias("b")).select(key, "point_index", F.col("b.s").alias("similarity"), (-F.col("b.i")).alias("segment_index"), (F.col("b.s") >= threshold).alias("covered"))
+
+
+def mean_coverage(covered: DataFrame, key: str = "sample_key") -> DataFrame:
+    """Per sample the number of its points and the share that is covered."""
+    return covered.groupBy(key).agg(F.count(F.lit(1)).alias("points"), F.avg(F.col("covered").cast("int")).alias("coverage"))

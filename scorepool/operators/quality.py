@@ -105,10 +105,10 @@ def prompt_issues(attempts: DataFrame, keys: list[str], base_hash: str, retry_ha
     return attempts.where(~F.col("prompt_sha256").eqNullSafe(want)).select(*keys).distinct()
 
 
-def ordering_violations(slots: DataFrame, key: str = "sample_key") -> DataFrame:
-    """Samples where candidate 1's reward exceeds the best: none, if selection is right."""
-    per = slots.where("valid").groupBy(key).agg(F.max("reward").alias("best"), F.max(F.when(F.col("candidate_index") == 1, F.col("reward"))).alias("first"))
-    return per.where(F.col("first") > F.col("best")).select(key)
+def ordering_violations(slots: DataFrame, picked: DataFrame, key: str = "sample_key") -> DataFrame:
+    """Samples whose first candidate has a higher effective reward than the one picked (rows of key and reward): none, if selection is right."""
+    first = slots.where("candidate_index = 1").select(key, F.coalesce("reward", F.lit(0.0)).alias("_first"))
+    return picked.select(key, F.coalesce("reward", F.lit(0.0)).alias("_picked")).join(first, key).where(F.col("_first") > F.col("_picked") + 1e-12).select(key)
 
 
 def identity_gap(conditional: Column, effective: Column, success_rate: Column, metric: str) -> Column:

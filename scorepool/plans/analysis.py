@@ -34,7 +34,7 @@ def analyze(slots: DataFrame, metrics: tuple[str, ...], sums: tuple[str, ...] =
         raise ValueError("no slots to analyse")
     if bad := quality.slot_order_issues(slots).limit(5).collect():
         raise ValueError(f"samples without candidates 1 to 4: {[r['sample_key'] for r in bad]}")
-    if bad := quality.ordering_violations(slots).limit(5).collect():
+    if bad := quality.ordering_violations(slots, selection.best_of(slots)).orderBy("sample_key").limit(5).collect():
         raise ValueError(f"candidate 1 beats the best: {[r['sample_key'] for r in bad]}")
     picked = selection.selections(slots, metrics)
     clusters = slots.groupBy("sample_key").agg(F.first(cluster).alias(cluster))

@@ -219,14 +219,30 @@ def tags_topk(spark, sf_dir):
     return vectors.top_tags(pooled, _tags(spark, sf_dir)).select("sample_key", "tag_group", "tag")
 
 
-@query(f"""WITH {V.FRAMES}, pt AS (SELECT sample_key, frame_pos, v FROM frames_v WHERE frame_pos < 2), sg AS (SELECT (sample_key + 1) % 10 AS sample_key, frame_pos + 1 AS segment_index, v FROM frames_v WHERE frame_pos BETWEEN 2 AND 6),
-x AS (SELECT pt.sample_key, pt.frame_pos AS point_index, segment_index, {_COS}(pt.v, sg.v) AS c FROM pt JOIN sg USING (sample_key))
-SELECT sample_key, point_index, round(c, 6) AS similarity, segment_index, c >= 0.1 AS covered FROM x QUALIFY row_number() OVER (PARTITION BY sample_key, point_index ORDER BY c DESC, segment_index) = 1""")
-def semantic_point_coverage(spark, sf_dir):
+_POINTS = f"""{V.FRAMES}, g AS (SELECT *, sample_key * 1000000 + frame_pos // 7 AS k, frame_pos % 7 AS place FROM frames_v),
+pt AS (SELECT k, place, v FROM g WHERE place < 2 OR (k % 1000000) % 3 = 2), sg AS (SELECT k, place + 1 AS segment_index, v FROM g WHERE place >= 2 AND (k % 1000000) % 3 <> 2),
+x AS (SELECT pt.k, pt.place, segment_index, {_COS}(pt.v, sg.v) AS c FROM pt JOIN sg USING (k) UNION ALL SELECT pt.k, pt.place, 0, {_COS}(pt.v, w.v) FROM pt JOIN (SELECT k, v FROM g WHERE place = 0) w USING (k) WHERE pt.k NOT IN (SELECT k FROM sg)),
+best AS (SELECT k AS sample_key, place AS point_index, round(c, 6) AS similarity, segment_index, c >= 0.1 AS covered FROM x QUALIFY row_number() OVER (PARTITION BY k, place ORDER BY c DESC, segment_index) = 1)"""
+
+
+def _points(spark, sf_dir):
+    """Seven frames of a label make a sample: two points and five segments, or in every third sample seven points and a whole text alone."""
     f = V.frames(spark, sf_dir)
-    points = f.where("frame_pos < 2").select("sample_key", F.col("frame_pos").cast("long").alias("point_index"), "embedding")
-    segs = f.where("frame_pos between 2 and 6").select(((F.col("sample_key") + 1) % 10).alias("sample_key"), (F.col("frame_pos") + 1).cast("long").alias("segment_index"), "embedding")
-    return vectors.point_coverage(points, segs, 0.1).withColumn("similarity", F.round("similarity", 6))
+    f = f.select((F.col("sample_key") * 1000000 + F.floor(F.col("frame_pos") / 7)).alias("sample_key"), (F.col("frame_pos") % 7).cast("long").alias("place"), "embedding")
+    bare = (F.col("sample_key") % 1000000) % 3 == 2
+    points = f.where((F.col("place") < 2) | bare).select("sample_key", F.col("place").alias("point_index"), "embedding")
+    segs = f.where((F.col("place") >= 2) & ~bare).select("sample_key", (F.col("place") + 1).alias("segment_index"), "embedding")
+    return vectors.point_coverage(points, segs, 0.1, whole=f.where("place = 0").select("sample_key", "embedding"))
+
+
+@query(f"WITH {_POINTS} SELECT * FROM best")
+def semantic_point_coverage(spark, sf_dir):
+    return _points(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {_POINTS} SELECT sample_key, count(*) AS points, round(avg(CAST(covered AS INT)), 9) AS coverage FROM best GROUP BY 1")
+def semantic_point_mean(spark, sf_dir):
+    return vectors.mean_coverage(_points(spark, sf_dir)).withColumn("coverage", r9(F.col("coverage")))
 
 
 @query(f"""WITH {_POOLED}, {_TAGS}, pick AS (SELECT sample_key, list(tag) AS tags FROM (SELECT sample_key, tag FROM pooled, tags QUALIFY row_number() OVER (PARTITION BY sample_key, tag_group ORDER BY list_dot_product(p, t) DESC, tag_pos DESC) <= any_value(top) OVER (PARTITION BY sample_key, tag_group)) GROUP BY 1),
@@ -451,12 +467,13 @@ def pending_resume(spark, sf_dir):
     return quality.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT coalesce(n.k, o.k) AS dataset, coalesce(n.s, o.s) AS model, coalesce(n.v, o.v) AS value FROM (SELECT c_nationkey AS k, c_mktsegment AS s, round(sum(c_acctbal), 2) AS v FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2) o
-FULL JOIN (SELECT c_nationkey AS k, c_mktsegment AS s, round(sum(c_acctbal), 2) AS v FROM customer WHERE c_nationkey < 12 GROUP BY 1, 2) n ON o.k = n.k AND o.s = n.s""")
+@query("""SELECT coalesce(n.k, o.k) AS dataset, coalesce(n.s, o.s) AS model, coalesce(n.v, o.v) AS value FROM (SELECT c_nationkey AS k, c_mktsegment AS s, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1, 2) o
+FULL JOIN (SELECT c_nationkey + 13 AS k, c_mktsegment AS s, CAST(count(*) AS DOUBLE) AS v FROM customer GROUP BY 1, 2) n ON o.k = n.k AND o.s = n.s""")
 def summary_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    rows = lambda d: d.groupBy(F.col("c_nationkey").alias("dataset"), F.col("c_mktsegment").alias("model")).agg(F.round(F.sum("c_acctbal"), 2).alias("value"))
-    return quality.upsert(rows(c.where("c_custkey % 2 = 0")), rows(c.where("c_nationkey < 12")), ["dataset", "model"])
+    rows = lambda key, value: c.groupBy(key.alias("dataset"), F.col("c_mktsegment").alias("model")).agg(value.alias("value"))
+    stored = rows(F.col("c_nationkey"), F.round(F.sum("c_acctbal"), 2).cast("double"))
+    return quality.upsert(stored, rows(F.col("c_nationkey") + 13, F.count(F.lit(1)).cast("double")), ["dataset", "model"])
 
 
 @query(f"""WITH {V.ATTEMPTS} SELECT attempt_id, CASE WHEN output_tokens - attempt_id % 11 < 0 THEN 'usage is negative' WHEN attempt_id % 13 = 0 THEN 'total differs from input plus output' END AS issue FROM attempts_v""")
@@ -467,15 +484,22 @@ def usage_accounting(spark, sf_dir):
     return a.select("attempt_id", quality.usage_issue(F.col("input_tokens"), out, F.when(out < 0, F.lit(0)).otherwise(total)).alias("issue"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS method, CAST(NULL AS VARCHAR) AS issue WHERE 1 = 0")
+@query(f"""WITH {_PICK}, x AS (SELECT method, avg(reward) AS cr, avg(coalesce(reward, 0)) + CASE method WHEN 'direct' THEN 0.01 ELSE 0 END AS er, avg(csr) AS cc, avg(coalesce(csr, 0)) AS ec, avg(rep) AS cp,
+avg(coalesce(rep, 1)) + CASE method WHEN 'best_of_4' THEN 0.01 ELSE 0 END AS ep, avg(CAST(candidate_id IS NOT NULL AS INT)) AS s FROM sel GROUP BY method),
+y AS (SELECT method, CASE WHEN abs(er - coalesce(cr, 0) * s) > 1e-4 THEN 'reward breaks the identity' WHEN abs(ec - coalesce(cc, 0) * s) > 1e-4 THEN 'csr breaks the identity'
+WHEN abs(ep - coalesce(cp, 0) * s - (1 - s)) > 1e-4 THEN 'rep breaks the identity' END AS issue FROM x) SELECT * FROM y WHERE issue IS NOT NULL""")
 def effective_identity(spark, sf_dir):
+    """One stated mean of each method is off."""
     s = stats.summarize_methods(selection.selections(V.slots(spark, sf_dir), _METRICS), _METRICS)
-    return quality.identity_issues(s, _METRICS)
+    off = lambda m, method: F.col(m) + F.when(F.col("method") == method, 0.01).otherwise(0.0)
+    return quality.identity_issues(s.withColumns({"eff_reward": off("eff_reward", "direct"), "eff_rep": off("eff_rep", "best_of_4")}), _METRICS)
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS sample_key WHERE 1 = 0")
+@query(f"WITH {V.SLOTS} SELECT s.sample_key FROM slots_v s JOIN slots_v f ON s.sample_key = f.sample_key WHERE s.candidate_index = s.sample_key % 4 + 1 AND f.candidate_index = 1 AND coalesce(f.reward, 0) > coalesce(s.reward, 0)")
 def reward_ordering(spark, sf_dir):
-    return quality.ordering_violations(V.slots(spark, sf_dir))
+    """A selection that takes slot sample_key % 4 + 1, whatever its reward."""
+    s = V.slots(spark, sf_dir)
+    return quality.ordering_violations(s, s.where("candidate_index = sample_key % 4 + 1"))
 
 
 @query(f"""WITH {V.SLOTS} SELECT coalesce(s.sample_key, c.sample_key) AS sample_key, coalesce(s.candidate_index, c.candidate_index) AS candidate_index, CASE WHEN c.sample_key IS NULL THEN 'slot_without_candidate' ELSE 'candidate_without_slot' END AS issue

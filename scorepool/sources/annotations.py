@@ -120,32 +120,11 @@ def choices_of(row: dict):
     return [v for v in out if v not in (None, "")]
 
 
-def unlabelled(text: str, label: str) -> str:
-    """text without a leading `A.`, `A)`, `(A)` or the like, if something is left."""
-    if label:
-        own = re.escape(label)
-        for form in (rf"\s*{own}\s*[-.):]\s+", rf"\s*[(\[]\s*{own}\s*[)\]]\s*[-.):]?\s*"):
-            m = re.match(form, text, re.IGNORECASE)
-            if m and text[m.end() :].strip():
-                return text[m.end() :].strip()
-    return text
-
-
-def expanded(answer: str, choices) -> str:
-    """The choice that a letter, a number or a key selects; the answer itself if it selects none."""
-    if not answer or not isinstance(choices, (list, dict)):
-        return answer
-    letter = answer.upper() if len(answer) == 1 and answer.isalpha() else ""
+def option_pairs(choices) -> list[tuple[str | None, str]]:
+    """Choices in one shape: the key of each in a mapping, null in a list, and its text."""
     if isinstance(choices, dict):
-        for key, label in ((answer, letter), (answer.upper(), answer.upper())):
-            if key in choices:
-                return unlabelled(plain(choices[key]), label)
-        return answer
-    try:
-        at = ord(letter) - ord("A") if letter else int(answer)
-    except ValueError:
-        return answer
-    return unlabelled(plain(choices[at]), letter) if 0 <= at < len(choices) else answer
+        return [(k, plain(v)) for k, v in choices.items()]
+    return [(None, plain(v)) for v in choices]
 
 
 def options_text(choices) -> str:
@@ -174,6 +153,7 @@ SAMPLE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("video_id", "explicit_path", "lookup_id", "caption", "question", "answer", "category")]
     + [T.StructField("duration", T.DoubleType()), T.StructField("semantic_points", T.ArrayType(T.StringType())), T.StructField("semantic_point_source_field", T.StringType())]
     + [T.StructField(n, T.StringType()) for n in ("target_audience", "closing_summary")]
+    + [T.StructField("option_pairs", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())])))]
 )
 
 
@@ -183,15 +163,13 @@ def sample_of(row: dict) -> dict:
     caption = [first_of(row, ALIASES["caption"])[1], subtitles_text(first_of(row, ALIASES["subtitle"])[1]), first_of(row, ALIASES["prompt"])[1]]
     choices = choices_of(row)
     question, options = text("question"), options_text(choices)
-    answer = expanded(text("answer"), choices)
-    if not answer and choices:
-        answer = expanded(text("correct_choice"), choices)
+    answer = text("answer") or (text("correct_choice") if choices else "")
     field, points = first_of(row, ALIASES["semantic_points"])
     return {
         "video_id": text("video_id"), "explicit_path": text("video_path"), "lookup_id": text("lookup_id"), "caption": " ".join(plain(c) for c in caption if c).strip(),
         "question": f"{question} Options: {options}" if question and options else question, "answer": answer, "category": text("category"),
         "duration": number(first_of(row, ALIASES["duration"])[1]), "semantic_points": listed(points), "semantic_point_source_field": field,
-        "target_audience": text("target_audience"), "closing_summary": text("closing_summary"),
+        "target_audience": text("target_audience"), "closing_summary": text("closing_summary"), "option_pairs": option_pairs(choices),
     }
 
 
@@ -202,12 +180,13 @@ def _samples(raw: pd.Series) -> pd.DataFrame:
 
 def to_samples(rows: DataFrame) -> DataFrame:
     """Samples with their raw text. The alias lists need values of any JSON type, so one Arrow UDF maps whole rows."""
-    return rows.select("raw", _samples("raw").alias("s")).select("raw", "s.*")
+    samples = rows.select("raw", _samples("raw").alias("s")).select("raw", "s.*")
+    return samples.withColumn("answer", chosen(F.col("answer"), F.col("option_pairs"))).drop("option_pairs")
 
 
 def checked_samples(samples: DataFrame) -> DataFrame:
     """samples, after an error for none at all or for blank ids (the first ten are named)."""
-    blank = samples.where(F.col("video_id") == "").select("raw").limit(10).collect()
+    blank = samples.where(F.col("video_id") == "").select("raw").orderBy("raw").limit(10).collect()
     if blank:
         raise ValueError(f"samples without an id: {[r['raw'][:80] for r in blank]}")
     if samples.isEmpty():
@@ -238,6 +217,24 @@ def first_non_blank_name(**values: Column) -> Column:
     return F.coalesce(*[F.when(v.isNotNull() & (v != ""), F.lit(n)) for n, v in values.items()], F.lit(""))
 
 
+def chosen(selector: Column, options: Column) -> Column:
+    """The option (key, text) that a letter, a number or a key selects, without its label; the selector itself where it selects none.
+
+    Options without keys are numbered from 0, A being 0 too. The label is the selecting letter, or the key in upper case.
+    """
+    letter = F.when(selector.rlike(r"^\p{L}$"), F.upper(selector))
+    by_place = F.coalesce(F.ascii(letter) - 65, selector.try_cast("int"))
+    with_key = lambda key: F.get(F.filter(options, lambda o: o["key"] == key), F.lit(0))
+    keyed = F.exists(options, lambda o: o["key"].isNotNull())
+    plain_key, upper_key = with_key(selector), with_key(F.upper(selector))
+    text = F.when(~keyed, F.get(options, F.when(by_place >= 0, by_place))["text"]).otherwise(F.coalesce(plain_key["text"], upper_key["text"]))
+    label = F.when(keyed & plain_key.isNull(), F.upper(selector)).otherwise(letter)
+    own = F.concat(F.lit(r"\Q"), F.replace(label, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    form = F.concat(F.lit(r"(?i)^\s*(?:"), own, F.lit(r"\s*[-.):]\s+|[\[(]\s*"), own, F.lit(r"\s*[\])]\s*[-.):]?\s*)(?=\S)"))
+    bare = F.when(label.isNull(), text).otherwise(F.regexp_replace(text, form, F.lit("")))
+    return F.when((selector == "") | text.isNull(), selector).otherwise(bare)
+
+
 def lettered(options: Column) -> Column:
     """`A. x B. y`: blanks are left out but keep their letter."""
     text = F.transform(options, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", ""))

@@ -67,10 +67,13 @@ def test_sample_mapping(spark):
         ({"options": ["x", "y"], "answer": "b"}, "y"), ({"options": ["x", "y"], "answer": "1"}, "y"), ({"options": ["x"], "answer": "7"}, "7"),
         ({"options": {"A": "(A) x", "B": "y"}, "answer": "a"}, "x"), ({"option0": "x", "option1": "", "option2": "z", "answer": "B"}, "z"),
         ({"choices": ["x", "y"], "correct_idx": 0}, "x"), ({"answer": "free text"}, "free text"), ({"choices": ["x"], "answer": 0}, "x"),
+        ({"options": ["(b) q", "[B]: y"], "answer": "B"}, "y"), ({"options": ["B. ", "b)"], "answer": "A"}, "B."), ({"options": {"first": "First - x"}, "answer": "first"}, "First - x"),
+        ({"options": {"ONE": "one) x"}, "answer": "one"}, "x"), ({"options": ["x", "y"], "answer": "-1"}, "-1"), ({"options": ["x"], "answer": "1.0"}, "1.0"), ({"options": ["x"], "answer": "\u00c9"}, "\u00c9"),
+        ({"options": {"A": "A.x"}, "answer": "A"}, "A.x"), ({"options": {"\\E.": "\\e.) z"}, "answer": "\\e."}, "z"),
     ],
 )
-def test_answers(row, answer):
-    assert A.sample_of(row)["answer"] == answer
+def test_answers(spark, row, answer):
+    assert sample(spark, row)["answer"] == answer
 
 
 def test_empty_values_in_lookups():
