@@ -33,11 +33,10 @@ LANES = 3072
 FILE_BYTES = 24 << 20
 
 _ONE, _TWO = 9, 10  # bits of the tables of contexts
-_SHARE, _PLACE, _SAME = 16, 10, 12  # bits of probabilities: of the orders' shares, of classes, of a class's last id
-_MOST, _LEAST = 62000, 32  # about what order 2 and order 1 may take together, and each at least
-_LEARN = np.array([1 << 32 | 1, 1 << 32 | _MOST >> 5, _MOST >> 5 << 32 | 1])  # what shares gain, less a 32nd, where neither, order 1 or order 2 is right
+_SHARE, _PLACE = 16, 11  # bits of probabilities: of the orders' shares, of order 0's symbols
+_MOST, _LEAST = 62000, 32  # what order 2 and order 1 may take together, and each at least
 _PER = 3  # bits of a class's place between two powers of two
-_RENEW = 512  # order 0 takes up what it has seen after 8, 16, 32 ... steps and then after each so many
+_RENEW = 512  # probabilities take up what was seen after 8, 16, 32 ... steps and then after each so many
 
 # the coder's interval lies between _NARROW and _WHOLE, and gives a digit off where it would get narrower
 _DIGIT, _NARROW, _WHOLE = 2.0**24, 2.0**28, 2.0**52
@@ -56,10 +55,11 @@ def _class_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _first_shares() -> np.ndarray:
-    """Shares of order 2 (high) and order 1 (low) by their confidences: 0 for no prediction, else 1 to 4."""
-    sure = np.array([0, 10000, 28000, 40000, 52000, 0, 0, 0])
-    two, one = sure[:, None], sure[None, :]
-    return (np.maximum(two, _LEAST) << 32 | np.maximum((_MOST - two) * one >> 18, _LEAST)).ravel()
+    """How often order 2, order 1 or neither is right to begin with, by their confidences: 0 for no prediction, else 1 to 3."""
+    sure = np.array([0, 10, 28, 46])
+    two, one = np.repeat(sure, 4), np.tile(sure, 4)
+    one = (64 - two) * one // 256
+    return np.stack([64 - two - one, one, two], 1)
 
 
 class _Encoder:
@@ -168,137 +168,136 @@ class _Decoder:
 
 
 def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.ndarray:
-    """The model, for both directions: codes ids[step, lane], or finds them. Lanes must be in order of size, longest first."""
+    """The model, for both directions: codes ids[step, lane], or finds them. Lanes must be in order of size, longest first.
+
+    Inside, an id is its value plus one, and 0 means none.
+    """
     lanes, steps, kind = len(sizes), int(sizes.max(initial=0)), np.int64 if wide else np.int32
     got = np.zeros((steps, lanes), kind) if ids is None else ids
     first, extra = _classes(wide)
-    n = len(first)
+    symbols = 2 * len(first)  # a class's last id, or another of the class
+    first, extra = np.repeat(first + 1, 2).astype(kind), np.repeat(extra, 2)
+    extra[0::2] = 0
     known = None if wide else _class_of(np.arange(1 << 16))
-    surer = np.array([1, 2, 3, 4, 4, 4, 4, 4], kind)  # confidence after a hit
-    one, two = np.zeros(lanes << _ONE, kind), np.zeros(lanes << _TWO, kind)  # id + 1, and three bits of confidence
-    shares, same, last = np.tile(_first_shares(), lanes), np.full(lanes << 3, 1024), np.zeros(lanes * n, kind)
-    seen, missed = np.zeros((lanes, n), np.int32), []
-    bounds = np.full((lanes, n + 1), 1 << _PLACE, np.int32)
-    names = np.tile(np.arange(n, dtype=np.uint8), lanes)
+    one, two = np.zeros(lanes << _ONE, kind), np.zeros(lanes << _TWO, kind)  # id; two bits of order 2's confidence; two of order 1's
+    surer1, surer2 = np.array([1, 2, 3, 3] * 4, kind), np.repeat(np.array([4, 8, 12, 12], kind), 4)  # after a hit
+    right, seen = np.tile(_first_shares(), (lanes, 1)).astype(np.int32), np.zeros((lanes, symbols), np.int32)
+    outcomes, places = [], []
+    last = np.zeros(lanes * symbols >> 1, kind)
     every = np.arange(lanes)
-    in_one, in_two, in_shares, in_class, in_place, in_same = every << _ONE, every << _TWO, every << 6, every * n, every << _PLACE, every << 3
-    last_id, last_hash = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    in_one, in_two, in_shares, in_symbols, in_places = every << _ONE, every << _TWO, every << 4, every * symbols, every << _PLACE
+    names = np.tile(np.arange(symbols, dtype=np.uint8 if symbols <= 256 else np.uint16), lanes)
+    h, h_before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     live, due = lanes, 0
     for step in range(steps):
         if sizes[live - 1] <= step:
             while sizes[live - 1] <= step:
                 live -= 1
-            last_id, last_hash, in_one, in_two, in_shares = (x[:live] for x in (last_id, last_hash, in_one, in_two, in_shares))
+            h, h_before, in_one, in_two, in_shares = (x[:live] for x in (h, h_before, in_one, in_two, in_shares))
         if step == due:
             due = step + min(max(8, step), _RENEW)
-            if missed:
-                seen += np.bincount(np.concatenate(missed), minlength=lanes * n).reshape(lanes, n).astype(np.int32)
-                missed = []
-            width = (seen * 24 + 1) * ((1 << _PLACE) - n) // (seen.sum(1, keepdims=True, dtype=np.int32) * 24 + n) + 1
-            np.cumsum(width[:, :-1], axis=1, out=bounds[:, 1:n])
-            bounds[:, 0] = 0
-            width = np.diff(bounds, axis=1)
-            spans = (bounds[:, :-1] * 4096 + width).ravel()
+            if step:
+                right += np.bincount(np.concatenate(outcomes), minlength=right.size).reshape(right.shape).astype(np.int32)
+                if places:
+                    seen += np.bincount(np.concatenate(places), minlength=seen.size).reshape(seen.shape).astype(np.int32)
+                outcomes, places = [], []
+            part = _MOST / (right.sum(1) * float(1 << _SHARE))
+            least = _LEAST / (1 << _SHARE)
+            share2 = right[:, 2] * part + least
+            share1 = share2 + right[:, 1] * part + least
+            width = (seen * 16 + 1) * ((1 << _PLACE) - symbols) // (seen.sum(1, keepdims=True, dtype=np.int32) * 16 + symbols) + 1
+            start = np.cumsum(width, axis=1, dtype=np.int32)
+            width[:, -1] += (1 << _PLACE) - start[:, -1]
+            start -= width
+            start[:, -1] = (1 << _PLACE) - width[:, -1]
+            spans = (start << _PLACE + 1 | width).ravel()
             if ids is None:
                 named = np.repeat(names, width.ravel())
         # what the contexts say
-        h = last_id * 0x9E3779B1
-        h &= 0xFFFFFFFF
         h1 = h >> (32 - _ONE)
         h1 += in_one
-        h2 = last_hash
-        h2 *= 5
-        h2 += h
-        h2 &= 0xFFFFFFFF
-        h2 >>= 32 - _TWO
-        h2 += in_two
-        last_hash = h
+        h_before *= 5
+        h_before += h
+        h_before &= 0xFFFFFFFF
+        h_before >>= 32 - _TWO
+        h_before += in_two
+        h2, h_before = h_before, h
         c1, c2 = one.take(h1), two.take(h2)
-        g1, g2 = c1 >> 3, c2 >> 3
-        c1 &= 7
-        c2 &= 7
+        g1, g2 = c1 >> 4, c2 >> 4
+        c1 |= c2 & 15
+        c1 &= 15
         state = in_shares + c1
-        state += c2 << 3
-        share = shares.take(state)
-        p2, p1 = share >> 32, share & 0xFFFFFFFF
         # one step of the coder: order 2's id, order 1's, or another
         low, rng = coder.low[:live], coder.range[:live]
-        rng *= 2.0**-_SHARE
-        np.floor(rng, out=rng)
-        to2, own1 = rng * p2, rng * p1
-        to1 = to2 + own1
+        to2, to1 = share2.take(state), share1.take(state)
+        to2 *= rng
+        to1 *= rng
+        np.floor(to2, out=to2)
+        np.floor(to1, out=to1)
         if ids is None:
             hit2, hit = low < to2, low < to1
             found = np.where(hit2, g2, g1)
-            value = found - 1
+            is2, is1 = found == g2, found == g1
         else:
-            value = ids[step, :live]
-            found = value + 1
-            hit2 = found == g2
-            hit = hit2 | (found == g1)
-        rng *= 2.0**_SHARE
-        rng -= to1
-        rng[:] = np.where(hit2, to2, np.where(hit, own1, rng))
-        coder.move(low, np.where(hit2, 0.0, np.where(hit, to2, to1)))
+            found = ids[step, :live] + kind(1)
+            is2, is1 = found == g2, found == g1
+            hit2, hit = is2, is2 | is1
+        start = np.where(hit2, 0.0, np.where(hit, to2, to1))
+        end = np.where(hit2, to2, np.where(hit, to1, rng))
+        coder.move(low, start)
+        np.subtract(end, start, out=rng)
+        state *= 3
+        state += hit.view(np.uint8) + hit2.view(np.uint8)
+        outcomes.append(state)
         who = np.flatnonzero(~hit)
-        if len(who):  # order 0: a class, its last id or another
+        if len(who):  # order 0: a class with its last id or another
             low, rng = coder.low.take(who), coder.range.take(who)
             rng *= 2.0**-_PLACE
             np.floor(rng, out=rng)
+            at = in_symbols.take(who)
             if ids is None:
-                c = (low / rng).astype(np.int64)  # exact: the quotient is below 2^10
-                np.minimum(c, (1 << _PLACE) - 1, out=c)
-                c += in_place.take(who)
-                c = named.take(c).astype(np.int64)
+                s = (low / rng).astype(np.int64)  # exact: the quotient is below 2^11
+                np.minimum(s, (1 << _PLACE) - 1, out=s)
+                s += in_places.take(who)
+                s = named.take(s)
+                at += s
+                cell = at >> 1
+                old = last.take(cell)
             else:
-                v = value.take(who)
-                c = _class_of(v) if wide else known.take(v)
-            at = in_class.take(who)
-            at += c
-            missed.append(at)
+                v = found.take(who)
+                s = _class_of(v - 1) if wide else known.take(v - 1)
+                s = s << 1
+                cell = at >> 1
+                cell += s >> 1
+                s += last.take(cell) != v
+                at += s
+            places.append(at)
             span = spans.take(at)
-            coder.move(low, rng * (span >> 12))
-            span &= 4095
+            coder.move(low, rng * (span >> _PLACE + 1))
+            span &= (2 << _PLACE) - 1
             rng *= span
-            many = extra.take(c)
-            k = in_same.take(who)
-            k += many >> 2
-            p, old = same.take(k), last.take(at)
-            rng *= 2.0**-_SAME
-            np.floor(rng, out=rng)
-            own = rng * p
-            again = low < own if ids is None else v == old
-            fresh = ~again
-            rng *= 2.0**_SAME
-            rng -= own
-            rng = np.where(again, own, rng)
-            own *= fresh
-            coder.move(low, own)
             coder.low[who], coder.range[who] = low, rng
-            p -= p >> 5
-            p += np.where(again, 126, 1)
-            same[k] = p
-            many *= fresh
+            many = extra.take(s)
             if ids is None:
-                v = np.where(again, old, first.take(c) + coder.bits(who, many))
-                value[who] = v
-                found[who] = v + 1
+                v = first.take(s)
+                v += coder.bits(who, many).astype(kind)
+                v = np.where(s & 1, v, old)
+                found[who] = v
+                is2, is1 = found == g2, found == g1
             else:
-                coder.plain[step, who] = (v - first.take(c)) * fresh
+                coder.plain[step, who] = (v - first.take(s)) * (s & 1)
                 coder.many[step, who] = many
-            last[at] = v
+            last[cell] = v
         coder.settle(live)
         if ids is None:
-            got[step, :live] = value
+            got[step, :live] = found
         # learn
-        share -= (share >> 5) & 0x07FFFFFF07FFFFFF
-        share += _LEARN.take(hit2.view(np.uint8) + hit.view(np.uint8))
-        shares[state] = share
-        new = found << 3
-        one[h1] = new | np.where(found == g1, surer.take(c1), 1)
-        two[h2] = new | np.where(found == g2, surer.take(c2), 1)
-        last_id = value.astype(np.int64)
-    return got
+        new = found << 4
+        one[h1] = new | np.where(is1, surer1.take(c1), 1)
+        two[h2] = new | np.where(is2, surer2.take(c1), 4)
+        h = found * np.int64(0x9E3779B1)
+        h &= 0xFFFFFFFF
+    return got if ids is not None else got - kind(1)
 
 
 def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
