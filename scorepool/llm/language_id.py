@@ -1,13 +1,14 @@
 """Language ID by error-correcting output codes over hashed byte n-grams.
 
 Each language has a codeword; each bit of it is a binary classifier (log-odds of hashed n-gram counts, trained on a bounded
-sample of labelled rows). Loss-weighted decoding sums the logistic loss of every bit's margin against each codeword and takes
+sample of labelled rows, which are counted where they are read). Loss-weighted decoding sums the logistic loss of every bit's margin against each codeword and takes
 the least; a small lead over the runner-up marks the text as ambiguous.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +18,8 @@ from pyspark.sql import functions as F
 
 from scorepool.llm.common import _LOWER, doc_text, slices, utf8
 
-#: Labelled rows used for training, about as many for each language and at most twice that in all; the bound of the sample.
+#: Labelled rows used for training, about as many of each language; the bound of the sample. Every language is learned.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages at most; the most frequent ones are learned. Bounds the codebook and the sample.
-MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
 #: Weight of a margin's unit in the logistic loss: n-grams of a text overlap, so their log-odds count for less than one each.
 DAMPING = 0.25
@@ -38,9 +37,9 @@ def codewords(n: int) -> np.ndarray:
         return np.array(columns, float).T
     rng, bits = np.random.default_rng(11), int(12 * np.ceil(np.log2(n)))
     best = None
-    for _ in range(50):
+    for _ in range(50 if n <= 1000 else 1):
         code = np.where(rng.random((n, bits)) < 0.5, 1.0, -1.0)
-        near = (code @ code.T - 2 * bits * np.eye(n)).max()
+        near = (code @ code.T - 2 * bits * np.eye(n)).max() if n <= 1000 else 0
         if best is None or near < best[0]:
             best = (near, code)
     return best[1]
@@ -75,8 +74,8 @@ class Model:
         if len(full):
             for bit in range(self.weights.shape[1]):
                 margin[full, bit] = np.add.reduceat(self.weights[:, bit][h], bounds[full], dtype=np.float64)
-        z = DAMPING * margin[:, None, :] * self.code[None, :, :]
-        return np.logaddexp(0, -z).sum(2)
+        z = DAMPING * margin
+        return np.logaddexp(0, -z) @ (self.code > 0).T + np.logaddexp(0, z) @ (self.code < 0).T
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         loss = self.losses(data, offsets)
@@ -85,40 +84,72 @@ class Model:
         return best, 1 / share.sum(1)
 
 
-def fit(texts: list[str], labels: list[str]) -> Model | None:
-    """Log-odds of each n-gram bucket for each bit; every language weighs the same. None without training rows."""
-    languages = sorted(set(labels))
+def counted(texts: pa.Array) -> np.ndarray:
+    """How many n-grams of the texts fall into each bucket."""
+    return np.bincount(grams(*utf8(texts))[0], minlength=BUCKETS)
+
+
+def fit(languages: list[str], counts: Iterable[np.ndarray]) -> Model | None:
+    """Log-odds of each bucket for each bit, from each language's counts in turn; every language weighs the same. None without languages."""
     if not languages:
         return None
     code = codewords(len(languages))
-    rates = np.zeros((len(languages), BUCKETS))
-    for k, language in enumerate(languages):
-        data, offsets = utf8(pa.array([t for t, l in zip(texts, labels, strict=True) if l == language], pa.large_string()))
-        h, _ = grams(data, offsets)
-        n = np.bincount(h, minlength=BUCKETS)
-        rates[k] = (n + 0.05) / (n.sum() + 0.05 * BUCKETS)
-    weights = np.zeros((BUCKETS, code.shape[1]))
-    for bit in range(code.shape[1]):
-        on, off = code[:, bit] > 0, code[:, bit] < 0
-        if off.any():
-            weights[:, bit] = np.log(rates[on].mean(0)) - np.log(rates[off].mean(0))
-    return Model(languages, code, weights)
+    on, total = np.zeros((BUCKETS, code.shape[1])), np.zeros((BUCKETS, 1))
+    for word, n in zip(code, counts, strict=True):
+        rate = ((n + 0.05) / (n.sum() + 0.05 * BUCKETS))[:, None]
+        on += rate * (word > 0)
+        total += rate
+    many = (code > 0).sum(0)
+    both = many < len(languages)
+    weights = np.where(both, np.log(on / many) - np.log(np.maximum(total - on, 1e-300) / np.maximum(len(languages) - many, 1)), 0.0)
+    return Model(languages, code, weights.astype(np.float32))
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Learns from docs (doc_id, text, lang): about sample_per_language rows of each language, those of the least hashes of their ids."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    common = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not common:
+    """Learns every language of docs (doc_id, text, lang) from about sample_per_language of its rows, those of the least hashes.
+
+    Rows without text or language teach nothing. Tasks add up their rows' buckets and the driver gets one row of BUCKETS counts
+    for each language, one at a time; no text leaves the executors.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    # a share of each language by the hash of the id: no ranking, so no language is one task's work
-    share = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, min(1 << 31, sample_per_language * (1 << 31) // n + 1))])
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    rows = docs.where(h < F.try_element_at(share, F.col("lang"))).orderBy(h, "doc_id", "text").limit(2 * sample_per_language * len(common)).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    languages = sorted(sizes)
+    # a share of each language by a hash of the row: no ranking, so no language is one task's work
+    share = F.map_from_arrays(F.lit(languages), F.lit([min(1 << 31, sample_per_language * (1 << 31) // sizes[x] + 1) for x in languages]))
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+
+    def count(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.array(batch.column("lang").to_pylist(), object)
+            for name in sorted(set(names)):
+                for part in slices(batch.filter(pa.array(names == name))):
+                    held[name] = held.get(name, 0) + counted(part.column("text"))
+        for name, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at.astype("<u2").tobytes()]), pa.array([n[at].astype("<i8").tobytes()])], names=["lang", "bucket", "n"])
+
+    def add(table):
+        total = np.zeros(BUCKETS, np.int64)
+        for at, n in zip(table.column("bucket"), table.column("n"), strict=True):
+            total[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i8")
+        return pa.table({"lang": table.column("lang")[:1], "n": [total.astype("<i8").tobytes()]})
 
+    sums = rows.mapInArrow(count, "lang string, bucket binary, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary")
+    got = (np.zeros(BUCKETS, np.int64) if r["n"] is None else np.frombuffer(r["n"], "<i8") for r in _named(sums, languages).toLocalIterator())
+    return fit(languages, got)
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def _named(sums: DataFrame, languages: list[str]) -> DataFrame:
+    """A row for each language in order; a language of which the sample has no row keeps null."""
+    names = sums.sparkSession.createDataFrame([(i, x) for i, x in enumerate(languages)], "place int, lang string")
+    return names.join(sums, "lang", "left").orderBy("place").select("n")
+
+
+def _lettered(text: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 def _judged(batches, own: Model | None):
@@ -130,7 +161,7 @@ def _judged(batches, own: Model | None):
             seen = np.concatenate([[0], np.cumsum(ascii_letter)])
             lettered = seen[offsets[1:]] > seen[offsets[:-1]]
             for i in np.flatnonzero(~lettered):
-                lettered[i] = bool(_LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+                lettered[i] = _lettered(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
             if own is None:
                 lettered[:] = False
                 best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
@@ -143,7 +174,8 @@ def _judged(batches, own: Model | None):
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score (0 to 1), ambiguous.
 
-    `und` with score 0 for a null text, a text without a letter, or without a model. Ties go to the language first in
+    `und` with score 0 for a null text, a text without a letter (Unicode category L), or without a model. Very long texts are
+    judged whole, in a pass of their own. Ties go to the language first in
     alphabetical order. Null ids, repeated rows, empty tables and clashing extra columns are allowed; row count is kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x bits of the codebook
@@ -156,7 +188,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs whose language can be told without ambiguity, all columns kept. Each row is judged where it is read."""
+    """The rows of docs whose language can be told without ambiguity, all columns kept. Each row is judged where it is read.
+
+    Null, empty and letterless texts go, and all rows where there is no model; very long texts are judged whole; repeated rows
+    are judged alike; an empty table gives none; other columns, whatever their names, pass through.
+    """
     docs = docs.withColumn("text", F.col("text").cast("string"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 

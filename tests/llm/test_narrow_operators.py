@@ -386,3 +386,42 @@ def test_plan_uses_every_length_once(seed):
 def test_plan_of_awkward_lengths():
     assert sum(m for m, _ in packing.plan({1365: 30, 683: 30})) <= 31
     assert packing.plan({}) == [] and packing.plan({2048: 7}) == [(7, (2048,))]
+
+
+def test_losses_equal_plain_decoding():
+    """Loss-weighted decoding by definition, n-gram by n-gram, with an even tie."""
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["a", "b", "c"], language_id.codewords(3), rng.normal(size=(language_id.BUCKETS, 3)).astype(np.float32))
+    texts = ["Hello wor1d", "", "x" * 5000, "\u00c9t\u00e9", "ab"]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got = model.losses(np.frombuffer(b"".join(data), np.uint8), offsets)
+    for i, d in enumerate(data):
+        h, _ = language_id.grams(np.frombuffer(d, np.uint8), np.array([0, len(d)]))
+        margin = model.weights[h].astype(float).sum(0)
+        want = [sum(np.logaddexp(0, -language_id.DAMPING * m * c) for m, c in zip(margin, word)) for word in model.code]
+        assert got[i] == pytest.approx(want, rel=1e-4)
+    assert model.predict(np.zeros(0, np.uint8), np.array([0, 0]))[0].tolist() == [0]  # a tie goes to the first
+
+
+@pytest.mark.parametrize("text, letter", [("\u00bd \u00b2", False), ("\u2167", False), ("\u2460_1", False), ("\u00aa", True), ("\u65e5", True), ("3 \u0431", True)])
+def test_letters(text, letter):
+    assert language_id._lettered(text) == letter
+
+
+def test_many_languages(spark):
+    """300 languages, each of words of its own; none is left out."""
+    rows = [(i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{'aeiou'[j % 5]}" * 2 for j in range(8)), f"l{k:03d}") for i, k in enumerate(list(range(300)) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
+
+
+def test_training_equals_counting_by_hand(spark):
+    """Small tables are learned whole, so the model is that of plain counts; repeated rows and null ids count."""
+    rows = [(1, "the cat", "en"), (1, "the cat", "en"), (None, "le chat", "fr"), (3, None, "fr"), (4, "un chien", "fr"), (5, "x", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    by_hand = language_id.fit(["en", "fr"], [language_id.counted(pa.array(["the cat", "the cat"])), language_id.counted(pa.array(["le chat", "un chien"]))])
+    assert model.languages == by_hand.languages and np.array_equal(model.weights, by_hand.weights)
