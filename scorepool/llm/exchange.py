@@ -1,6 +1,6 @@
 """A packed exchange: questions about 64-bit keys over the whole corpus, without a row for each key.
 
-Documents are dealt into packets by a hash of their id. A packet sends each of its distinct keys once, sorted and packed by
+Documents are dealt into packets by a hash of their id and text. A packet sends each of its distinct keys once, sorted and packed by
 key range (bucket), however often it holds it, so a hot key costs at most one entry for each packet. The task of a bucket sees
 every packet's entries of its keys and answers in the same order; a packet finds its answers by recomputing its keys. Texts
 are shuffled once: all steps group by packet, and Spark reuses that exchange.
@@ -8,6 +8,7 @@ are shuffled once: all steps group by packet, and Spark reuses that exchange.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,19 +18,26 @@ from pyspark.sql import functions as F
 
 from scorepool.llm.common import doc_text
 
-#: Text of one packet, and keys of one bucket, in bytes of text; both numbers follow the input.
+#: Text of one packet, and keys of one bucket, in bytes of text, at least; both numbers follow the input. A packet sends a row to
+#: each bucket it has keys for, so with a fixed size those would hold ever fewer keys. Beyond about 22 GB the size therefore
+#: grows with the square root of the input, by this factor, which keeps about 128 keys in a row: 28 MB at 1 TB, 280 MB at 100 TB.
 CELL_BYTES = 4 << 20
+ROW_FACTOR = 768
 LEAST_CELLS = 64
 
 
 def cells(docs: DataFrame) -> int:
     """How many packets, and how many buckets."""
-    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(LEAST_CELLS, -(-total // CELL_BYTES))
+    return cells_of(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+
+
+def cells_of(total: int) -> int:
+    return max(LEAST_CELLS, -(-total // max(CELL_BYTES, math.isqrt(ROW_FACTOR * total))))
 
 
 def packets(docs: DataFrame, n: int) -> DataFrame:
-    return doc_text(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("packet"), "doc_id", "text")
+    """Rows by a hash of id and text: neither null ids nor an id that repeats gather in one packet."""
+    return doc_text(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("packet"), "doc_id", "text")
 
 
 def ordered(table: pa.Table) -> pa.Table:

@@ -1,6 +1,7 @@
 """Substring dedup, the n-gram join and scores against brute force."""
 
 import math
+import sys
 
 import brute
 import numpy as np
@@ -86,6 +87,39 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("edges, share", [(1, 1000), (200, 1000), (3, 2)])
+def test_split_stars(spark, monkeypatch, edges, share):
+    """Hot nodes, whole and split, at both ends of the order, and a path between them."""
+    monkeypatch.setattr(sys.modules[components.__module__], "NODE_EDGES", edges)
+    monkeypatch.setattr(sys.modules[components.__module__], "HOT_SHARE", share)
+    rows = [(0, i) for i in range(1, 300)] + [(i, 2000) for i in range(1000, 1300)] + [(299, 400), (400, 401), (401, 1299), (5000, 5001)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {x: 0 for r in rows[:-1] for x in r} | {5000: 5000, 5001: 5000}
+
+
+def test_cells_follow_the_input():
+    """Rows that a packet sends stay few against its keys at any size, and cells stay within a worker's memory."""
+    for total in (0, 1, 10**9, 10**12, 10**14):
+        n = exchange.cells_of(total)
+        cell = total / n
+        assert n >= exchange.LEAST_CELLS and cell <= 300e6 and n < 1 << 24
+        assert total < 10**11 or cell / 6 / n > 100  # keys in a row
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    rows = [(None, f"a{i}") for i in range(300)] + [(7, f"b{i}") for i in range(300)]
+    sizes = [r["count"] for r in exchange.packets(spark.createDataFrame(rows, "doc_id long, text string"), 50).groupBy("packet").count().collect()]
+    assert max(sizes) < 40
+
+
+def test_equal_sets_meet_across_packets(spark, cells):
+    """Copies, copies with other white space, and two different sets of the same size."""
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, base if i % 2 else base.upper().replace(" ", "\n")) for i in range(10, 60)] + [(5, " ".join(f"v{i}" for i in range(30))), (70, base + " x y z"), (80, "one"), (81, "ONE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ranked(ngram_join.shingle_components(docs).collect()) == ranked(brute.shingle_components(rows))
+
+
 def scored(docs):
     learns = crc_bucket(F.col("doc_id"), 7) != 2
     return ctw.score(docs, ctw.train(docs.where(learns)), learns)

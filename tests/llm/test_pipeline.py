@@ -1,3 +1,4 @@
+import pytest
 import brute
 from pyspark.sql import functions as F
 
@@ -70,3 +71,19 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame([(i, f"this is a clean text about number {i} and some words " * 3) for i in range(5)], "doc_id long, text string")
     assert decontaminate.clean(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 5
     assert pii.redact(docs).exceptAll(docs).count() == 0
+
+
+def test_scratch_tables(spark, monkeypatch):
+    """Written tables can be released; on a cluster without a shared folder there is an error, not a local table."""
+    from types import SimpleNamespace
+
+    from scorepool.llm import common
+
+    kept = common._written[:]
+    common._written.clear()
+    frame = common.materialise(spark.range(3), "t")
+    assert frame.count() == 3 and common.release(spark) == 1 and not common._written
+    common._written.extend(kept)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getConf=dict, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(cluster)
