@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees.
 
 Sets of word shingles are put in one global order, rarest first (document frequency over packets' distinct sets, then hash).
-Two sets can only be similar if their prefixes share a shingle, and a shingle that occurs once joins nothing. Every repeated
+Equal sets are one throughout the corpus, found by 128 bits of hashes. Two sets can only be similar if their prefixes share a shingle, and a shingle that occurs once joins nothing. Every repeated
 shingle has an owner, the first packet that holds it; a set goes once to each owner of its prefix, whatever number of
 shingles lead there. In an owner's group, sets that share a prefix shingle form a cluster, whose sets are stored in a trie
 with merged chains; lookups walk it together with their overlaps so far, leave subtrees that remaining lengths rule out, and
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ SHINGLE = 5
 #: A group of more sets than this, and than GROUP_SHARE times the mean group, is split into blocks of that many and compared
 #: as pairs of blocks, each a task's group by itself.
 GROUP_SETS, GROUP_SHARE = 500, 2
+#: Of a set: the second sum of its hashes and the least id that has it in a packet.
+_PRINT = np.dtype([("check", "<u8"), ("rep", "<i8")])
 #: Large groups whose list is broadcast (16 bytes each); a longer list is joined by shuffle.
 LARGE_GROUPS = 100_000
 
@@ -53,23 +56,30 @@ class _Sets:
         self.ptr = np.searchsorted(self.owner, np.arange(texts + 1))
         self.size = np.diff(self.ptr)
         ids, valid = ids_of(table)
-        # texts with the same set are one from here on: the first of them, as rows are in order of id
-        sums = np.zeros(len(self.value) + 1, np.uint64)
-        np.cumsum(mix64(self.value + np.uint64(0x632BE59BD9B4E019)), out=sums[1:])
+        # texts with the same set (the same two sums of hashes, 128 bits) are one from here on: the first of them, as rows are in order of id
+        mixed = mix64(self.value + np.uint64(0x632BE59BD9B4E019))
+        one, two = self._total(mixed), self._total(mixed * mixed)
         first: dict[tuple[int, int, int], int] = {}
         self.first = np.arange(texts)
-        total = (sums[self.ptr[1:]] - sums[self.ptr[:-1]]).tolist()
-        head = self.value[np.minimum(self.ptr[:-1], max(len(self.value) - 1, 0))].tolist() if len(self.value) else [0] * texts
-        for i in np.flatnonzero(valid & (self.size > 0)).tolist():
-            self.first[i] = first.setdefault((int(self.size[i]), total[i], head[i]), i)
+        for i, *print_ in zip(np.flatnonzero(valid & (self.size > 0)).tolist(), *(x[valid & (self.size > 0)].tolist() for x in (self.size, one, two)), strict=True):
+            self.first[i] = first.setdefault(tuple(print_), i)
         self.distinct = np.array(sorted(first.values()), np.int64)
         self.ids, self.valid = ids, valid
+        prints = mix64(one[self.distinct] ^ mix64(self.size[self.distinct].astype(np.uint64)))
+        order = np.argsort(prints, kind="stable")
+        self.distinct = self.distinct[order]  # in order of their prints, as these are asked about
+        self.prints, self.checks = prints[order], two[self.distinct]
         used = np.zeros(texts, bool)
         used[self.distinct] = True
         self.held = np.flatnonzero(used[self.owner])  # entries of distinct sets
         self.order, self.start = grouped(self.value[self.held])
         self.keys = self.value[self.held][self.order[self.start]]
 
+    def _total(self, x: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x, out=sums[1:])
+        return sums[self.ptr[1:]] - sums[self.ptr[:-1]]
+
     def inverse(self) -> np.ndarray:
         step = np.zeros(len(self.held), np.int64)
         step[self.start[1:]] = 1
@@ -237,14 +247,8 @@ def link(sets: list[np.ndarray]) -> list[int]:
     for i in range(len(sets)):
         members.setdefault(cluster.find(i), []).append(i)
     for own in members.values():
-        if len(own) < 2:
-            continue
-        if len(own) == 2:
-            a, b = sets[own[0]], sets[own[1]]
-            if similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
-                union.join(*own)
-            continue
-        _link_cluster(union, own, sets)
+        if len(own) > 1:
+            _link_cluster(union, own, sets)
     return [union.find(i) for i in range(len(sets))]
 
 
@@ -257,15 +261,30 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     """
     n = cells(docs)
     dealt = packets(docs, n)
-    form = Format(n, 5, df="u1")
-    verdict = Answers(df="<u2", owner="<i4")
+    form, prints = Format(n, 5, df="u1"), Format(n, 8, df=_PRINT)
+    verdict, least = Answers(df="<u2", owner="<i4"), Answers(df="<i8", owner="u1")
 
     def send(packet, table):
         s = _Sets(table)
         many = np.diff(np.append(s.start, len(s.held)))
-        return form.write(packet, s.keys, df=np.minimum(many, 255))
+        said = np.zeros(len(s.distinct), _PRINT)
+        said["check"], said["rep"] = s.checks, s.ids[s.distinct]
+        sets = prints.write(packet, s.prints, df=said)
+        sets = sets.set_column(1, "bucket", pc.add(sets.column("bucket"), pa.scalar(n, pa.int32())))  # prints go to buckets of their own
+        return pa.concat_tables([form.write(packet, s.keys, df=np.minimum(many, 255)), sets])
+
+    def first_of_equals(bucket, table):
+        who, bounds, keys, values = prints.read(table)
+        check, rep = values["df"]["check"], values["df"]["rep"]
+        order = np.lexsort((rep, check, keys))
+        new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1])])
+        out = np.zeros(len(keys), np.int64)
+        out[order] = rep[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        return least.write(bucket, who, bounds, df=out, owner=np.zeros(len(out), np.uint8))
 
     def judge(bucket, table):
+        if bucket >= n:
+            return first_of_equals(bucket, table)
         who, bounds, keys, values = form.read(table)
         packet = np.repeat(np.array(who, np.int32), np.diff(bounds))
         order, first = grouped(keys)
@@ -284,7 +303,9 @@ def shingle_components(docs: DataFrame) -> DataFrame:
         plain = pa.Table.from_arrays([table.column("doc_id"), pa.array(s.size.astype(np.int64)), pa.array(rep, pa.int64()), pa.nulls(len(table), pa.int32()), pa.nulls(len(table), pa.binary())], schema=schema)
         if not len(s.keys):
             return plain
-        got, back = verdict.read(answers), s.inverse()
+        of_prints = pc.greater_equal(answers.column("bucket"), n)
+        first = least.read(answers.filter(of_prints))["df"]
+        got, back = verdict.read(answers.filter(pc.invert(of_prints))), s.inverse()
         df, owner, text, value = got["df"][back].astype(np.int64), got["owner"][back], s.owner[s.held], s.value[s.held]
         order = np.argsort(text * 65536 + df, kind="stable")  # by text, frequency, hash
         df, owner, text, value = df[order], owner[order], text[order], value[order]
@@ -293,13 +314,20 @@ def shingle_components(docs: DataFrame) -> DataFrame:
         inside = np.flatnonzero((place < prefix_length(s.size)[text]) & (df > 1))
         pairs = np.unique(text[inside] * (1 << 31) + owner[inside].astype(np.int64))
         who, where = pairs >> 31, (pairs & ((1 << 31) - 1)).astype(np.int32)
+        # of equal sets in all packets only the first is routed; the others are linked to it here
+        own = s.ids[s.distinct]
+        copies = np.flatnonzero(first != own)
+        plain = pa.concat_tables([plain, pa.Table.from_arrays([pa.nulls(len(copies), pa.int64()), pa.array(first[copies]), pa.array(own[copies]), pa.array(np.full(len(copies), -1, np.int32)), pa.nulls(len(copies), pa.binary())], schema=schema)])
+        kept = ~np.isin(who, s.distinct[copies])
+        who, where = who[kept], where[kept]
         items = [value[begin[i] : begin[i + 1]].astype("<u8").tobytes() for i in who.tolist()]
         sent = pa.Table.from_arrays([pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.int64()), pa.array(s.ids[who]), pa.array(where), pa.array(items, pa.binary())], schema=schema)
         return pa.concat_tables([plain, sent])
 
     answers = ask(dealt, form, send, judge, verdict.schema)
     held = materialise(meet(dealt, answers, route, "doc_id long, n_shingles long, rep long, owner int, items binary"), "routes")
-    sets = held.where("owner is not null").select("owner", "rep", "items")
+    copies = held.where("owner = -1").select(F.col("rep").alias("a"), F.col("n_shingles").alias("b"))
+    sets = held.where("owner >= 0").select("owner", "rep", "items")
     size = sets.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
     mean = size.agg(F.avg("_n")).first()[0] or 0.0
     limit = max(float(GROUP_SETS), GROUP_SHARE * mean, 1.0)
@@ -320,7 +348,7 @@ def shingle_components(docs: DataFrame) -> DataFrame:
         return pa.table({"a": rep[far], "b": rep[root[far]]})
 
     edges = spread.groupBy("owner", "lo", "hi").applyInArrow(linked, "a long, b long")
-    found = components(edges)
+    found = components(edges.unionByName(copies))
     rows = held.where("owner is null").select("doc_id", "n_shingles", "rep")
     return rows.join(found, rows["rep"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
