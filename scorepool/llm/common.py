@@ -23,11 +23,14 @@ _own_root: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a folder of this process on a local
+    master (tests); on a cluster an error, as its machines share no local folder."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="scorepool-")
         atexit.register(shutil.rmtree, _own_root, True)
@@ -38,10 +41,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables written so far and says how many there were. Frames that read them can't be used afterwards."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _written]
+    _written.clear()
+    return sum(p.getFileSystem(hadoop).delete(p, True) for p in paths)
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, so a lost executor costs only its own tasks."""
+    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, so a lost executor costs only its own tasks.
+
+    The table stays until release() is called, as the frame returned is lazy.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
