@@ -83,5 +83,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_counts, op2_token_files, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op7_webp, op8_language_id, op9_packing, op10_ctw_scores)
 }
 
-#: None of the eleven can be written in plain SQL as it stands; tests hold each against a brute-force version instead.
-ORACLE_SQL: dict[str, str] = {}
+_SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The others can't be written in SQL as they stand (tokenizers, trained models, codecs); tests hold them against brute-force
+#: versions, exact round trips and held-out examples instead.
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": f"""WITH w AS (SELECT doc_id, {_SQL_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS i FROM (SELECT doc_id, s, unnest(range(0, 20)) AS o FROM later)),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS k FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op6_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SQL_WORDS.format(text=_LOWERED)} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM w WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT p.a, p.b FROM pairs p JOIN size x ON p.a = x.doc_id JOIN size y ON p.b = y.doc_id WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN size ON d.doc_id = size.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON d.doc_id = c.a""",
+}
