@@ -69,7 +69,7 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes), np.full(lanes, _WHOLE)
         self.room = steps + 8
         self.out, self.at = np.zeros(lanes * self.room, np.int32), np.arange(lanes) * self.room
-        self.plain, self.many = np.zeros((steps, lanes), np.uint32 if wide else np.uint16), np.zeros((steps, lanes), np.uint8)
+        self.plain, self.shift = np.zeros((steps, lanes), np.uint64 if wide else np.uint16), 32 if wide else 12  # bits, and above them how many
 
     def move(self, low: np.ndarray, by: np.ndarray) -> None:
         low += by
@@ -106,15 +106,17 @@ class _Encoder:
 
     def _bits(self, stretch: int = 256) -> list[bytes]:
         """Plain bits of each lane, the lowest first, from a whole byte on; a stretch of lanes at a time, to hold little at once."""
-        return [x for at in range(0, len(self.at), stretch) for x in _packed(self.many[:, at : at + stretch], self.plain[:, at : at + stretch])]
+        return [x for at in range(0, len(self.at), stretch) for x in _packed(self.plain[:, at : at + stretch], self.shift)]
 
 
-def _packed(many: np.ndarray, value: np.ndarray) -> list[bytes]:
-    """The lowest many[step, lane] bits of value[step, lane], a byte string for each lane."""
-    many, value, lanes = np.ascontiguousarray(many.T), np.ascontiguousarray(value.T), many.shape[1]
-    held = np.flatnonzero(many)
-    lane = held // many.shape[1]
-    many, value = many.ravel()[held].astype(np.int64), value.ravel()[held].astype(np.uint64)
+def _packed(plain: np.ndarray, shift: int) -> list[bytes]:
+    """Of plain[step, lane] its low bits, as many as it says above them, in a byte string for each lane."""
+    (steps, lanes), plain = plain.shape, np.ascontiguousarray(plain.T).ravel()
+    held = np.flatnonzero(plain)
+    lane = held // max(steps, 1)
+    value = plain[held].astype(np.uint64)
+    many = (value >> np.uint64(shift)).astype(np.int64)
+    value &= np.uint64((1 << shift) - 1)
     ends = np.concatenate([[0], np.cumsum(many)])
     first_of = ends[np.searchsorted(lane, np.arange(lanes + 1))]
     cut = np.concatenate([[0], np.cumsum(-(-np.diff(first_of) // 8))])
@@ -285,8 +287,9 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
                 found[who] = v
                 is2, is1 = found == g2, found == g1
             else:
-                coder.plain[step, who] = (v - first.take(s)) * (s & 1)
-                coder.many[step, who] = many
+                many <<= coder.shift
+                many |= (v - first.take(s)) * (s & 1)
+                coder.plain[step, who] = many
             last[cell] = v
         coder.settle(live)
         if ids is None:
