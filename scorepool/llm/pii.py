@@ -2,13 +2,14 @@
 
 Plain patterns give the base spans, which always stay. High-recall generators propose further, overlapping candidates of the
 same kinds in looser forms; boosted trees score them by format and context; a threshold for each kind, set on calibrated
-scores of held-out examples, selects which of them are added. The trees learn from generated examples with a fixed seed.
+scores of held-out examples of other forms, selects which of them are added. All examples are generated with fixed seeds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from scorepool.llm.common import doc_text, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Precision on held-out examples at which a kind's threshold is set.
+#: Precision on the held-out examples at which a kind's threshold is set.
 PRECISION = 0.99
 EXAMPLES = 6000
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 24
@@ -80,6 +81,8 @@ _GENERATORS = {
     "phone": [
         re.compile(r"(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ ./-][0-9]{2,4}[ ./-]?[0-9]{3,4}(?:[ .-][0-9]{2,4})?"),
         re.compile(r"(?<![0-9])[0-9]{9,12}(?![0-9])"),
+        re.compile(r"(?<![0-9])0[0-9](?:[ .-][0-9]{2}){4}(?![0-9])"),
+        re.compile(r"(?<![0-9])\(?0[0-9]{1,3}\)?[ ]?[ /-][ ]?[0-9]{5,8}(?![0-9])"),
     ],
 }
 _MARK = re.compile(r"[ ]?(?:\(at\)|\[at\]|\{at\}|@)[ ]?|[ ]at[ ](?=[\w-]{1,64}(?:[ ]dot[ ]|\.\w))", re.I)
@@ -121,56 +124,98 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         "(" in span, "[" in span, "@" in span, " dot " in span.lower() or "dot]" in span.lower() or "dot)" in span.lower(), edge[0].isalnum(), edge[1].isalnum(),
         edge[0] in "+#$.-_/", edge[1] in "%-_/", any(w in before for w in _CONTEXT[kind]), any(re.search(rf"\b{w}\b", before) for w in _AGAINST),
         span.count(":"), number[:1] in ("3", "4", "5", "6"), groups[-1] if groups else 0, groups[0] if groups else 0, span[:2] == "00", sum(c.isalpha() for c in span),
+        bool(re.search("[0-9] ?$", before)) + 2 * bool(re.match(" ?[0-9]", text[end : end + 2])),
     ]
 
 
 # --- generated examples ----------------------------------------------------------------------------------------
 
 
-def _examples(n: int, seed: int = 5) -> list[tuple[str, str, int, int, int]]:
-    """(text, kind, start, end, label): looser forms of personal data, and look-alikes that are none."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *x: x[int(rng.integers(len(x)))]
-    some = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    word = lambda: "".join(pick("an", "er", "th", "on", "re", "la", "sch", "en", "ou", "ti", "os", "ge") for _ in range(int(rng.integers(1, 5))))
-    lead = lambda: " ".join(word() for _ in range(int(rng.integers(0, 5))))
-
-    def card(valid: bool) -> str:
-        head = pick("4", "5", "3", "6") + some(14)
+class _Maker:
+    """Draws for templates; a template is a function of a maker that gives (cue before the span, span)."""
+
+    def __init__(self, seed: int):
+        self.rng = np.random.default_rng(seed)
+
+    def pick(self, *x):
+        return x[int(self.rng.integers(len(x)))]
+
+    def n(self, k: int) -> str:
+        return "".join(map(str, self.rng.integers(0, 10, k)))
+
+    def word(self) -> str:
+        return "".join(self.pick("an", "er", "th", "on", "re", "la", "sch", "en", "ou", "ti", "os", "ge") for _ in range(int(self.rng.integers(1, 5))))
+
+    def words(self, most: int) -> str:
+        return " ".join(self.word() for _ in range(int(self.rng.integers(0, most))))
+
+    def user(self) -> str:
+        return self.word() + self.pick(".", "_", "", "-") + self.pick(self.word(), self.n(2))
+
+    def tld(self) -> str:
+        return self.pick("com", "org", "net", "de", "fr", "es", "io", "eu")
+
+    def part(self, top: int = 256) -> str:
+        return str(self.rng.integers(0, top))
+
+    def hexes(self, k: int = 8, top: int = 65536) -> str:
+        return ":".join(f"{int(x):x}" for x in self.rng.integers(1, top, k))
+
+    def cue(self, kind: str, share: float = 0.6) -> str:
+        return self.pick(*_CONTEXT[kind]) + self.pick(": ", " ", " is ", ". ") if self.rng.random() < share else ""
+
+    def false_cue(self) -> str:
+        return self.pick("", "", "order ", "token ", "serial ", "ref ", "invoice ", "date ", "page ", "isbn ")
+
+    def card(self, valid: bool, size: int = 16) -> str:
+        head = self.pick("4", "5", "3", "6") + self.n(size - 2)
         last = next(d for d in "0123456789" if luhn(head + d))
-        return head + (last if valid else str((int(last) + int(rng.integers(1, 10))) % 10))
+        return head + (last if valid else str((int(last) + int(self.rng.integers(1, 10))) % 10))
 
-    out = []
+    def fours(self, number: str, sep: str) -> str:
+        return sep.join(number[i : i + 4] for i in range(0, len(number), 4))
+
+
+#: Templates by kind and label. The trees learn from the first set; scale and thresholds are set on the second, whose forms differ.
+_TRAINING = {
+    ("email", 1): [lambda m: (m.cue("email"), m.user() + (p := m.pick(("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), ("(at)", "."), ("[at]", ".")))[0] + m.word() + p[1] + m.tld())],
+    ("email", 0): [lambda m: (m.pick("", "", m.cue("email")), m.word() + " at " + m.word() + "." + m.word())],
+    ("ip", 1): [lambda m: (m.cue("ip"), m.pick("[.]", "(.)", " . ", "[.]").join(m.part() for _ in range(4))), lambda m: (m.cue("ip"), m.hexes())],
+    ("ip", 0): [
+        lambda m: (m.pick("version ", "section ", "", "chapter "), ". ".join(m.n(int(m.rng.integers(1, 4))) for _ in range(4))), lambda m: ("", ".".join(str(m.rng.integers(256, 999)) for _ in range(4))),
+        lambda m: ("", ":".join(f"{int(x):02d}" for x in m.rng.integers(0, 60, 4))),
+    ],
+    ("card", 1): [lambda m: (m.cue("card"), m.fours(m.card(True), m.pick(".", "/", " - ", "_", " . ")))],
+    ("card", 0): [lambda m: (m.false_cue(), m.fours(m.card(False), m.pick(".", "/", " - ", "_", " . "))), lambda m: (m.false_cue(), m.card(False)), lambda m: (m.false_cue(), m.n(int(m.rng.integers(13, 20)))), lambda m: (m.n(16) + " ", m.card(True))],
+    ("phone", 1): [
+        lambda m: (m.cue("phone"), m.pick(f"({m.n(3)}) {m.n(3)}-{m.n(4)}", f"{m.n(3)}-{m.n(3)}-{m.n(4)}", f"{m.n(3)}.{m.n(3)}.{m.n(4)}", f"00{m.n(2)} {m.n(3)} {m.n(4)}")),
+        lambda m: (m.cue("phone", 1), m.pick(f"0{m.n(2)} {m.n(7)}", f"0{m.n(3)}/{m.n(6)}", f"0{m.n(1)} {m.n(2)} {m.n(2)} {m.n(2)} {m.n(2)}", f"{m.n(3)} {m.n(3)} {m.n(4)}")),
+    ],
+    ("phone", 0): [
+        lambda m: (m.false_cue(), m.pick(f"{m.rng.integers(1900, 2100)}-{m.n(2)}-{m.n(3)}", f"{m.n(2)}/{m.n(2)}/{m.rng.integers(1900, 2100)}", m.n(10), m.n(12), f"{m.n(4)} {m.n(4)} {m.n(4)}", f"{m.n(2)} {m.n(3)} {m.n(3)}", f"{m.n(3)} {m.n(3)}")),
+        lambda m: (m.false_cue(), " ".join(m.n(2) for _ in range(5))), lambda m: (m.pick("", m.n(4) + " ", m.n(2) + " "), " ".join(m.n(4) for _ in range(int(m.rng.integers(3, 5))))),
+    ],
+}
+_CALIBRATION = {
+    ("email", 1): [lambda m: (m.cue("email"), m.user() + (p := m.pick(("{at}", "{dot}"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" AT ", " DOT "), ("@ ", " . ")))[0] + m.word() + p[1] + m.pick("", m.word() + p[1]) + m.tld())],
+    ("email", 0): [lambda m: (m.pick("look ", "arrive ", ""), m.word() + " at " + m.pick("noon", "home", m.word()) + "." + m.word().title())],
+    ("ip", 1): [lambda m: (m.cue("ip"), m.pick(" [.] ", ". ", "(.)").join(str(m.rng.integers(100, 256)) for _ in range(4))), lambda m: (m.cue("ip", 1), m.hexes(int(m.rng.integers(6, 9)), 4096))],
+    ("ip", 0): [lambda m: (m.pick("version ", "section "), ".".join(str(m.rng.integers(260, 4000)) for _ in range(4))[:15]), lambda m: (m.pick("at ", ""), ":".join(f"{int(x):02d}" for x in m.rng.integers(0, 24, 4))), lambda m: (m.pick("mac ", ""), ":".join(f"{int(x):02d}" for x in m.rng.integers(10, 99, 5)))],
+    ("card", 1): [lambda m: (m.cue("card", 0.8), m.fours(m.card(True), m.pick("/", " . ", "_", " _ ", ". ")))],
+    ("card", 0): [lambda m: (m.pick("token ", "id ", "", "tracking "), m.n(int(m.rng.integers(13, 20)))), lambda m: (m.pick("serial ", "part ", ""), m.fours(m.card(False), m.pick(" / ", ".", "_"))), lambda m: (m.n(15) + " " + m.n(17) + " ", m.card(True))],
+    ("phone", 1): [lambda m: (m.cue("phone", 0.8), m.pick(f"({m.n(3)}) {m.n(3)} {m.n(4)}", f"0{m.n(3)}-{m.n(3)}-{m.n(3)}", f"00{m.n(2)}-{m.n(3)}-{m.n(4)}", f"0{m.n(2)}/{m.n(7)}", f"0{m.n(1)}.{m.n(2)}.{m.n(2)}.{m.n(2)}.{m.n(2)}"))],
+    ("phone", 0): [lambda m: (m.pick("isbn ", "order ", "ref ", "", "id "), m.pick(f"{m.rng.integers(1900, 2100)}.{m.n(2)}.{m.n(3)}", m.n(9), m.n(11), f"{m.n(3)} {m.n(2)} {m.n(4)}", f"{m.n(2)}-{m.n(3)}-{m.n(3)}"))],
+}
+
+
+def _examples(n: int, seed: int = 5, templates: dict | None = None) -> list[tuple[str, str, int, int, int]]:
+    """(text, kind, start, end, label): looser forms of personal data, and look-alikes that are none."""
+    m, out = _Maker(seed), []
     for _ in range(n):
-        kind, yes = pick(*KINDS), bool(rng.random() < 0.5)
-        hint = yes and rng.random() < 0.6
-        cue = (pick(*_CONTEXT[kind]) + pick(": ", " ", " is ")) if hint else ""
-        if kind == "email":
-            at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), (" (at) ", " (dot) "), ("(at)", "."), ("[at]", "."))
-            if yes:
-                span = word() + pick(".", "_", "") + word() + at + word() + dot + pick("com", "org", "net", "de", "fr", "es")
-            else:
-                span, cue = word() + " at " + word() + "." + word(), pick("", *_CONTEXT[kind]) + " "
-        elif kind == "ip":
-            if yes:
-                sep = pick("[.]", "(.)", " . ", "[.]")
-                span = sep.join(str(rng.integers(0, 256)) for _ in range(4)) if rng.random() < 0.7 else ":".join(f"{int(x):x}" for x in rng.integers(1, 65536, 8))
-            else:
-                span, cue = pick(". ".join(some(int(rng.integers(1, 4))) for _ in range(4)), ".".join(str(rng.integers(256, 999)) for _ in range(4)), ":".join(f"{int(x):02d}" for x in rng.integers(0, 60, 4))), pick("version ", "section ", "", "chapter ")
-        elif kind == "card":
-            number = card(yes)
-            span = pick(".", "/", " - ", "_", " . ").join(number[i : i + 4] for i in range(0, 16, 4)) if yes or rng.random() < 0.5 else number
-            cue = cue if yes else pick("", "", "order ", "token ", "serial ", "ref ")
-        elif yes:
-            span = pick(f"({some(3)}) {some(3)}-{some(4)}", f"{some(3)}-{some(3)}-{some(4)}", f"{some(3)}.{some(3)}.{some(4)}", f"00{some(2)} {some(3)} {some(4)}", f"{some(3)} {some(3)} {some(4)}")
-            cue = cue or pick("", "call ", "tel ", "phone ")
-        else:
-            span = pick(f"{rng.integers(1900, 2100)}-{some(2)}-{some(3)}", f"{some(2)}/{some(2)}/{rng.integers(1900, 2100)}", some(10), some(12), f"{some(4)} {some(4)} {some(4)}", f"{some(2)} {some(3)} {some(3)}", f"{some(3)} {some(3)}")
-            cue = pick("", "order ", "invoice ", "date ", "isbn ", "page ")
-        text = f"{lead()} {cue}"
-        start = len(text)
-        text += span + " " + lead()
-        out.append((text, kind, start, start + len(span), int(yes)))
+        kind, yes = m.pick(*KINDS), int(m.rng.random() < 0.5)
+        cue, span = m.pick(*(templates or _TRAINING)[kind, yes])(m)
+        text = f"{m.words(5)} {cue}"
+        out.append((f"{text}{span} {m.words(5)}", kind, len(text), len(text) + len(span), yes))
     return out
 
 
@@ -233,13 +278,14 @@ def fit_boosted(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 @lru_cache(maxsize=2)
 def trained(seed: int = 5) -> Boosted:
-    """Trees on two thirds of the generated examples; scaling and thresholds on the last third."""
-    rows = _examples(EXAMPLES, seed)
-    x = np.array([features(t, k, s, e) for t, k, s, e, _ in rows], float)
-    y = np.array([r[4] for r in rows], float)
-    cut = 2 * len(rows) // 3
-    model = fit_boosted(x[:cut], y[:cut])
-    raw, truth, a, c = model.raw(x[cut:]), y[cut:], 1.0, 0.0
+    """Trees on EXAMPLES generated examples; scale and thresholds on as many others, half of them of other forms."""
+
+    def drawn(rows):
+        return np.array([features(t, k, s, e) for t, k, s, e, _ in rows], float), np.array([r[4] for r in rows], float)
+
+    model = fit_boosted(*drawn(_examples(EXAMPLES, seed)))
+    x, truth = drawn(_examples(EXAMPLES // 2, seed + 1, _CALIBRATION) + _examples(EXAMPLES // 2, seed + 2))
+    raw, a, c = model.raw(x), 1.0, 0.0
     for _ in range(30):  # Platt scaling by Newton steps
         p = 1 / (1 + np.exp(-(a * raw + c)))
         w, r = p * (1 - p) + 1e-6, truth - p
@@ -247,24 +293,47 @@ def trained(seed: int = 5) -> Boosted:
         da, dc = np.linalg.solve(hess, [(r * raw).sum(), r.sum()])
         a, c = a + da, c + dc
     model.scale = (a, c)
-    p, thresholds = model.probability(x[cut:]), []
+    p, thresholds = model.probability(x), []
     for k in range(len(KINDS)):
-        own = x[cut:, 0] == k
+        own = x[:, 0] == k
         order = np.argsort(-p[own], kind="stable")
-        right = np.cumsum(truth[own][order]) / np.arange(1, own.sum() + 1)
+        scores, right = p[own][order], np.cumsum(truth[own][order]) / np.arange(1, own.sum() + 1)
         good = np.flatnonzero(right >= PRECISION)
-        thresholds.append(max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.1)
+        last = int(good[-1]) if len(good) else -1
+        thresholds.append(1.1 if last < 0 else float(scores[last] + scores[min(last + 1, len(scores) - 1)]) / 2)
     model.thresholds = tuple(thresholds)
     return model
 
 
+class _Free:
+    """Disjoint stretches of a text, sorted: whether a span touches one is told from its neighbours."""
+
+    def __init__(self, spans):
+        self.start, self.end = [], []
+        for s, e in sorted(spans):
+            if self.end and s < self.end[-1]:
+                self.end[-1] = max(self.end[-1], e)
+            else:
+                self.start.append(s)
+                self.end.append(e)
+
+    def clear(self, s: int, e: int) -> bool:
+        k = bisect_right(self.end, s)
+        return k == len(self.start) or e <= self.start[k]
+
+    def take(self, s: int, e: int) -> None:
+        k = bisect_right(self.end, s)
+        self.start.insert(k, s)
+        self.end.insert(k, e)
+
+
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: Boosted) -> list[list[tuple[str, int, int]]]:
     """Accepted candidates that touch no base span; of overlapping ones the highest score, then the longest, then the first."""
-    owner, spans, rows = [], [], []
+    owner, spans, rows, free = [], [], [], []
     for i, text in enumerate(texts):
-        held = [(s, e) for _, s, e in base[i]]
+        free.append(_Free((s, e) for _, s, e in base[i]))
         for kind, s, e in candidates(text):
-            if all(e <= a or s >= b for a, b in held):
+            if free[i].clear(s, e):
                 owner.append(i)
                 spans.append((kind, s, e))
                 rows.append(features(text, kind, s, e))
@@ -272,10 +341,12 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
     if not rows:
         return out
     p = model.probability(np.array(rows, float))
-    for j in sorted(range(len(rows)), key=lambda j: (-p[j], spans[j][1] - spans[j][2], spans[j])):
-        kind, s, e = spans[j]
-        if p[j] >= model.thresholds[KINDS.index(kind)] and all(e <= a or s >= b for _, a, b in out[owner[j]]):
+    accepted = np.flatnonzero(p >= np.array(model.thresholds)[[KINDS.index(k) for k, _, _ in spans]])
+    for j in sorted(accepted.tolist(), key=lambda j: (-p[j], spans[j][1] - spans[j][2], spans[j])):
+        _, s, e = spans[j]
+        if free[owner[j]].clear(s, e):
             out[owner[j]].append(spans[j])
+            free[owner[j]].take(s, e)
     return out
 
 
@@ -301,8 +372,9 @@ _FIELDS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 def find(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, base counts by kind, base_sha256, spans (base and added, by kind, then start).
 
-    Offsets are code points, end exclusive. A null text counts as empty: no spans, the hash of the empty text. Null ids,
-    repeated rows, empty tables and clashing extra columns are allowed; row count is kept.
+    Offsets are code points, end exclusive. A null text counts as empty: no spans, the hash of the empty text. A text of any
+    length is searched whole, in time that grows with it. Of overlapping added spans the highest score stays, then the longest,
+    then the first. Null ids, repeated rows, empty tables and clashing extra columns are allowed; row count is kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(trained())  # of fixed size
 
@@ -320,7 +392,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; overlapping spans of two kinds become one. Other columns stay.
 
-    n_chars, where there is one, is the new length. A null text stays null.
+    n_chars, where there is one, is the new length. A null text stays null, an empty one empty; texts of any length are searched
+    whole; repeated rows are redacted alike; an empty table gives none.
     """
     held, schema = docs.sparkSession.sparkContext.broadcast(trained()), docs.schema
     base_columns = docs.columns
