@@ -47,3 +47,8 @@ ALIASES = {
     "subtitle_text": ("text", "caption", "subtitle", "sentence", "content"),
     "subtitle_start": ("start", "start_time", "from"),
 }
+
+# The formal reference manifest: its protocol's name and wording, and the fields that questions, answers and selectors come from.
+REFERENCE_PROTOCOL = "official_qa_evidence_and_answer_v2"
+REFERENCE_TEMPLATES = ("Evidence context: {official_question}", "Expected answer: {resolved_official_correct_answer}")
+REFERENCE_FLAGS = ("reference_enters_generation", "reference_enters_reward", "reference_enters_candidate_selection")

@@ -12,14 +12,17 @@ from scorepool.operators.quality import first_issue, identity_gap, unit
 USAGE = "struct<input_tokens: bigint, output_tokens: bigint, total_tokens: bigint>"
 ATTEMPT = "struct<attempt: int, prompt_kind: string, status: string, request_seconds: double, returned_model_id_conflict: boolean, visual_input_frames: int>"
 SLOT = f"struct<candidate_index: int, terminal_status: string, candidate_id: string, request_count: int, transport_request_count: int, request_seconds: double, usage: {USAGE}, attempts: array<{ATTEMPT}>>"
+#: Whole-pool and first-candidate counts of a row's efficiency, by what they must equal: (slot field, summed over all slots or C1's own).
+_SLOT_FIELDS = {"requests": "transport_request_count", "semantic_attempts": "request_count", "input_tokens": "input_tokens", "output_tokens": "output_tokens", "total_tokens": "total_tokens"}
+COUNTS = {f"{who}_{what}": (field, who != "direct") for who in ("generation", "direct", "best") for what, field in _SLOT_FIELDS.items()}
+SECONDS = ("sampling_seconds", "reward_encoding_seconds", "reward_scoring_seconds", "selection_seconds", "direct_seconds", "best_seconds", "generation_seconds", "metric_seconds", "pipeline_seconds")
 EFFICIENCY = (
-    "struct<generation_requests: bigint, generation_semantic_attempts: bigint, generation_input_tokens: bigint, generation_output_tokens: bigint, generation_total_tokens: bigint, "
-    "direct_requests: bigint, direct_total_tokens: bigint, sampled_frames: int, sampling_seconds: double, reward_encoding_seconds: double, reward_scoring_seconds: double, selection_seconds: double, "
-    "direct_seconds: double, best_seconds: double, generation_seconds: double, metric_seconds: double, pipeline_seconds: double, scoring_seconds_by_slot: array<double>>"
-)
+    "struct<" + "".join(f"{n}: bigint, " for n in COUNTS) + "sampled_frames: int, " + "".join(f"{n}: double, " for n in SECONDS)
+    + f"seconds_by_slot: array<double>, usage_by_slot: array<{USAGE}>, scoring_seconds_by_slot: array<double>>"
+)
 #: The columns that result_issue reads.
 RESULT = (
-    "sample_key string, video_id string, protocol_fingerprint string, generation_source string, "
+    "sample_key string, video_id string, experiment_version string, prompt_version string, requested_slots int, protocol_fingerprint string, generation_source string, "
     "sampling struct<source_kind: string, fallback_used: boolean, eligible: boolean, selected_indices: array<int>, bin_ids: array<int>>, "
     f"slots array<{SLOT}>, candidates array<struct<candidate_index: int, candidate_id: string, reward: double>>, valid_slots int, full_pool boolean, direct_id string, best_id string, efficiency {EFFICIENCY}"
 )
@@ -62,16 +65,14 @@ def _slot_issue(slot: Column, candidates: Column, frames: Column) -> Column:
 
 def _efficiency_issue(e: Column, slots: Column, frames: Column) -> Column:
     first = F.get(slots, F.lit(0))
-    whole = {
-        "generation_requests": lambda s: s["transport_request_count"], "generation_semantic_attempts": lambda s: s["request_count"], "generation_input_tokens": lambda s: s["usage"]["input_tokens"],
-        "generation_output_tokens": lambda s: s["usage"]["output_tokens"], "generation_total_tokens": lambda s: s["usage"]["total_tokens"],
-    }
+    field = lambda name: (lambda slot: slot["usage"][name] if name.endswith("tokens") else slot[name])
     checks = [(e.isNull(), "efficiency is missing")]
-    checks += [(~e[name].cast("double").eqNullSafe(_sum(slots, f)), f"efficiency.{name} differs from the slots") for name, f in whole.items()]
-    checks += [(~e["direct_requests"].eqNullSafe(first["transport_request_count"].cast("long")), "efficiency.direct_requests differs from C1"), (~e["direct_total_tokens"].eqNullSafe(first["usage"]["total_tokens"]), "efficiency.direct_total_tokens differs from C1")]
+    for name, (of, whole) in COUNTS.items():
+        expected = _sum(slots, field(of)) if whole else field(of)(first).cast("double")
+        checks.append((~e[name].cast("double").eqNullSafe(expected), f"efficiency.{name} differs from " + ("the slots" if whole else "C1")))
     checks += [(~e["sampled_frames"].eqNullSafe(frames), "efficiency.sampled_frames differs from the sampling")]
-    names = ("sampling_seconds", "reward_encoding_seconds", "reward_scoring_seconds", "selection_seconds", "generation_seconds", "metric_seconds", "pipeline_seconds")
-    checks += [(e[n].isNull() | (e[n] < 0) | F.isnan(e[n]), f"efficiency.{n} is not a duration") for n in names]
+    checks += [(e[f"{p}_total_tokens"] != e[f"{p}_input_tokens"] + e[f"{p}_output_tokens"], f"efficiency.{p}_total_tokens does not add up") for p in ("generation", "direct", "best")]
+    checks += [(e[n].isNull() | (e[n] < 0) | F.isnan(e[n]) | (e[n] == float("inf")), f"efficiency.{n} is not a duration") for n in SECONDS]
     spent = _sum(slots, lambda s: s["request_seconds"])
     online = e["sampling_seconds"] + spent + e["reward_encoding_seconds"] + e["reward_scoring_seconds"] + e["selection_seconds"]
     least = e["sampling_seconds"] + e["generation_seconds"] + e["reward_encoding_seconds"] + e["reward_scoring_seconds"] + e["metric_seconds"] + e["selection_seconds"]
@@ -81,14 +82,17 @@ def _efficiency_issue(e: Column, slots: Column, frames: Column) -> Column:
         (_far(e["best_seconds"], online), "efficiency.best_seconds is inconsistent"),
         (e["generation_seconds"] + ROW_TOLERANCE < spent, "efficiency.generation_seconds is shorter than its requests"),
         (e["pipeline_seconds"] + ROW_TOLERANCE < least, "efficiency.pipeline_seconds is shorter than its parts"),
+        (e["seconds_by_slot"].isNull() | (F.size(e["seconds_by_slot"]) != CANDIDATES), "seconds by slot are invalid"),
+        (F.exists(F.zip_with(e["seconds_by_slot"], slots, lambda x, s: _far(x, s["request_seconds"])), lambda far: far), "seconds by slot differ from the slots"),
+        (~e["usage_by_slot"].eqNullSafe(F.transform(slots, lambda s: s["usage"])), "usage by slot differs from the slots"),
         (scoring.isNull() | (F.size(scoring) != CANDIDATES) | F.exists(scoring, lambda x: x < 0), "scoring seconds by slot are invalid"),
         (_far(e["reward_scoring_seconds"], _sum(scoring, lambda x: x)), "scoring seconds do not add up"),
     ]
     return first_issue(*checks)
 
 
-def result_issue(fingerprint: str) -> Column:
-    """The first way in which a result row (of RESULT's columns) breaks its contract; null if none."""
+def result_issue(fingerprint: str, experiment: str | None = None, prompt: str | None = None) -> Column:
+    """The first way in which a result row (of RESULT's columns) breaks its contract; null if none. Versions are checked where given."""
     c = F.col
     sampling, slots, candidates = c("sampling"), c("slots"), c("candidates")
     frames, ids = F.size(sampling["selected_indices"]), F.transform(candidates, lambda x: x["candidate_id"])
@@ -96,8 +100,11 @@ def result_issue(fingerprint: str) -> Column:
     valid = F.size(F.filter(slots, lambda s: s["terminal_status"] == "valid"))
     best = F.array_max(F.transform(candidates, lambda x: F.struct(F.bround(x["reward"], 6).alias("r"), (-x["candidate_index"]).alias("i"), x["candidate_id"].alias("id"))))["id"]
     first = F.get(F.filter(candidates, lambda x: x["candidate_index"] == 1), F.lit(0))["candidate_id"]
+    version = lambda name, want: [(~c(name).eqNullSafe(F.lit(want)), f"{name} is invalid")] if want is not None else []
     head = first_issue(
+        *version("experiment_version", experiment),
         (~c("protocol_fingerprint").eqNullSafe(F.lit(fingerprint)), "protocol_fingerprint is invalid"),
+        *version("prompt_version", prompt),
         (~c("generation_source").eqNullSafe(F.lit("multimodal_model")), "generation source is not a multimodal model"),
         (sampling.isNull(), "sampling is missing"),
         (~F.coalesce(sampling["source_kind"].isin("video", "image_dir", "npz"), F.lit(False)), "sampling did not use a real source"),
@@ -106,6 +113,7 @@ def result_issue(fingerprint: str) -> Column:
     )
     frame = accounting_issue(sampling["selected_indices"], sampling["bin_ids"])
     shape = first_issue(
+        (~c("requested_slots").eqNullSafe(F.lit(CANDIDATES)), "the requested slot count is invalid"),
         (slots.isNull() | (F.size(slots) != CANDIDATES), "slot outcomes are incomplete"),
         (candidates.isNull(), "candidates is missing"),
         (F.size(F.array_distinct(F.transform(candidates, lambda x: x["candidate_index"]))) != F.size(candidates), "candidate indices are duplicated"),
@@ -125,8 +133,8 @@ def result_issue(fingerprint: str) -> Column:
     return F.coalesce(head, frame, shape, each, _efficiency_issue(c("efficiency"), slots, frames), tail)
 
 
-def with_issues(results: DataFrame, fingerprint: str) -> DataFrame:
-    return results.withColumn("issue", result_issue(fingerprint))
+def with_issues(results: DataFrame, fingerprint: str, experiment: str | None = None, prompt: str | None = None) -> DataFrame:
+    return results.withColumn("issue", result_issue(fingerprint, experiment, prompt))
 
 
 def resume_issues(results: DataFrame, samples: DataFrame, fingerprint: str, key: str = "sample_key") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorepool import constants as C
+from scorepool import reports
 from scorepool.functions import sampling, text, timeline, vectors
 from scorepool.operators import bootstrap, parsing, quality, selection, stats
 from scorepool.plans import views as V
@@ -272,6 +273,22 @@ def binwise_indices(spark, sf_dir):
 _T = V.TIMELINE
 
 
+_OPTIONS = "o AS (SELECT doc_id, string_split(text, ' ')[1:5] AS w, CASE doc_id % 4 WHEN 0 THEN chr(CAST(65 + doc_id % 7 AS INT)) WHEN 1 THEN chr(CAST(97 + doc_id % 7 AS INT)) WHEN 2 THEN CAST(doc_id % 9 AS VARCHAR) ELSE 'none' END AS answer FROM documents)"
+
+
+@query(f"""WITH {_OPTIONS}, p AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN doc_id % 7 WHEN 1 THEN doc_id % 7 WHEN 2 THEN doc_id % 9 END AS spot FROM o),
+t AS (SELECT doc_id, answer, spot, list_transform(w, lambda x, i: CASE WHEN i % 2 = 1 THEN '(' || chr(CAST(64 + i AS INT)) || ') ' || x ELSE chr(CAST(64 + i AS INT)) || '. ' || x END) AS w, w AS bare FROM p)
+SELECT doc_id, CASE WHEN spot IS NULL OR spot >= len(w) THEN answer WHEN doc_id % 4 = 2 OR trim(bare[spot + 1], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN w[spot + 1] ELSE regexp_replace(bare[spot + 1], '^\\s+', '') END AS chosen FROM t""")
+def chosen_option(spark, sf_dir):
+    """Five words of each text as labelled options, picked by letters, numbers, and selectors that pick nothing."""
+    d = table(spark, sf_dir, "documents")
+    k, letter = F.col("doc_id") % 4, lambda base: F.char(base + F.col("doc_id") % 7)
+    answer = F.when(k == 0, letter(65)).when(k == 1, letter(97)).when(k == 2, (F.col("doc_id") % 9).cast("string")).otherwise("none")
+    label = lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("("), F.char(65 + i), F.lit(") "), x)).otherwise(F.concat(F.char(65 + i), F.lit(". "), x))
+    options = F.transform(F.slice(F.split("text", " "), 1, 5), lambda x, i: F.struct(F.lit(None).cast("string").alias("key"), label(x, i).alias("text")))
+    return d.select("doc_id", annotations.chosen(answer, options).alias("chosen"))
+
+
 @query(f"WITH {_T} SELECT candidate_id, round(0.60 * (1 - avg(least(1.0, abs(words - 12) / 12))) + 0.25 * avg(CAST(words BETWEEN 6 AND 18 AS INT)) + 0.15 * avg(CAST(complete AS INT)), 9) AS readability FROM timeline_v GROUP BY 1")
 def readability(spark, sf_dir):
     return V.timelines(spark, sf_dir).select("candidate_id", r9(timeline.readability(F.col("segments"))).alias("readability"))
@@ -335,6 +352,20 @@ def effective_vs_conditional(spark, sf_dir):
     return s.select("method", "requested", "ok", *[r9(F.col(f"{k}_{m}")).alias(f"{k}_{m}") for m in _METRICS for k in ("cond", "eff")])
 
 
+_MAIN = ", ".join(f"round({a}, 9) AS {k}_{m}" for k, f in (("conditional", "avg({m})"), ("effective", "avg(coalesce({m}, {w}))")) for m in _METRICS for a in [f.format(m=m, w=int(m == "rep"))])
+
+
+@query(f"""WITH {_PICK}, n AS (SELECT m.method, sv.sample_key, count(*) FILTER (WHERE valid) = count(*) AS whole FROM slots_v sv JOIN m ON sv.candidate_index <= m.p GROUP BY 1, 2),
+b AS (SELECT sample_key, max(reward) FILTER (WHERE valid) AS reward, max(csr) FILTER (WHERE valid) AS csr, min(rep) FILTER (WHERE valid) AS rep, count(*) FILTER (WHERE valid) AS v, count(*) AS c FROM slots_v GROUP BY 1)
+SELECT sel.method, count(*) AS requested_samples, count(candidate_id) AS successful_samples, round(avg(CAST(candidate_id IS NOT NULL AS INT)), 9) AS selection_success_rate, round(avg(CAST(whole AS INT)), 9) AS complete_requested_prefix_rate, {_MAIN} FROM sel JOIN n ON sel.method = n.method AND sel.sample_key = n.sample_key GROUP BY 1
+UNION ALL SELECT 'metric_wise_upper_bound', count(*), count(*) FILTER (WHERE v > 0), round(avg(CAST(v > 0 AS INT)), 9), round(avg(CAST(v = c AS INT)), 9), {_MAIN} FROM b""")
+def main_results(spark, sf_dir):
+    s = V.slots(spark, sf_dir)
+    summary = stats.summarize_methods(selection.selections(s, _METRICS), _METRICS)
+    table_ = reports.main_table(summary, reports.bound_summary(s, _METRICS), _METRICS)
+    return table_.select(*table_.columns[:3], *[r9(F.col(c)).alias(c) for c in table_.columns[3:]])
+
+
 @query(f"WITH {V.SLOTS} SELECT sample_key, candidate_id, reward FROM slots_v WHERE valid QUALIFY row_number() OVER (PARTITION BY sample_key ORDER BY reward DESC, candidate_index) = 1")
 def best_of_4(spark, sf_dir):
     return selection.best_of(V.slots(spark, sf_dir)).select("sample_key", "candidate_id", "reward")

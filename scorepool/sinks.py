@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,37 @@ def fingerprint(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def _store(path: str):
+    """The file system of a path, any that Spark writes to, and the path in it."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()), held
+
+
+def write_text(path: str, text: str) -> None:
+    """One small file, written by way of Spark's file systems, so that it lies beside the tables whatever store they are in."""
+    store, held = _store(path)
+    out = store.create(held, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str | None:
+    """A small file's text; null if there is none."""
+    store, held = _store(path)
+    if not store.exists(held):
+        return None
+    source = store.open(held)
+    try:
+        return bytes(SparkSession.getActiveSession()._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
 def write_json(path: str, value) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=False)
-        f.write("\n")
+    write_text(path, json.dumps(value, indent=2, ensure_ascii=False) + "\n")
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,9 +62,19 @@ def write_results(rows: DataFrame, path: str) -> None:
     write_jsonl(rows.orderBy("video_id", "sample_key"), path)
 
 
+#: Columns that failure rows keep, of those there are.
+FAILURE_COLUMNS = ("sample_key", "video_id", "valid_slots", "full_pool", "slots", "sampling")
+
+
 def failures(results: DataFrame, expected: int = 4) -> DataFrame:
-    """Samples with fewer valid slots than expected."""
-    return results.where(F.col("valid_slots") < expected)
+    """Samples with fewer valid slots than expected, with what tells why."""
+    kept = [c for c in FAILURE_COLUMNS if c in results.columns]
+    return results.where(F.coalesce(F.col("valid_slots"), F.lit(0)) < expected).select(*kept, (F.lit(expected) - F.coalesce(F.col("valid_slots"), F.lit(0))).alias("missing_slots"))
+
+
+def write_status(path: str, status: str, **facts) -> None:
+    """The run's status file."""
+    write_json(path, {"status": status} | facts)
 
 
 def wide(summary: DataFrame, row: str, column: str, value: str, order: list[str]) -> DataFrame:
@@ -61,14 +98,14 @@ def markdown(title: str, columns: list[str], rows: list) -> str:
 
 
 def write_analysis(folder: str, summary: DataFrame, selections: DataFrame, efficiency: DataFrame) -> None:
-    """The analysis bundle: selections as JSON lines, two CSV tables, a JSON summary and a Markdown report. summary and efficiency are report-sized."""
+    """The analysis bundle: selections as JSON lines, two CSV tables, a JSON summary and a Markdown report. summary (as of
+    reports.main_table) and efficiency are report-sized."""
     write_jsonl(selections, f"{folder}/selections.jsonl")
     write_csv(summary, f"{folder}/main_results.csv")
     write_csv(efficiency, f"{folder}/efficiency.csv")
     rows = summary.orderBy("method").collect()
-    write_json(os.path.join(folder, "summary.json"), [r.asDict() for r in rows])
-    with open(os.path.join(folder, "summary.md"), "w", encoding="utf-8") as f:
-        f.write(markdown("Candidate pool analysis", summary.columns, [list(r) for r in rows]))
+    write_json(f"{folder}/summary.json", [r.asDict() for r in rows])
+    write_text(f"{folder}/summary.md", markdown("Candidate pool analysis", summary.columns, [list(r) for r in rows]))
 
 
 def write_once(rows: DataFrame, path: str, source: str | None = None, overwrite: bool = False) -> None:
@@ -81,10 +118,9 @@ def write_once(rows: DataFrame, path: str, source: str | None = None, overwrite:
 def guard_protocol(path: str, manifest: dict, resume: bool) -> str:
     """Writes a protocol manifest with its fingerprint; on resuming, an earlier one with another fingerprint is an error."""
     own = fingerprint(manifest)
-    if resume and os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if json.load(f).get("protocol_fingerprint") != own:
-                raise ValueError("the protocol has changed since the run began")
+    earlier = read_text(path) if resume else None
+    if earlier is not None and json.loads(earlier).get("protocol_fingerprint") != own:
+        raise ValueError("the protocol has changed since the run began")
     write_json(path, manifest | {"protocol_fingerprint": own})
     return own
 

@@ -12,12 +12,13 @@ USAGE = {"input_tokens": 2, "output_tokens": 3, "total_tokens": 5}
 
 def good():
     slots = [{"candidate_index": i, "terminal_status": "valid", "candidate_id": f"c{i}", "request_count": 1, "transport_request_count": 1, "request_seconds": 1.0, "usage": dict(USAGE), "attempts": [dict(ATTEMPT)]} for i in range(1, 5)]
-    efficiency = {
-        "generation_requests": 4, "generation_semantic_attempts": 4, "generation_input_tokens": 8, "generation_output_tokens": 12, "generation_total_tokens": 20, "direct_requests": 1, "direct_total_tokens": 5, "sampled_frames": 2,
+    once = {"requests": 1, "semantic_attempts": 1, **USAGE}
+    efficiency = {f"{who}_{k}": n * v for who, n in (("generation", 4), ("direct", 1), ("best", 4)) for k, v in once.items()} | {
+        "sampled_frames": 2, "seconds_by_slot": [1.0] * 4, "usage_by_slot": [dict(USAGE) for _ in range(4)],
         "sampling_seconds": 0.5, "reward_encoding_seconds": 0.1, "reward_scoring_seconds": 0.4, "selection_seconds": 0.0, "direct_seconds": 1.5, "best_seconds": 5.0, "generation_seconds": 4.0, "metric_seconds": 0.2, "pipeline_seconds": 6.0, "scoring_seconds_by_slot": [0.1] * 4,
     }
     return {
-        "sample_key": "s", "video_id": "v", "protocol_fingerprint": "p", "generation_source": "multimodal_model",
+        "sample_key": "s", "video_id": "v", "experiment_version": "e", "prompt_version": "q", "requested_slots": 4, "protocol_fingerprint": "p", "generation_source": "multimodal_model",
         "sampling": {"source_kind": "video", "fallback_used": False, "eligible": True, "selected_indices": [0, 3], "bin_ids": [0, 1]},
         "slots": slots, "candidates": [{"candidate_index": i, "candidate_id": f"c{i}", "reward": r} for i, r in zip(range(1, 5), (0.1, 0.5, 0.5, 0.2), strict=True)],
         "valid_slots": 4, "full_pool": True, "direct_id": "c1", "best_id": "c2", "efficiency": efficiency,
@@ -39,7 +40,10 @@ CASES = [
     (("slots", 0, "attempts", 0, "status"), "endpoint_error", "invalid status"), (("slots", 0, "attempts", 0, "visual_input_frames"), 3, "frames"), (("slots", 0, "attempts", 0, "status"), "parse_rejected", "disagree"),
     (("slots", 0, "request_count"), 2, "request_count"), (("slots", 0, "request_seconds"), 1.1, "request_seconds"), (("slots", 0, "usage", "total_tokens"), 6, "add up"), (("efficiency",), None, "efficiency is missing"),
     (("efficiency", "generation_requests"), 5, "generation_requests"), (("efficiency", "sampled_frames"), 3, "sampled_frames"), (("efficiency", "selection_seconds"), -1.0, "not a duration"), (("efficiency", "direct_seconds"), 2.0, "direct_seconds"),
-    (("efficiency", "best_seconds"), 2.0, "best_seconds"), (("efficiency", "generation_seconds"), 3.0, "shorter than its requests"), (("efficiency", "pipeline_seconds"), 4.0, "shorter than its parts"), (("efficiency", "scoring_seconds_by_slot"), [0.2] * 4, "add up"),
+    (("experiment_version",), "x", "experiment_version"), (("prompt_version",), None, "prompt_version"), (("requested_slots",), 3, "requested slot count"),
+    *[(("efficiency", name), 99, name) for name in contracts.COUNTS], (("efficiency", "metric_seconds"), float("inf"), "not a duration"),
+    (("efficiency", "seconds_by_slot"), [1.0] * 3, "seconds by slot are invalid"), (("efficiency", "seconds_by_slot", 2), 1.5, "seconds by slot differ"), (("efficiency", "usage_by_slot", 3, "input_tokens"), 3, "usage by slot"),
+    (("efficiency", "scoring_seconds_by_slot"), [0.1] * 3, "scoring seconds by slot"), (("efficiency", "best_seconds"), 2.0, "best_seconds"), (("efficiency", "generation_seconds"), 3.0, "shorter than its requests"), (("efficiency", "pipeline_seconds"), 4.0, "shorter than its parts"), (("efficiency", "scoring_seconds_by_slot"), [0.2] * 4, "add up"),
     (("valid_slots",), 3, "valid_slots"), (("full_pool",), False, "full_pool"), (("candidates", 0, "reward"), 1.5, "outside 0 to 1"), (("direct_id",), "c2", "not C1"), (("best_id",), "c3", "not the best"),
 ]
 
@@ -51,7 +55,7 @@ def test_one_violation_each(spark):
         put(row, path, value)
         rows.append(row)
     frame = spark.createDataFrame([r | {"sample_key": str(i)} for i, r in enumerate(rows)], contracts.RESULT)
-    got = {int(r["sample_key"]): r["issue"] for r in contracts.with_issues(frame, "p").collect()}
+    got = {int(r["sample_key"]): r["issue"] for r in contracts.with_issues(frame, "p", "e", "q").collect()}
     assert got[0] is None
     for i, (path, _, word) in enumerate(CASES, 1):
         assert got[i] and word in got[i], (path, got[i])
