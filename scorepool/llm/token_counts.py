@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from scorepool.llm.common import doc_text, slices, utf8
 from scorepool.llm.tokenise import _LETTERS, default_path
 
-#: Words kept in a worker's memo; beyond it the memo starts anew. It changes speed only.
-MEMO_WORDS = 500_000
+#: Words kept in a worker's memo, each of at most LONG_WORD bytes; beyond it the memo starts anew. They change speed only.
+MEMO_WORDS, LONG_WORD = 500_000, 200
 
 
 class MaxMatch:
@@ -80,8 +80,11 @@ class MaxMatch:
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
             new = set(words)
+        long = {}
         for w in new:
-            memo[w] = self.count(w)
+            (memo if len(w) <= LONG_WORD else long)[w] = self.count(w)
+        if long:
+            return np.fromiter((long[w] if len(w) > LONG_WORD else memo[w] for w in words), np.int64, len(words))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
@@ -103,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str | None = None) -> DataFra
     """Per row of docs: doc_id, n_words, n_tokens, n_unknown (words without a split, one token each).
 
     Words are [^\\x20\\x09-\\x0D]+ of the UTF-8 text, each matched with a space before it. A null or empty text has no words
-    and 0 tokens; null ids, repeated rows and any other columns are allowed; row count is kept. One narrow pass, no shuffle.
+    and 0 tokens; a very long text makes a slice of its own, and very long words are counted each time; null ids, repeated rows and any other columns are allowed; row count is kept. One narrow pass, no shuffle.
     """
     path = vocabulary_path or default_path("byte_bpe_50k.json")
 
