@@ -167,6 +167,25 @@ def degenerate_period(text: Column, least: int = 256, repeats: int = 8, periods:
     return F.when(F.length(value) >= least, F.coalesce(*hits))
 
 
+def repeated_tail(tokens: Column, least: int = 128, repeats: int = 8, periods: int = 8) -> Column:
+    """The smallest period with which an array of at least `least` tokens ends `repeats` times; else null."""
+    n = F.size(tokens)
+    hits = [F.when((n >= p * repeats) & (F.slice(tokens, -p * repeats, p * repeats) == F.flatten(F.array_repeat(F.slice(tokens, -p, p), repeats))), F.lit(p)) for p in range(1, periods + 1)]
+    return F.when(n >= least, F.coalesce(*hits))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with {name} places, filled from columns; nulls as empty. Its hash is stable_hash's or sha2's of the result."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(values[p].cast("string"), F.lit("")) for i, p in enumerate(pieces)])
+
+
+def prompts(base: Column, retry_suffix: str) -> Column:
+    """The first prompt and the one of later attempts, each with its SHA-256."""
+    retry = F.concat(base, F.lit(retry_suffix))
+    return F.struct(base.alias("base"), F.sha2(base, 256).alias("base_sha256"), retry.alias("retry"), F.sha2(retry, 256).alias("retry_sha256"))
+
+
 def sanitized_id(raw: Column, video: Column, index: int) -> Column:
     """An identifier that starts with its video's, of [A-Za-z0-9_.:-] only."""
     fallback = f"vlm_{index:02d}"

@@ -90,6 +90,12 @@ def alignment(script: Column, video: Column, anchor: Column, text: Column, tags:
     return VISUAL_BALANCE * (cosine(script, video) + 1) / 2 + (1 - VISUAL_BALANCE) * evidence
 
 
+def distinct_points(points: Column) -> Column:
+    """Reference points without blanks and repeats, in order of first occurrence."""
+    stripped = F.transform(points, lambda p: F.regexp_replace(F.coalesce(p, F.lit("")), r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(stripped, lambda p: p != ""))
+
+
 def point_coverage(points: DataFrame, segments: DataFrame, threshold: float, key: str = "sample_key", whole: DataFrame | None = None) -> DataFrame:
     """points (key, point_index, embedding), segments (key, segment_index, embedding): for each point the best similarity and
     the first segment that has it, and whether it reaches the threshold. A join on the sample, not a product. Samples without

@@ -139,6 +139,14 @@ def reference_issue(points: Column, provenance: Column, protocol: str) -> Column
     return first_issue(*checks)
 
 
+def check_points(samples: DataFrame, issue: Column, preview: int = 5) -> None:
+    """An error for samples without points of their own field, then for ones whose points have an issue; the first are named."""
+    for bad, what in ((F.coalesce(F.size("semantic_points"), F.lit(0)) <= 0, "lack reference points"), (F.coalesce(F.col("semantic_point_source_field") != "semantic_points", F.lit(True)), "take their points from another field"), (issue.isNotNull(), "have invalid reference points")):
+        found = samples.where(bad)
+        if first := found.select("video_id", issue.alias("issue")).orderBy("video_id").limit(preview).collect():
+            raise ValueError(f"{found.count()} samples {what}: " + "; ".join(r["video_id"] + (f": {r['issue']}" if r["issue"] else "") for r in first))
+
+
 def run_audit(expected: DataFrame, results: DataFrame, key: str = "sample_key") -> DataFrame:
     """One row: expected, observed, missing, unexpected and duplicate keys, rows with an issue, and eligibility."""
     want = expected.select(key).distinct().withColumn("_e", F.lit(1))

@@ -61,6 +61,24 @@ def rollup(attempts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     ).withColumn("reason", terminal_reason(F.col("statuses"))).drop("statuses")
 
 
+def transports(attempts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Of attempts with an array of transports (status, request_seconds, backoff_seconds_after): requests, failed ones, and seconds.
+    An attempt without any was sent once, in its own request_seconds."""
+    held = F.coalesce("transports", F.array().cast("array<struct<status: string, request_seconds: double, backoff_seconds_after: double>>"))
+    add = lambda f: F.aggregate(held, F.lit(0.0), lambda s, x: s + F.coalesce(f(x), F.lit(0.0)))
+    none = F.size(held) == 0
+    return attempts.groupBy(*by).agg(
+        F.sum(F.when(none, 1).otherwise(F.size(held))).alias("requests"), F.sum(F.size(F.filter(held, lambda x: x["status"] != "success"))).alias("failed_requests"),
+        F.sum(F.when(none, F.coalesce("request_seconds", F.lit(0.0))).otherwise(add(lambda x: x["request_seconds"]))).alias("request_seconds"), F.sum(add(lambda x: x["backoff_seconds_after"])).alias("backoff_seconds"),
+    )
+
+
+def attempt_counts(attempts: DataFrame) -> DataFrame:
+    """How many attempts there are by status and by prompt kind: rows (what, value, n)."""
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for c in ("status", "prompt_kind")]))
+    return attempts.select(named.alias("x")).groupBy("x.what", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def terminal_reason(statuses: Column) -> Column:
     """accepted, or which failures used up a slot's attempts."""
     failed = F.array_distinct(F.array_remove(statuses, "accepted"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorepool import constants as C
 from scorepool import reports
 from scorepool.functions import sampling, text, timeline, vectors
-from scorepool.operators import bootstrap, parsing, quality, selection, stats
+from scorepool.operators import bootstrap, identity, parsing, quality, selection, stats
 from scorepool.plans import views as V
 from scorepool.plans.views import table
 from scorepool.sources import annotations
@@ -289,6 +289,33 @@ def chosen_option(spark, sf_dir):
     return d.select("doc_id", annotations.chosen(answer, options).alias("chosen"))
 
 
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_concat(string_split(text, ' '), flatten(list_transform(range(8), lambda i: string_split(text, ' ')[1:doc_id % 10 + 1]))) ELSE string_split(text, ' ') END AS t FROM documents)
+SELECT doc_id, coalesce(CASE WHEN len(t) >= 128 THEN list_filter([1, 2, 3, 4, 5, 6, 7, 8], lambda p: len(t) >= 8 * p AND t[len(t) - 8 * p + 1:] = flatten(list_transform(range(8), lambda i: t[len(t) - p + 1:])))[1] END, 0) AS period FROM t""")
+def repeated_tail(spark, sf_dir):
+    """The words of each text, every third one followed by its first words eight times."""
+    d, words = table(spark, sf_dir, "documents"), F.split("text", " ")
+    again = F.flatten(F.array_repeat(F.slice(words, F.lit(1), (F.col("doc_id") % 10 + 1).cast("int")), 8))
+    return d.select("doc_id", F.coalesce(text.repeated_tail(F.when(F.col("doc_id") % 3 == 0, F.concat(words, again)).otherwise(words)), F.lit(0)).alias("period"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'provenance is missing' WHEN lang = 'de' THEN 'parse_status is not valid_json_candidate' WHEN n_chars % 5 = 0 THEN 'semantic_repair_applied must be false' WHEN n_chars % 7 = 0 THEN 'wrapped_free_text must be false'
+WHEN length(source) % 2 = 0 THEN 'surrounding_free_text must be false' WHEN n_chars % 3 = 0 THEN 'response_envelope is unknown' END AS issue FROM documents""")
+def provenance_issues(spark, sf_dir):
+    n = F.col("n_chars")
+    p = F.struct(
+        F.when(F.coalesce(F.col("lang") != "de", F.lit(True)), "valid_json_candidate").otherwise("free_text").alias("parse_status"), (n % 5 == 0).alias("semantic_repair_applied"), F.when(n % 7 != 0, F.lit(False)).alias("wrapped_free_text"),
+        F.coalesce(F.length("source") % 2 == 0, F.lit(False)).alias("surrounding_free_text"), F.when(n % 3 == 0, "other").when(n % 2 == 0, "raw_json").otherwise("single_markdown_json_fence").alias("response_envelope"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", identity.provenance_issue(F.when(F.col("doc_id") % 11 != 0, p)).alias("issue"))
+
+
+@query(f"""WITH {V.ATTEMPTS}, a AS (SELECT status, CASE WHEN attempt_id % 4 = 0 THEN 'base_generation' WHEN attempt_id % 4 < 3 THEN 'validation_retry' END AS prompt_kind FROM attempts_v)
+SELECT 'status' AS what, coalesce(status, 'unknown') AS value, count(*) AS n FROM a GROUP BY 2 UNION ALL SELECT 'prompt_kind', coalesce(prompt_kind, 'unknown'), count(*) FROM a GROUP BY 2""")
+def attempt_counts(spark, sf_dir):
+    k = F.col("attempt_id") % 4
+    return stats.attempt_counts(V.attempts(spark, sf_dir).withColumn("prompt_kind", F.when(k == 0, "base_generation").when(k < 3, "validation_retry")))
+
+
 @query(f"WITH {_T} SELECT candidate_id, round(0.60 * (1 - avg(least(1.0, abs(words - 12) / 12))) + 0.25 * avg(CAST(words BETWEEN 6 AND 18 AS INT)) + 0.15 * avg(CAST(complete AS INT)), 9) AS readability FROM timeline_v GROUP BY 1")
 def readability(spark, sf_dir):
     return V.timelines(spark, sf_dir).select("candidate_id", r9(timeline.readability(F.col("segments"))).alias("readability"))

@@ -9,11 +9,11 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorepool.constants import VIDEO_SUFFIXES
-from scorepool.operators.quality import duplicates
+from scorepool.operators.quality import blank_or_repeated
 
 _SKIPPED = r"(^|/)(\.cache|\.git|__pycache__)/|(^|/)\.DS_Store$|\.(lock|tmp)$"
 
@@ -58,8 +58,9 @@ def resolve_paths(samples: DataFrame, files: DataFrame, roots: list[str], search
     guesses = F.flatten(F.transform(bases, lambda b: F.transform(names, lambda n: F.concat_ws("/", b, n))))
     tries = F.when(local & F.startswith("explicit_path", F.lit("/")), F.array("explicit_path")).when(local, under).when(F.col("lookup_id") != "", guesses).otherwise(F.array().cast("array<string>"))
     known = files.select(F.col("path").alias("_try")).unionByName(files.select(F.regexp_replace("path", "/[^/]*$", "").alias("_try"))).distinct().withColumn("_hit", F.lit(True))
-    own = samples.withColumn("_row", F.monotonically_increasing_id()).withColumn("_tries", tries)
-    tried = own.select("_row", F.posexplode("_tries").alias("_at", "_try")).join(known, "_try")
+    # the tries tell everything the search depends on, so rows that have the same ones share a result
+    own = samples.withColumn("_tries", tries).withColumn("_row", F.coalesce(F.array_join("_tries", "\0"), F.lit("")))
+    tried = own.select("_row", "_tries").distinct().select("_row", F.posexplode("_tries").alias("_at", "_try")).join(known, "_try")
     found = tried.groupBy("_row").agg(F.min(F.struct("_at", "_try")).alias("_f")).select("_row", F.col("_f._try").alias("_found"))
     fallback = F.when(local, F.get("_tries", F.lit(0)))
     return own.join(found, "_row", "left").withColumn("video_path", F.coalesce("_found", fallback, F.lit(""))).drop("_row", "_tries", "_found")
@@ -123,9 +124,12 @@ def unique_paths(roots: list[str], base: str = "") -> list[str]:
     return list(dict.fromkeys(os.path.normpath(os.path.join(base, r)) for r in roots if r))
 
 
-def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Earlier result rows; a repeated or blank sample key is an error."""
+def read_results(spark: SparkSession, path: str, schema, rebuilt: Column | None = None) -> DataFrame:
+    """Earlier result rows. A blank key is taken from `rebuilt`, where given; one that stays blank or repeats is an error."""
     rows = spark.read.schema(schema).json(path)
-    if bad := duplicates(rows, "sample_key").limit(5).collect():
-        raise ValueError(f"repeated sample keys: {[r['sample_key'] for r in bad]}")
+    if rebuilt is not None:
+        key = F.coalesce(F.nullif(F.trim("sample_key"), F.lit("")), rebuilt)
+        rows = rows.withColumn("sample_key", key)
+    if bad := blank_or_repeated(rows, "sample_key").orderBy("sample_key").limit(5).collect():
+        raise ValueError(f"blank or repeated sample keys: {[r['sample_key'] for r in bad]}")
     return rows
