@@ -122,7 +122,7 @@ def _blocks(benchmark: DataFrame, unnamed: bool = False):
     items = items.fillna(0, ["item_id"]) if unnamed else items.where("item_id is not null")
     block, size = [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
-        n = r["text"].count(" ") + 1
+        n = len(r["text"].split()) + 1
         if block and size + n > BLOCK_WORDS:
             yield block
             block, size = [], 0
@@ -137,7 +137,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text row and item, with the best run.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. An item of less than SHORT words is found word for word. Null texts, null ids of
-    items and empty tables give no rows; repeated rows of docs give repeated rows; extra columns are ignored. Of equally good
+    items and empty tables give no rows; very long texts are searched whole; repeated rows of docs give repeated rows; extra columns are ignored. Of equally good
     runs the earliest counts.
     """
     out = None
@@ -160,7 +160,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs without an overlap, also with items that have no id; all columns kept. Each row is judged where it is read: no join, no shuffle."""
+    """Rows of docs without an overlap, also with items that have no id; all columns kept. Each row is judged where it is read: no join, no shuffle.
+
+    Null and empty texts stay, and all rows where the benchmark is empty; very long texts are searched whole; repeated rows are
+    judged alike; an empty table gives none.
+    """
     docs = docs.withColumn("text", F.col("text").cast("string"))
     for items in _blocks(benchmark, unnamed=True):
         held = docs.sparkSession.sparkContext.broadcast(Index(items))  # at most BLOCK_WORDS words
