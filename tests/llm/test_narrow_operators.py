@@ -343,6 +343,7 @@ def test_tiles_read_alike():
     files = webp.encode_tiles(data, np.concatenate([[0], np.cumsum([len(p) for p in payloads])]))
     for p, f, many in zip(payloads, files, webp.decode_many(files), strict=True):
         assert many[..., 1].tobytes() == p and (webp.decode(f) == many).all()
+        assert webp._plain(webp._body(f)).palette is not None  # read in lockstep, by way of the palette transform
 
 
 def test_broken_images():
