@@ -72,11 +72,18 @@ def key_frames(weighted: DataFrame, key: str = "sample_key", order: str = "frame
     return weighted.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+#: Tags that are broadcast at most.
+MOST_TAGS = 10_000
+
+
 def top_tags(samples: DataFrame, tags: DataFrame, key: str = "sample_key") -> DataFrame:
     """Samples (key, pooled) with tags (tag_group, tag, tag_pos, top, embedding): the `top` nearest of each group.
 
-    The taxonomy is a configured list of a few dozen rows, so it is broadcast.
+    The taxonomy is a configured list of a few dozen rows; up to MOST_TAGS, which is checked, it is broadcast. More is an error, as
+    every sample meets every tag.
     """
+    if len(tags.limit(MOST_TAGS + 1).select("tag").collect()) > MOST_TAGS:
+        raise ValueError(f"more than {MOST_TAGS} tags")
     scored = samples.crossJoin(F.broadcast(tags)).withColumn("similarity", dot(F.col("pooled"), F.col("embedding")))
     rank = F.row_number().over(Window.partitionBy(key, "tag_group").orderBy(F.desc("similarity"), F.desc("tag_pos")))
     return scored.withColumn("rank", rank).where("rank <= top").select(key, "tag_group", "tag", "rank", "similarity")

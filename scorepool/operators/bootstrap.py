@@ -1,18 +1,24 @@
-"""Cluster bootstrap of pooled means: Spark sums by cluster, the driver draws."""
+"""Cluster bootstrap of pooled means: Spark sums by cluster; the driver draws from up to DRIVER_CLUSTERS of them, and Spark from more.
+
+Drawing n of n clusters with replacement gives multinomial counts. Split over stretches of clusters they stay so: first how many
+draws fall into each stretch, then the counts within it. So tasks draw each for its own stretch, from a generator seeded by it,
+and only a sum for each replicate leaves a task."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
 from scorepool.operators.stats import effective
 
-#: Clusters that the driver draws from at most; their sums are all that leaves the cluster.
-MAX_CLUSTERS = 5_000_000
+#: Clusters that the driver draws from at most, one sequence of draws for all; with more, tasks draw, STRETCH clusters each.
+DRIVER_CLUSTERS, STRETCH = 1_000_000, 100_000
 
 
 def interval(counts: np.ndarray, sums: np.ndarray, replicates: int, rng: np.random.Generator) -> list[float]:
@@ -42,13 +48,63 @@ def cluster_sums(picked: DataFrame, metrics: Iterable[str], cluster: str) -> Dat
     return picked.groupBy("method", F.col(cluster).cast("string").alias("cluster")).agg(*aggs)
 
 
+def materialised(sums: DataFrame) -> DataFrame:
+    """Kept for the count and what follows; recomputed where an executor is lost."""
+    return sums.persist()
+
+
+def spread_intervals(sums: DataFrame, metrics: tuple[str, ...], methods: tuple[str, ...], replicates: int, seed: int) -> DataFrame:
+    """cluster_intervals() of any number of clusters: rows of cluster_sums dealt into stretches by a hash of the cluster."""
+    spark = sums.sparkSession
+    long = sums.select("method", "cluster", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(e).alias("estimand"), F.col(n).alias("n"), F.col(v).alias("v")) for m in metrics for e, n, v in (("conditional", f"n_{m}", f"cond_{m}"), ("effective", "n", f"eff_{m}"))])).alias("x"))
+    long = long.select("method", "cluster", "x.*").where("n > 0")
+    most = sums.groupBy("method").count().agg(F.max("count")).first()[0] or 1
+    stretches = max(1, -(-most // STRETCH))
+    dealt = long.withColumn("stretch", F.pmod(F.xxhash64("cluster"), F.lit(stretches)).cast("int"))
+    sizes = {(r["method"], r["metric"], r["estimand"], r["stretch"]): r["count"] for r in dealt.groupBy("method", "metric", "estimand", "stretch").count().collect()}
+    own_seed = lambda *key: np.random.SeedSequence([seed, zlib.crc32(repr(key).encode())])
+    share: dict[tuple, np.ndarray] = {}
+    for group in sorted({k[:3] for k in sizes}):  # how many draws of each replicate fall into each stretch
+        held = sorted(k for k in sizes if k[:3] == group)
+        n = np.array([sizes[k] for k in held])
+        drawn = np.random.default_rng(own_seed(group)).multinomial(n.sum(), n / n.sum(), size=max(replicates, 0))
+        share.update({k: drawn[:, i] for i, k in enumerate(held)})
+    draws = spark.sparkContext.broadcast(share)  # stretches x replicates
+
+    def draw(key, table):
+        name = tuple(x.as_py() for x in key)
+        table = table.sort_by("cluster")
+        n, v = table.column("n").to_numpy(), table.column("v").to_numpy()
+        rng, even = np.random.default_rng(own_seed(name)), np.full(len(n), 1 / len(n))
+        out = [(k, *(float(x) for x in (c @ n, c @ v))) for k, many in enumerate(draws.value[name].tolist()) for c in [rng.multinomial(many, even)]]
+        out.append((-1, float(n.sum()), float(v.sum())))
+        return pa.table({"method": [name[0]] * len(out), "metric": [name[1]] * len(out), "estimand": [name[2]] * len(out), **{c: list(x) for c, x in zip(("replicate", "n", "v"), zip(*out, strict=True), strict=True)}}, schema=_DRAWS)
+
+    got = dealt.groupBy("method", "metric", "estimand", "stretch").applyInArrow(draw, "method string, metric string, estimand string, replicate long, n double, v double")
+    means = got.groupBy("method", "metric", "estimand", "replicate").agg((F.sum("v") / F.sum("n")).alias("m"))
+    ends = means.groupBy("method", "metric", "estimand").agg(F.percentile(F.when(F.col("replicate") >= 0, F.col("m")), F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.max(F.when(F.col("replicate") < 0, F.col("m"))).alias("whole"))
+    found = {(r["method"], r["metric"], r["estimand"]): r for r in ends.collect()}
+    out = []
+    for method in methods:
+        for m in metrics:
+            for e in ("conditional", "effective"):
+                r = found.get((method, m, e))
+                low, high = (None, None) if r is None else r["p"] or [r["whole"]] * 2
+                out.append((method, m, e, *(None if x is None else round(x, 6) for x in (low, high))))
+    return spark.createDataFrame(out, "method string, metric string, estimand string, low double, high double")
+
+
+_DRAWS = pa.schema([("method", pa.string()), ("metric", pa.string()), ("estimand", pa.string()), ("replicate", pa.int64()), ("n", pa.float64()), ("v", pa.float64())])
+
+
 def cluster_intervals(picked: DataFrame, metrics: tuple[str, ...], cluster: str, methods: tuple[str, ...], replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Rows (method, metric, estimand, low, high). One generator serves methods, metrics, then conditional before effective, in that order;
     a metric without successes takes no conditional draw."""
     spark, rng, out = picked.sparkSession, np.random.default_rng(seed), []
-    sums = cluster_sums(picked, metrics, cluster)
-    if sums.count() > MAX_CLUSTERS * len(methods):
-        raise ValueError("more clusters than the driver may draw from")
+    sums = materialised(cluster_sums(picked, metrics, cluster))
+    most = sums.groupBy("method").count().agg(F.max("count")).first()[0] or 0
+    if most > DRIVER_CLUSTERS:
+        return spread_intervals(sums, metrics, methods, replicates, seed)
     table = sums.toPandas().sort_values(["method", "cluster"], kind="stable")
     for method in methods:
         own = table[table["method"] == method]

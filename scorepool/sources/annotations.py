@@ -41,9 +41,10 @@ def read_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
     return out.select(F.to_json("v").alias("raw"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every value a string, byte order mark dropped."""
-    frame = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, every value a string, byte order mark dropped. Where no value has a line break, multi_line=False lets
+    one file be read by many tasks."""
+    frame = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return frame.select(F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in frame.columns])).alias("raw"))
 
 

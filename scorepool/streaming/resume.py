@@ -12,13 +12,11 @@ from scorepool.operators.quality import pending
 def append_new(batch: DataFrame, target: str, key: str = "sample_key") -> None:
     """Appends the rows of a batch whose keys the target lacks, each key once; running it twice adds nothing."""
     spark, once = batch.sparkSession, batch.dropDuplicates([key])
-    try:
-        held = spark.read.parquet(target)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         once.write.mode("append").parquet(target)
         return
+    held = spark.read.schema(once.select(key).schema).parquet(target)  # of the target only the key is read
     pending(once, held, key).write.mode("append").parquet(target)
 
 

@@ -154,3 +154,25 @@ def test_usage_and_message(spark):
     assert got[0]["total_tokens"] == 5 and got[1] is None and got[2] is None
     reply = spark.createDataFrame([('{"choices": [{"message": {"content": "hi"}}]}',), ('{"choices": [{"message": {"content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}}]}',)], "r string")
     assert [r[0] for r in reply.select(parsing.message_text(F.parse_json("r"))).collect()] == ["hi", "ab"]
+
+
+def test_spread_bootstrap_agrees_with_the_driver(spark, monkeypatch):
+    """Draws by stretches have the same distribution: the intervals agree but for chance; and they repeat exactly."""
+    monkeypatch.setattr(bootstrap, "STRETCH", 40)
+    rng = np.random.default_rng(1)
+    rows = [("direct", str(c), float(rng.random() < 0.3 + 0.4 * (c % 2))) for c in range(300) for _ in range(int(rng.integers(1, 6)))]
+    rows += [("best_of_4", str(c), None) for c in range(5)] + [("best_of_4", "9", 0.5)]
+    picked = spark.createDataFrame(rows, "method string, video string, reward double")
+    methods = ("direct", "best_of_4", "absent")
+    sums = bootstrap.cluster_sums(picked, ("reward",), "video")
+    a = {r[:3]: r[3:] for r in map(tuple, bootstrap.cluster_intervals(picked, ("reward",), "video", methods[:2], 2000).collect())}
+    b, c = ({r[:3]: r[3:] for r in map(tuple, bootstrap.spread_intervals(sums, ("reward",), methods, 2000, 42).collect())} for _ in range(2))
+    assert b == c and len(b) == 6 and b["absent", "reward", "effective"] == (None, None)
+    for e in ("conditional", "effective"):
+        assert b["direct", "reward", e] == pytest.approx(a["direct", "reward", e], abs=0.01)
+    assert b["best_of_4", "reward", "conditional"] == (0.5, 0.5)
+    once = bootstrap.spread_intervals(sums, ("reward",), ("direct",), 0, 42).first()
+    assert once["low"] == once["high"]
+    monkeypatch.setattr(bootstrap, "DRIVER_CLUSTERS", 10)
+    d = {r[:3]: r[3:] for r in map(tuple, bootstrap.cluster_intervals(picked, ("reward",), "video", methods, 2000).collect())}
+    assert d == b
