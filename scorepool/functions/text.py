@@ -162,9 +162,10 @@ def hashed_vector(rows: DataFrame, key: str, text: str, dim: int = 128) -> DataF
 
 def degenerate_period(text: Column, least: int = 256, repeats: int = 8, periods: int = 24) -> Column:
     """The smallest period up to `periods` with which a text of at least `least` characters ends `repeats` times, letters included; else null."""
+    ends = lambda v, p: (F.right(v, p * repeats) == F.repeat(F.right(v, p), F.lit(repeats))) & F.right(v, p).rlike(r"\p{L}")
+    first = lambda v: F.get(F.filter(F.sequence(F.lit(1), F.lit(periods)), lambda p: ends(v, p)), F.lit(0))
     value = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")
-    hits = [F.when((F.right(value, F.lit(p * repeats)) == F.repeat(F.right(value, F.lit(p)), F.lit(repeats))) & F.right(value, F.lit(p)).rlike(r"\p{L}"), F.lit(p)) for p in range(1, periods + 1)]
-    return F.when(F.length(value) >= least, F.coalesce(*hits))
+    return F.get(F.transform(F.array(value), lambda v: F.when(F.length(v) >= least, first(v))), F.lit(0))  # the array binds v once
 
 
 def repeated_tail(tokens: Column, least: int = 128, repeats: int = 8, periods: int = 8) -> Column:
@@ -198,7 +199,7 @@ def sanitized_id(raw: Column, video: Column, index: int) -> Column:
 
 def four_digits(value: Column) -> Column:
     """%.4f, or n/a for null."""
-    return F.coalesce(F.format_string("%.4f", value.cast("double")), F.lit("n/a")) if value is not None else F.lit("n/a")
+    return F.lit("n/a") if value is None else F.when(value.isNotNull(), F.format_string("%.4f", value.cast("double"))).otherwise("n/a")
 
 
 def non_blank_join(parts: list[Column], separator: str) -> Column:

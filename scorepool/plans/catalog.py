@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorepool import constants as C
 from scorepool import reports
 from scorepool.functions import sampling, text, timeline, vectors
-from scorepool.operators import bootstrap, identity, parsing, quality, selection, stats
+from scorepool.operators import bootstrap, contracts, identity, parsing, quality, selection, stats
 from scorepool.plans import views as V
 from scorepool.plans.views import table
 from scorepool.sources import annotations
@@ -289,6 +289,99 @@ def chosen_option(spark, sf_dir):
     return d.select("doc_id", annotations.chosen(answer, options).alias("chosen"))
 
 
+@query("""SELECT doc_id, CAST(doc_id AS VARCHAR) AS video_id, 'lang ' || coalesce(lang, 'none') AS question, CASE doc_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'src: ' || coalesce(source, 'None') ELSE 'a b' END AS answer,
+'[' || doc_id % 9 || '] said plain' || CASE WHEN doc_id % 2 = 0 THEN ' why' ELSE '' END AS caption, CASE doc_id % 4 WHEN 0 THEN n_chars / 2 WHEN 1 THEN CAST(n_chars AS DOUBLE) WHEN 2 THEN 1.5 END AS duration,
+CASE WHEN doc_id % 5 = 0 THEN 'one|two' WHEN doc_id % 5 = 1 THEN 'x|y' ELSE '' END AS points, CASE WHEN doc_id % 5 = 0 THEN 'key_points' WHEN doc_id % 5 = 1 THEN 'clues' ELSE '' END AS field FROM documents""")
+def sample_mapping(spark, sf_dir):
+    """Annotations of loosely typed values, made from every document: blanks, nested values, numbers as texts, lists in texts."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    source, none = F.coalesce("source", F.lit("None")), F.lit(None).cast("string")
+    raw = F.struct(
+        F.lit("").alias("video_id"), k.alias("id"), F.concat(F.lit("  lang "), F.coalesce("lang", F.lit("none")), F.lit(" ")).alias("question"),
+        F.when(k % 3 == 0, F.parse_json(F.lit('"yes"'))).when(k % 3 == 1, F.parse_json(F.concat(F.lit('{"src": "'), source, F.lit('"}')))).otherwise(F.parse_json(F.lit('["a", "b"]'))).alias("answer"),
+        F.array(F.to_json(F.struct((k % 9).alias("start"), F.lit("said").alias("text")))).alias("_s"), F.when(k % 2 == 0, "why").alias("prompt"),
+        F.when(k % 4 == 0, (F.col("n_chars") / 2).cast("string")).when(k % 4 == 1, F.col("n_chars").cast("string")).when(k % 4 == 2, "1.5").otherwise("long").alias("duration"),
+        F.when(k % 5 == 0, F.lit("one， two ; ")).otherwise(none).alias("key_points"), F.when(k % 5 == 1, F.lit('["x", " ", "y"]')).otherwise(none).alias("clues"),
+    )
+    text_ = F.to_json(raw.dropFields("_s"))
+    subtitles = F.concat(F.lit(', "subtitles": [{"start": '), (k % 9).cast("string"), F.lit(', "text": "said"}, "plain"]}'))
+    samples = annotations.to_samples(d.select(F.concat(F.regexp_replace(text_, "}$", ""), subtitles).alias("raw")))
+    return samples.select(F.col("video_id").cast("long").alias("doc_id"), "video_id", "question", "answer", "caption", "duration", F.array_join("semantic_points", "|").alias("points"), F.col("semantic_point_source_field").alias("field"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'Evidence context: q' || doc_id % 5 END AS context, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN NULL ELSE 'Expected answer: ' || coalesce(lang, 'none') END AS answer,
+CASE WHEN doc_id % 7 = 0 THEN 'question is blank' WHEN doc_id % 11 = 0 THEN 'answer is blank' END AS issue FROM documents""")
+def reference_points(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = d.select("doc_id", F.when(k % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" q"), k % 5)).alias("question"), F.when(k % 11 == 0, F.lit("")).otherwise(F.coalesce("lang", F.lit("none"))).alias("answer"))
+    out, good = annotations.reference_points(rows), F.col("issue").isNull()
+    context = F.when(good | (F.col("issue") == "answer is blank"), F.col("reference_points")[0])
+    return out.select("doc_id", context.alias("context"), F.when(good, F.col("reference_points")[1]).alias("answer"), "issue")
+
+
+_REPLIES = (
+    ('{"timeline": [%s]}', ""), ('```json\n{"timeline": [%s, %s]}\n```', ""), ('{"controls": {"timeline": [%s]}}', ""), ("[%s, %s]", "expected one JSON object, received an array of 2 items"), ("5", "top-level JSON value is not an object"),
+    ("{}", "the required `timeline` field is not a JSON array"), ('{"timeline": [7]}', "timeline[1] is not a JSON object"), ('{"timeline": [{"start": "5"}]}', "timeline[1].start must be a finite JSON number; received str"),
+    ('{"timeline": [{"end": true}]}', "timeline[1].end must be a finite JSON number; received bool"), ('{"timeline": [{"control_tags": ["summary", "summary"]}]}', "timeline[1].control_tags contains duplicate tags"),
+    ("stop it " * 40, "degenerate repetition: period=8"), ('{"timeline": [{"narration": 4}]}', "timeline[1].narration must be a JSON string; received int"),
+)
+_SEGMENT = '{"start": 0, "end": 6, "narration": "plain", "on_screen_text": "", "salient_point": "", "control_tags": []}'
+
+
+@query("SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{reason}'" for i, (_, reason) in enumerate(_REPLIES)) + " END AS reason, CASE doc_id % 12 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS segments, CASE WHEN doc_id % 12 = 1 THEN 'single_markdown_json_fence' ELSE 'raw_json' END AS envelope FROM documents")
+def reply_parsing(spark, sf_dir):
+    """A reply for each document, of twelve kinds."""
+    made = F.get(F.array(*[F.lit(reply.replace("%s", _SEGMENT)) for reply, _ in _REPLIES]), (F.col("doc_id") % 12).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", parsing.parsed_candidate(made).alias("c"))
+    return rows.select("doc_id", "c.reason", F.coalesce(F.size(parsing.timeline(F.col("c"))), F.lit(0)).alias("segments"), "c.envelope")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0 WHEN c_custkey % 10 < 3 THEN 0 ELSE greatest(0, least(1, round(c_acctbal / 5000, 6))) END AS clipped, CASE WHEN c_custkey % 10 = 0 THEN 'n/a' ELSE printf('%.4f', c_acctbal) END AS text FROM customer")
+def clipped_numbers(spark, sf_dir):
+    k, x = F.col("c_custkey") % 10, F.col("c_acctbal").cast("double")
+    value = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(F.round(x / 5000, 6))
+    return table(spark, sf_dir, "customer").select("c_custkey", vectors.clip01(value).alias("clipped"), text.four_digits(F.when(k != 0, x)).alias("text"))
+
+
+_BROKEN = (
+    ("protocol_fingerprint", F.lit, "x", "protocol_fingerprint is invalid"), ("experiment_version", F.lit, "x", "experiment_version is invalid"), ("prompt_version", F.lit, "x", "prompt_version is invalid"), ("requested_slots", F.lit, 3, "the requested slot count is invalid"),
+    ("valid_slots", F.lit, 3, "valid_slots does not match the slots"), ("full_pool", F.lit, False, "full_pool does not match the slots"), ("direct_id", F.lit, "c2", "the direct candidate is not C1"), ("best_id", F.lit, "c3", "the selected candidate is not the best"),
+    *[(f"efficiency.{n}", F.lit, 99, f"efficiency.{n} differs from " + ("the slots" if whole else "C1")) for n, (_, whole) in contracts.COUNTS.items()],
+    ("efficiency.sampled_frames", F.lit, 3, "efficiency.sampled_frames differs from the sampling"), ("efficiency.metric_seconds", F.lit, -1.0, "efficiency.metric_seconds is not a duration"), ("efficiency.direct_seconds", F.lit, 2.0, "efficiency.direct_seconds is inconsistent"),
+    ("efficiency.best_seconds", F.lit, 2.0, "efficiency.best_seconds is inconsistent"), ("efficiency.generation_seconds", F.lit, 3.0, "efficiency.generation_seconds is shorter than its requests"), ("efficiency.pipeline_seconds", F.lit, 4.0, "efficiency.pipeline_seconds is shorter than its parts"),
+    ("sampling.source_kind", F.lit, "made", "sampling did not use a real source"), ("sampling.fallback_used", F.lit, True, "sampling used a fallback"), ("sampling.eligible", F.lit, False, "sampling is not eligible"),
+)
+
+
+def _whole_row() -> dict:
+    """A result row without a fault."""
+    usage = {"input_tokens": 2, "output_tokens": 3, "total_tokens": 5}
+    attempt = {"attempt": 1, "prompt_kind": "base_generation", "status": "accepted", "request_seconds": 1.0, "returned_model_id_conflict": False, "visual_input_frames": 2}
+    slots = [{"candidate_index": i, "terminal_status": "valid", "candidate_id": f"c{i}", "request_count": 1, "transport_request_count": 1, "request_seconds": 1.0, "usage": usage, "attempts": [attempt]} for i in range(1, 5)]
+    once = {"requests": 1, "semantic_attempts": 1, **usage}
+    spent = {f"{who}_{what}": n * v for who, n in (("generation", 4), ("direct", 1), ("best", 4)) for what, v in once.items()}
+    seconds = {"sampling_seconds": 0.5, "reward_encoding_seconds": 0.1, "reward_scoring_seconds": 0.4, "selection_seconds": 0.0, "direct_seconds": 1.5, "best_seconds": 5.0, "generation_seconds": 4.0, "metric_seconds": 0.2, "pipeline_seconds": 6.0}
+    return {
+        "sample_key": "s", "video_id": "v", "experiment_version": "e", "prompt_version": "q", "requested_slots": 4, "protocol_fingerprint": "p", "generation_source": "multimodal_model",
+        "sampling": {"source_kind": "video", "fallback_used": False, "eligible": True, "selected_indices": [0, 3], "bin_ids": [0, 1]}, "slots": slots,
+        "candidates": [{"candidate_index": i, "candidate_id": f"c{i}", "reward": r} for i, r in zip(range(1, 5), (0.1, 0.5, 0.5, 0.2), strict=True)], "valid_slots": 4, "full_pool": True, "direct_id": "c1", "best_id": "c2",
+        "efficiency": spent | seconds | {"sampled_frames": 2, "seconds_by_slot": [1.0] * 4, "usage_by_slot": [usage] * 4, "scoring_seconds_by_slot": [0.1] * 4},
+    }
+
+
+@query(f"SELECT c_custkey, CASE c_custkey % {len(_BROKEN) + 1} " + " ".join(f"WHEN {i} THEN '{b[3]}'" for i, b in enumerate(_BROKEN)) + " END AS issue FROM customer")
+def row_contract(spark, sf_dir):
+    """A result row for each customer, with one of the faults or none."""
+    row = spark.createDataFrame([_whole_row()], contracts.RESULT)
+    rows, k = table(spark, sf_dir, "customer").select("c_custkey").crossJoin(F.broadcast(row)), F.col("c_custkey") % (len(_BROKEN) + 1)  # one row
+    for i, (path, lit, value, _) in enumerate(_BROKEN):
+        name, _, inner = path.partition(".")
+        old = F.col(name)
+        new = old.withField(inner, lit(value).cast(row.schema[name].dataType[inner].dataType)) if inner else lit(value).cast(row.schema[name].dataType)
+        rows = rows.withColumn(name, F.when(k == i, new).otherwise(old))
+    return contracts.with_issues(rows, "p", "e", "q").select("c_custkey", "issue")
+
+
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_concat(string_split(text, ' '), flatten(list_transform(range(8), lambda i: string_split(text, ' ')[1:doc_id % 10 + 1]))) ELSE string_split(text, ' ') END AS t FROM documents)
 SELECT doc_id, coalesce(CASE WHEN len(t) >= 128 THEN list_filter([1, 2, 3, 4, 5, 6, 7, 8], lambda p: len(t) >= 8 * p AND t[len(t) - 8 * p + 1:] = flatten(list_transform(range(8), lambda i: t[len(t) - p + 1:])))[1] END, 0) AS period FROM t""")
 def repeated_tail(spark, sf_dir):
