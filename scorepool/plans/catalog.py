@@ -382,6 +382,58 @@ def row_contract(spark, sf_dir):
     return contracts.with_issues(rows, "p", "e", "q").select("c_custkey", "issue")
 
 
+@query("""SELECT c_custkey, 'c' || c_custkey AS sample_key, 'the selected candidate is not the best' AS issue FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT c_custkey, 'c' || c_custkey, 'not a current sample' FROM customer WHERE c_nationkey % 5 = 0""")
+def resume_check(spark, sf_dir):
+    """Earlier results of every customer, every seventh broken; the current samples lack those of every fifth nation."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit("c"), "c_custkey").alias("key"))
+    row = spark.createDataFrame([_whole_row()], contracts.RESULT).drop("sample_key", "best_id")
+    results = c.crossJoin(F.broadcast(row)).withColumns({"sample_key": F.col("key"), "best_id": F.when(F.col("c_custkey") % 7 == 0, "c4").otherwise("c2")})  # one row
+    issues = contracts.resume_issues(results, c.where("c_nationkey % 5 <> 0").select(F.col("key").alias("sample_key")), "p")
+    return issues.select(F.substring("sample_key", 2, 20).cast("long").alias("c_custkey"), "sample_key", "issue")
+
+
+_MATRIX_ROW = {"requested": 10, "direct_ok": 8, "direct_success_rate": 0.8, "direct_cond_reward": 0.5, "direct_eff_reward": 0.4, "best_of_4_ok": 9, "best_of_4_success_rate": 0.9, "best_of_4_cond_reward": 0.6, "best_of_4_eff_reward": 0.54}
+_MATRIX_BROKEN = (
+    ({"requested": 0}, "requested is not positive"), ({"direct_ok": 11}, "direct successes are out of range"), ({"best_of_4_success_rate": 0.8}, "best_of_4 success rate does not follow from its counts"),
+    ({"direct_cond_reward": None}, "direct reward: a conditional mean needs successes"), ({"direct_eff_reward": 1.5}, "direct reward: the effective mean is outside 0 to 1"), ({"best_of_4_eff_reward": 0.6}, "best_of_4 reward: effective and conditional means disagree"),
+    ({"direct_ok": 10, "direct_success_rate": 1.0, "direct_cond_reward": 0.4}, "direct succeeds more often than best_of_4"), ({"direct_cond_reward": 0.75, "direct_eff_reward": 0.6}, "the first candidate beats the best"),
+)
+
+
+@query(f"SELECT c_custkey, CASE c_custkey % {len(_MATRIX_BROKEN) + 1} " + " ".join(f"WHEN {i} THEN '{message}'" for i, (_, message) in enumerate(_MATRIX_BROKEN)) + " END AS issue FROM customer")
+def matrix_row_contract(spark, sf_dir):
+    """A matrix row for each customer, with one of the faults or none."""
+    k = F.col("c_custkey") % (len(_MATRIX_BROKEN) + 1)
+    columns = {}
+    for name, value in _MATRIX_ROW.items():
+        kind = "int" if isinstance(value, int) else "double"
+        out = F.lit(value).cast(kind)
+        for i, (changes, _) in enumerate(_MATRIX_BROKEN):
+            if name in changes:
+                out = F.when(k == i, F.lit(changes[name]).cast(kind)).otherwise(out)
+        columns[name] = out
+    rows = table(spark, sf_dir, "customer").select("c_custkey", *[v.alias(n) for n, v in columns.items()])
+    return rows.select("c_custkey", contracts.matrix_row_issue(("reward",)).alias("issue"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE event_id % 97 END AS input_tokens, CASE event_id % 6 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE event_id % 53 END AS output_tokens,
+CASE event_id % 3 WHEN 0 THEN 'say ' || event_type WHEN 1 THEN 'a' || event_type ELSE '' END AS text FROM events""")
+def response_fields(spark, sf_dir):
+    """Usage counts and message text of chat responses made from events: both namings, wrong and missing totals, parts and none."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    given, made, total = (k % 97).cast("string"), (k % 53).cast("string"), (k % 97 + k % 53).cast("string")
+    usage = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"input_tokens": '), given, F.lit(', "output_tokens": '), made, F.lit("}"))).when(k % 6 == 1, F.concat(F.lit('{"prompt_tokens": '), given, F.lit(', "completion_tokens": '), made, F.lit(', "total_tokens": '), total, F.lit("}")))
+        .when(k % 6 == 2, F.concat(F.lit('{"prompt_tokens": '), given, F.lit(', "completion_tokens": '), made, F.lit(', "total_tokens": 9999}'))).when(k % 6 == 4, F.concat(F.lit('{"prompt_tokens": '), given, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"input_tokens": '), given, F.lit(', "completion_tokens": '), made, F.lit("}")))
+    )
+    content = F.when(k % 3 == 0, F.concat(F.lit('"say '), "event_type", F.lit('"'))).when(k % 3 == 1, F.concat(F.lit('[{"type": "text", "text": "a"}, {"type": "text", "text": "'), "event_type", F.lit('"}, {"type": "image"}]'))).otherwise("null")
+    reply = F.concat(F.lit('{"choices": [{"message": {"content": '), content, F.lit("}}]}"))
+    out = e.select("event_id", parsing.usage_counts(F.parse_json(usage)).alias("u"), parsing.message_text(F.parse_json(reply)).alias("text"))
+    return out.select("event_id", "u.input_tokens", "u.output_tokens", "text")
+
+
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_concat(string_split(text, ' '), flatten(list_transform(range(8), lambda i: string_split(text, ' ')[1:doc_id % 10 + 1]))) ELSE string_split(text, ' ') END AS t FROM documents)
 SELECT doc_id, coalesce(CASE WHEN len(t) >= 128 THEN list_filter([1, 2, 3, 4, 5, 6, 7, 8], lambda p: len(t) >= 8 * p AND t[len(t) - 8 * p + 1:] = flatten(list_transform(range(8), lambda i: t[len(t) - p + 1:])))[1] END, 0) AS period FROM t""")
 def repeated_tail(spark, sf_dir):
