@@ -1,8 +1,8 @@
 """Benchmark decontamination by seeds of three words.
 
 Runs of SEED words of training texts and benchmark are joined by hash; a pair that shares one lies on a diagonal, on which the
-benchmark item is laid over the text. The best run on that diagonal decides, or the agreeing words of the whole item. Where at
-most a quarter of SHORT or more words differ, three in a row always agree, so no such overlap is missed. Shorter items are
+benchmark item is laid over the text. The best run on that diagonal decides, or all the words that the two share there, or the
+agreeing words of a whole item. Where at most a quarter of SHORT or more words differ, three in a row always agree, so no such overlap is missed. Shorter items are
 found word for word.
 """
 

@@ -319,6 +319,55 @@ def test_every_overlap_by_the_rules_is_found(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, b).collect()] == [len(texts) - 2]
 
 
+def plain_overlaps(text, items):
+    """Items that a text overlaps by the rules, every place of every item tried word by word."""
+    enough = lambda same: sum(same) >= decontaminate.MIN_AGREE and sum(same) >= decontaminate.MIN_SHARE * len(same)
+    found = set()
+    for k, item in enumerate(items):
+        n = len(item)
+        for shift in range(1 - n, len(text)):
+            lo, hi = max(0, shift), min(len(text), shift + n)
+            same = [text[i] == item[i - shift] for i in range(lo, hi)]
+            whole = hi - lo == n
+            if n < decontaminate.SHORT:
+                if whole and all(same) and n:
+                    found.add(k)
+                continue
+            best, low, start, run = 0.0, 0.0, 0, (0, 0)  # the run of greatest gain, the first of equals
+            gain = 0.0
+            for i, ok in enumerate(same):
+                gain += 1.0 if ok else -decontaminate.MISMATCH
+                if gain - low > best:
+                    best, run = gain - low, (start, i + 1)
+                if gain < low:
+                    low, start = gain, i + 1
+            if not enough(same[run[0] : run[1]]):
+                run = (0, hi - lo)  # all that the two share on this diagonal
+            if (whole and sum(same) >= decontaminate.MIN_SHARE * n) or enough(same[run[0] : run[1]]):
+                found.add(k)
+    return found
+
+
+@pytest.mark.parametrize("seed, vocabulary", [(1, 2), (2, 5), (3, 40)])
+def test_search_equals_brute_force(seed, vocabulary):
+    """Few different words, so that seeds meet by chance: no overlap is missed and none is made up."""
+    from scorepool.llm.common import Words
+
+    rng = np.random.default_rng(seed)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, vocabulary, n)]
+    items = [word(int(rng.integers(1, 26))) for _ in range(25)]
+    texts = []
+    for _ in range(40):
+        t = word(int(rng.integers(0, 12)))
+        for _ in range(2):
+            own = list(items[rng.integers(len(items))])[int(rng.integers(0, 4)) :]
+            t += [f"w{rng.integers(vocabulary)}" if rng.random() < 0.2 else x for x in own] + word(int(rng.integers(0, 6)))
+        texts.append(t)
+    index = decontaminate.Index([(i, " ".join(t)) for i, t in enumerate(items)])
+    got = {(r[0], r[1]) for r in index.search(Words(pa.array([" ".join(t) for t in texts]), lower=True))}
+    assert got == {(i, k) for i, t in enumerate(texts) for k in plain_overlaps(t, items)}
+
+
 # --- media --------------------------------------------------------------------------------------------------------
 
 
