@@ -51,14 +51,7 @@ def test_names_agree():
 
 
 def test_catalog_stands_without_the_corpus_operators(monkeypatch):
-    import builtins
-
-    real = builtins.__import__
-
-    def absent(name, *args, **kwargs):
-        if name == "corpus_pipeline" or name.startswith("scorepool.llm"):
-            raise ImportError(name)
-        return real(name, *args, **kwargs)
-
-    monkeypatch.setattr(builtins, "__import__", absent)
-    assert set(entry.queries()) == set(catalog.QUERIES)
+    real = entry.find_spec
+    for absent in ("corpus_pipeline", "scorepool.llm", "scorepool.llm.queries"):
+        monkeypatch.setattr(entry, "find_spec", lambda name, absent=absent: None if name == absent else real(name))
+        assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
