@@ -93,7 +93,7 @@ _CONTEXT = {
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
     "phone": ("phone", "call", "tel", "fax", "mobile", "ruf"),
 }
-_AGAINST = ("version", "order", "invoice", "isbn", "token", "page", "section", "chapter", "serial", "id", "ref", "date")
+_AGAINST = re.compile(r"\b(?:version|order|invoice|isbn|token|page|section|chapter|serial|id|ref|date)\b")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -122,9 +122,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         KINDS.index(kind), len(span), len(number), len(groups), max(groups, default=0), min(groups, default=0),
         float(luhn(number)) if number else 0.0, max(parts, default=0) <= 255, span.count(" "), span.count("-"), span.count("."), span.count("/"),
         "(" in span, "[" in span, "@" in span, " dot " in span.lower() or "dot]" in span.lower() or "dot)" in span.lower(), edge[0].isalnum(), edge[1].isalnum(),
-        edge[0] in "+#$.-_/", edge[1] in "%-_/", any(w in before for w in _CONTEXT[kind]), any(re.search(rf"\b{w}\b", before) for w in _AGAINST),
+        edge[0] in "+#$.-_/", edge[1] in "%-_/", any(w in before for w in _CONTEXT[kind]), _AGAINST.search(before) is not None,
         span.count(":"), number[:1] in ("3", "4", "5", "6"), groups[-1] if groups else 0, groups[0] if groups else 0, span[:2] == "00", sum(c.isalpha() for c in span),
-        bool(re.search("[0-9] ?$", before)) + 2 * bool(re.match(" ?[0-9]", text[end : end + 2])),
+        before.rstrip(" ")[-1:].isdigit() + 2 * text[end : end + 2].lstrip(" ")[:1].isdigit(),
     ]
 
 
