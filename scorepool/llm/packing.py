@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorepool.llm.common import crc, doc_text, materialise, slices
-from scorepool.llm.tokenise import default_path, text_ids, with_end
+from scorepool.llm.tokenise import TEXT_BYTES, default_path, text_ids, with_end
 
 CAPACITY = 2048
 #: Lengths up to the capacity over one of these are small, to be placed best-fit after the rest; the split that needs fewest sequences is taken.
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
         here = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 flat, many = with_end(*text_ids(part.column("text"), path, split=True), end_id)
                 pieces_of = -(-many // capacity)
                 row = np.repeat(np.arange(len(many)), pieces_of)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorepool.llm.common import crc, doc_text, materialise, slices
-from scorepool.llm.tokenise import default_path, text_ids, with_end
+from scorepool.llm.tokenise import TEXT_BYTES, default_path, text_ids, with_end
 
 MAGIC = b"CMR2"
 WIDE = 1
@@ -380,7 +380,7 @@ def write_files(docs: DataFrame, vocabulary_path: str | None = None, end_id: int
             return row
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 column = part.column("doc_id")
                 doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
                 null.append(column.is_null().to_numpy(zero_copy_only=False))

@@ -17,6 +17,8 @@ from scorepool.llm.common import Words, mix64, utf8
 
 #: Words and ids kept in a worker's memo; beyond either it starts anew. They change speed only.
 MEMO_WORDS, MEMO_IDS = 1 << 20, 1 << 23
+#: Text to be tokenised at once, in bytes: a slice's arrays take about 50 times that.
+TEXT_BYTES = 1 << 20
 #: Longest word that is kept, in bytes.
 LONG_WORD = 200
 
@@ -175,7 +177,8 @@ class Memo:
         letter = _LETTER[w.data]
         second = np.flatnonzero(w.data == 0xC3) + 1
         letter[second] = _LATIN[w.data[second]]
-        strange = np.concatenate([[0], np.cumsum(~letter)])
+        strange = np.zeros(len(letter) + 1, np.int64 if len(letter) >> 31 else np.int32)
+        np.cumsum(~letter, out=strange[1:])
         mark = np.where(size > 1, w.data[np.maximum(w.end - 1, 0)], 0) if len(size) else size
         marked = ((mark == 0x2E) | (mark == 0x2C)) & (strange[w.end] - strange[w.start] == 1)
         w.end -= marked
