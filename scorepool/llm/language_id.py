@@ -89,16 +89,22 @@ def counted(texts: pa.Array) -> np.ndarray:
     return np.bincount(grams(*utf8(texts))[0], minlength=BUCKETS)
 
 
-def fit(languages: list[str], counts: Iterable[np.ndarray]) -> Model | None:
-    """Log-odds of each bucket for each bit, from each language's counts in turn; every language weighs the same. None without languages."""
+def fit(languages: list[str], counts: Iterable[tuple[str, np.ndarray]]) -> Model | None:
+    """Log-odds of each bucket for each bit, from each language's counts in turn; every language weighs the same.
+    None without languages."""
     if not languages:
         return None
     code = codewords(len(languages))
     on, total = np.zeros((BUCKETS, code.shape[1])), np.zeros((BUCKETS, 1))
-    for word, n in zip(code, counts, strict=True):
+    held = dict.fromkeys(languages)
+    for language, n in counts:
         rate = ((n + 0.05) / (n.sum() + 0.05 * BUCKETS))[:, None]
-        on += rate * (word > 0)
+        on += rate * (code[languages.index(language)] > 0)
         total += rate
+        del held[language]
+    for language in held:  # the sample has no row of it
+        on += (code[languages.index(language)] > 0) / BUCKETS
+        total += 1 / BUCKETS
     many = (code > 0).sum(0)
     both = many < len(languages)
     weights = np.where(both, np.log(on / many) - np.log(np.maximum(total - on, 1e-300) / np.maximum(len(languages) - many, 1)), 0.0)
@@ -138,14 +144,8 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
         return pa.table({"lang": table.column("lang")[:1], "n": [total.astype("<i8").tobytes()]})
 
     sums = rows.mapInArrow(count, "lang string, bucket binary, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary")
-    got = (np.zeros(BUCKETS, np.int64) if r["n"] is None else np.frombuffer(r["n"], "<i8") for r in _named(sums, languages).toLocalIterator())
-    return fit(languages, got)
-
-
-def _named(sums: DataFrame, languages: list[str]) -> DataFrame:
-    """A row for each language in order; a language of which the sample has no row keeps null."""
-    names = sums.sparkSession.createDataFrame([(i, x) for i, x in enumerate(languages)], "place int, lang string")
-    return names.join(sums, "lang", "left").orderBy("place").select("n")
+    # in order of language, so that sums of doubles come out alike each time
+    return fit(languages, ((r["lang"], np.frombuffer(r["n"], "<i8")) for r in sums.orderBy("lang").toLocalIterator()))
 
 
 def _lettered(text: str) -> bool:

@@ -532,5 +532,5 @@ def test_training_equals_counting_by_hand(spark):
     """Small tables are learned whole, so the model is that of plain counts; repeated rows and null ids count."""
     rows = [(1, "the cat", "en"), (1, "the cat", "en"), (None, "le chat", "fr"), (3, None, "fr"), (4, "un chien", "fr"), (5, "x", None)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    by_hand = language_id.fit(["en", "fr"], [language_id.counted(pa.array(["the cat", "the cat"])), language_id.counted(pa.array(["le chat", "un chien"]))])
+    by_hand = language_id.fit(["en", "fr"], [("en", language_id.counted(pa.array(["the cat", "the cat"]))), ("fr", language_id.counted(pa.array(["le chat", "un chien"])))])
     assert model.languages == by_hand.languages and np.array_equal(model.weights, by_hand.weights)
