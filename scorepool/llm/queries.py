@@ -78,14 +78,26 @@ def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.where(learns)), learns)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_token_files, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op7_webp, op8_language_id, op9_packing, op10_ctw_scores)
+    for f in (op1_token_counts, op2_token_files, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op7_webp, op8_language_id, op9_packing, op10_ctw_scores, op11_importance)
 }
 
 _SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: crc32 of each distinct string of `src` (column k), as a query: the table of 256 remainders is built by the rule, then bytes are folded in.
+_SQL_CRC = """crc_rem AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::UBIGINT] || [b::UBIGINT FOR b IN range(8)], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384::UBIGINT, a >> 1) ELSE a >> 1 END) AS v FROM range(256) t(i))),
+crc_bytes AS (SELECT k, [(strpos('0123456789ABCDEF', h[2 * j - 1]) * 16 + strpos('0123456789ABCDEF', h[2 * j]) - 17)::UBIGINT FOR j IN range(1, len(h) // 2 + 1)] AS b FROM (SELECT k, hex(k) AS h FROM (SELECT DISTINCT k FROM {src}))),
+crcs AS (SELECT k, xor(list_reduce([4294967295::UBIGINT] || b, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM crc_bytes, crc_rem)"""
+_SQL_RUNS = r"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: The others can't be written in SQL as they stand (tokenizers, trained models, codecs); tests hold them against brute-force
 #: versions, exact round trips and held-out examples instead.
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +115,14 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b
 links AS (SELECT p.a, p.b FROM pairs p JOIN size x ON p.a = x.doc_id JOIN size y ON p.b = y.doc_id WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN size ON d.doc_id = size.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON d.doc_id = c.a""",
+    "op11_importance": f"""WITH dw AS (SELECT row_number() OVER () AS row, doc_id, {_SQL_RUNS.format(lowered=_LOWERED)} AS ws FROM documents),
+d AS (SELECT row, unnest(ws) AS k FROM dw), b AS (SELECT unnest({_SQL_RUNS.format(lowered=_LOWERED)}) AS k FROM benchmark),
+{_SQL_CRC.format(src="(SELECT k FROM d UNION ALL SELECT k FROM b)")},
+s AS (SELECT crc % 10000 AS bucket, count(*) AS n FROM d JOIN crcs USING (k) GROUP BY 1), t AS (SELECT crc % 10000 AS bucket, count(*) AS n FROM b JOIN crcs USING (k) GROUP BY 1),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t ON s.bucket = t.bucket),
+w AS (SELECT row, count(*) AS n, sum(g) AS g FROM d JOIN crcs USING (k) JOIN gain ON gain.bucket = crc % 10000 GROUP BY row),
+each AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE ((g - ((g % n) + n) % n) // n)::BIGINT END AS weight,
+floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM dw LEFT JOIN w USING (row)),
+ranked AS (SELECT doc_id, n_features, weight, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS r, 10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100 AS drawn FROM each)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= drawn THEN r END AS rank FROM ranked""",
 }
