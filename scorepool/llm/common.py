@@ -52,14 +52,19 @@ def release(spark: SparkSession) -> int:
     return sum(p.getFileSystem(hadoop).delete(p, True) for p in paths)
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
+    _written.append(scratch_path(spark, name))
+    return _written[-1]
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, so a lost executor costs only its own tasks.
 
     The table stays until release() is called, as the frame returned is lazy.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _written.append(path)
+    path = scratch_table(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -84,9 +84,21 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.manifest import verified
+
+    return verified(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorepool.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_token_files, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op7_webp, op8_language_id, op9_packing, op10_ctw_scores, op11_importance)
+    for f in (op1_token_counts, op2_token_files, op3_pii, op4_decontaminate, op5_substring_dedup, op6_ngram_join, op7_webp, op8_language_id, op9_packing, op10_ctw_scores, op11_importance, op12_manifest, op13_warc)
 }
 
 _SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -98,6 +110,19 @@ crc_bytes AS (SELECT k, [(strpos('0123456789ABCDEF', h[2 * j - 1]) * 16 + strpos
 crcs AS (SELECT k, xor(list_reduce([4294967295::UBIGINT] || b, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM crc_bytes, crc_rem)"""
 _SQL_RUNS = r"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _sql_leaf(text: str) -> str:
+    each = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(each)})"
+
+
+def _sql_tree(name: str, nodes: str) -> str:
+    """All nodes (tree, lvl, idx, n, hash, pre) over nodes (tree, idx, n, hash), parents by eights."""
+    pre = "string_agg(hash, '' ORDER BY idx)"
+    return f"""{name}(tree, lvl, idx, n, hash, pre) AS (SELECT tree, 0, idx, n, hash, '' FROM {nodes} UNION ALL
+SELECT tree, lvl + 1, idx // 8, max((n + 7) // 8), sha256({pre}), {pre} FROM {name} WHERE n > 1 GROUP BY tree, lvl, idx // 8)"""
+
+
 #: The others can't be written in SQL as they stand (tokenizers, trained models, codecs); tests hold them against brute-force
 #: versions, exact round trips and held-out examples instead.
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +150,23 @@ each AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0
 floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM dw LEFT JOIN w USING (row)),
 ranked AS (SELECT doc_id, n_features, weight, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS r, 10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100 AS drawn FROM each)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= drawn THEN r END AS rank FROM ranked""",
+    "op12_manifest": f"""WITH RECURSIVE {_SQL_CRC.format(src="(SELECT coalesce(doc_id::VARCHAR, '') AS k FROM documents)")},
+rows AS (SELECT row_number() OVER () AS row, CASE WHEN lang IS NULL THEN '' ELSE ':' || lang END AS tree, doc_id, {_sql_leaf("text")} AS hash,
+{_sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low FROM documents),
+leaf AS (SELECT row, tree, doc_id, hash, CASE WHEN crc % 3 = 0 THEN low ELSE hash END AS now, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+FROM rows JOIN crcs ON k = coalesce(doc_id::VARCHAR, '')),
+{_sql_tree("up", "leaf")},
+subroot AS (SELECT '' AS tree, tree AS name, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+{_sql_tree("top", "subroot")},
+steps AS (SELECT l.row, 0 AS part, u.lvl, u.pre, (l.idx // (8 ** (u.lvl - 1))::BIGINT) % 8 AS slot FROM leaf l JOIN up u ON u.tree = l.tree AND u.lvl > 0 AND u.idx = l.idx // (8 ** u.lvl)::BIGINT
+UNION ALL SELECT l.row, 1, t.lvl, t.pre, (s.idx // (8 ** (t.lvl - 1))::BIGINT) % 8 FROM leaf l JOIN subroot s ON s.name = l.tree JOIN top t ON t.lvl > 0 AND t.idx = s.idx // (8 ** t.lvl)::BIGINT),
+cut AS (SELECT row, part, lvl, substr(pre, 1, 64 * slot) AS a, substr(pre, 64 * slot + 65) AS b FROM steps),
+path AS (SELECT row, string_agg(a || b, '' ORDER BY part, lvl) AS around, list({{'h': '', 'a': a, 'b': b}} ORDER BY part, lvl) AS sides FROM cut GROUP BY row),
+proof AS (SELECT l.doc_id, l.hash AS leaf, s.hash AS subroot, (SELECT hash FROM top WHERE n = 1) AS root, sha256(coalesce(around, '')) AS proof_sha256,
+list_reduce([{{'h': now, 'a': '', 'b': ''}}] || coalesce(sides, []), lambda x, y: {{'h': sha256(y.a || x.h || y.b), 'a': '', 'b': ''}}).h AS folded_root FROM leaf l JOIN subroot s ON s.name = l.tree LEFT JOIN path USING (row))
+SELECT *, folded_root = root AS verified FROM proof""",
+    "op13_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last,
+strlen(html) >= 1000 AND row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) > 1 AS again FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM q""",
 }
