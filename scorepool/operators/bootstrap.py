@@ -1,28 +1,61 @@
-"""Cluster bootstrap of pooled means: Spark sums by cluster; the driver draws from up to DRIVER_CLUSTERS of them, and Spark from more.
+"""Cluster bootstrap of pooled means, with draws that are functions of (seed, replicate, cluster).
 
-Drawing n of n clusters with replacement gives multinomial counts. Split over stretches of clusters they stay so: first how many
-draws fall into each stretch, then the counts within it. So tasks draw each for its own stretch, from a generator seeded by it,
-and only a sum for each replicate leaves a task."""
+Each replicate weighs each cluster by a Poisson number of mean 1, read off a hash: the bootstrap's draw with replacement in the form that
+needs no list of clusters, no order and no generator. Every task draws for the clusters it holds, only weighted sums for each replicate
+leave it, and a lost task draws the same again. The same hashes in SQL give the same intervals.
+"""
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
 from scorepool.operators.stats import effective
 
-#: Clusters that the driver draws from at most, one sequence of draws for all; with more, tasks draw, STRETCH clusters each.
-DRIVER_CLUSTERS, STRETCH = 1_000_000, 100_000
+#: Replicates that share a hash: eight hexadecimal digits of the 64 for each.
+PER_HASH = 8
+
+
+def poisson_steps() -> list[int]:
+    """A 32-bit number that reaches the first k of these steps stands for a Poisson number (mean 1) of at least k."""
+    steps, total, k = [], 0.0, 0
+    while True:
+        total += math.exp(-1) / math.factorial(k)
+        step = math.floor(total * 2**32)
+        if step >= 2**32 or (steps and step == steps[-1]):
+            return steps
+        steps.append(step)
+        k += 1
+
+
+def cluster_weights(cluster: Column, replicates: int, seed: int) -> Column:
+    """array<struct<replicate int, w int>> of a cluster: its weight in every replicate. A null cluster is one like others."""
+    name = F.coalesce(F.concat(F.lit(":"), cluster.cast("string")), F.lit("-"))
+
+    def block(b: Column) -> Column:
+        digits = F.sha2(F.concat(F.lit(f"{seed}:"), b.cast("string"), name).cast("binary"), 256)
+
+        def weight(k: int) -> Column:
+            h = F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long")
+            w = F.lit(0)
+            for n, step in enumerate(poisson_steps(), 1):
+                w = F.when(h >= step, n).otherwise(w)
+            return F.struct((b * PER_HASH + k).alias("replicate"), w.alias("w"))
+
+        return F.array(*[weight(k) for k in range(PER_HASH)])
+
+    blocks = F.sequence(F.lit(0), F.lit(max(0, -(-replicates // PER_HASH) - 1)))
+    return F.filter(F.flatten(F.transform(blocks, block)), lambda x: x["replicate"] < max(0, replicates))
 
 
 def interval(counts: np.ndarray, sums: np.ndarray, replicates: int, rng: np.random.Generator) -> list[float]:
-    """The percentile interval (2.5, 97.5) of the pooled mean over clusters drawn with replacement, rounded to six places.
+    """The percentile interval (2.5, 97.5) of the pooled mean over clusters that one generator draws with replacement, rounded to six
+    places: for a single in-memory list of clusters, where figures are to be compared with such a sequence of draws.
 
     No clusters give zeros; one cluster or no replicates give the mean twice, without a draw.
     """
@@ -48,73 +81,33 @@ def cluster_sums(picked: DataFrame, metrics: Iterable[str], cluster: str) -> Dat
     return picked.groupBy("method", F.col(cluster).cast("string").alias("cluster")).agg(*aggs)
 
 
-def materialised(sums: DataFrame) -> DataFrame:
-    """Kept for the count and what follows; recomputed where an executor is lost."""
-    return sums.persist()
-
-
-def spread_intervals(sums: DataFrame, metrics: tuple[str, ...], methods: tuple[str, ...], replicates: int, seed: int) -> DataFrame:
-    """cluster_intervals() of any number of clusters: rows of cluster_sums dealt into stretches by a hash of the cluster."""
-    spark = sums.sparkSession
-    long = sums.select("method", "cluster", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(e).alias("estimand"), F.col(n).alias("n"), F.col(v).alias("v")) for m in metrics for e, n, v in (("conditional", f"n_{m}", f"cond_{m}"), ("effective", "n", f"eff_{m}"))])).alias("x"))
-    long = long.select("method", "cluster", "x.*").where("n > 0")
-    most = sums.groupBy("method").count().agg(F.max("count")).first()[0] or 1
-    stretches = max(1, -(-most // STRETCH))
-    dealt = long.withColumn("stretch", F.pmod(F.xxhash64("cluster"), F.lit(stretches)).cast("int"))
-    sizes = {(r["method"], r["metric"], r["estimand"], r["stretch"]): r["count"] for r in dealt.groupBy("method", "metric", "estimand", "stretch").count().collect()}
-    own_seed = lambda *key: np.random.SeedSequence([seed, zlib.crc32(repr(key).encode())])
-    share: dict[tuple, np.ndarray] = {}
-    for group in sorted({k[:3] for k in sizes}):  # how many draws of each replicate fall into each stretch
-        held = sorted(k for k in sizes if k[:3] == group)
-        n = np.array([sizes[k] for k in held])
-        drawn = np.random.default_rng(own_seed(group)).multinomial(n.sum(), n / n.sum(), size=max(replicates, 0))
-        share.update({k: drawn[:, i] for i, k in enumerate(held)})
-    draws = spark.sparkContext.broadcast(share)  # stretches x replicates
-
-    def draw(key, table):
-        name = tuple(x.as_py() for x in key)
-        table = table.sort_by("cluster")
-        n, v = table.column("n").to_numpy(), table.column("v").to_numpy()
-        rng, even = np.random.default_rng(own_seed(name)), np.full(len(n), 1 / len(n))
-        out = [(k, *(float(x) for x in (c @ n, c @ v))) for k, many in enumerate(draws.value[name].tolist()) for c in [rng.multinomial(many, even)]]
-        out.append((-1, float(n.sum()), float(v.sum())))
-        return pa.table({"method": [name[0]] * len(out), "metric": [name[1]] * len(out), "estimand": [name[2]] * len(out), **{c: list(x) for c, x in zip(("replicate", "n", "v"), zip(*out, strict=True), strict=True)}}, schema=_DRAWS)
-
-    got = dealt.groupBy("method", "metric", "estimand", "stretch").applyInArrow(draw, "method string, metric string, estimand string, replicate long, n double, v double")
-    means = got.groupBy("method", "metric", "estimand", "replicate").agg((F.sum("v") / F.sum("n")).alias("m"))
-    ends = means.groupBy("method", "metric", "estimand").agg(F.percentile(F.when(F.col("replicate") >= 0, F.col("m")), F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.max(F.when(F.col("replicate") < 0, F.col("m"))).alias("whole"))
-    found = {(r["method"], r["metric"], r["estimand"]): r for r in ends.collect()}
-    out = []
-    for method in methods:
-        for m in metrics:
-            for e in ("conditional", "effective"):
-                r = found.get((method, m, e))
-                low, high = (None, None) if r is None else r["p"] or [r["whole"]] * 2
-                out.append((method, m, e, *(None if x is None else round(x, 6) for x in (low, high))))
-    return spark.createDataFrame(out, "method string, metric string, estimand string, low double, high double")
-
-
-_DRAWS = pa.schema([("method", pa.string()), ("metric", pa.string()), ("estimand", pa.string()), ("replicate", pa.int64()), ("n", pa.float64()), ("v", pa.float64())])
+def replicate_sums(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Of rows of cluster_sums: (method, replicate, weighted sums), summed in each task before they are shuffled."""
+    drawn = sums.withColumn("_x", F.explode(cluster_weights(F.col("cluster"), replicates, seed)))
+    values = [c for c in sums.columns if c not in ("method", "cluster")]
+    return drawn.groupBy("method", F.col("_x.replicate").alias("replicate")).agg(*[F.sum(F.col(c) * F.col("_x.w")).alias(c) for c in values])
 
 
 def cluster_intervals(picked: DataFrame, metrics: tuple[str, ...], cluster: str, methods: tuple[str, ...], replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """Rows (method, metric, estimand, low, high). One generator serves methods, metrics, then conditional before effective, in that order;
-    a metric without successes takes no conditional draw."""
-    spark, rng, out = picked.sparkSession, np.random.default_rng(seed), []
-    sums = materialised(cluster_sums(picked, metrics, cluster))
-    most = sums.groupBy("method").count().agg(F.max("count")).first()[0] or 0
-    if most > DRIVER_CLUSTERS:
-        return spread_intervals(sums, metrics, methods, replicates, seed)
-    table = sums.toPandas().sort_values(["method", "cluster"], kind="stable")
-    for method in methods:
-        own = table[table["method"] == method]
-        for m in metrics:
-            some = own[own[f"n_{m}"] > 0]
-            if len(some):
-                out.append((method, m, "conditional", *interval(some[f"n_{m}"].to_numpy(), some[f"cond_{m}"].to_numpy(), replicates, rng)))
-            else:
-                out.append((method, m, "conditional", None, None))
-            out.append((method, m, "effective", *interval(own["n"].to_numpy(), own[f"eff_{m}"].to_numpy(), replicates, rng)))
-    return spark.createDataFrame(out, "method string, metric string, estimand string, low double, high double")
-
+    """Rows (method, metric, estimand, low, high): the percentile interval (2.5, 97.5) of each pooled mean, to six places.
 
+    A metric without successes has a null conditional interval. No rows of a method give an effective one of zeros; one cluster, or
+    replicates <= 0, give the mean twice. A replicate in which every cluster weighs 0 has no mean and doesn't count.
+    """
+    spark = picked.sparkSession
+    sums = cluster_sums(picked, metrics, cluster)
+    pairs = [(m, e, f"n_{m}" if e == "conditional" else "n", f"{e[:4] if e == 'conditional' else 'eff'}_{m}") for m in metrics for e in ("conditional", "effective")]
+
+    def long(rows: DataFrame, *others: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(e).alias("estimand"), F.col(n).cast("double").alias("n"), F.col(v).alias("v")) for m, e, n, v in pairs])
+        return rows.select("method", *others, F.explode(each).alias("x")).select("method", *others, "x.*").where("n > 0")
+
+    keys = ["method", "metric", "estimand"]
+    whole = long(sums, "cluster").groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"), (F.sum("v") / F.sum("n")).alias("mean"))
+    drawn = long(replicate_sums(sums, replicates, seed), "replicate").withColumn("m", F.col("v") / F.col("n"))
+    ends = drawn.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))  # `replicates` values
+    wanted = spark.createDataFrame([(method, m, e) for method in methods for m, e, _, _ in pairs], "method string, metric string, estimand string")
+    both = wanted.join(whole, keys, "left").join(ends, keys, "left")
+    none = F.when(F.col("estimand") == "effective", 0.0)
+    end = lambda k: F.round(F.when(F.col("clusters").isNull(), none).when((F.col("clusters") == 1) | F.col("p").isNull(), F.col("mean")).otherwise(F.col("p")[k]), 6)
+    return both.select(*keys, end(0).alias("low"), end(1).alias("high"))

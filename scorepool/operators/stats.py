@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import LOWER_IS_BETTER
+from scorepool.operators.quantiles import exact_quantiles, joined_groups
 
 
 def effective(metric: str) -> Column:
@@ -36,13 +37,15 @@ def mean_or_zero(x: str) -> Column:
 
 
 def efficiency(rows: DataFrame, keys: tuple[str, ...], by: tuple[str, ...] = (), total: bool = True) -> DataFrame:
-    """Per group and key: mean, exact median and 95th percentile (linear interpolation), and the total. Values must not be negative."""
-    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])).alias("x")).select(*by, "x.key", "x.value")
-    checked = F.when(F.col("value") < 0, F.raise_error(F.lit("an efficiency value is negative"))).otherwise(F.col("value"))
-    held = long.withColumn("value", checked)
-    out = held.groupBy(*by, "key").agg(F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("_p"), F.sum("value").alias("total"))
-    names = [*by, "key", "mean", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p95")]
-    return out.select(*names, "total") if total else out.select(*names)
+    """Per group and key: mean, exact median and 95th percentile (linear interpolation), and the total. Values must not be negative; a
+    key without values has nulls. Ranks are selected from counts, so that no task holds a group's values."""
+    checked = lambda k: F.when(F.col(k).cast("double") < 0, F.raise_error(F.lit("an efficiency value is negative"))).otherwise(F.col(k).cast("double"))
+    held = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("key"), checked(k).alias("value")) for k in keys])))
+    group = (*by, "key")
+    sums = held.groupBy(*group).agg(F.avg("value").alias("mean"), F.sum("value").alias("total"))
+    ranks = exact_quantiles(held, group, "value", {"median": 0.5, "p95": 0.95}).drop("n")
+    out = joined_groups(sums, ranks, group, "left")
+    return out.select(*group, "mean", "median", "p95", *(["total"] if total else []))
 
 
 def method_efficiency(slots: DataFrame, sums: tuple[str, ...], methods: dict[str, int], key: str = "sample_key", index: str = "candidate_index") -> DataFrame:

@@ -627,7 +627,18 @@ def failure_reasons(spark, sf_dir):
     return rolled.groupBy("reason").agg(F.count(F.lit(1)).alias("slots"), F.sum("attempts").alias("attempts"))
 
 
-@query()
+def _bootstrap_sql(metrics: tuple[str, ...], worst: dict[str, int]) -> str:
+    """Weights from the same hashes, weighted sums for each replicate, and their percentiles."""
+    weight = " + ".join(f"CAST(h >= {step} AS INT)" for step in bootstrap.poisson_steps())
+    sums = ", ".join(f"count({m}) AS n_{m}, coalesce(sum({m}), 0) AS cond_{m}, sum(coalesce({m}, {worst.get(m, 0)})) AS eff_{m}" for m in metrics)
+    each = " UNION ALL ".join(f"SELECT method, cluster, '{m}' AS metric, '{e}' AS estimand, {n} AS n, {v} AS v FROM c" for m in metrics for e, n, v in (("conditional", f"n_{m}", f"cond_{m}"), ("effective", "n", f"eff_{m}")))
+    return f"""c AS (SELECT method, CAST(sample_key % 40 AS VARCHAR) AS cluster, count(*) AS n, {sums} FROM sel GROUP BY 1, 2), l AS ({each}),
+h AS (SELECT cluster, r, CAST('0x' || substr(sha256('{C.BOOTSTRAP_SEED}:' || (r // {bootstrap.PER_HASH}) || ':' || cluster), 8 * (r % {bootstrap.PER_HASH}) + 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT cluster FROM c), range({C.BOOTSTRAP_REPLICATES}) t(r)),
+d AS (SELECT method, metric, estimand, sum(v * ({weight})) / sum(n * ({weight})) AS m FROM l JOIN h USING (cluster) WHERE n > 0 GROUP BY method, metric, estimand, r HAVING sum(n * ({weight})) > 0)
+SELECT method, metric, estimand, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM d GROUP BY 1, 2, 3"""
+
+
+@query(f"WITH {_PICK}, {_bootstrap_sql(_METRICS, {m: 1 for m in C.LOWER_IS_BETTER})}")
 def cluster_bootstrap_ci(spark, sf_dir):
     slots = V.slots(spark, sf_dir)
     picked = selection.selections(slots, _METRICS).withColumn("video_id", F.col("sample_key") % 40)

@@ -1,8 +1,11 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorepool.operators import bootstrap, parsing, quality, selection, stats
+from scorepool.operators import bootstrap, parsing, quality, quantiles, selection, stats
 
 SLOT = "sample_key int, candidate_index int, candidate_id int, valid boolean, reward double, rep double"
 ROWS = [
@@ -156,23 +159,67 @@ def test_usage_and_message(spark):
     assert [r[0] for r in reply.select(parsing.message_text(F.parse_json("r"))).collect()] == ["hi", "ab"]
 
 
-def test_spread_bootstrap_agrees_with_the_driver(spark, monkeypatch):
-    """Draws by stretches have the same distribution: the intervals agree but for chance; and they repeat exactly."""
-    monkeypatch.setattr(bootstrap, "STRETCH", 40)
+def test_counter_draws_agree_with_a_generator(spark):
+    """The interval is the generator's but for chance, repeats exactly, and doesn't depend on how rows are dealt or which replicates are asked for."""
     rng = np.random.default_rng(1)
     rows = [("direct", str(c), float(rng.random() < 0.3 + 0.4 * (c % 2))) for c in range(300) for _ in range(int(rng.integers(1, 6)))]
     rows += [("best_of_4", str(c), None) for c in range(5)] + [("best_of_4", "9", 0.5)]
     picked = spark.createDataFrame(rows, "method string, video string, reward double")
     methods = ("direct", "best_of_4", "absent")
-    sums = bootstrap.cluster_sums(picked, ("reward",), "video")
-    a = {r[:3]: r[3:] for r in map(tuple, bootstrap.cluster_intervals(picked, ("reward",), "video", methods[:2], 2000).collect())}
-    b, c = ({r[:3]: r[3:] for r in map(tuple, bootstrap.spread_intervals(sums, ("reward",), methods, 2000, 42).collect())} for _ in range(2))
-    assert b == c and len(b) == 6 and b["absent", "reward", "effective"] == (None, None)
-    for e in ("conditional", "effective"):
-        assert b["direct", "reward", e] == pytest.approx(a["direct", "reward", e], abs=0.01)
-    assert b["best_of_4", "reward", "conditional"] == (0.5, 0.5)
-    once = bootstrap.spread_intervals(sums, ("reward",), ("direct",), 0, 42).first()
+    a, b = ({r[:3]: r[3:] for r in map(tuple, bootstrap.cluster_intervals(p, ("reward",), "video", methods, 2000).collect())} for p in (picked, picked.repartition(5)))
+    assert a == b and len(a) == 6 and a["absent", "reward", "effective"] == (0.0, 0.0) and a["absent", "reward", "conditional"] == (None, None)
+    sums = bootstrap.cluster_sums(picked, ("reward",), "video").where("method = 'direct'").toPandas().sort_values("cluster")
+    for e, n, v in (("conditional", "n_reward", "cond_reward"), ("effective", "n", "eff_reward")):
+        want = bootstrap.interval(sums[n].to_numpy(), sums[v].to_numpy(), 2000, np.random.default_rng(42))
+        assert a["direct", "reward", e] == pytest.approx(tuple(want), abs=0.01)
+    assert a["best_of_4", "reward", "conditional"] == (0.5, 0.5)
+    once = bootstrap.cluster_intervals(picked, ("reward",), "video", ("direct",), 0).first()
     assert once["low"] == once["high"]
-    monkeypatch.setattr(bootstrap, "DRIVER_CLUSTERS", 10)
-    d = {r[:3]: r[3:] for r in map(tuple, bootstrap.cluster_intervals(picked, ("reward",), "video", methods, 2000).collect())}
-    assert d == b
+
+
+def test_weights_are_poisson(spark):
+    """Weights of one seed equal the plain rule, have mean and variance 1, and the replicates asked for don't change them."""
+    clusters = spark.range(300).select(F.col("id").cast("string").alias("c"))
+    got = {(r["c"], r["replicate"]): r["w"] for r in clusters.select("c", F.inline(bootstrap.cluster_weights(F.col("c"), 101, 5))).collect()}
+    few = {(r["c"], r["replicate"]): r["w"] for r in clusters.select("c", F.inline(bootstrap.cluster_weights(F.col("c"), 9, 5))).collect()}
+    assert len(got) == 300 * 101 and len(few) == 300 * 9 and all(got[k] == w for k, w in few.items())
+    steps = bootstrap.poisson_steps()
+    for (c, r), w in list(got.items())[:2000]:
+        h = int(hashlib.sha256(f"5:{r // 8}:{c}".encode()).hexdigest()[8 * (r % 8) : 8 * (r % 8) + 8], 16)
+        assert w == sum(h >= s for s in steps)
+    w = np.array(list(got.values()))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04
+    assert spark.range(1).select(F.size(bootstrap.cluster_weights(F.lit(None), 0, 5))).first()[0] == 0
+
+
+SHAPES = {
+    "ties": [1.0] * 50 + [2.0] * 50, "one": [3.5], "two": [1.0, 2.0], "equal": [7.0] * 9, "heavy": [10.0**k for k in range(-300, 300)], "ends": [0.0, 5e-324, 1.7e308, 1e308, float("inf")], "even": [k / 7 for k in range(5000)],
+}
+
+
+@pytest.mark.parametrize("passes", [0, 1, 2, 3])
+def test_selected_quantiles_are_exact(spark, passes, monkeypatch):
+    """Against the sorted values, for one engine partitioning and another, with few ranges so that several brackets stay open."""
+    monkeypatch.setattr(quantiles, "BINS", 7)
+    rows = [(g if g != "even" else None, x) for g, values in SHAPES.items() for x in [*values, None]] + [("empty", None)]
+    shares = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q95": 0.95, "q100": 1.0}
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "g string, x double").repartition(5), ("g",), "x", shares, passes).collect()
+    assert {r["g"] for r in got} == {None if g == "even" else g for g in SHAPES}
+    for r in got:
+        values = sorted(SHAPES[r["g"] or "even"])
+        assert r["n"] == len(values)
+        for name, share in shares.items():
+            place = share * (len(values) - 1)
+            low, high = math.floor(place), math.ceil(place)
+            assert r[name] == (values[low] if low == high else (high - place) * values[low] + (place - low) * values[high]), (r["g"], name)
+
+
+def test_quantiles_hold_no_group(spark):
+    """No aggregate collects values, and none of a whole table gives no rows."""
+    rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.rand(1).alias("x"))
+    found = quantiles.exact_quantiles(rows, ("g",), "x", {"m": 0.5})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+    whole = quantiles.exact_quantiles(rows, (), "x", {"m": 0.5}).first()
+    assert whole["m"] == pytest.approx(rows.agg(F.percentile("x", 0.5)).first()[0], abs=0) and whole["n"] == 1000
+    assert quantiles.exact_quantiles(rows.where("false"), ("g",), "x", {"m": 0.5}).count() == 0
