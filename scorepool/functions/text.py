@@ -88,31 +88,6 @@ def english_word_count(text: pd.Series) -> pd.Series:
     return text.map(count).astype("int32")
 
 
-@F.pandas_udf(T.StringType())
-def first_non_latin(text: pd.Series) -> pd.Series:
-    """The first letter whose Unicode name lacks LATIN, as U+XXXX (NAME); null if there is none."""
-
-    def find(value):
-        if not value or value.isascii():
-            return None
-        for c in value:
-            if c.isalpha() and "LATIN" not in (name := unicodedata.name(c, "")):
-                return f"U+{ord(c):04X} ({name or 'UNKNOWN'})"
-        return None
-
-    return text.map(find, na_action=None).astype(object).where(lambda s: s.notna(), None)
-
-
-@F.pandas_udf(T.StructType([T.StructField("letters", T.IntegerType()), T.StructField("non_latin", T.IntegerType())]))
-def letter_audit(text: pd.Series) -> pd.DataFrame:
-    """Numbers of letters, and of letters whose Unicode name lacks LATIN."""
-    rows = []
-    for value in text:
-        letters = [c for c in value or "" if c.isalpha()]
-        rows.append((len(letters), sum("LATIN" not in unicodedata.name(c, "") for c in letters)))
-    return pd.DataFrame(rows, columns=["letters", "non_latin"]).astype("int32")
-
-
 def risk_terms(text: Column, terms: tuple[str, ...] = RISK_TERMS) -> Column:
     """Configured terms found as substrings, whatever the case, in configured order."""
     known = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))

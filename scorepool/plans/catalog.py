@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from scorepool import constants as C
 from scorepool import reports
-from scorepool.functions import sampling, text, timeline, vectors
-from scorepool.operators import bootstrap, contracts, identity, parsing, quality, selection, stats
+from scorepool.functions import letters, sampling, text, timeline, vectors
+from scorepool.operators import bootstrap, contracts, fingerprint, identity, parsing, quality, selection, stats
 from scorepool.plans import views as V
 from scorepool.plans.views import table
 from scorepool.sources import annotations
@@ -149,9 +149,21 @@ def strict_json_accept(spark, sf_dir):
     return e.select("event_id", parsing.strict_json_issue(made).alias("issue"))
 
 
-@query()
+_PLANTED = 3000
+_INTERVALS = ", ".join(f"({a}, {b}, {latin})" for a, b, latin in letters.interval_rows())
+
+
+@query(rf"""WITH iv(a, b, latin) AS (VALUES {_INTERVALS}), t AS (SELECT doc_id, coalesce(text, '') || ' ' || chr((880 + doc_id % {_PLANTED})::INT) AS s FROM documents),
+c AS (SELECT doc_id, unicode(unnest(c)) AS code, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, regexp_extract_all(regexp_replace(s, '[\x00-\x7F]+', '', 'g'), '(?s).') AS c FROM t)),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT latin) AS other, arg_min(code, i) FILTER (NOT latin) AS first FROM c JOIN iv ON code BETWEEN a AND b GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN first IS NULL THEN NULL ELSE 'U+' || lpad(printf('%X', first), 4, '0') END AS issue, CAST(length(regexp_replace(s, '[^A-Za-z]+', '', 'g')) + coalesce(n, 0) AS INT) AS letters, CAST(coalesce(other, 0) AS INT) AS non_latin
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id""")
 def latin_contract(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.first_non_latin("text").alias("issue"), text.letter_audit("text").alias("a")).select("doc_id", "issue", "a.letters", "a.non_latin")
+    """Every whole text with one more character, of Greek, Cyrillic, Arabic, Indic and other blocks or of none."""
+    planted = F.decode(F.unhex(F.lpad(F.hex(F.lit(880) + F.col("doc_id") % _PLANTED), 4, "0")), "UTF-16BE")
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), planted).alias("s"))
+    first = F.get(letters.other_letters(F.col("s")), F.lit(0))
+    return t.select("doc_id", letters.code_name(first).alias("issue"), letters.letter_counts(F.col("s")).alias("a")).select("doc_id", "issue", "a.letters", "a.non_latin")
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,，;；/、]'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS p FROM documents)
@@ -658,6 +670,15 @@ def matrix_cross(spark, sf_dir):
     return table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")).crossJoin(models)
 
 
+_DIGEST_SQL = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "n_chars", "source", "text"))
+_WORDS_SQL = " || ',' || ".join(f"CAST(sum(CAST('0x' || substr(d, {8 * k + 1}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))
+
+
+@query(f"WITH r AS (SELECT lang, sha256({_DIGEST_SQL}) AS d FROM documents) SELECT lang, count(*) AS rows, sha256(count(*) || ',' || {_WORDS_SQL}) AS fingerprint FROM r GROUP BY lang")
+def content_fingerprint(spark, sf_dir):
+    return fingerprint.table_fingerprint(table(spark, sf_dir, "documents"), ("doc_id", "n_chars", "source", "text"), ("lang",))
+
+
 # --- audits -------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorepool.constants import ALIASES, WRAPPER_KEYS
+from scorepool.sources.elements import elements
+from scorepool.sources.streams import opens
 
 RAW = "raw string"
 
@@ -21,10 +24,23 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Rows of whole JSON files: a list, a list under the first known wrapper key, or a lone object.
+    """Rows of JSON files: a list, a list under the first known wrapper key, or a lone object. Many tasks read one file, each the
+    elements that begin in its part.
 
     strict: an object without a known list is an error, and so is a row that is no object. A scalar file always is one.
     """
+    if opens(path):
+        rows = elements(spark, path, WRAPPER_KEYS, alone=not strict).select(F.parse_json("value").alias("v"))
+    else:
+        rows = _whole_json(spark, path, strict)
+    if strict:
+        ok = F.schema_of_variant("v").startswith("OBJECT")
+        rows = rows.select(F.when(ok, F.col("v")).otherwise(F.raise_error(F.lit("a row is not an object")).cast("variant")).alias("v"))
+    return rows.select(F.to_json("v").alias("raw"))
+
+
+def _whole_json(spark: SparkSession, path: str, strict: bool) -> DataFrame:
+    """The rows of files in a store that only Spark's readers open: a task for each file."""
     whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     wrapped = [F.when(F.schema_of_variant(F.variant_get("v", f"$.{k}", "variant")).startswith("ARRAY"), F.variant_get("v", f"$.{k}", "array<variant>")) for k in WRAPPER_KEYS]
@@ -34,11 +50,7 @@ def read_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
         .when(kind.startswith("OBJECT"), F.coalesce(*wrapped, alone))
         .otherwise(F.raise_error(F.lit("neither a list nor an object")).cast("array<variant>"))
     )
-    out = whole.select(F.explode(rows).alias("v"))
-    if strict:
-        ok = F.schema_of_variant("v").startswith("OBJECT")
-        out = out.select(F.when(ok, F.col("v")).otherwise(F.raise_error(F.lit("a row is not an object")).cast("variant")).alias("v"))
-    return out.select(F.to_json("v").alias("raw"))
+    return whole.select(F.explode(rows).alias("v"))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -110,15 +122,9 @@ def number(value) -> float | None:
 
 def choices_of(row: dict):
     """The list or mapping of choices; else option0, option1 ... up to the first absent one, without blanks."""
-    value = first_of(row, ALIASES["choices"])[1]
-    if isinstance(value, (list, dict)) and value:
-        return value
-    out = []
-    for i in range(26):
-        if f"option{i}" not in row:
-            break
-        out.append(row[f"option{i}"])
-    return [v for v in out if v not in (None, "")]
+    given = first_of(row, ALIASES["choices"], (None, "", [], {}))[1] if any(row.get(n) for n in ALIASES["choices"]) else None
+    numbered = itertools.takewhile(row.__contains__, map("option{}".format, range(26)))
+    return given if isinstance(given, (list, dict)) else [row[n] for n in numbered if row[n] not in (None, "")]
 
 
 def option_pairs(choices) -> list[tuple[str | None, str]]:

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from scorepool.constants import VIDEO_SUFFIXES
 from scorepool.operators.quality import blank_or_repeated
+from scorepool.sources.streams import hashes, listed
 
 _SKIPPED = r"(^|/)(\.cache|\.git|__pycache__)/|(^|/)\.DS_Store$|\.(lock|tmp)$"
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Paths below root, relative, with sizes; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(_relative(root).alias("path"), F.col("length").alias("size_bytes"))
+    return listed(spark, root).select(_relative(root).alias("path"), F.col("length").alias("size_bytes"))
 
 
 def _relative(root: str):
@@ -30,9 +30,10 @@ def _relative(root: str):
 
 
 def checkpoint_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size_bytes, sha256) of a model folder, without caches, locks and temporary files. Hashed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(_relative(root).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").rlike(_SKIPPED))
+    """(path, size_bytes, sha256) of a model folder, without caches, locks and temporary files. Files of any size are hashed chunk by
+    chunk where they are read."""
+    found = hashes(spark, root).select(_relative(root).alias("path"), F.col("length").alias("size_bytes"), "sha256")
+    return found.where(~F.col("path").rlike(_SKIPPED))
 
 
 def manifest_audit(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from scorepool.constants import ALIASES, REFERENCE_FLAGS, REFERENCE_PREFIXES, REFERENCE_PROTOCOL, REFERENCE_TEMPLATES, WRAPPER_KEYS
 from scorepool.sinks import fingerprint, write_json, write_once
 from scorepool.sources.annotations import first_of, plain
+from scorepool.sources.streams import hashes
 
 #: What a field lookup for a manifest takes as missing.
 _EMPTY = (None, "", [], {})
@@ -65,7 +66,7 @@ def protocol(dataset: str, source: str, source_sha256: str) -> dict:
 
 
 def source_sha256(spark: SparkSession, path: str) -> str:
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    return hashes(spark, path).first()["sha256"]
 
 
 def wrapper_key(spark: SparkSession, path: str) -> str | None:

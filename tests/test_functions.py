@@ -4,7 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from scorepool.functions import sampling, text, timeline, vectors
+from scorepool.functions import letters, sampling, text, timeline, vectors
 
 
 def one(spark, column, **values):
@@ -31,12 +31,40 @@ def test_cider_lite(spark):
     assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0, 5: 0.0}
 
 
-def test_english_words_and_latin(spark):
+def test_english_words(spark):
     rows = spark.createDataFrame([("Don't stop naïve café-bar 12",), ("日本 a",), ("",), (None,)], "t string")
-    got = rows.select(text.english_word_count("t").alias("n"), text.first_non_latin("t").alias("f"), text.letter_audit("t").alias("a")).collect()
-    assert [r["n"] for r in got] == [4, 1, 0, 0]
-    assert [r["f"] for r in got] == [None, f"U+65E5 ({unicodedata.name('日')})", None, None]
-    assert (got[1]["a"]["letters"], got[1]["a"]["non_latin"]) == (3, 2)
+    assert [r["n"] for r in rows.select(text.english_word_count("t").alias("n")).collect()] == [4, 1, 0, 0]
+
+
+def test_every_letter_by_interval(spark):
+    """All code points, a row each, against the Unicode names."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(i, "".join(map(chr, codes[i : i + 4000]))) for i in range(0, len(codes), 4000)], "i int, t string")
+    got = {r["i"]: (r["o"], tuple(r["n"])) for r in rows.select("i", letters.other_letters(F.col("t")).alias("o"), letters.letter_counts(F.col("t")).alias("n")).collect()}
+    for i in range(0, len(codes), 4000):
+        own = [c for c in codes[i : i + 4000] if chr(c).isalpha()]
+        other = [c for c in own if "LATIN" not in unicodedata.name(chr(c), "")]
+        assert got[i] == (other, (len(own), len(other)))
+
+
+def test_latin_contract_of_candidates(spark):
+    kind = "k int, segments array<struct<narration:string,salient_point:string,on_screen_text:string>>, controls struct<tone:string,_hidden:string,points:array<string>,deep:struct<m:map<string,string>,n:int>>"
+    ok = [("plain é ñ", "x", "日本 a"), ("two", None, None), ("three", "", "é Ж")]
+    rows = [
+        (1, ok, ("tone", "日", ["a", "b"], ({"k": "v", "_h": "Ж"}, 1))), (2, [*ok, ("bad ω Ж", "日", "")], None), (3, ok, ("fine", None, ["a", "ב"], None)), (4, [("a", "пункт", "z")], ("Ж", None, None, None)),
+        (5, [], (None, None, None, ({"q": "한"}, 2))), (6, None, None), (7, [("𝒳 math", "\U00010400", None)], None),
+    ]
+    frame = spark.createDataFrame(rows, kind)
+    fields = letters.contract_fields(F.col("segments"), frame.schema["controls"].dataType, F.col("controls"))
+    got = {r["k"]: (r["issue"], tuple(r["a"])) for r in letters.contract_issues(frame, fields).select("k", "issue", letters.on_screen_audit(F.col("segments")).alias("a")).collect()}
+
+    def named(path, c):
+        return f"{path} contains non-Latin letter U+{ord(c):04X} ({unicodedata.name(c)})"
+
+    shown = (True, [1, 3], 3, 5)
+    assert got[1] == (None, shown) and got[2] == (named("timeline[4].narration", "ω"), shown) and got[3] == (named("controls.points[1]", "ב"), shown)
+    assert got[4] == (named("timeline[1].salient_point", "п"), (False, [], 0, 1)) and got[5] == (named("controls.deep.m.q", "한"), (False, [], 0, 0))
+    assert got[6][0] is None and got[7] == (named("timeline[1].narration", "𝒳"), (False, [], 0, 0))
 
 
 def test_risk(spark):

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from scorepool import models, sinks
 from scorepool.sources import annotations as A
 from scorepool.sources import files
+from scorepool.operators import fingerprint
 from scorepool.streaming import resume
 
 
@@ -173,14 +175,92 @@ def test_transport_waits(monkeypatch):
 
 
 def test_incremental_ingest(spark, tmp_path):
+    """Keys seen are known without the target: it may even be gone, and a batch that runs again adds nothing."""
+    import shutil
+
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     schema = StructType([StructField("sample_key", StringType()), StructField("v", LongType())])
     source = tmp_path / "in"
     source.mkdir()
     target, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    (source / "a.jsonl").write_text('{"sample_key": "a", "v": 1}\n{"sample_key": "a", "v": 1}\n')
-    resume.ingest(spark, str(source), schema, target, mark).awaitTermination()
+
+    def run():
+        resume.ingest(spark, str(source), schema, target, mark).awaitTermination()
+
+    def held():
+        return sorted((r["sample_key"], r["v"]) for r in spark.read.parquet(target).collect())
+
+    (source / "a.jsonl").write_text('{"sample_key": "a", "v": 1}\n{"sample_key": "a", "v": 1}\n{"sample_key": " ", "v": 1}\n{"v": 4}\n')
+    run()
     (source / "b.jsonl").write_text('{"sample_key": "a", "v": 2}\n{"sample_key": "b", "v": 3}\n')
-    resume.ingest(spark, str(source), schema, target, mark).awaitTermination()
-    assert sorted((r["sample_key"], r["v"]) for r in spark.read.parquet(target).collect()) == [("a", 1), ("b", 3)]
+    run()
+    assert held() == [("a", 1), ("b", 3)]
+    run()
+    assert held() == [("a", 1), ("b", 3)]
+    last = max(int(p.name) for p in (tmp_path / "mark" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):  # as if the query had died before it committed its last batch
+        (tmp_path / "mark" / "commits" / name).unlink()
+    run()
+    assert held() == [("a", 1), ("b", 3)]
+    for p in tmp_path.glob("out/part-*"):  # what was written before is not read again
+        p.unlink()
+    shutil.rmtree(tmp_path / "out" / "_spark_metadata")
+    (source / "c.jsonl").write_text('{"sample_key": "b", "v": 9}\n')
+    run()
+    assert not list(tmp_path.glob("out/part-*")) or spark.read.schema(schema).parquet(*map(str, tmp_path.glob("out/part-*"))).count() == 0
+
+
+def test_snapshots(spark, tmp_path):
+    target, kind = str(tmp_path / "table"), "dataset string, model string, v int"
+    one = spark.createDataFrame([("d1", "m1", 1), ("d1", "m2", 2)], kind)
+    two = spark.createDataFrame([("d1", "m2", 9), ("d0", "m1", 5)], kind)
+    assert resume.version(spark, target) == 0
+    with pytest.raises(ValueError, match="nothing is committed"):
+        resume.read_snapshot(spark, target)
+    assert resume.upsert_snapshot(one, target, ["dataset", "model"]) == 1
+    for n in (2, 3):  # a replayed upsert changes nothing but the version
+        assert resume.upsert_snapshot(two, target, ["dataset", "model"]) == n
+        assert sorted(map(tuple, resume.read_snapshot(spark, target).collect())) == [("d0", "m1", 5), ("d1", "m1", 1), ("d1", "m2", 9)]
+    assert resume.read_snapshot(spark, target, 1).count() == 2
+    with pytest.raises(RuntimeError, match="moved on"):
+        resume.commit_snapshot(one, target, 1)
+    one.write.parquet(f"{target}/snapshot-{'0' * 32}")  # written but never committed
+    (tmp_path / "table" / "commit-0000000004").write_text("")  # a writer that died
+    assert resume.version(spark, target) == 3 and resume.read_snapshot(spark, target).count() == 3
+    with pytest.raises(RuntimeError, match="commit-0000000004"):
+        resume.upsert_snapshot(two, target, ["dataset", "model"])
+
+
+def test_fingerprints(spark, tmp_path):
+    kind = "a int, b string, c array<string>"
+    rows = [(1, "x", ["p", None]), (2, None, None), (2, None, None), (None, "", []), (3, "1:x", ["-"])]
+    frame = spark.createDataFrame(rows, kind)
+    own = fingerprint.fingerprint_of(frame)
+    assert own["rows"] == 5 and own == fingerprint.fingerprint_of(frame.repartition(3).orderBy("b")) == fingerprint.fingerprint_of(frame.select("c", "a", "b"))
+    others = [[*rows[:-1], (3, "1:x", [None])], rows[:-1], [*rows, rows[1]], [*rows[:-1], (3, "1:y", ["-"])], [(1, "x", ["p"]), *rows[1:]], [(None, "x", ["p", None]), *rows[1:]]]
+    assert len({fingerprint.fingerprint_of(spark.createDataFrame(r, kind))["fingerprint"] for r in [rows, *others]}) == 7
+    assert fingerprint.fingerprint_of(frame.where("false"))["rows"] == 0
+    digest = lambda r: hashlib.sha256("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in r).encode()).hexdigest()
+    plain = [digest((None if a is None else str(a), b)) for a, b, _ in rows]
+    sums = [sum(int(d[8 * k : 8 * k + 8], 16) for d in plain) for k in range(8)]
+    assert fingerprint.fingerprint_of(frame, ("a", "b"))["fingerprint"] == hashlib.sha256(",".join(map(str, [5, *sums])).encode()).hexdigest()
+
+    code = tmp_path / "src"
+    (code / "__pycache__").mkdir(parents=True)
+    for name, text in {"a.py": "x = 1", "b.py": "", "notes.txt": "n", "__pycache__/a.py": "y"}.items():
+        (code / name).write_text(text)
+    manifest = fingerprint.protocol_manifest({"seed": 42}, frame, [str(code)], ("src/b.py", "src/a.py"))
+    assert list(manifest["scientific_payload"]["sources"]["files"]) == ["src/a.py", "src/b.py"]
+    assert manifest == fingerprint.protocol_manifest({"seed": 42}, frame.repartition(4), [str(code)])
+    (code / "a.py").write_text("x = 2")
+    now = fingerprint.protocol_manifest({"seed": 43}, frame.where("a = 1"), [str(code)])
+    assert now["protocol_fingerprint"] != manifest["protocol_fingerprint"] and fingerprint.changed(manifest, now) == ["settings.seed", "annotations", "sources.src/a.py"]
+    path = str(tmp_path / "protocol.json")
+    sinks.guard_protocol(path, manifest, resume=False)
+    with pytest.raises(ValueError, match="protocol has changed"):
+        sinks.guard_protocol(path, now, resume=True)
+    with pytest.raises(ValueError, match="src/c.py"):
+        fingerprint.protocol_manifest({}, frame, [str(code)], ("src/a.py", "src/c.py"))
+    with pytest.raises(ValueError, match="no source files"):
+        fingerprint.source_fingerprint(spark, [str(code)], (".rs",))
