@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,35 +39,43 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-_TOKENS = re.compile(_TOKEN)
+def held_once(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _token_list(value: str | None) -> list[str]:
-    lower = (value or "").lower()
-    return _TOKENS.findall(lower) or list(lower)
+def ngram_keys(words: Column, n: int) -> Column:
+    """Sorted 64-bit hashes of all runs of n tokens; none if there are fewer tokens."""
+    keys = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    return F.when(F.size(words) >= n, F.array_sort(keys)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _clipped_f1(prediction: list[str], reference: list[str], n: int) -> float:
-    p = Counter(zip(*(prediction[i:] for i in range(n)), strict=False))
-    r = Counter(zip(*(reference[i:] for i in range(n)), strict=False))
-    if not p or not r:
-        return 0.0
-    small, large = (p, r) if len(p) < len(r) else (r, p)
-    both = sum(min(c, large[g]) for g, c in small.items() if g in large)
-    return 2 * both / (p.total() + r.total())
+def shared_count(a: Column, b: Column) -> Column:
+    """How many elements two sorted arrays share, repeats counted as often as both have them: one merge of the two."""
 
+    def step(s: Column, _) -> Column:
+        x, y = F.get(a, s["i"]), F.get(b, s["j"])
+        left, right = F.coalesce(x <= y, F.lit(False)).cast("int"), F.coalesce(y <= x, F.lit(False)).cast("int")
+        return F.struct((s["i"] + left).alias("i"), (s["j"] + right).alias("j"), (s["n"] + left * right).alias("n"))
 
-@F.pandas_udf(T.DoubleType())
-def cider_lite(prediction: pd.Series, reference: pd.Series) -> pd.Series:
-    """The mean over orders 1 to 4 of the F1 of clipped n-gram counts; an order that a side lacks adds 0.
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) + F.size(b))), zero, step, lambda s: s["n"])
 
-    Both texts of a pair are in one row, so counting them there in Arrow batches needs no shuffle and is linear in their length;
-    as an aggregation over exploded n-grams it would shuffle every n-gram of every pair.
+
+def cider_lite(prediction: Column | str, reference: Column | str) -> Column:
+    """The mean over orders 1 to 4 of the F1 of clipped n-gram counts; an order that a side lacks adds 0. Null counts as empty.
+
+    Both texts are in one row, so their sorted n-gram hashes are merged there, in the JVM, and no n-gram is shuffled.
     """
-    out = []
-    for p, r in zip(map(_token_list, prediction), map(_token_list, reference), strict=True):
-        out.append(sum(_clipped_f1(p, r, n) for n in (1, 2, 3, 4)) / 4)
-    return pd.Series(out, dtype="float64")
+    p, r = (F.col(x) if isinstance(x, str) else x for x in (prediction, reference))
+
+    def order(t: Column, n: int) -> Column:
+        def f1(g: Column) -> Column:
+            return F.when((F.size(g["p"]) == 0) | (F.size(g["r"]) == 0), F.lit(0.0)).otherwise(2 * shared_count(g["p"], g["r"]) / (F.size(g["p"]) + F.size(g["r"])))
+
+        return held_once(F.struct(ngram_keys(t["p"], n).alias("p"), ngram_keys(t["r"], n).alias("r")), f1)
+
+    return held_once(F.struct(tokens(p).alias("p"), tokens(r).alias("r")), lambda t: (order(t, 1) + order(t, 2) + order(t, 3) + order(t, 4)) / 4)
 
 
 _ENGLISH = re.compile(r"[A-Za-z]+(?:['’-][A-Za-z]+)?")

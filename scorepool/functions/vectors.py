@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def top_tags(samples: DataFrame, tags: DataFrame, key: str = "sample_key") -> Da
     The taxonomy is a configured list of a few dozen rows; up to MOST_TAGS, which is checked, it is broadcast. More is an error, as
     every sample meets every tag.
     """
-    if len(tags.limit(MOST_TAGS + 1).select("tag").collect()) > MOST_TAGS:
+    if tags.limit(MOST_TAGS + 1).count() > MOST_TAGS:
         raise ValueError(f"more than {MOST_TAGS} tags")
     scored = samples.crossJoin(F.broadcast(tags)).withColumn("similarity", dot(F.col("pooled"), F.col("embedding")))
     rank = F.row_number().over(Window.partitionBy(key, "tag_group").orderBy(F.desc("similarity"), F.desc("tag_pos")))
@@ -103,17 +105,61 @@ def distinct_points(points: Column) -> Column:
     return F.array_distinct(F.filter(stripped, lambda p: p != ""))
 
 
+#: Vectors of a sample that meet as one matrix.
+BLOCK = 64
+
+
+def _blocks(rows: DataFrame, key: str, index: str, name: str) -> DataFrame:
+    """Rows (key, name): a sample's vectors with their indices, BLOCK of them in a row."""
+    item = F.struct(F.col(index).cast("long").alias("index"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.groupBy(key, F.floor(F.col(index) / BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(item)).alias(name)).drop("_block")
+
+
+def _matrix(items, width: int) -> np.ndarray:
+    """Vectors as rows; an absent one as zeros."""
+    out = np.zeros((len(items), width))
+    for k, item in enumerate(items):
+        if item["v"] is not None:
+            out[k] = [0.0 if x is None else x for x in item["v"]]
+    return out
+
+
+def _best_of_block(points: list, others: list) -> list[tuple[int, float, int]]:
+    """For each point the greatest cosine with the others, and the first of them that has it."""
+    width = max((len(i["v"]) for i in [*points, *others] if i["v"] is not None), default=0)
+    a, b = _matrix(points, width), _matrix(others, width)
+    norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    cosines = np.where(norms <= LEAST_NORM, 0.0, (a @ b.T) / np.maximum(norms, LEAST_NORM))
+    best = cosines.argmax(axis=1)
+    return [(p["index"], float(cosines[k, j]), others[j]["index"]) for k, (p, j) in enumerate(zip(points, best.tolist(), strict=True))]
+
+
 def point_coverage(points: DataFrame, segments: DataFrame, threshold: float, key: str = "sample_key", whole: DataFrame | None = None) -> DataFrame:
     """points (key, point_index, embedding), segments (key, segment_index, embedding): for each point the best similarity and
-    the first segment that has it, and whether it reaches the threshold. A join on the sample, not a product. Samples without
-    segments are held against their whole text (key, embedding) as segment 0, where `whole` is given."""
-    others = segments.select(key, F.col("segment_index").cast("long").alias("segment_index"), F.col("embedding").alias("_other"))
+    the first segment that has it, and whether it reaches the threshold. Samples without segments are held against their whole text
+    (key, embedding) as segment 0, where `whole` is given; a sample without any has no rows. An absent vector is similar to none (0).
+
+    A sample's points and segments meet in blocks: each pair of blocks is one matrix product that gives a best segment for each point, so no
+    pair of a point and a segment ever is a row, and a large sample's blocks are dealt over tasks.
+    """
+    others = segments.select(key, F.col("segment_index").cast("long").alias("segment_index"), "embedding")
     if whole is not None:
         bare = whole.join(segments.select(key).distinct(), key, "left_anti")
-        others = others.unionByName(bare.select(key, F.lit(0).cast("long").alias("segment_index"), F.col("embedding").alias("_other")))
-    pairs = points.join(others, key)
-    best = F.max(F.struct(cosine(F.col("embedding"), F.col("_other")).alias("s"), (-F.col("segment_index")).alias("i")))
-    return pairs.groupBy(key, "point_index").agg(best.alias("b")).select(key, "point_index", F.col("b.s").alias("similarity"), (-F.col("b.i")).alias("segment_index"), (F.col("b.s") >= threshold).alias("covered"))
+        others = others.unionByName(bare.select(key, F.lit(0).cast("long").alias("segment_index"), "embedding"))
+    met = _blocks(points, key, "point_index", "points").join(_blocks(others, key, "segment_index", "others"), key)
+    kind = points.schema[key].dataType.simpleString()
+
+    def best(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = _best_of_block(batch.column("points")[k].as_py(), batch.column("others")[k].as_py())
+                own = pa.concat_arrays([batch.column(key).slice(k, 1)] * len(found))
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, zip(*found, strict=True))], names=[key, "point_index", "s", "i"])
+
+    each = met.mapInArrow(best, f"`{key}` {kind}, point_index long, s double, i long")
+    top = each.groupBy(key, "point_index").agg(F.max(F.struct("s", (-F.col("i")).alias("i"))).alias("b"))
+    index = points.schema["point_index"].dataType.simpleString()
+    return top.select(key, F.col("point_index").cast(index).alias("point_index"), F.col("b.s").alias("similarity"), (-F.col("b.i")).alias("segment_index"), (F.col("b.s") >= threshold).alias("covered"))
 
 
 def mean_coverage(covered: DataFrame, key: str = "sample_key") -> DataFrame:

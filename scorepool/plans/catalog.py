@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorepool import constants as C
 from scorepool import reports
 from scorepool.functions import letters, sampling, text, timeline, vectors
-from scorepool.operators import bootstrap, contracts, fingerprint, identity, parsing, quality, selection, stats
+from scorepool.operators import bootstrap, contracts, fingerprint, identity, parsing, quality, retries, selection, stats
 from scorepool.plans import views as V
 from scorepool.plans.views import table
 from scorepool.sources import annotations
@@ -679,6 +679,46 @@ def content_fingerprint(spark, sf_dir):
     return fingerprint.table_fingerprint(table(spark, sf_dir, "documents"), ("doc_id", "n_chars", "source", "text"), ("lang",))
 
 
+def _nested_attempts(spark, sf_dir) -> DataFrame:
+    """Slots of six events each, every event an attempt with one to three tries of its own; some logs break a rule."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    n = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "click", 2).otherwise(1)
+    seconds = F.round(F.abs("value"), 3)
+    tries = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        (i + F.when(k % 50 == 7, 1).otherwise(0)).alias("transport_attempt"), F.when((i < n) | (F.col("event_type") == "error"), "error").otherwise("success").alias("status"), (seconds * i).alias("request_seconds"),
+        F.when(i < n, i * 1.5).when(k % 31 == 5, 1.5).otherwise(0.0).alias("backoff_seconds_after"), (k % 41 != 3).alias("retryable"),
+    ))
+    status = F.when(F.col("event_type") == "error", "endpoint_error").when((F.col("event_type") == "purchase") & (k % 6 >= 4), "accepted").otherwise("parse_rejected")
+    attempt = F.struct(
+        (k % 6 + 1).cast("int").alias("attempt"), status.alias("status"), (seconds * (n * (n + 1) / 2)).alias("request_seconds"), (k % 97).alias("input_tokens"), (k % 53).alias("output_tokens"),
+        (n + F.when(k % 29 == 11, 1).otherwise(0)).alias("transport_request_count"), F.when(k % 13 != 4, tries).alias("transports"),
+    )
+    return e.select(F.floor(k / 6).alias("slot"), attempt.alias("a")).groupBy("slot").agg(F.array_sort(F.collect_list("a")).alias("attempts"))  # six events
+
+
+_NESTED = """e AS (SELECT event_id AS k, event_id // 6 AS slot, event_id % 6 + 1 AS attempt, event_type AS kind, CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS n, round(abs(value), 3) AS sec,
+CASE WHEN event_type = 'error' THEN 'endpoint_error' WHEN event_type = 'purchase' AND event_id % 6 >= 4 THEN 'accepted' ELSE 'parse_rejected' END AS status, event_id % 13 = 4 AS bare FROM events),
+t AS (SELECT e.*, i, CASE WHEN bare THEN sec * (n * (n + 1) / 2) ELSE sec * i END AS tsec, CASE WHEN bare THEN 0 WHEN i < n THEN 1.5 * i WHEN k % 31 = 5 THEN 1.5 ELSE 0 END AS wait,
+CASE WHEN bare THEN kind = 'error' ELSE i < n OR kind = 'error' END AS failed FROM e JOIN range(1, 4) r(i) ON i <= CASE WHEN bare THEN 1 ELSE n END),
+a AS (SELECT slot, attempt, k, any_value(status) AS status, count(*) AS tries, sum(tsec) AS tsec, sum(wait) AS wait, count(*) FILTER (failed) AS failed,
+CASE WHEN any_value(bare) THEN NULL WHEN k % 50 = 7 THEN 'tries are not numbered 1, 2, 3 ...' WHEN any_value(n) > 1 AND k % 41 = 3 THEN 'a try follows an error that is not retryable' WHEN k % 31 = 5 THEN 'the last try is followed by a wait' END AS rule,
+any_value(n) + CASE WHEN k % 29 = 11 THEN 1 ELSE 0 END <> count(*) AS differs FROM t GROUP BY slot, attempt, k),
+b AS (SELECT *, coalesce(rule, CASE WHEN differs THEN 'the stated number of requests differs' END) AS issue, attempt - row_number() OVER (PARTITION BY slot ORDER BY attempt) AS gap, lead(attempt) OVER (PARTITION BY slot ORDER BY attempt) IS NOT NULL AS more FROM a)"""
+
+
+@query(f"""WITH {_NESTED} SELECT slot, count(*)::INT AS attempts, sum(tries)::INT AS requests, sum(failed)::INT AS failed_requests, count(*) FILTER (tries > 1)::INT AS retried_attempts, round(sum(tsec), 4) AS request_seconds, round(sum(wait::DOUBLE), 4) AS backoff_seconds,
+sum(k % 97)::BIGINT AS input_tokens, sum(k % 53)::BIGINT AS output_tokens, min(attempt) FILTER (status = 'accepted')::INT AS accepted_attempt FROM b GROUP BY slot""")
+def nested_retries(spark, sf_dir):
+    out = _nested_attempts(spark, sf_dir).select("slot", retries.nested_rollup(F.col("attempts")).alias("r")).select("slot", "r.*")
+    return out.withColumns({c: F.round(c, 4) for c in ("request_seconds", "backoff_seconds")})
+
+
+@query(f"""WITH {_NESTED} SELECT slot, CASE WHEN max(gap) > 0 THEN 'attempts are not numbered 1, 2, 3 ...' WHEN bool_or(status = 'accepted' AND more) THEN 'an attempt follows the accepted one'
+ELSE 'attempt ' || min(attempt) FILTER (issue IS NOT NULL) || ': ' || arg_min(issue, attempt) FILTER (issue IS NOT NULL) END AS issue FROM b GROUP BY slot""")
+def nested_retry_issues(spark, sf_dir):
+    return _nested_attempts(spark, sf_dir).select("slot", retries.nested_issue(F.col("attempts")).alias("issue"))
+
+
 # --- audits -------------------------------------------------------------------------------------------------------
 
 

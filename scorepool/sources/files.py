@@ -7,13 +7,13 @@ import json
 import os
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorepool.constants import VIDEO_SUFFIXES
 from scorepool.operators.quality import blank_or_repeated
+from scorepool.sources.frames import arrays
 from scorepool.sources.streams import hashes, listed
 
 _SKIPPED = r"(^|/)(\.cache|\.git|__pycache__)/|(^|/)\.DS_Store$|\.(lock|tmp)$"
@@ -74,22 +74,11 @@ def _is_remote(name: str):
 
 
 def npz_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame_pos, height, width, pixels) of NPZ archives: `frames` or the first array; channels last; 0..1 scaled; clipped to bytes."""
+    """(path, frame_pos, height, width, pixels) of NPZ archives; a broken one ends the job (frames.load_frames tells them apart)."""
 
     def read(batches):
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as held:
-                    x = held["frames"] if "frames" in held.files else held[held.files[0]]
-                if x.ndim != 4:
-                    raise ValueError(f"{name}: frames must have four axes")
-                if x.shape[-1] not in (1, 3, 4) and x.shape[1] in (1, 3, 4):
-                    x = x.transpose(0, 2, 3, 1)
-                if x.dtype != np.uint8:
-                    x = x.astype(np.float64) * (255 if x.size and x.max() <= 1.0 else 1)
-                    x = np.clip(x, 0, 255).astype(np.uint8)
-                rows += [(name, i, f.shape[0], f.shape[1], f.tobytes()) for i, f in enumerate(x)]
+            rows = [(name, i, f.shape[0], f.shape[1], f.tobytes()) for name, content in zip(batch["path"], batch["content"], strict=True) for i, f in enumerate(arrays(io.BytesIO(content)))]
             yield pd.DataFrame(rows, columns=["path", "frame_pos", "height", "width", "pixels"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, frame_pos int, height int, width int, pixels binary")
