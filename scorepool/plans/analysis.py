@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorepool import reports
 from scorepool.constants import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED, PREFIX_METHODS
 from scorepool.operators import bootstrap, quality, selection, stats
-from scorepool.sinks import write_analysis
+from scorepool.sinks import write_analysis, write_text
 
 
 @dataclass
@@ -20,9 +21,18 @@ class Analysis:
     intervals: DataFrame
     efficiency: DataFrame
     integrity: DataFrame
+    bound: DataFrame
+    metrics: tuple[str, ...]
+    sums: tuple[str, ...]
 
     def write(self, folder: str) -> None:
+        """The bundle, and report.md with every section."""
         write_analysis(folder, self.summary, self.selections, self.efficiency)
+        write_text(f"{folder}/report.md", self.report())
+
+    def report(self) -> str:
+        table = reports.main_table(self.summary, self.bound, self.metrics)
+        return reports.analysis_report(self.integrity, table, self.efficiency if self.sums else self.efficiency.withColumn("mean", F.lit(None)), self.metrics, self.sums)
 
 
 def analyze(slots: DataFrame, metrics: tuple[str, ...], sums: tuple[str, ...] = (), cluster: str = "video_id", replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED) -> Analysis:
@@ -42,5 +52,5 @@ def analyze(slots: DataFrame, metrics: tuple[str, ...], sums: tuple[str, ...] =
     each = stats.method_efficiency(slots, sums, PREFIX_METHODS) if sums else None
     spent = stats.efficiency(each, sums, ("method",)) if each is not None else slots.sparkSession.createDataFrame([], "method string, key string")
     return Analysis(
-        picked, selection.upper_bound(slots, metrics), summary, bootstrap.cluster_intervals(picked.join(clusters, "sample_key"), metrics, cluster, tuple(PREFIX_METHODS), replicates, seed), spent, stats.pool_integrity(slots)
+        picked, selection.upper_bound(slots, metrics), summary, bootstrap.cluster_intervals(picked.join(clusters, "sample_key"), metrics, cluster, tuple(PREFIX_METHODS), replicates, seed), spent, stats.pool_integrity(slots), reports.bound_summary(slots, metrics), metrics, sums
     )

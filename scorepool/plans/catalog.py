@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorepool import constants as C
 from scorepool import reports
 from scorepool.functions import letters, sampling, text, timeline, vectors
-from scorepool.operators import bootstrap, contracts, fingerprint, identity, parsing, quality, retries, selection, stats
+from scorepool.operators import bootstrap, contracts, fingerprint, identity, parsing, quality, retries, selection, stats, summary
 from scorepool.plans import views as V
 from scorepool.plans.views import table
 from scorepool.sources import annotations
@@ -719,6 +719,25 @@ def nested_retry_issues(spark, sf_dir):
     return _nested_attempts(spark, sf_dir).select("slot", retries.nested_issue(F.col("attempts")).alias("issue"))
 
 
+_RESULTS = """r AS (SELECT doc_id, doc_id % 5 AS candidates, doc_id % 7 <> 0 AS ok, n_chars % 16 / 16.0 AS reward, doc_id % 8 / 8.0 AS align, n_chars % 3 = 0 AS clean, n_chars % 5 / 4.0 AS spc, 0.25 AS cider, n_chars % 9 / 8.0 AS rep,
+CASE doc_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'npz' WHEN 2 THEN 'text' ELSE 'unknown' END AS kind, coalesce(source, 'unknown') AS gen FROM documents)"""
+
+
+@query(f"""WITH {_RESULTS}, f AS (SELECT 'num_samples' AS field, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'num_candidates', sum(candidates)::DOUBLE FROM r UNION ALL SELECT 'selected_output_success_count', (count(*) FILTER (ok))::DOUBLE FROM r
+UNION ALL SELECT 'selected_output_success_rate', round(avg(ok::INT), 6) FROM r UNION ALL SELECT 'real_video_rate', round(avg((kind IN ('video', 'npz'))::INT), 6) FROM r UNION ALL SELECT 'multimodal_generation_rate', round(avg((gen = 'multimodal_model')::INT), 6) FROM r
+UNION ALL SELECT 'selected_metrics.' || m, round(avg(v), 6) FROM (SELECT unnest(['reward', 'mv_align', 'csr', 'semantic_point_coverage', 'cider_lite', 'rep']) AS m, unnest([reward::DOUBLE, align::DOUBLE, clean::INT::DOUBLE, spc::DOUBLE, cider::DOUBLE, rep::DOUBLE]) AS v FROM r WHERE ok) GROUP BY m)
+SELECT * FROM f UNION ALL SELECT 'source_kind_counts.' || kind, count(*)::DOUBLE FROM r GROUP BY 1 UNION ALL SELECT 'generation_source_counts.' || gen, count(*)::DOUBLE FROM r GROUP BY 1""")
+def run_summary(spark, sf_dir):
+    """Every document as a result, with a nested selected candidate but where none was valid."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    violations = F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
+    reward = F.struct((n % 16 / 16).alias("total"), (k % 8 / 8).alias("alignment"), violations.alias("violations"))
+    best = F.struct(reward.alias("reward"), F.struct((n % 5 / 4).alias("semantic_point_coverage"), F.lit(0.25).alias("cider_lite"), (n % 9 / 8).alias("repetition_rate")).alias("quality"))
+    kind = F.when(k % 4 == 0, "video").when(k % 4 == 1, "npz").when(k % 4 == 2, "text")
+    rows = table(spark, sf_dir, "documents").select((k % 5).alias("num_candidates"), F.when(k % 7 != 0, F.parse_json(F.to_json(best))).alias("best_candidate"), kind.alias("source_kind"), F.col("source").alias("generation_source"))
+    return summary.run_summary(rows)
+
+
 # --- audits -------------------------------------------------------------------------------------------------------
 
 

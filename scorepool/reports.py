@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,35 @@ def _report(title: str, head: str, rows: list[dict], spent: list[dict], names: t
     return "\n".join(parts)
 
 
+def analysis_report(integrity: DataFrame, table: DataFrame, efficiency: DataFrame, metrics: tuple[str, ...], keys: tuple[str, ...]) -> str:
+    """The whole Markdown of a failure-aware analysis: slots and samples, what the bound means, effective and conditional means of every
+    method and of the bound with success and complete prefixes, and the methods' mean efficiency. integrity is stats.pool_integrity's
+    row, table main_table's, efficiency stats.efficiency's by method. A mean that is absent or infinite in the efficiency is an error."""
+    held, rows = integrity.first(), [r.asDict() for r in table.collect()]
+    order = {m: i for i, m in enumerate(LABELS)}
+    rows.sort(key=lambda r: order.get(r["method"], len(order)))
+    spent: dict[str, dict[str, float]] = {}
+    for r in efficiency.where(F.col("key").isin(list(keys))).select("method", "key", "mean").collect():
+        spent.setdefault(r["method"], {})[r["key"]] = r["mean"]
+    for method, means in spent.items():
+        if bad := [k for k in keys if means.get(k) is None or not math.isfinite(means[k])]:
+            raise ValueError(f"{method} has no finite mean of {bad}")
+    head = (
+        f"Requested samples: **{held['samples']}**; valid slots: **{held['valid_slots']}**; failed slots: **{held['slots'] - held['valid_slots']}**.\n\n"
+        "The metric-wise bound takes, for each metric by itself, the best valid candidate of a sample. Its values may come from different candidates, so it is no output one could deliver.\n"
+    )
+    columns = ["Method", "Success", "Complete requested prefix", *metrics]
+    means = lambda kind: [[LABELS.get(r["method"], r["method"]), r["selection_success_rate"], r["complete_requested_prefix_rate"], *[r[f"{kind}_{m}"] for m in metrics]] for r in rows]
+    worst = f"A failed selection counts as 0, and as 1 where less is better ({', '.join(LOWER_IS_BETTER)})."
+    parts = [
+        f"# Failure-aware analysis of the candidate pool\n\n{head}", _section("Effective means over all requested samples", worst, columns, means("effective")),
+        _section("Conditional means over successful selections only", "", columns, means("conditional")),
+    ]
+    if keys:
+        parts.append(_section("Mean efficiency over all requested samples", "", ["Method", *keys], [[LABELS.get(m, m), *[spent[m][k] for k in keys]] for m in sorted(spent, key=lambda m: order.get(m, len(order)))]))
+    return "\n".join(parts)
+
+
 def metrics_report(facts: dict, table: DataFrame, efficiency: DataFrame, metrics: tuple[str, ...], keys: tuple[str, ...]) -> str:
     """One run's Markdown: its facts, then the means and the efficiency of each method. table and efficiency are report-sized."""
     head = markdown("", ["field", "value"], [[f"`{k}`", v] for k, v in facts.items()]).split("\n\n", 1)[1]
