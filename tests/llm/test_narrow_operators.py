@@ -1,6 +1,7 @@
 """Operators that handle each document by itself, against plain versions, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -275,17 +276,32 @@ def test_overlaps(spark, benchmark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = by_id(decontaminate.overlaps(docs, benchmark))
     assert [(r[0], r[1]) for r in got] == [(0, 1), (0, 1), (1, 1), (4, 1), (5, 1), (8, 4)]
-    assert (0, 1, 20, 30, 30, 0) in got and (1, 1, 20, 30, 27, 0) in got
+    assert (0, 1, 20, 16, 16, 0) in got and (0, 1, 0, 16, 16, 0) in got and (1, 1, 20, 15, 14, 0) in got
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()) == [2, 3, 6, 7]
 
 
-def test_blocks_of_items(spark, benchmark, docs, empty, monkeypatch):
+def test_empty_tables(spark, benchmark, docs, empty):
     whole = by_id(decontaminate.overlaps(docs.withColumn("text", F.lit(" ".join(f"bench{i}" for i in range(30)))), benchmark))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
-    assert by_id(decontaminate.overlaps(docs.withColumn("text", F.lit(" ".join(f"bench{i}" for i in range(30)))), benchmark)) == whole
+    assert len(whole) == docs.count() and {r[1:] for r in whole} == {(1, 0, 16, 16, 0)}
     assert decontaminate.overlaps(empty, benchmark).count() == 0 and decontaminate.overlaps(docs, benchmark.where("false")).count() == 0
 
 
+def test_masks_meet_every_pattern():
+    """Every pattern of agreement that the rules accept, every chunk of a long item, and every item too short to fall into chunks has a mask
+    that agrees somewhere in it. (From 2 * CHUNK words on, an item falls into chunks of CHUNK to MOST words, and one has its share.)"""
+
+    def patterns(n, most):
+        return ((n, sum(1 << i for i in range(n) if i not in gone)) for gone in itertools.combinations(range(n), most))
+
+    masks = [(m[-1] + 1, sum(1 << o for o in m)) for m in decontaminate.MASKS]
+    assert all(span > len(m) for (span, _), m in zip(masks, decontaminate.MASKS, strict=True))  # each ignores a position
+    for n in range(decontaminate.LEAST, 2 * decontaminate.CHUNK):
+        for _, p in patterns(n, n - decontaminate._share(n)):
+            assert any((p >> o) & bits == bits for span, bits in masks for o in range(n - span + 1))
+    for n in range(decontaminate.LEAST, decontaminate.MOST + 1):  # stretches with MIN_AGREE are among those
+        assert max(decontaminate.MIN_AGREE, decontaminate._share(n)) >= decontaminate._share(n)
+
+
 def test_planted_items_are_all_found(spark):
     """Every benchmark item put into a text with a word in ten replaced is found; texts of other words are not."""
     rng = np.random.default_rng(4)
@@ -320,42 +336,29 @@ def test_every_overlap_by_the_rules_is_found(spark):
 
 
 def plain_overlaps(text, items):
-    """Items that a text overlaps by the rules, every place of every item tried word by word."""
-    enough = lambda same: sum(same) >= decontaminate.MIN_AGREE and sum(same) >= decontaminate.MIN_SHARE * len(same)
+    """Items that a text overlaps by the rules: every shift of every item, every stretch of it, word by word."""
     found = set()
     for k, item in enumerate(items):
         n = len(item)
         for shift in range(1 - n, len(text)):
-            lo, hi = max(0, shift), min(len(text), shift + n)
-            same = [text[i] == item[i - shift] for i in range(lo, hi)]
-            whole = hi - lo == n
-            if n < decontaminate.SHORT:
-                if whole and all(same) and n:
-                    found.add(k)
-                continue
-            best, low, start, run = 0.0, 0.0, 0, (0, 0)  # the run of greatest gain, the first of equals
-            gain = 0.0
-            for i, ok in enumerate(same):
-                gain += 1.0 if ok else -decontaminate.MISMATCH
-                if gain - low > best:
-                    best, run = gain - low, (start, i + 1)
-                if gain < low:
-                    low, start = gain, i + 1
-            if not enough(same[run[0] : run[1]]):
-                run = (0, hi - lo)  # all that the two share on this diagonal
-            if (whole and sum(same) >= decontaminate.MIN_SHARE * n) or enough(same[run[0] : run[1]]):
+            same = [0 <= i + shift < len(text) and text[i + shift] == item[i] for i in range(n)]
+            if n < decontaminate.LEAST:
+                hit = n and all(same)
+            else:
+                hit = sum(same) >= 0.75 * n or any(
+                    sum(same[a : a + size]) >= max(decontaminate.MIN_AGREE, 0.75 * size) for size in range(decontaminate.LEAST, decontaminate.MOST + 1) for a in range(n - size + 1)
+                )
+            if hit:
                 found.add(k)
     return found
 
 
 @pytest.mark.parametrize("seed, vocabulary", [(1, 2), (2, 5), (3, 40)])
-def test_search_equals_brute_force(seed, vocabulary):
+def test_search_equals_brute_force(spark, seed, vocabulary):
     """Few different words, so that seeds meet by chance: no overlap is missed and none is made up."""
-    from scorepool.llm.common import Words
-
     rng = np.random.default_rng(seed)
     word = lambda n: [f"w{x}" for x in rng.integers(0, vocabulary, n)]
-    items = [word(int(rng.integers(1, 26))) for _ in range(25)]
+    items = [word(int(rng.integers(1, 42))) for _ in range(25)]
     texts = []
     for _ in range(40):
         t = word(int(rng.integers(0, 12)))
@@ -363,9 +366,37 @@ def test_search_equals_brute_force(seed, vocabulary):
             own = list(items[rng.integers(len(items))])[int(rng.integers(0, 4)) :]
             t += [f"w{rng.integers(vocabulary)}" if rng.random() < 0.2 else x for x in own] + word(int(rng.integers(0, 6)))
         texts.append(t)
-    index = decontaminate.Index([(i, " ".join(t)) for i, t in enumerate(items)])
-    got = {(r[0], r[1]) for r in index.search(Words(pa.array([" ".join(t) for t in texts]), lower=True))}
-    assert got == {(i, k) for i, t in enumerate(texts) for k in plain_overlaps(t, items)}
+    frames = [spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(x)], f"{c} long, text string") for x, c in ((texts, "doc_id"), (items, "item_id"))]
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(*frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, k) for i, t in enumerate(texts) for k in plain_overlaps(t, items)}
+
+
+def test_a_better_run_hides_no_overlap(spark):
+    """A run of 10 words and, 20 words on, 12 of 16; a long item with a quarter of its words changed so that no stretch is one."""
+    item = [f"i{k}" for k in range(60)]
+    text = [f"t{k}" for k in range(60)]
+    text[:10] = item[:10]
+    for k in range(30, 46):
+        text[k] = item[k] if k % 4 else "x"
+    long = [f"j{k}" for k in range(40)]
+    spread = [w if k < 8 or k >= 32 or k % 12 in (0, 1, 2, 4, 5, 6, 8) else "y" for k, w in enumerate(long)]
+    same = [a == b for a, b in zip(long, spread, strict=True)]
+    assert sum(same) >= 30 - 1
+    docs = spark.createDataFrame([(0, " ".join(text)), (1, " ".join(["p"] * 7 + spread))], "doc_id long, text string")
+    b = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(long))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(docs, b).collect()}
+    assert got[0, 0]["n_agree"] == 12 and got[0, 0]["start_word"] == 30
+    assert ((1, 1) in got) == (1 in plain_overlaps(["p"] * 7 + spread, [item, long]))
+
+
+def test_hot_seeds(spark):
+    """A text of equal words against many items of the same: rows follow the distinct surroundings of seeds, not pairs of places."""
+    docs = spark.createDataFrame([(0, "again " * 2000), (1, "again " * 2000), (2, "fresh")], "doc_id long, text string")
+    b = spark.createDataFrame([(i, "again " * 40) for i in range(200)], "item_id long, text string")
+    seeds = decontaminate._item_seeds(b.select("item_id", "text", F.col("item_id").alias("item"))).count()
+    assert seeds <= 200 * 2 * decontaminate.SPAN
+    got = decontaminate.overlaps(docs, b).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (0, 1) for i in range(200)} and {tuple(r)[2:] for r in got} == {(0, 16, 16, 0)}
 
 
 # --- media --------------------------------------------------------------------------------------------------------
