@@ -33,7 +33,7 @@ BEFORE, AFTER = MOST - 5, MOST
 SPAN = BEFORE + AFTER
 #: Bits of the filter of benchmark hashes: 8 MB, whatever the benchmark's size. A large benchmark fills it, and more seeds of texts are shuffled for nothing.
 FILTER_BITS, _PART_BITS = 26, 19
-#: Texts with an overlap that are broadcast at most to mark the rows that hold them (16 bytes each); with more, rows are shuffled.
+#: Texts that are broadcast at most, by two hashes, to find the rows that hold them (16 bytes each); with more, rows are shuffled.
 MOST_BROADCAST = 1_000_000
 #: Verified at once.
 ROWS = 4096
@@ -246,6 +246,11 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("d1", F.xxhash64(text)).withColumn("d2", F.xxhash64(F.lit(1), text))
 
 
+def _small(names: DataFrame) -> DataFrame:
+    """Two hashes of each of some texts, to be broadcast if they are few enough."""
+    return F.broadcast(names) if names.count() <= MOST_BROADCAST else names
+
+
 def found(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataFrame | None:
     """(d1, d2, item_id, n_agree, n_words, start_word, item_word): the best overlap of each text and item; None for an empty benchmark."""
     spark = docs.sparkSession
@@ -262,7 +267,8 @@ def found(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataF
     met = materialise(own.join(seeds.hint("shuffle_merge"), "key").mapInArrow(_verified, _FOUND), "overlaps")
     sure = met.where("shift is null")
     open_ = met.where("shift is not null").select("d1", "d2", "item", "item_id", "shift").distinct().join(sure.select("d1", "d2", "item_id").distinct(), ["d1", "d2", "item_id"], "left_anti")
-    once = texts.join(open_.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    open_ = materialise(open_, "open-overlaps")
+    once = texts.join(_small(open_.select("d1", "d2").distinct()), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])  # of few texts
     passages = items.select("item", F.col("text").alias("passage")).dropDuplicates(["item"])
     laid = open_.join(once, ["d1", "d2"]).join(passages, "item").mapInArrow(_laid_over, _FOUND)
     order = F.struct("n_agree", (-F.col("n_words")).alias("w"), (-F.col("start_word")).alias("s"), (-F.col("item_word")).alias("i"))
@@ -299,6 +305,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if hits is None:
         return docs
     bad = materialise(hits.select(F.col("d1").alias("_bad1"), F.col("d2").alias("_bad2")).distinct(), "contaminated")
-    bad = F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
     own = (F.xxhash64("text") == F.col("_bad1")) & (F.xxhash64(F.lit(1), "text") == F.col("_bad2"))
-    return docs.join(bad, own, "left_anti")
+    return docs.join(_small(bad), own, "left_anti")
