@@ -88,7 +88,7 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("edges, share", [(1, 1000), (200, 1000), (3, 2)])
-def test_split_stars(spark, monkeypatch, edges, share):
+def test_hot_nodes_are_split(spark, monkeypatch, edges, share):
     """Hot nodes, whole and split, at both ends of the order, and a path between them."""
     monkeypatch.setattr(sys.modules[components.__module__], "NODE_EDGES", edges)
     monkeypatch.setattr(sys.modules[components.__module__], "HOT_SHARE", share)
