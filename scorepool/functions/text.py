@@ -45,13 +45,13 @@ def held_once(value: Column, body) -> Column:
 
 
 def ngram_keys(words: Column, n: int) -> Column:
-    """Sorted 64-bit hashes of all runs of n tokens; none if there are fewer tokens."""
+    """64-bit hashes of all runs of n tokens, in order; none if there are fewer tokens."""
     keys = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
-    return F.when(F.size(words) >= n, F.array_sort(keys)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= n, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def shared_count(a: Column, b: Column) -> Column:
-    """How many elements two sorted arrays share, repeats counted as often as both have them: one merge of the two."""
+def _merged(a: Column, b: Column) -> Column:
+    """How many elements two sorted arrays share, by one merge of the two."""
 
     def step(s: Column, _) -> Column:
         x, y = F.get(a, s["i"]), F.get(b, s["j"])
@@ -59,7 +59,18 @@ def shared_count(a: Column, b: Column) -> Column:
         return F.struct((s["i"] + left).alias("i"), (s["j"] + right).alias("j"), (s["n"] + left * right).alias("n"))
 
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) + F.size(b))), zero, step, lambda s: s["n"])
+    return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), zero, step, lambda s: s["n"])
+
+
+def shared_count(a: Column, b: Column) -> Column:
+    """How many elements two arrays share, repeats counted as often as both have them. Only elements that both have are sorted and merged."""
+
+    def counted(common: Column) -> Column:
+        own = [F.sort_array(F.filter(x, lambda v: F.array_contains(common, v))) for x in (a, b)]
+        both = F.struct(own[0].alias("a"), own[1].alias("b"))
+        return F.when(F.size(common) == 0, F.lit(0)).otherwise(held_once(both, lambda t: _merged(t["a"], t["b"])))
+
+    return held_once(F.array_intersect(a, b), counted)
 
 
 def cider_lite(prediction: Column | str, reference: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Cluster bootstrap of pooled means, with draws that are functions of (seed, replicate, cluster).
 
-Each replicate weighs each cluster by a Poisson number of mean 1, read off a hash: the bootstrap's draw with replacement in the form that
-needs no list of clusters, no order and no generator. Every task draws for the clusters it holds, only weighted sums for each replicate
+Each replicate weighs each cluster by a Poisson number of mean 1, read off a hash. That approximates drawing n of n clusters with
+replacement (the number drawn varies about n, which shows with few clusters) and needs no list of clusters, no order and no generator. Every task draws for the clusters it holds, only weighted sums for each replicate
 leave it, and a lost task draws the same again. The same hashes in SQL give the same intervals.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
+from scorepool.functions.text import held_once
 from scorepool.operators.stats import effective
 
 #: Replicates that share a hash: eight hexadecimal digits of the 64 for each.
@@ -39,18 +40,18 @@ def cluster_weights(cluster: Column, replicates: int, seed: int) -> Column:
 
     def block(b: Column) -> Column:
         digits = F.sha2(F.concat(F.lit(f"{seed}:"), b.cast("string"), name).cast("binary"), 256)
+        part = lambda d: F.transform(F.sequence(F.lit(0), F.lit(PER_HASH - 1)), lambda k: F.struct((b * PER_HASH + k).alias("replicate"), F.conv(F.substring(d, 8 * k + 1, F.lit(8)), 16, 10).cast("long").alias("h")))
+        return held_once(digits, part)
 
-        def weight(k: int) -> Column:
-            h = F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long")
-            w = F.lit(0)
-            for n, step in enumerate(poisson_steps(), 1):
-                w = F.when(h >= step, n).otherwise(w)
-            return F.struct((b * PER_HASH + k).alias("replicate"), w.alias("w"))
-
-        return F.array(*[weight(k) for k in range(PER_HASH)])
+    def weight(h: Column) -> Column:
+        w = F.lit(0)
+        for n, step in enumerate(poisson_steps(), 1):
+            w = F.when(h >= step, n).otherwise(w)
+        return w
 
     blocks = F.sequence(F.lit(0), F.lit(max(0, -(-replicates // PER_HASH) - 1)))
-    return F.filter(F.flatten(F.transform(blocks, block)), lambda x: x["replicate"] < max(0, replicates))
+    drawn = F.filter(F.flatten(F.transform(blocks, block)), lambda x: x["replicate"] < max(0, replicates))
+    return F.transform(drawn, lambda x: F.struct(x["replicate"].alias("replicate"), weight(x["h"]).alias("w")))
 
 
 def interval(counts: np.ndarray, sums: np.ndarray, replicates: int, rng: np.random.Generator) -> list[float]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import LOWER_IS_BETTER
-from scorepool.operators.quantiles import exact_quantiles, joined_groups
+from scorepool.operators.quantiles import exact_quantiles
 
 
 def effective(metric: str) -> Column:
@@ -42,9 +42,7 @@ def efficiency(rows: DataFrame, keys: tuple[str, ...], by: tuple[str, ...] = (),
     checked = lambda k: F.when(F.col(k).cast("double") < 0, F.raise_error(F.lit("an efficiency value is negative"))).otherwise(F.col(k).cast("double"))
     held = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("key"), checked(k).alias("value")) for k in keys])))
     group = (*by, "key")
-    sums = held.groupBy(*group).agg(F.avg("value").alias("mean"), F.sum("value").alias("total"))
-    ranks = exact_quantiles(held, group, "value", {"median": 0.5, "p95": 0.95}).drop("n")
-    out = joined_groups(sums, ranks, group, "left")
+    out = exact_quantiles(held, group, "value", {"median": 0.5, "p95": 0.95}, more=(F.avg("value").alias("mean"), F.sum("value").alias("total")))
     return out.select(*group, "mean", "median", "p95", *(["total"] if total else []))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import METRICS
+from scorepool.functions.text import held_once
 from scorepool.operators.quality import first_issue
 
 #: Kinds of input that hold real frames, and the source of generated candidates that counts as multimodal.
@@ -48,9 +49,9 @@ def candidate_metrics(candidate: Column) -> Column:
     """struct of the six metrics of a candidate (variant); null without one. What is wrong with one ends the job."""
     clean = F.size(F.try_variant_get(candidate, "$.reward.violations", "array<variant>")) == 0
     each = {m: F.try_variant_get(candidate, f"$.{group}.{field}", "double") for m, (group, field) in FIELDS.items()} | {"csr": clean.cast("double")}
-    issue = candidate_issue(candidate)
-    checked = F.when(issue.isNotNull(), F.raise_error(issue).cast("double"))
-    return F.when(candidate.isNotNull() & ~F.is_variant_null(candidate), F.struct(*[F.coalesce(checked, each[m]).alias(m) for m in METRICS]))
+    issue, kind = candidate_issue(candidate), f"struct<{', '.join(f'{m}: double' for m in METRICS)}>"
+    found = F.struct(*[each[m].alias(m) for m in METRICS])
+    return F.when(candidate.isNotNull() & ~F.is_variant_null(candidate), held_once(issue, lambda x: F.when(x.isNotNull(), F.raise_error(x).cast(kind)).otherwise(found)))
 
 
 def run_summary(results: DataFrame) -> DataFrame:

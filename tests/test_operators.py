@@ -204,8 +204,11 @@ def test_selected_quantiles_are_exact(spark, passes, monkeypatch):
     rows = [(g if g != "even" else None, x) for g, values in SHAPES.items() for x in [*values, None]] + [("empty", None)]
     shares = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q95": 0.95, "q100": 1.0}
     got = quantiles.exact_quantiles(spark.createDataFrame(rows, "g string, x double").repartition(5), ("g",), "x", shares, passes).collect()
-    assert {r["g"] for r in got} == {None if g == "even" else g for g in SHAPES}
+    assert {r["g"] for r in got} == {None if g == "even" else g for g in SHAPES} | {"empty"}
     for r in got:
+        if r["g"] == "empty":
+            assert r["n"] == 0 and all(r[name] is None for name in shares)
+            continue
         values = sorted(SHAPES[r["g"] or "even"])
         assert r["n"] == len(values)
         for name, share in shares.items():
