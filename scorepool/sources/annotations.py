@@ -1,17 +1,12 @@
-"""Annotation sources: JSON lines, JSON with or without a wrapper, CSV, Parquet; rows become variants, then typed samples."""
+"""Annotation sources: JSON lines, JSON with or without a wrapper, CSV, Parquet; rows become typed samples."""
 
 from __future__ import annotations
 
-import itertools
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorepool.constants import ALIASES, WRAPPER_KEYS
+from scorepool.sources import loose
 from scorepool.sources.elements import elements
 from scorepool.sources.streams import opens
 
@@ -74,121 +69,33 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return readers[suffix](spark, path)
 
 
-# --- loosely typed values ---------------------------------------------------------------------------------------
-
-
-def first_of(row: dict, names, empty=(None, "")):
-    """The first value under the names that is not empty, with its name; ("", "") if there is none."""
-    for name in names:
-        value = row.get(name)
-        if not any(value is e or (type(value) is type(e) and value == e) for e in empty):
-            return name, value
-    return "", ""
-
-
-def plain(value) -> str:
-    """Text of a loosely typed value: lists by spaces, mappings as key: value, the rest stripped."""
-    if value is None:
-        return ""
-    if isinstance(value, list):
-        return " ".join(map(plain, value))
-    if isinstance(value, dict):
-        return " ".join(f"{k}: {plain(v)}" for k, v in value.items())
-    return str(value).strip()
-
-
-def listed(value) -> list[str]:
-    """A list of non-blank texts from a list, a JSON list in a string, or a delimited string."""
-    if isinstance(value, str):
-        text = value.strip()
-        if text[:1] == "[" and text[-1:] == "]":
-            try:
-                return listed(json.loads(text))
-            except ValueError:
-                pass
-        value = re.split("[,，;；/、]", text)
-    elif not isinstance(value, list):
-        value = [] if value is None else [value]
-        return [plain(v) for v in value]
-    return [t for t in map(plain, value) if t]
-
-
-def number(value) -> float | None:
-    try:
-        return None if value in (None, "") else float(value)
-    except (TypeError, ValueError):
-        return None
-
-
-def choices_of(row: dict):
-    """The list or mapping of choices; else option0, option1 ... up to the first absent one, without blanks."""
-    given = first_of(row, ALIASES["choices"], (None, "", [], {}))[1] if any(row.get(n) for n in ALIASES["choices"]) else None
-    numbered = itertools.takewhile(row.__contains__, map("option{}".format, range(26)))
-    return given if isinstance(given, (list, dict)) else [row[n] for n in numbered if row[n] not in (None, "")]
-
-
-def option_pairs(choices) -> list[tuple[str | None, str]]:
-    """Choices in one shape: the key of each in a mapping, null in a list, and its text."""
-    if isinstance(choices, dict):
-        return [(k, plain(v)) for k, v in choices.items()]
-    return [(None, plain(v)) for v in choices]
-
-
-def options_text(choices) -> str:
-    if isinstance(choices, dict):
-        pairs = [(k, plain(choices[k])) for k in sorted(choices)]
-    else:
-        pairs = [("ABCDEFGHIJKLMNOPQRSTUVWXYZ"[i] if i < 26 else str(i), plain(v)) for i, v in enumerate(choices)]
-    return " ".join(f"{k}. {v}" for k, v in pairs if v)
-
-
-def subtitles_text(value) -> str:
-    if not isinstance(value, list):
-        return plain(value)
-    out = []
-    for item in value:
-        if isinstance(item, dict):
-            text, start = first_of(item, ALIASES["subtitle_text"])[1], first_of(item, ALIASES["subtitle_start"])[1]
-            text = plain(text)
-            out.append(f"[{start}] {text}" if text and start != "" else text)
-        else:
-            out.append(plain(item))
-    return " ".join(t for t in out if t)
-
-
-SAMPLE = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("video_id", "explicit_path", "lookup_id", "caption", "question", "answer", "category")]
-    + [T.StructField("duration", T.DoubleType()), T.StructField("semantic_points", T.ArrayType(T.StringType())), T.StructField("semantic_point_source_field", T.StringType())]
-    + [T.StructField(n, T.StringType()) for n in ("target_audience", "closing_summary")]
-    + [T.StructField("option_pairs", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())])))]
-)
-
-
-def sample_of(row: dict) -> dict:
-    """The typed sample of a raw annotation."""
-    text = lambda name: plain(first_of(row, ALIASES[name])[1])
-    caption = [first_of(row, ALIASES["caption"])[1], subtitles_text(first_of(row, ALIASES["subtitle"])[1]), first_of(row, ALIASES["prompt"])[1]]
-    choices = choices_of(row)
-    question, options = text("question"), options_text(choices)
-    answer = text("answer") or (text("correct_choice") if choices else "")
-    field, points = first_of(row, ALIASES["semantic_points"])
-    return {
-        "video_id": text("video_id"), "explicit_path": text("video_path"), "lookup_id": text("lookup_id"), "caption": " ".join(plain(c) for c in caption if c).strip(),
-        "question": f"{question} Options: {options}" if question and options else question, "answer": answer, "category": text("category"),
-        "duration": number(first_of(row, ALIASES["duration"])[1]), "semantic_points": listed(points), "semantic_point_source_field": field,
-        "target_audience": text("target_audience"), "closing_summary": text("closing_summary"), "option_pairs": option_pairs(choices),
-    }
-
-
-@F.pandas_udf(SAMPLE)
-def _samples(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([sample_of(json.loads(r)) for r in raw], columns=SAMPLE.names)
-
-
 def to_samples(rows: DataFrame) -> DataFrame:
-    """Samples with their raw text. The alias lists need values of any JSON type, so one Arrow UDF maps whole rows."""
-    samples = rows.select("raw", _samples("raw").alias("s")).select("raw", "s.*")
-    return samples.withColumn("answer", chosen(F.col("answer"), F.col("option_pairs"))).drop("option_pairs")
+    """Typed samples with their raw text, all in native expressions. Rows that are no JSON object end the job."""
+    numbered = [f"option{i}" for i in range(26)]
+    names = dict.fromkeys(n for k, held in ALIASES.items() if not k.startswith("subtitle_") for n in (*held, *numbered))
+    raw = F.when(F.col("raw").rlike(r"^\s*\{"), F.col("raw")).otherwise(F.raise_error(F.lit("a row is not an object")).cast("string"))
+    read = rows.select("raw", loose.texts(raw, names).alias("t"), loose.variants(raw, names).alias("v"))
+    found = read.select(
+        "raw", *[loose.first_of("t", "v", held).alias(k) for k, held in ALIASES.items() if not k.startswith("subtitle_")],
+        F.expr("array(" + ", ".join(f"named_struct('present', v.{n} IS NOT NULL, 'value', named_struct('text', t.{n}, 'kind', substring(to_json(v.{n}), 1, 1)))" for n in numbered) + ")").alias("numbered"),
+    )
+    plain = ("video_id", "video_path", "lookup_id", "question", "answer", "correct_choice", "category", "target_audience", "closing_summary")
+    values = F.array(*[F.struct(f"{n}.text", f"{n}.kind") for n in plain])
+    subtitles = loose.subtitles(F.col("subtitle"), ALIASES["subtitle_text"], ALIASES["subtitle_start"])
+    spoken = [F.when(loose.truthy(F.col(n)), loose.stated(F.col(n))) for n in ("caption", "prompt")]
+    # One row for one, as a generator: a filter on a sample's field is not pushed below it, where it would repeat what reads the row.
+    said = found.select("raw", F.inline(F.array(F.struct(
+        F.transform(values, loose.plain).alias("texts"),
+        loose.strip(F.concat_ws(" ", spoken[0], F.nullif(subtitles, F.lit("")), spoken[1])).alias("caption"),
+        loose.number(F.col("duration")).alias("duration"), loose.listed(F.col("semantic_points")).alias("semantic_points"), F.coalesce("semantic_points.name", F.lit("")).alias("semantic_point_source_field"),
+        loose.options(F.col("choices"), F.col("numbered")).alias("option_pairs"),
+    ))))
+    told = said.select(*[c for c in said.columns if c != "texts"], *[F.col("texts")[i].alias(n) for i, n in enumerate(plain)], loose.options_text(F.col("option_pairs")).alias("option_list")).withColumn("selector", F.when(F.col("answer") != "", F.col("answer")).when(F.size("option_pairs") > 0, F.col("correct_choice")).otherwise(""))
+    asked = F.when((F.col("question") != "") & (F.col("option_list") != ""), F.concat("question", F.lit(" Options: "), "option_list")).otherwise(F.col("question"))
+    return told.select(
+        "raw", "video_id", F.col("video_path").alias("explicit_path"), "lookup_id", "caption", asked.alias("question"), chosen(F.col("selector"), F.col("option_pairs")).alias("answer"),
+        "category", "duration", "semantic_points", "semantic_point_source_field", "target_audience", "closing_summary",
+    )
 
 
 def checked_samples(samples: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from scorepool.constants import ALIASES, REFERENCE_FLAGS, REFERENCE_PREFIXES, REFERENCE_PROTOCOL, REFERENCE_TEMPLATES, WRAPPER_KEYS
 from scorepool.sinks import fingerprint, write_json, write_once
-from scorepool.sources.annotations import first_of, plain
 from scorepool.sources.streams import hashes
 
 #: What a field lookup for a manifest takes as missing.
@@ -20,10 +19,30 @@ _EMPTY = (None, "", [], {})
 PREVIEW = 20
 
 
+def first_of(row: dict, names):
+    """The first value under the names that is not empty, with its name; ("", "") if there is none."""
+    for name in names:
+        value = row.get(name)
+        if not any(type(value) is type(e) and value == e for e in _EMPTY):
+            return name, value
+    return "", ""
+
+
+def plain(value) -> str:
+    """Text of a loosely typed value: lists by spaces, mappings as key: value, the rest stripped."""
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return " ".join(map(plain, value))
+    if isinstance(value, dict):
+        return " ".join(f"{k}: {plain(v)}" for k, v in value.items())
+    return str(value).strip()
+
+
 def annotate(raw: str, answer: str) -> tuple[str | None, str | None]:
     """A row with its reference points, or why it can't have them. `answer` is the sample's, with any selector resolved."""
     row = json.loads(raw)
-    source = {name: first_of(row, ALIASES[name], _EMPTY) for name in ("question", "answer", "correct_choice", "choices")}
+    source = {name: first_of(row, ALIASES[name]) for name in ("question", "answer", "correct_choice", "choices")}
     answer_field = source["answer"][0] or source["correct_choice"][0]
     question, told = plain(source["question"][1]).strip(), answer.strip()
     if row.get("semantic_points"):

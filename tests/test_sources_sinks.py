@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scorepool import models, sinks
 from scorepool.sources import annotations as A
-from scorepool.sources import files
+from scorepool.sources import files, manifests
 from scorepool.operators import fingerprint
 from scorepool.streaming import resume
 
@@ -63,25 +63,25 @@ def test_sample_mapping(spark):
     assert s["caption"] == "[1] hi yo why?"
 
 
-@pytest.mark.parametrize(
-    "row, answer",
-    [
-        ({"options": ["x", "y"], "answer": "b"}, "y"), ({"options": ["x", "y"], "answer": "1"}, "y"), ({"options": ["x"], "answer": "7"}, "7"),
-        ({"options": {"A": "(A) x", "B": "y"}, "answer": "a"}, "x"), ({"option0": "x", "option1": "", "option2": "z", "answer": "B"}, "z"),
-        ({"choices": ["x", "y"], "correct_idx": 0}, "x"), ({"answer": "free text"}, "free text"), ({"choices": ["x"], "answer": 0}, "x"),
-        ({"options": ["(b) q", "[B]: y"], "answer": "B"}, "y"), ({"options": ["B. ", "b)"], "answer": "A"}, "B."), ({"options": {"first": "First - x"}, "answer": "first"}, "First - x"),
-        ({"options": {"ONE": "one) x"}, "answer": "one"}, "x"), ({"options": ["x", "y"], "answer": "-1"}, "-1"), ({"options": ["x"], "answer": "1.0"}, "1.0"), ({"options": ["x"], "answer": "\u00c9"}, "\u00c9"),
-        ({"options": {"A": "A.x"}, "answer": "A"}, "A.x"), ({"options": {"\\E.": "\\e.) z"}, "answer": "\\e."}, "z"),
-    ],
-)
-def test_answers(spark, row, answer):
-    assert sample(spark, row)["answer"] == answer
+ANSWERS = [
+    ({"options": ["x", "y"], "answer": "b"}, "y"), ({"options": ["x", "y"], "answer": "1"}, "y"), ({"options": ["x"], "answer": "7"}, "7"),
+    ({"options": {"A": "(A) x", "B": "y"}, "answer": "a"}, "x"), ({"option0": "x", "option1": "", "option2": "z", "answer": "B"}, "z"),
+    ({"choices": ["x", "y"], "correct_idx": 0}, "x"), ({"answer": "free text"}, "free text"), ({"choices": ["x"], "answer": 0}, "x"),
+    ({"options": ["(b) q", "[B]: y"], "answer": "B"}, "y"), ({"options": ["B. ", "b)"], "answer": "A"}, "B."), ({"options": {"first": "First - x"}, "answer": "first"}, "First - x"),
+    ({"options": {"ONE": "one) x"}, "answer": "one"}, "x"), ({"options": ["x", "y"], "answer": "-1"}, "-1"), ({"options": ["x"], "answer": "1.0"}, "1.0"), ({"options": ["x"], "answer": "\u00c9"}, "\u00c9"),
+    ({"options": {"A": "A.x"}, "answer": "A"}, "A.x"), ({"options": {"\\E.": "\\e.) z"}, "answer": "\\e."}, "z"),
+]
+
+
+def test_answers(spark):
+    frame = spark.createDataFrame([(json.dumps(row | {"id": i}),) for i, (row, _) in enumerate(ANSWERS)], "raw string")
+    got = {int(s["video_id"]): s["answer"] for s in A.to_samples(frame).collect()}
+    assert [got[i] for i in range(len(ANSWERS))] == [answer for _, answer in ANSWERS]
 
 
 def test_empty_values_in_lookups():
-    assert A.first_of({"a": "", "b": None, "c": 0}, "abc") == ("c", 0)
-    assert A.first_of({"a": [], "b": 1}, "ab") == ("a", [])
-    assert A.first_of({"a": [], "b": {}, "c": 1}, "abc", empty=(None, "", [], {})) == ("c", 1)
+    assert manifests.first_of({"a": "", "b": None, "c": 0}, "abc") == ("c", 0)
+    assert manifests.first_of({"a": [], "b": {}, "c": 1}, "abc") == ("c", 1)
 
 
 def test_blank_ids_are_errors(spark):
