@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorepool.constants import FRAME_BINS, FRAMES_MAX, FRAMES_PER_BIN
+from scorepool.functions.text import held_once
 
 
 def binwise(total: Column, bins: int = FRAME_BINS, per_bin: int = FRAMES_PER_BIN, most: int = FRAMES_MAX) -> Column:
@@ -14,26 +15,34 @@ def binwise(total: Column, bins: int = FRAME_BINS, per_bin: int = FRAMES_PER_BIN
     A lone pick is the middle of its bin; more run from its first to its last frame, rounded half to even.
     """
     n = F.least(F.lit(bins), total)
-    bound = lambda b: F.floor(b * total / n)
-    picks = []
-    for b in range(bins):
-        start, end = bound(F.lit(b)), bound(F.lit(b + 1))
-        width = end - start
-        count = F.least(F.lit(per_bin), width)
-        for k in range(per_bin):
-            even = start + F.bround((width - 1) * k / F.greatest(count - 1, F.lit(1)), 0).cast("long")
-            spot = F.when(count == 1, start + F.floor(width / 2)).otherwise(even)
-            picks.append(F.when((F.lit(b) < n) & (F.lit(k) < count), F.struct(spot.cast("long").alias("frame"), F.lit(b).alias("bin"))))
-    present = F.array_compact(F.array(*picks))
-    once = F.filter(present, lambda x, i: ~F.exists(F.slice(present, F.lit(1), i), lambda y: y["frame"] == x["frame"]))
-    return F.when(total > 0, F.slice(once, 1, most)).otherwise(F.slice(present, 1, 0))
+
+    def picks(b: Column) -> Column:
+        """Picks of a bin. They differ, as the picks of a bin are a frame apart at least and bins don't meet."""
+        bound = F.struct(F.floor(b * total / n).cast("long").alias("start"), F.floor((b + 1) * total / n).cast("long").alias("end"))
+
+        def spread(x: Column) -> Column:
+            width = x["end"] - x["start"]
+            count = F.least(F.lit(per_bin), width).cast("int")
+            even = lambda k: x["start"] + F.bround((width - 1) * k / F.greatest(count - 1, F.lit(1)), 0).cast("long")
+            pick = lambda k: F.struct(F.when(count == 1, x["start"] + F.floor(width / 2)).otherwise(even(k)).alias("frame"), b.alias("bin"))
+            return F.transform(F.sequence(F.lit(0), count - 1), pick)
+
+        return held_once(bound, spread)
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n).cast("int") - 1), picks))
+    return F.when(total > 0, F.slice(every, 1, most)).otherwise(F.array().cast("array<struct<frame: bigint, bin: int>>"))
 
 
 def accounting_issue(indices: Column, bin_ids: Column, most: int = FRAMES_MAX, bins: int = FRAME_BINS) -> Column:
     """Why a sample's frame indices are not sound; null if they are."""
-    return F.coalesce(
-        F.when(indices.isNull() | (F.size(indices) < 1) | (F.size(indices) > most), F.lit("frame_count")),
-        F.when(F.array_sort(F.array_distinct(indices)) != indices, F.lit("not_increasing")),
-        F.when(F.size(bin_ids) != F.size(indices), F.lit("bin_count")),
-        F.when(~F.forall(bin_ids, lambda b: (b >= 0) & (b < bins)), F.lit("bin_range")),
-    )
+
+    def issue(x: Column) -> Column:
+        indices, bin_ids = x["indices"], x["bin_ids"]
+        return F.coalesce(
+            F.when(indices.isNull() | (F.size(indices) < 1) | (F.size(indices) > most), F.lit("frame_count")),
+            F.when(F.array_sort(F.array_distinct(indices)) != indices, F.lit("not_increasing")),
+            F.when(F.size(bin_ids) != F.size(indices), F.lit("bin_count")),
+            F.when(~F.forall(bin_ids, lambda b: (b >= 0) & (b < bins)), F.lit("bin_range")),
+        )
+
+    return held_once(F.struct(indices.alias("indices"), bin_ids.alias("bin_ids")), issue)

@@ -129,6 +129,15 @@ def test_binwise(spark, total, want):
         assert [x["bin"] for x in got] == [0, 1, 2, 3, 4]
 
 
+def test_sampling_computes_a_bin_once(spark):
+    """Neither picks nor their check repeat the bins' bounds for each frame that they look at."""
+    picks = sampling.binwise(F.col("id") + 2)
+    issue = sampling.accounting_issue(F.transform(picks, lambda x: x["frame"]), F.transform(picks, lambda x: x["bin"]))
+    for column, most in ((picks, 3), (issue, 6)):
+        plan = spark.range(3).select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("FLOOR(") <= most
+
+
 SEGMENT = "array<struct<start: double, end: double, words: int, complete: boolean, narration: string, is_summary: boolean>>"
 
 
