@@ -129,6 +129,23 @@ def test_binwise(spark, total, want):
         assert [x["bin"] for x in got] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("bins, per_bin, most", [(8, 2, 16), (8, 2, 9), (3, 5, 16), (4, 1, 16)])
+def test_binwise_equals_plain(spark, bins, per_bin, most):
+    def plain(total):
+        out, n = [], min(bins, total or 0)
+        for b in range(n):
+            start, end = b * total // n, (b + 1) * total // n
+            count = min(per_bin, end - start)
+            spots = [start + (end - start) // 2] if count == 1 else [start + round((end - start - 1) * k / (count - 1)) for k in range(count)]
+            out += [(x, b) for x in spots]
+        assert len({x for x, _ in out}) == len(out)
+        return out[:most]
+
+    totals = [None, -3, *range(150), 999, 10_000_019]
+    rows = spark.createDataFrame([(t,) for t in totals], "t long").select("t", sampling.binwise(F.col("t"), bins, per_bin, most).alias("p")).collect()
+    assert {r["t"]: [tuple(x) for x in r["p"]] for r in rows} == {t: plain(t) if t and t > 0 else [] for t in totals}
+
+
 def test_sampling_computes_a_bin_once(spark):
     """Neither picks nor their check repeat the bins' bounds for each frame that they look at."""
     picks = sampling.binwise(F.col("id") + 2)
