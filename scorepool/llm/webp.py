@@ -2,8 +2,9 @@
 
 `decode` takes any VP8L image: prefix codes, back-references, colour cache, prefix groups, and the predictor, cross-colour,
 subtract-green and palette transforms. `decode_many` reads many images in lockstep, one lane each, when they are plain (a
-palette of more than 16 colours or none, one code for green, constant other channels), and hands the rest to `decode`.
-`encode` writes one image with chosen features; `encode_tiles` writes many plain tiles with a palette each at once.
+palette of more than 16 colours, with a predictor over it or without, or no transform; one code for green, one for distances,
+constant other channels), and hands the rest to `decode`. `encode` writes one image with chosen features; `encode_tiles` writes
+many plain tiles at once, with a palette each, back-references, and a predictor where it helps.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +77,20 @@ def code_lengths(counts: list[int], most: int = 15) -> list[int]:
         return lengths
     weight = {s: counts[s] for s in used}
     while True:
-        heap = [(w, s, (s,)) for s, w in weight.items()]
+        heap = [(w, s, k) for k, (s, w) in enumerate(weight.items())]
         heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= most:
-            for s, d in depth.items():
-                lengths[s] = d
+        parent = [0] * (2 * len(used) - 1)
+        for node in range(len(used), 2 * len(used) - 1):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a[2]] = parent[b[2]] = node
+            heapq.heapreplace(heap, (a[0] + b[0], min(a[1], b[1]), node))
+        depth = [0] * len(parent)
+        for node in range(len(parent) - 2, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth) <= most:
+            for k, s in enumerate(used):
+                lengths[s] = depth[k]
             return lengths
         weight = {s: (w + 1) // 2 + 1 for s, w in weight.items()}
 
@@ -94,13 +99,17 @@ def _reversed(value: int, bits: int) -> int:
     return int(f"{value:0{bits}b}"[::-1], 2) if bits else 0
 
 
+#: Numbers of 15 bits, turned.
+_TURNED = [_reversed(k, 15) for k in range(1 << 15)]
+
+
 def codes(lengths: list[int]) -> list[int]:
     """Canonical codes, each with its first bit lowest."""
     out, code, last = [0] * len(lengths), 0, 0
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - last
         last = n
-        out[s] = _reversed(code, n)
+        out[s] = _TURNED[code] >> (15 - n)
         code += 1
     return out
 
@@ -173,12 +182,9 @@ def write_lengths(w: Writer, lengths: list[int]) -> None:
         for s in used or [0]:
             w.put(s, 8)
         return
-    runs, at, last = [], 0, used[-1] + 1
-    while at < len(lengths):  # (symbol, extra value, extra bits)
-        value, n = lengths[at], 1
-        while at + n < len(lengths) and lengths[at + n] == value:
-            n += 1
-        at += n
+    runs = []
+    for value, same in groupby(lengths):  # (symbol, extra value, extra bits)
+        n = len(list(same))
         if value == 0:
             while n >= 11:
                 m = min(n, 138)
@@ -536,9 +542,21 @@ WIDTH = 64
 TILE = WIDTH * 64
 #: Longest prefix code of plain tiles.
 PLAIN_BITS = 11
-_RUN = 5
-
-_TURN = np.array([_reversed(k, PLAIN_BITS) for k in range(1 << PLAIN_BITS)])
+#: Longest prefix code of their distances, fewest pixels of a back-reference, and bits of a tile's table of earlier places.
+DISTANCE_BITS = 9
+_MATCH = 6
+_TABLE = 12
+#: A predictor's block that covers a tile.
+_BLOCK_BITS = 9
+LEFT, TOP = 1, 2
+
+_TURN = {bits: np.array([_reversed(k, bits) for k in range(1 << bits)]) for bits in (PLAIN_BITS, DISTANCE_BITS)}
+#: Symbol, extra value and its bits of each length and distance code, and the distance codes of tiles.
+_PREFIX = np.array([(0, 0, 0)] + [prefix_of(v) for v in range(1, TILE + len(NEAR) + 1)]).T
+_NEAR_CODE = np.arange(TILE + 1) + len(NEAR)
+for _k in reversed(range(len(NEAR))):
+    if distance_of(_k + 1, WIDTH) <= TILE:
+        _NEAR_CODE[distance_of(_k + 1, WIDTH)] = _k + 1
 
 
 #: Fewest colours of a tile's palette; with fewer, several pixels would share a byte.
@@ -587,25 +605,125 @@ def _read_palette(r: Reader) -> np.ndarray | None:
     return out
 
 
+def _predictor_head(mode: int) -> tuple[int, int]:
+    """Bits of a predictor transform of one mode for the whole tile, and their number."""
+    w = Writer()
+    w.put(1 | PREDICTOR << 1, 3)
+    w.put(_BLOCK_BITS - 2, 3)
+    _write_image(w, [0xFF000000 | mode << 8], 1)
+    return w.value, w.n
+
+
+_PREDICTOR_HEADS = {mode: _predictor_head(mode) for mode in (LEFT, TOP)}
+
+
+def _residuals(data: np.ndarray, first_rows: np.ndarray) -> dict[int, np.ndarray]:
+    """What predictors leave of tiles in a row: LEFT's and TOP's. A tile's first row is always predicted from the left, its first column from above."""
+    rows = data.reshape(-1, WIDTH)
+    down = rows.copy()
+    down[1:] -= rows[:-1]
+    down[first_rows] = rows[first_rows]
+    left = rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    left[:, 0] = down[:, 0]
+    down[first_rows] = left[first_rows]
+    return {LEFT: left.ravel(), TOP: down.ravel()}
+
+
+def _restored(left_over: np.ndarray, mode: int) -> np.ndarray:
+    """Rows of a tile from what a predictor left of them."""
+    out = left_over.copy()
+    if mode == LEFT:
+        out[:, 0] = np.cumsum(out[:, 0], dtype=np.uint8)
+        return np.cumsum(out, axis=1, dtype=np.uint8)
+    out[0] = np.cumsum(out[0], dtype=np.uint8)
+    return np.cumsum(out, axis=0, dtype=np.uint8)
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of each row's symbols by their own frequencies."""
+    log = lambda x: x * np.log2(np.maximum(x, 1))
+    return log(counts.sum(1)) - log(counts).sum(1)
+
+
+def _earlier(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each place where _MATCH samples of a tile begin, a place before it in the tile where the same ones do, else -1. Tiles
+    advance together, each with a table of the last place by a hash of its samples."""
+    key = np.zeros(len(data), np.uint64)
+    for k in range(_MATCH):
+        key[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE)).astype(np.int32)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    places, at = size[order] - _MATCH + 1, offsets[:-1][order]
+    table, row = np.full(len(size) << _TABLE, -1, np.int16), np.arange(len(size)) << _TABLE
+    before, live = np.full(len(data), -1, np.int16), len(size)  # as places in the tile
+    for step in range(int(places[0])):
+        if places[live - 1] <= step:
+            live = int(np.searchsorted(-places, -step, side="left"))
+            at, row = at[:live], row[:live]
+        cell = slot.take(at)
+        cell = cell + row
+        before[at] = table.take(cell)
+        table[cell] = step
+        at = at + 1
+    before = np.where(before < 0, -1, before + np.repeat(offsets[:-1], size))
+    before[key[before] != key] = -1
+    return before
+
+
+def references(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references of tiles in a row: first places, lengths and distances, in order and apart. Each begins at the first place not
+    yet covered where samples repeat, and runs while its distance holds."""
+    before = _earlier(data, offsets)
+    distance = np.where(before >= 0, np.arange(len(data)) - before, 0)
+    change = np.diff(distance, prepend=0, append=0) != 0
+    change[offsets] = True  # a run ends with its tile
+    change = np.flatnonzero(change)
+    first, last = change[:-1], change[1:] - 1
+    held = distance[first] > 0
+    first, last = first[held], last[held]
+    after, taken, k = np.searchsorted(last, last + _MATCH).tolist(), [], 0
+    while k < len(last):
+        taken.append(k)
+        k = after[k]
+    first, last = first[taken], last[taken]
+    start = np.maximum(first, np.concatenate([[0], last[:-1] + _MATCH])[: len(first)])
+    return start, last + _MATCH - start, distance[start]
+
+
 def encode_tiles(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A file for each stretch of data, of up to TILE bytes and a multiple of WIDTH: the tile's values are its palette, the pixels
-    their places in it. Zeros at the end are a back-reference."""
+    their places in it, predicted from the left or from above where that leaves fewer bits. What repeats is a back-reference."""
     n = len(offsets) - 1
+    if not n:
+        return []
     size = np.diff(offsets)
     tile_of = np.repeat(np.arange(n), size)
     present = np.bincount(tile_of * 256 + data, minlength=n * 256).reshape(n, 256) > 0
     palettes = [np.flatnonzero(x).astype(np.uint8) for x in present]
-    data = (np.cumsum(present, axis=1) - 1).astype(np.uint8)[tile_of, data]  # zero, where there is one, has place 0
-    counts = np.bincount(tile_of * 256 + data, minlength=n * 256).reshape(n, 256)
-    ends_in_zero = present[:, 0]
-    filled = np.flatnonzero(data)
-    last = np.searchsorted(filled, offsets[1:]) - 1  # the last byte of a tile that is not zero
-    end = np.where((last >= 0) & (len(filled) > 0), filled[np.maximum(last, 0)] + 1 if len(filled) else 0, 0)
-    zeros = offsets[1:] - np.maximum(end, offsets[:-1])
-    run = np.where((zeros > _RUN) & ends_in_zero, zeros - 1, 0)  # one zero is written out, the rest refer to it
-    counts[:, 0] -= run
-    code, length = np.zeros((n, 256), np.uint64), np.zeros((n, 256), np.int64)
-    head, head_bits, tail, tail_bits = [], np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    data = (np.cumsum(present, axis=1) - 1).astype(np.uint8)[tile_of, data]
+    best, mode = _entropy(np.bincount(tile_of * 256 + data, minlength=n * 256).reshape(n, 256)), np.zeros(n, np.int64)
+    for m, left_over in _residuals(data, offsets[:-1] // WIDTH).items():
+        bits = _entropy(np.bincount(tile_of * 256 + left_over, minlength=n * 256).reshape(n, 256)) + _PREDICTOR_HEADS[m][1]
+        better = bits < best
+        if better.any():
+            best, mode = np.where(better, bits, best), np.where(better, m, mode)
+    if mode.any():
+        left_over = _residuals(data, offsets[:-1] // WIDTH)
+        data = np.choose(mode[tile_of], [data, left_over[LEFT], left_over[TOP]])
+    start, length, distance = references(data, offsets)
+    whose = tile_of[start]
+    (long, far), (long_extra, far_extra), (long_bits, far_bits) = (x[[length, _NEAR_CODE[distance]]] for x in _PREFIX)
+    cover = np.zeros(len(data) + 1, np.int64)
+    cover[start] += 1
+    np.add.at(cover, start + length, -1)
+    literal = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+    counts = np.bincount(np.concatenate([tile_of[literal] * GREEN + data[literal], whose * GREEN + 256 + long]), minlength=n * GREEN).reshape(n, GREEN)
+    distances = np.bincount(whose * DISTANCES + far, minlength=n * DISTANCES).reshape(n, DISTANCES)
+    code, bits_of = np.zeros((n, GREEN), np.uint64), np.zeros((n, GREEN), np.int64)
+    far_code, far_bits_of = np.zeros((n, DISTANCES), np.uint64), np.zeros((n, DISTANCES), np.int64)
+    head, head_bits = [], np.zeros(n, np.int64)
     for t in range(n):
         w = Writer()
         w.put(0x2F | (WIDTH - 1) << 8 | (int(size[t]) // WIDTH - 1) << 22, 8 + 14 + 14 + 1 + 3)
@@ -614,44 +732,44 @@ def encode_tiles(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         w.put(entries - 1, 8)
         w.put(_HEAD, _HEAD_BITS)
         w.put(_palette_bits(palettes[t]), _ENTRY * entries)
+        if mode[t]:
+            w.put(*_PREDICTOR_HEADS[int(mode[t])])
         w.put(0, 3)  # no other transform, no colour cache, one group
-        c = counts[t].tolist() + [0] * 24
-        if run[t]:
-            symbol, extra, bits = prefix_of(int(run[t]))
-            c[256 + symbol] = 1
-        lengths = code_lengths(c, PLAIN_BITS)
-        table = codes(lengths)
+        lengths = code_lengths(counts[t].tolist(), PLAIN_BITS)
         write_lengths(w, lengths)
-        for only in (0, 0, 255, 1):  # red, blue, alpha, and the distance code of one pixel left
+        if np.count_nonzero(counts[t]) > 1:
+            code[t], bits_of[t] = codes(lengths), lengths
+        for only in (0, 0, 0 if mode[t] else 255):  # red, blue, alpha
             w.put(0b101 | only << 3, 11)
-        if sum(x > 0 for x in c) > 1:
-            code[t], length[t] = table[:256], lengths[:256]
-        if run[t]:
-            tail[t], tail_bits[t] = table[256 + symbol] | extra << lengths[256 + symbol], lengths[256 + symbol] + bits
+        lengths = code_lengths(distances[t].tolist(), DISTANCE_BITS)
+        write_lengths(w, lengths)
+        if np.count_nonzero(distances[t]) > 1:
+            far_code[t], far_bits_of[t] = codes(lengths), lengths
         head.append(w.value)
         head_bits[t] = w.n
-    drop = np.zeros(len(data) + 1, np.int64)
-    np.add.at(drop, offsets[1:] - run, 1)
-    np.add.at(drop, offsets[1:], -1)
-    written = np.cumsum(drop[:-1]) == 0
-    at, who = data[written], tile_of[written]
-    bits, value = length[who, at], code[who, at]
+    # a reference is one value: its length's code and extra bits, then its distance's
+    value, bits = code[whose, 256 + long], bits_of[whose, 256 + long]
+    for part, many in ((long_extra, long_bits), (far_code[whose, far], far_bits_of[whose, far]), (far_extra, far_bits)):
+        value = value | part.astype(np.uint64) << bits.astype(np.uint64)
+        bits = bits + many
+    at = np.concatenate([literal, start])
+    order = np.argsort(at, kind="stable")
+    who = tile_of[at[order]]
+    value = np.concatenate([code[tile_of[literal], data[literal]], value])[order]
+    bits = np.concatenate([bits_of[tile_of[literal], data[literal]], bits])[order]
     sums = np.concatenate([[0], np.cumsum(bits)])
     ptr = np.searchsorted(who, np.arange(n + 1))
-    body = sums[ptr[1:]] - sums[ptr[:-1]]
-    total = head_bits + body + tail_bits
-    start = np.concatenate([[0], np.cumsum(-(-total // 64))]) * 64
-    place = sums[:-1] - sums[ptr[:-1]][who] + (start[:-1] + head_bits)[who]
-    place = np.concatenate([place, start[:-1] + head_bits + body])
-    value = np.concatenate([value, tail])
-    out = np.zeros(start[-1] // 64 + 2, np.uint64)
+    total = head_bits + sums[ptr[1:]] - sums[ptr[:-1]]
+    begin = np.concatenate([[0], np.cumsum(-(-total // 64))]) * 64
+    place = sums[:-1] - sums[ptr[:-1]][who] + (begin[:-1] + head_bits)[who]
+    out = np.zeros(begin[-1] // 64 + 2, np.uint64)
     word, shift = place >> 6, (place & 63).astype(np.uint64)
     np.add.at(out, word, value << shift)  # bits of codes never meet, so sums are unions
     over = (shift > 0) & (value >> (np.uint64(63) - shift) >> np.uint64(1) > 0)
     np.add.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
     raw, files = out.tobytes(), []
     for t in range(n):
-        have = raw[start[t] // 8 : start[t] // 8 + -(-int(total[t]) // 8)]
+        have = raw[begin[t] // 8 : begin[t] // 8 + -(-int(total[t]) // 8)]
         front = -(-int(head_bits[t]) // 8)
         joined = (int.from_bytes(have[:front], "little") | head[t]).to_bytes(front, "little") + have[front:]
         files.append(_framed(joined))
@@ -664,35 +782,81 @@ class _Plain:
     height: int
     first_bit: int
     lengths: list[int]
-    fixed: tuple[int, int, int]
+    fixed: tuple[int, ...]
+    distances: list[int]
     palette: np.ndarray | None
+    mode: int
 
 
 def _plain(body: bytes) -> _Plain | None:
-    """The header of an image with no more than a palette, without cache or groups, of one green code within PLAIN_BITS and constant other channels."""
+    """The header of an image with no more than a palette and a predictor of one mode over it, without cache or groups, of a green code
+    within PLAIN_BITS, a distance code within DISTANCE_BITS and constant other channels."""
     r = Reader(body)
     if r.read(8) != 0x2F:
         return None
     width, height = r.read(14) + 1, r.read(14) + 1
     if r.read(4) >> 1:
         return None
-    palette = None
+    palette, mode = None, 0
     if r.read(1):
-        if r.read(2) != PALETTE or (palette := _read_palette(r)) is None or r.read(1):
+        if r.read(2) != PALETTE or (palette := _read_palette(r)) is None:
             return None
+        if r.read(1):
+            if r.read(2) != PREDICTOR or max(width, height) > 1 << (2 + r.read(3)):
+                return None
+            mode = (_image_data(r, 1, 1, False)[0] >> 8) & 15
+            if mode not in (LEFT, TOP) or r.read(1):
+                return None
     if r.read(2):
         return None
     lengths = read_lengths(r, GREEN)
     if not 0 < max(lengths) <= PLAIN_BITS:
         return None
     fixed = []
-    for n in (256, 256, 256, DISTANCES):
+    for n in (256, 256, 256):
         own = read_lengths(r, n)
         used = [s for s, x in enumerate(own) if x]
         if len(used) != 1:
             return None
         fixed.append(used[0])
-    return _Plain(width, height, r.at, lengths, tuple(fixed), palette) if fixed[3] == 1 else None
+    distances = read_lengths(r, DISTANCES)
+    return _Plain(width, height, r.at, lengths, tuple(fixed), distances, palette, mode) if 0 < max(distances) <= DISTANCE_BITS else None
+
+
+def _table(lengths: list[int], bits: int) -> np.ndarray:
+    """Symbol and length of the code that each of the next `bits` bits begin with."""
+    lengths = np.array(lengths)
+    used = np.flatnonzero(lengths)
+    if len(used) == 1:
+        return np.full(1 << bits, used[0] << 4, np.int32)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    wide = np.repeat((order << 4) | lengths[order], 1 << (bits - lengths[order]))
+    if len(wide) != 1 << bits:
+        raise ValueError("a prefix code that is not complete")
+    return wide[_TURN[bits]]
+
+
+def _copied(samples: np.ndarray, at: np.ndarray, many: np.ndarray, back: np.ndarray) -> None:
+    """Fills back-references in: sources that are themselves copies are followed to what was written out, doubling the steps."""
+    place = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    source = np.arange(len(samples), dtype=np.int32)
+    own = (place - np.repeat(back, many)).astype(np.int32)
+    written = np.ones(len(samples), bool)
+    written[place] = False
+    source[place] = own
+    todo = place
+    while len(todo):
+        left = np.flatnonzero(~written.take(own))
+        todo, own = todo.take(left), source.take(own.take(left))
+        source[todo] = own
+    samples[place] = samples.take(source.take(place))
+
+
+#: Of NEAR's distance codes, columns left and rows up.
+_NEAR_LEFT, _NEAR_UP = np.array(NEAR).T
+#: Extra bits and least value of each length and distance symbol.
+_EXTRAS = np.maximum(np.arange(DISTANCES) - 2, 0) >> 1
+_LEAST = np.where(np.arange(DISTANCES) < 4, np.arange(DISTANCES), (2 + (np.arange(DISTANCES) & 1)) << _EXTRAS) + 1
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
@@ -709,50 +873,56 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([heads[i].width * heads[i].height for i in lanes])
     base = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(bodies[i] for i in lanes) + bytes(8), np.uint8).astype(np.uint32)
-    at32 = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)
+    at32 = (data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum([len(bodies[i]) for i in lanes])])
     bit = 8 * starts[:-1] + np.array([heads[i].first_bit for i in lanes])
     stop = 8 * starts[1:]
-    table = np.zeros((len(lanes), 1 << PLAIN_BITS), np.int32)
-    for k, i in enumerate(lanes):
-        lengths = np.array(heads[i].lengths)
-        used = np.flatnonzero(lengths)
-        if len(used) == 1:
-            table[k] = used[0] << 4
-            continue
-        order = used[np.argsort(lengths[used], kind="stable")]
-        wide = np.repeat((order << 4) | lengths[order], 1 << (PLAIN_BITS - lengths[order]))
-        if len(wide) != 1 << PLAIN_BITS:
-            raise ValueError("a prefix code that is not complete")
-        table[k] = wide[_TURN]
-    table = table.ravel()
+    table = np.concatenate([_table(heads[i].lengths, PLAIN_BITS) for i in lanes])
+    far_table = np.concatenate([_table(heads[i].distances, DISTANCE_BITS) for i in lanes])
+    wide = np.array([heads[i].width for i in lanes])
+    copies = []
     samples = np.zeros(base[-1], np.uint8)
     where, limit = base[:-1].copy(), base[1:]
     live = np.arange(len(lanes))
     position, here, top, row = where[live], bit[live], limit[live], live << PLAIN_BITS
     mask = (1 << PLAIN_BITS) - 1
-    last_word = len(at32) - 1
+
+    def ahead(bit: np.ndarray) -> np.ndarray:
+        out = at32.take(bit >> 3, mode="clip")
+        out >>= bit & 7
+        return out
+
+    def value_ahead(symbol: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """value_of() in lockstep; moves bit on."""
+        value, extra = ahead(bit), _EXTRAS.take(symbol)
+        value &= (1 << extra) - 1
+        value += _LEAST.take(symbol)
+        bit += extra
+        return value
+
     while len(live):
-        e = table[row + ((at32[np.minimum(here >> 3, last_word)] >> (here & 7).astype(np.uint32)) & mask)]
-        here += e & 15
+        at = ahead(here)
+        at &= mask
+        at += row
+        e = table.take(at)
         symbol = e >> 4
-        if symbol.max() >= 256:
-            for k in np.flatnonzero(symbol >= 256).tolist():  # back-references, each on its own
-                r = Reader(bodies[lanes[live[k]]])
-                r.at = int(here[k] - 8 * starts[live[k]])
-                n = value_of(int(symbol[k]) - 256, r)
-                p, h = int(position[k]), heads[lanes[live[k]]]
-                d = distance_of(value_of(h.fixed[3], r), h.width)
-                if p - d < base[live[k]] or p + n > top[k]:
-                    raise ValueError("a reference beyond the image")
-                samples[p : p + n] = np.resize(samples[p - d : p], n) if d < n else samples[p - d : p - d + n]
-                here[k] = r.at + 8 * starts[live[k]]
-                position[k] += n
-            plain = symbol < 256
-            samples[position[plain]] = symbol[plain]
-            position += plain
+        e &= 15
+        here += e
+        refers = np.flatnonzero(symbol >= 256)
+        samples[position] = symbol  # a reference's first sample is filled in later
+        if len(refers):
+            lane, bit, at = live.take(refers), here.take(refers), position.take(refers)
+            many = value_ahead(symbol.take(refers) - 256, bit)
+            far = ahead(bit)
+            far &= (1 << DISTANCE_BITS) - 1
+            far += lane << DISTANCE_BITS
+            far = far_table.take(far)
+            bit += far & 15
+            copies.append((at, many, value_ahead(far >> 4, bit), lane))
+            here[refers] = bit
+            position += 1
+            position[refers] = at + many
         else:
-            samples[position] = symbol
             position += 1
         done = position >= top
         if done.any():
@@ -760,10 +930,18 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
                 raise ValueError("the image ends too early")
             keep = ~done
             live, position, here, top, row = live[keep], position[keep], here[keep], top[keep], row[keep]
+    if copies:
+        at, many, code, lane = (np.concatenate(x) for x in zip(*copies, strict=True))
+        near = np.minimum(code, len(NEAR)) - 1
+        back = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, _NEAR_LEFT[near] + _NEAR_UP[near] * wide[lane]))
+        if (at - back < base[lane]).any() or (at + many > limit[lane]).any():
+            raise ValueError("a reference beyond the image")
+        _copied(samples, at, many, back)
     for k, i in enumerate(lanes):
         h = heads[i]
         image = np.empty((h.height, h.width, 4), np.uint8)
         own = samples[base[k] : base[k + 1]].reshape(h.height, h.width)
+        own = _restored(own, h.mode) if h.mode else own
         if h.palette is None:
             image[..., 1] = own
             image[..., 0], image[..., 2], image[..., 3] = h.fixed[:3]

@@ -426,6 +426,27 @@ def test_tiles_read_alike():
         assert webp._plain(webp._body(f)).palette is not None  # read in lockstep, by way of the palette transform
 
 
+def test_tiles_refer_back_and_predict():
+    rng = np.random.default_rng(3)
+    noise, column, row = rng.integers(0, 256, 1024), rng.integers(0, 200, 64), np.arange(64)
+    payloads = {"repeats": np.tile(noise, 4), "top": (column + 3 * row[:, None]) % 256, "left": np.cumsum(rng.integers(0, 3, (64, 64)), 1) + rng.integers(0, 99, (64, 1)), "words": rng.integers(97, 100, 4096), "short": np.arange(64)}
+    tiles = [p.astype(np.uint8).ravel() for p in payloads.values()]
+    data, offsets = np.concatenate(tiles), np.concatenate([[0], np.cumsum([len(t) for t in tiles])])
+    files = dict(zip(payloads, webp.encode_tiles(data, offsets), strict=True))
+    assert len(files["repeats"]) < 2304 and len(files["top"]) < 1024
+    heads = {k: webp._plain(webp._body(f)) for k, f in files.items()}
+    assert [heads[k].mode for k in ("repeats", "top", "left", "words")] == [0, webp.TOP, webp.LEFT, 0]
+    assert sum(map(bool, heads["words"].distances)) > 1
+    for tile, f, many in zip(tiles, files.values(), webp.decode_many(list(files.values())), strict=True):
+        assert (many[..., 1].ravel() == tile).all() and (webp.decode(f) == many).all()
+    start, length, distance = webp.references(data, offsets)
+    assert (start[1:] >= (start + length)[:-1]).all()
+    for a, n, d in zip(start.tolist(), length.tolist(), distance.tolist(), strict=True):
+        first = offsets[np.searchsorted(offsets, a, side="right") - 1]
+        assert a - d >= first and np.searchsorted(offsets, a, side="right") == np.searchsorted(offsets, a + n - 1, side="right")
+        assert all(data[a + k] == data[a + k - d] for k in range(n))
+
+
 def test_broken_images():
     good = webp.encode(np.zeros((4, 4, 4), np.uint8) + np.arange(4, dtype=np.uint8))
     for bad in (b"RIFF", good[:12] + b"VP8 " + good[16:], good[:20] + b"\x2e" + good[21:]):
