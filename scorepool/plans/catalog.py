@@ -15,6 +15,9 @@ from scorepool.plans import views as V
 from scorepool.plans.views import table
 from scorepool.sources import annotations
 
+#: Text whose n-grams one task counts, in bytes.
+GRAM_BYTES = 16 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,8 +57,14 @@ def repetition_rate(spark, sf_dir):
 
 @query(f"WITH {_WORDS}, g AS (SELECT list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM docs WHERE len(w) >= 2) SELECT gram, count(*) AS n FROM (SELECT unnest(g) AS gram FROM g) GROUP BY gram")
 def ngram_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(text.tokens(F.col("text")).alias("w"))
-    return d.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    """No task counts the grams of more than about GRAM_BYTES of text: shares of documents first, then shares of grams."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, -(-size // GRAM_BYTES))
+    shares = d.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("share")).repartitionById(n, F.col("share"))
+    grams = shares.select("share", text.tokens(F.col("text")).alias("w")).select("share", F.explode(text.ngrams(F.col("w"), 2)).alias("gram"))
+    counted = grams.groupBy("share", "gram").agg(F.count(F.lit(1)).alias("n"))  # within the shares' tasks
+    return counted.select("gram", "n").repartition(n, "gram").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH b AS (SELECT item_id, text FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark),

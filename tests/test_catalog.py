@@ -36,6 +36,16 @@ def test_query_equals_sql(spark, duck, name):
     assert ranked(frame.select(columns).collect()) == ranked([tuple(r[i] for i in at) for r in want.fetchall()])
 
 
+def test_grams_are_counted_in_shares(spark, duck, monkeypatch):
+    """Tasks grow in number with the text, both those of documents and those of grams, and counts stay whole."""
+    size = duck.sql("SELECT sum(strlen(text)) FROM documents").fetchall()[0][0]
+    monkeypatch.setattr(catalog, "GRAM_BYTES", size // 40)
+    frame = catalog.ngram_counts(spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and frame.rdd.getNumPartitions() >= 40
+    assert ranked(frame.select("gram", "n").collect()) == ranked(duck.sql(catalog.SQL["ngram_counts"]).select("gram", "n").fetchall())
+
+
 def test_flagship(spark):
     rows = {r["method"]: r for r in entry.entry(spark).collect()}
     assert set(rows) == {"direct", "best_of_4"} and rows["best_of_4"]["ok"] >= rows["direct"]["ok"]
