@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorepool.constants import FRAME_BINS, FRAMES_MAX, FRAMES_PER_BIN
@@ -33,6 +35,16 @@ def binwise(total: Column, bins: int = FRAME_BINS, per_bin: int = FRAMES_PER_BIN
     return F.when(total > 0, F.slice(every, 1, most)).otherwise(F.array().cast("array<struct<frame: bigint, bin: int>>"))
 
 
+def per_total(rows: DataFrame, total: str, name: str, make: Callable[[Column], Column] = binwise) -> DataFrame:
+    """rows with make(total), their picks or what follows from them, as column `name`.
+
+    It depends on nothing but the total, so it is made once for each that occurs, spread over tasks by their shuffle, and joined
+    to the rows. A null total counts as one of its own, and every row stays.
+    """
+    totals = rows.select(F.col(total).alias("_total")).distinct().select("_total", make(F.col("_total")).alias(name))
+    return rows.join(totals, F.col(total).eqNullSafe(F.col("_total")), "left").drop("_total")
+
+
 def accounting_issue(indices: Column, bin_ids: Column, most: int = FRAMES_MAX, bins: int = FRAME_BINS) -> Column:
     """Why a sample's frame indices are not sound; null if they are."""
 

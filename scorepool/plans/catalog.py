@@ -285,8 +285,8 @@ r AS (SELECT *, CAST(floor(b * t / n) AS BIGINT) AS lo, CAST(floor((b + 1) * t /
 SELECT c_custkey, array_to_string(list_transform(list_distinct_sorted, lambda x: CAST(x AS VARCHAR)), ',') AS frames FROM (SELECT c_custkey, list_sort(list_distinct(flatten(list(CASE WHEN hi - lo = 1 THEN [lo] ELSE [lo, hi - 1] END)))) AS list_distinct_sorted FROM r GROUP BY 1)""")
 def binwise_indices(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 60 + 1).alias("t"))
-    picks = sampling.binwise(F.col("t"))
-    return c.select("c_custkey", F.array_join(F.transform(picks, lambda x: x["frame"].cast("string")), ",").alias("frames"))
+    listed = lambda t: F.array_join(F.transform(sampling.binwise(t), lambda x: x["frame"].cast("string")), ",")
+    return sampling.per_total(c, "t", "frames", listed).select("c_custkey", "frames")
 
 
 # --- timelines ----------------------------------------------------------------------------------------------------
@@ -855,7 +855,7 @@ def reference_contract(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'not_increasing' WHEN c_custkey % 7 = 0 THEN 'bin_range' END AS issue FROM customer")
 def sampling_accounting(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", sampling.binwise(F.col("c_custkey") % 60 + 2).alias("p"))
+    c = sampling.per_total(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 60 + 2).alias("t")), "t", "p")
     frames = F.transform("p", lambda x: x["frame"])
     frames = F.when(F.col("c_custkey") % 5 == 0, F.reverse(frames)).otherwise(frames)
     bins = F.transform("p", lambda x: x["bin"] + F.when(F.col("c_custkey") % 7 == 0, 8).otherwise(0))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorepool.functions import letters, sampling, text, timeline, vectors
+from scorepool.plans import catalog
 
 
 def one(spark, column, **values):
@@ -155,6 +156,23 @@ def test_sampling_computes_a_bin_once(spark):
         assert 0 < plan.count("FLOOR(") <= most
 
 
+def test_picks_are_made_once_a_total(spark):
+    """Rows keep their number and order of columns, null totals too; what is made of a total is made once for all its rows."""
+    rows = spark.range(500).select("id", F.when(F.col("id") % 8 > 0, F.col("id") % 8 - 1).alias("t"))
+    got = sampling.per_total(rows, "t", "p").collect()
+    assert sorted(r["id"] for r in got) == list(range(500)) and list(got[0].asDict()) == ["id", "t", "p"]
+    assert all([x["frame"] for x in r["p"]] == list(range(r["t"] or 0)) for r in got)
+    once = sampling.per_total(rows, "t", "p", lambda t: F.concat(F.uuid(), t.cast("string"))).where("t IS NOT NULL")
+    assert once.select("p").distinct().count() == 7
+
+
+@pytest.mark.parametrize("name", ["binwise_indices", "sampling_accounting"])
+def test_queries_make_picks_of_distinct_totals(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [k for k, line in enumerate(plan) if "flatten(" in line]
+    assert len(made) == 1 and "Aggregate [" in plan[made[0]] + plan[made[0] + 1]
+
+
 SEGMENT = "array<struct<start: double, end: double, words: int, complete: boolean, narration: string, is_summary: boolean>>"
 
 
