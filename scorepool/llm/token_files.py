@@ -68,7 +68,7 @@ class _Encoder:
     def __init__(self, lanes: int, steps: int, wide: bool):
         self.low, self.range = np.zeros(lanes), np.full(lanes, _WHOLE)
         self.room = steps + 8
-        self.out, self.at = np.zeros(lanes * self.room, np.int32), np.arange(lanes) * self.room
+        self.out, self.at = np.zeros(lanes * self.room, np.int32), np.arange(lanes)  # digit by digit, as lanes are about as far
         self.plain, self.shift = np.zeros((steps, lanes), np.uint64 if wide else np.uint16), 32 if wide else 12  # bits, and above them how many
 
     def move(self, low: np.ndarray, by: np.ndarray) -> None:
@@ -79,7 +79,7 @@ class _Encoder:
         low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
         digit = np.floor(low * (1 / _NARROW))
         self.out[at] = digit
-        at += 1
+        at += len(self.at)
         digit *= _NARROW
         low -= digit
         low *= _DIGIT
@@ -92,17 +92,25 @@ class _Encoder:
         for _ in range(3):
             digit = np.floor(self.low * (1 / _NARROW))
             self.out[self.at] = digit
-            self.at += 1
+            self.at += lanes
             self.low = (self.low - digit * _NARROW) * _DIGIT
-        out, size = self.out.reshape(lanes, self.room), self.at - np.arange(lanes) * self.room
-        rows, at = np.nonzero(out >> 24)
-        while len(rows):
-            out[rows, at] &= 0xFFFFFF
-            np.add.at(out, (rows, at - 1), 1)
-            rows, at = np.divmod(np.unique(rows * self.room + at - 1), self.room)
-            over = out[rows, at] >> 24 > 0
-            rows, at = rows[over], at[over]
-        return [out[k, :n].astype(">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() for k, n in enumerate(size.tolist())], self._bits()
+        out, size = self.out, self.at // max(lanes, 1)
+        at = np.flatnonzero(out >> 24)
+        while len(at):
+            out[at] &= 0xFFFFFF
+            np.add.at(out, at - lanes, 1)
+            at = np.unique(at - lanes)
+            at = at[out[at] >> 24 > 0]
+        return self._digits(size), self._bits()
+
+    def _digits(self, size: np.ndarray, stretch: int = 256) -> list[bytes]:
+        """Digits of each lane, three bytes each; a stretch of lanes at a time, to hold little at once."""
+        lanes, out = len(size), self.out.reshape(self.room, -1)
+        found = []
+        for first in range(0, lanes, stretch):
+            part = np.ascontiguousarray(out[:, first : first + stretch].T).astype(">i4")
+            found += [row[:n].view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() for row, n in zip(part, size[first : first + stretch].tolist(), strict=True)]
+        return found
 
     def _bits(self, stretch: int = 256) -> list[bytes]:
         """Plain bits of each lane, the lowest first, from a whole byte on; a stretch of lanes at a time, to hold little at once."""
@@ -133,7 +141,7 @@ def _packed(plain: np.ndarray, shift: int) -> list[bytes]:
 
 
 class _Decoder:
-    def __init__(self, coded: list[bytes], plain: list[bytes]):
+    def __init__(self, coded: list[bytes], plain: list[bytes], wide: bool):
         self.low, self.range = np.zeros(len(coded)), np.full(len(coded), _WHOLE)
         digits = np.frombuffer(b"".join(coded) + bytes(9), np.uint8).reshape(-1, 3).astype(np.uint32)
         digits = digits[:, 0] << 16 | digits[:, 1] << 8 | digits[:, 2]
@@ -143,8 +151,9 @@ class _Decoder:
         for _ in range(2):
             self.low = self.low * _DIGIT + self.data.take(self.at)
             self.at += 1
-        byte = np.frombuffer(b"".join(plain) + bytes(8), np.uint8).astype(np.int64)
-        self.window = byte[:-4] | byte[1:-3] << 8 | byte[2:-2] << 16 | byte[3:-1] << 24 | byte[4:] << 32
+        size = sum(map(len, plain))
+        two = np.frombuffer(b"".join(plain) + bytes(8 + size % 2), "<u2").astype(np.int64 if wide else np.uint32)
+        self.window = two[:-2] | two[1:-1] << 16 | (two[2:] << 32 if wide else 0)  # from each second byte on, more than a symbol takes
         self.bit = 8 * np.cumsum([0] + [len(x) for x in plain])[:-1]
 
     def move(self, low: np.ndarray, by: np.ndarray) -> None:
@@ -161,8 +170,8 @@ class _Decoder:
 
     def bits(self, who: np.ndarray, many: np.ndarray) -> np.ndarray:
         bit = self.bit.take(who)
-        out = self.window.take(bit >> 3, mode="clip")
-        out >>= bit & 7
+        out = self.window.take(bit >> 4, mode="clip").astype(np.int64)
+        out >>= bit & 15
         out &= (1 << many) - 1
         bit += many
         self.bit[who] = bit
@@ -180,9 +189,11 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
     symbols = 2 * len(first)  # a class's last id, or another of the class
     first, extra = np.repeat(first + 1, 2).astype(kind), np.repeat(extra, 2)
     extra[0::2] = 0
-    known = None if wide else _class_of(np.arange(1 << 16))
+    known = None if wide else (_class_of(np.arange(1 << 16)) << 1).astype(np.uint8)
     one, two = np.zeros(lanes << _ONE, kind), np.zeros(lanes << _TWO, kind)  # id; two bits of order 2's confidence; two of order 1's
-    surer1, surer2 = np.array([1, 2, 3, 3] * 4, kind), np.repeat(np.array([4, 8, 12, 12], kind), 4)  # after a hit
+    # confidences after a step, by those before it, plus 16 if order 1 was right and 32 if order 2 was
+    surer1 = np.concatenate([np.ones(16), [1, 2, 3, 3] * 4] * 2).astype(kind)
+    surer2 = np.concatenate([np.full(32, 4), np.repeat([4, 8, 12, 12], 4), np.repeat([4, 8, 12, 12], 4)]).astype(kind)
     right, seen = np.tile(_first_shares(), (lanes, 1)).astype(np.int32), np.zeros((lanes, symbols), np.int32)
     outcomes, places = [], []
     last = np.zeros(lanes * symbols >> 1, kind)
@@ -205,8 +216,10 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
                 outcomes, places = [], []
             part = _MOST / (right.sum(1) * float(1 << _SHARE))
             least = _LEAST / (1 << _SHARE)
-            share2 = right[:, 2] * part + least
-            share1 = share2 + right[:, 1] * part + least
+            shares = np.empty((len(right), 2))
+            shares[:, 0] = right[:, 2] * part + least
+            shares[:, 1] = shares[:, 0] + right[:, 1] * part + least
+            shares = shares.view(np.complex128).ravel()  # both in one look
             width = (seen * 16 + 1) * ((1 << _PLACE) - symbols) // (seen.sum(1, keepdims=True, dtype=np.int32) * 16 + symbols) + 1
             start = np.cumsum(width, axis=1, dtype=np.int32)
             width[:, -1] += (1 << _PLACE) - start[:, -1]
@@ -231,11 +244,8 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
         state = in_shares + c1
         # one step of the coder: order 2's id, order 1's, or another
         low, rng = coder.low[:live], coder.range[:live]
-        to2, to1 = share2.take(state), share1.take(state)
-        to2 *= rng
-        to1 *= rng
-        np.floor(to2, out=to2)
-        np.floor(to1, out=to1)
+        both = shares.take(state)
+        to2, to1 = np.floor(both.real * rng), np.floor(both.imag * rng)
         if ids is None:
             hit2, hit = low < to2, low < to1
             found = np.where(hit2, g2, g1)
@@ -244,14 +254,16 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
             found = ids[step, :live] + kind(1)
             is2, is1 = found == g2, found == g1
             hit2, hit = is2, is2 | is1
-        start = np.where(hit2, 0.0, np.where(hit, to2, to1))
-        end = np.where(hit2, to2, np.where(hit, to1, rng))
-        coder.move(low, start)
-        np.subtract(end, start, out=rng)
+        span2, miss, miss2 = to1 - to2, ~hit, ~hit2  # products by 0 or 1 choose, and are quicker than where()
+        coder.move(low, to2 * miss2 + span2 * miss)
+        rng -= to1
+        rng *= miss
+        rng += span2 * (hit ^ hit2)
+        rng += to2 * hit2
         state *= 3
         state += hit.view(np.uint8) + hit2.view(np.uint8)
         outcomes.append(state)
-        who = np.flatnonzero(~hit)
+        who = np.flatnonzero(miss)
         if len(who):  # order 0: a class with its last id or another
             low, rng = coder.low.take(who), coder.range.take(who)
             rng *= 2.0**-_PLACE
@@ -267,8 +279,7 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
                 old = last.take(cell)
             else:
                 v = found.take(who)
-                s = _class_of(v - 1) if wide else known.take(v - 1)
-                s = s << 1
+                s = _class_of(v - 1) << 1 if wide else known.take(v - 1).astype(np.int64)
                 cell = at >> 1
                 cell += s >> 1
                 s += last.take(cell) != v
@@ -289,15 +300,16 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
             else:
                 many <<= coder.shift
                 many |= (v - first.take(s)) * (s & 1)
-                coder.plain[step, who] = many
+                coder.plain[step][who] = many.astype(coder.plain.dtype)
             last[cell] = v
         coder.settle(live)
         if ids is None:
             got[step, :live] = found
         # learn
         new = found << 4
-        one[h1] = new | np.where(is1, surer1.take(c1), 1)
-        two[h2] = new | np.where(is2, surer2.take(c1), 4)
+        c1 |= ((is1.view(np.uint8) << 4) + (is2.view(np.uint8) << 5)).astype(kind)
+        one[h1] = new | surer1.take(c1)
+        two[h2] = new | surer2.take(c1)
         h = found * np.int64(0x9E3779B1)
         h &= 0xFFFFFFFF
     return got if ids is not None else got - kind(1)
@@ -350,7 +362,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if blocks:
         bounds = (20 + size + np.concatenate([[0], np.cumsum(np.concatenate([coded, plain]), dtype=np.int64)])).tolist()
         pieces = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        grid = _run(_Decoder(pieces[:blocks], pieces[blocks:]), sizes.astype(np.int64), bool(flags & WIDE), None)
+        grid = _run(_Decoder(pieces[:blocks], pieces[blocks:], bool(flags & WIDE)), sizes.astype(np.int64), bool(flags & WIDE), None)
         flat = np.ascontiguousarray(grid.T).ravel().astype("<u4")[: int(sizes.sum())]  # only the last block may be short
     for k, c in enumerate(checks.tolist()):
         if crc(flat[k * BLOCK : (k + 1) * BLOCK].tobytes()) != c:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -31,6 +32,16 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def _pieces(path: str):
+    """The merges alone, of each line."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    alone = Tokenizer(_load(path).model)
+    alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    return alone
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -45,9 +56,13 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+#: UTF-8 of these letters, in two bytes or, below 0x80, one; a line feed stays as it is, to part words.
+_LETTER_BYTES = np.array([list(chr(c if b != 0x0A else b).encode().rjust(2, b"\0")) for b, c in sorted(_LETTERS.items())], np.uint8)
 
 #: How a word begins: after a space, at the start of a text, after a line feed.
 SPACED, BARE, AFTER_LINE = 0, 1, 2
+#: Stands between words that are merged in one text; plain words have letters only.
+_MARK = "!"
 #: White space that byte-level splitters see inside or beside words, apart from single spaces and line feeds between two words.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 _ODD_LEAD = np.zeros(256, bool)
@@ -61,6 +76,30 @@ _FRONT = (1 << 8 * np.arange(9, dtype=object)) - 1
 _FRONT = _FRONT.astype(np.uint64)
 
 
+def _listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists in a row, and each list's number."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+
+def _lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    """Words and the space before each, in byte letters, one to a line."""
+    if not len(start):
+        return ""
+    ends = np.cumsum(end - start + 2)
+    at = np.repeat(end + 1 - ends, end - start + 2)
+    at += np.arange(len(at))
+    part = data.take(at)
+    part[ends - 1] = 0x0A
+    first, second = _LETTER_BYTES[:, 0].take(part[:-1]), _LETTER_BYTES[:, 1].take(part[:-1])
+    two = first > 0
+    place = np.cumsum(two) + np.arange(len(two))
+    out = np.empty(int(place[-1]) + 1, np.uint8)
+    out[place] = second
+    out[place[two] - 1] = first[two]
+    return out.tobytes().decode("utf-8")
+
+
 class Memo:
     """Ids of words under one vocabulary: an open-addressed table of word hashes, each with a second check of the word's length and
     first eight bytes, and the ids of all of them in a row."""
@@ -70,6 +109,13 @@ class Memo:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.heads = ["", "", ""] if split else [" ".translate(_LETTERS), "", ""]
         self.line = [] if split else self._merge("\n".translate(_LETTERS))
+        if not split:  # the line feed is a piece of its own before the word
+            self.heads[AFTER_LINE] = "\n".translate(_LETTERS) + "\n"
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.leads[[i for token, i in vocabulary.items() if token.startswith(self.heads[SPACED])]] = True
+        mark = self._merge(_MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
         self.bits = (2 * MEMO_WORDS - 1).bit_length()
         self.clear()
 
@@ -77,31 +123,54 @@ class Memo:
         self.keys, self.checks, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ptr, self.size, self.flat = np.zeros(MEMO_WORDS, np.int64), np.zeros(MEMO_WORDS, np.int64), np.zeros(1 << 16, "<u4")
         self.n, self.used = 0, 0
-        self._add(np.array([1, 2], np.uint64), np.zeros(2, np.uint64), [self._merge("."), self._merge(",")])  # entries 0 and 1
+        self._add(np.array([1, 2], np.uint64), np.zeros(2, np.uint64), *_listed([self._merge("."), self._merge(",")]))  # entries 0 and 1
 
     def _merge(self, part: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(part)]
 
-    def _encode(self, words: list[bytes], kinds: list[int], plain: list[bool]) -> list[list[int]]:
-        """Ids of each word in its place. Plain ones, of letters alone, go straight to the merges."""
-        out: list[list[int]] = []
-        rest, tokenize, heads = [], self.tokenizer.model.tokenize, self.heads
-        for word, kind, letters in zip(words, kinds, plain, strict=True):
-            if not letters:
-                rest.append(len(out))
-                out.append([])
-                continue
-            if self.split:
-                word = word.lower() if word.isascii() else word.decode("utf-8").lower().encode()
-            part = word.decode("latin-1")
-            if not word.isascii():
-                part = part.translate(_LETTERS)
-            ids = [t.id for t in tokenize(heads[kind] + part)]
-            out.append(self.line + ids if kind == AFTER_LINE else ids)
-        texts = [(" " if kinds[i] == SPACED and not self.split else "") + words[i].decode("utf-8") for i in rest]
-        for i, g in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            out[i] = self.line + g.ids if kinds[i] == AFTER_LINE else g.ids
-        return out
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words data[start:end] in a row, and the number of each word's. Plain ones, of letters alone, go straight to the merges. Words
+        after a space are encoded in one text, and told apart by the space that only their first ids hold."""
+        spaced = (kinds == SPACED) & (not self.split)
+        groups = [np.flatnonzero(x) for x in (plain & spaced, plain & ~spaced, ~plain & spaced, ~plain & ~spaced)]
+        bare, joined, rest = ([data[a:b].tobytes() for a, b in zip(start[x].tolist(), end[x].tolist(), strict=True)] for x in groups[1:])
+        found = [
+            self._apart(_pieces, _lines(data, start[groups[0]], end[groups[0]])),
+            self._marked([self.heads[k] + self._part(x) for k, x in zip(kinds[groups[1]].tolist(), bare, strict=True)]),
+            self._apart(_load, b"".join([b" " + x for x in joined]).decode("utf-8")),
+        ]
+        other = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False)
+        found.append(_listed([self.line + g.ids if k == AFTER_LINE else g.ids for k, g in zip(kinds[groups[3]].tolist(), other, strict=True)]))
+        size, group = np.zeros(len(start), np.int64), np.zeros(len(start), np.uint8)
+        for k, (at, (_, many)) in enumerate(zip(groups, found, strict=True)):
+            size[at], group[at] = many, k
+        group = np.repeat(group, size)
+        out = np.empty(len(group), np.uint32)
+        for k, (ids, _) in enumerate(found):
+            out[group == k] = ids
+        return out, size
+
+    def _part(self, word: bytes) -> str:
+        """A plain word in byte letters."""
+        if word.isascii():
+            return (word.lower() if self.split else word).decode("latin-1")
+        return (word.decode("utf-8").lower().encode() if self.split else word).decode("latin-1").translate(_LETTERS)
+
+    def _apart(self, load: Callable, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after spaces in one text, and each word's number."""
+        if not text:
+            return _listed([])
+        ids = load(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.fromiter(ids, np.uint32, len(ids))
+        return ids, np.diff(np.flatnonzero(self.leads.take(ids)), append=len(ids))
+
+    def _marked(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts to merge, and each part's number: in one text, with a mark after each that no part holds."""
+        if not parts or self.mark is None:
+            return _listed([[i for line in x.split("\n") for i in self._merge(line)] for x in parts])
+        ids = np.array(_pieces(self.path).encode_batch_fast(["".join([f"{x}\n{_MARK}\n" for x in parts])], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Entries of words, -1 for unknown ones."""
@@ -121,16 +190,15 @@ class Memo:
             left, slot = left[on], slot[on]
         return out
 
-    def _add(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
-        """New distinct words."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
+    def _add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New distinct words: their ids in a row, and the number of each word's."""
+        total = len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), "<u4")])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        at = np.arange(self.n, self.n + len(ids))
+        self.flat[self.used : self.used + total] = ids
+        at = np.arange(self.n, self.n + len(size))
         self.ptr[at], self.size[at] = self.used + np.cumsum(size) - size, size
-        self.n, self.used = self.n + len(ids), self.used + total
+        self.n, self.used = self.n + len(size), self.used + total
         mask, slot = (1 << self.bits) - 1, (key >> np.uint64(64 - self.bits)).astype(np.int64)
         left = np.arange(len(key))
         while len(left):
@@ -206,9 +274,7 @@ class Memo:
             new, first = self._new(entry, key, check)
         if len(first):
             self._reserve(len(first))
-            raw = w.data.tobytes()
-            words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            self._add(key[first], check[first], self._encode(words, kind[first].tolist(), plain[first].tolist()))
+            self._add(key[first], check[first], *self._encode(padded, start[first], end[first], kind[first], plain[first]))
             entry[new] = self._find(key[new], check[new])
         place = np.arange(len(entry)) + np.cumsum(marked) - marked
         every = np.full(len(entry) + int(marked.sum()), 0)

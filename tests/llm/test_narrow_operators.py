@@ -79,6 +79,41 @@ def test_small_memo_equals_whole_texts(rows, words, monkeypatch):
         assert counts.tolist() == [len(want), 0, len(want)] and flat.tolist() == want * 2
 
 
+class Counted:
+    """Passes everything on and notes how many texts it is given."""
+
+    def __init__(self, of, given):
+        self.of, self.given = of, given
+
+    def __getattr__(self, name):
+        def call(x, **more):
+            self.given.append(len(x) if isinstance(x, list) else 1)
+            return getattr(self.of, name)(x, **more)
+
+        return call
+
+
+@pytest.mark.parametrize("name, split", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_new_words_share_a_text(name, split):
+    """Words of all kinds get the ids of their whole texts, and words after a space cost no call of their own."""
+    draw = np.random.default_rng(3)
+    parts = ["ab", "É", "ß", "æn", "ñ", "Th", "ing", "9", "-", "'s", "!", "日本", "é", "_", "…", "(", "x.", ",", "Ġ", "À", "­"]
+    word = lambda: "".join(draw.choice(parts, draw.integers(1, 7)))
+    texts = ["".join(word() + str(draw.choice([" ", " ", " ", "\n"])) for _ in range(draw.integers(0, 40))).strip() for _ in range(400)] + ["", None, "!", "a", "ß\nß ß"]
+    path = tokenise.default_path(name)
+    own = tokenise.Memo(path, split)
+    flat, counts = own.ids(pa.array(texts, pa.string()))
+    want = [x.ids for x in plain_tokenizer(name).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    if not split:
+        given, own = [], tokenise.Memo(path, split)
+        own.tokenizer = Counted(own.tokenizer, given)
+        own._merge = lambda part: given.append(1)
+        words = " ".join(f"{a}{b}{c}" for a in parts[:6] for b in parts[:12] for c in parts[:9])
+        flat, _ = own.ids(pa.array([words]))
+        assert flat.tolist() == plain_tokenizer(name).encode(words, add_special_tokens=False).ids and sum(given) < 5
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, token_files.BLOCK, token_files.BLOCK + 1])
 @pytest.mark.parametrize("top", [1, 50257, 2**32 - 1])
 def test_segment_round_trip(n, top):
