@@ -110,6 +110,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SOLID = (~_SPACE).tobytes()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -146,6 +147,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def looked_up(data: np.ndarray, table: bytes) -> np.ndarray:
+    """The mark of each byte in a table of 256 marks; read only."""
+    return np.frombuffer(data.tobytes().translate(table), bool)
+
+
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a slice of texts: 64-bit hashes, byte bounds, and each text's range of words."""
 
@@ -154,7 +160,7 @@ class Words:
         if lower and len(self.data):
             self.data = _LOWER[self.data]
         data, n = self.data, len(self.data)
-        solid = ~_SPACE[data]
+        solid = looked_up(data, _SOLID)
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         bound = self.offsets[(self.offsets < n)]

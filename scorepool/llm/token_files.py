@@ -28,9 +28,9 @@ MAGIC = b"CMR2"
 WIDE = 1
 #: Ids of a block, and blocks of a segment.
 BLOCK = 4096
-LANES = 3072
-#: Text of a file's range of documents, in bytes.
-FILE_BYTES = 24 << 20
+LANES = 4608
+#: Text of a file's range of documents, in bytes: about 3700 blocks, as each step of theirs has a fixed cost beside that of its lanes.
+FILE_BYTES = 36 << 20
 
 _ONE, _TWO = 9, 10  # bits of the tables of contexts
 _SHARE, _PLACE = 16, 11  # bits of probabilities: of the orders' shares, of order 0's symbols
@@ -75,7 +75,7 @@ class _Encoder:
         low += by
 
     def settle(self, live: int) -> None:
-        few = np.flatnonzero(self.range[:live] < _NARROW)
+        few = (self.range[:live] < _NARROW).nonzero()[0]
         low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
         digit = np.floor(low * (1 / _NARROW))
         self.out[at] = digit
@@ -160,7 +160,7 @@ class _Decoder:
         low -= by
 
     def settle(self, live: int) -> None:
-        few = np.flatnonzero(self.range[:live] < _NARROW)
+        few = (self.range[:live] < _NARROW).nonzero()[0]
         low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
         low *= _DIGIT
         low += self.data.take(at, mode="clip")
@@ -168,11 +168,11 @@ class _Decoder:
         rng *= _DIGIT
         self.low[few], self.at[few], self.range[few] = low, at, rng
 
-    def bits(self, who: np.ndarray, many: np.ndarray) -> np.ndarray:
+    def bits(self, who: np.ndarray, many: np.ndarray, below: np.ndarray) -> np.ndarray:
         bit = self.bit.take(who)
         out = self.window.take(bit >> 4, mode="clip").astype(np.int64)
         out >>= bit & 15
-        out &= (1 << many) - 1
+        out &= below
         bit += many
         self.bit[who] = bit
         return out
@@ -184,23 +184,26 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
     Inside, an id is its value plus one, and 0 means none.
     """
     lanes, steps, kind = len(sizes), int(sizes.max(initial=0)), np.int64 if wide else np.int32
-    got = np.zeros((steps, lanes), kind) if ids is None else ids
+    got = np.zeros((steps, lanes), np.int64 if wide else np.uint16) if ids is None else ids
     first, extra = _classes(wide)
     symbols = 2 * len(first)  # a class's last id, or another of the class
     first, extra = np.repeat(first + 1, 2).astype(kind), np.repeat(extra, 2)
     extra[0::2] = 0
-    known = None if wide else (_class_of(np.arange(1 << 16)) << 1).astype(np.uint8)
+    below = (1 << extra) - 1
+    known = None if wide else np.concatenate([[0], _class_of(np.arange(1 << 16)) << 1]).astype(np.uint8)
+    words = None if wide else ((extra[known | 1] << coder.shift) + np.arange(len(known)) - first[known | 1]).astype(np.uint16) if ids is not None else None  # plain bits of each id
     one, two = np.zeros(lanes << _ONE, kind), np.zeros(lanes << _TWO, kind)  # id; two bits of order 2's confidence; two of order 1's
-    # confidences after a step, by those before it, plus 16 if order 1 was right and 32 if order 2 was
-    surer1 = np.concatenate([np.ones(16), [1, 2, 3, 3] * 4] * 2).astype(kind)
-    surer2 = np.concatenate([np.full(32, 4), np.repeat([4, 8, 12, 12], 4), np.repeat([4, 8, 12, 12], 4)]).astype(kind)
+    # confidences after a step, by those before it in fours, plus 1 if order 1 was right and 2 if order 2 was
+    surer1 = np.concatenate([np.ones(16), [1, 2, 3, 3] * 4] * 2).astype(kind).reshape(4, 16).T.ravel()
+    surer2 = np.concatenate([np.full(32, 4), np.repeat([4, 8, 12, 12], 4), np.repeat([4, 8, 12, 12], 4)]).astype(kind).reshape(4, 16).T.ravel()
     right, seen = np.tile(_first_shares(), (lanes, 1)).astype(np.int32), np.zeros((lanes, symbols), np.int32)
     outcomes, places = [], []
     last = np.zeros(lanes * symbols >> 1, kind)
     every = np.arange(lanes)
-    in_one, in_two, in_shares, in_symbols, in_places = every << _ONE, every << _TWO, every << 4, every * symbols, every << _PLACE
+    in_one, in_two, in_shares = every << _ONE, every << _TWO, every << 4
     names = np.tile(np.arange(symbols, dtype=np.uint8 if symbols <= 256 else np.uint16), lanes)
-    h, h_before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    # hashes of the last id and the one before, in the upper half of a number
+    h, h_before, mix, five = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.uint64(0x9E3779B1 << 32), np.uint64(5)
     live, due = lanes, 0
     for step in range(steps):
         if sizes[live - 1] <= step:
@@ -210,10 +213,12 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
         if step == due:
             due = step + min(max(8, step), _RENEW)
             if step:
-                right += np.bincount(np.concatenate(outcomes), minlength=right.size).reshape(right.shape).astype(np.int32)
+                more = np.bincount(np.concatenate(outcomes), minlength=lanes << 6).reshape(-1, 4)
+                more[:, 2] += more[:, 3]
+                right += more[:, :3].astype(np.int32)
                 if places:
                     seen += np.bincount(np.concatenate(places), minlength=seen.size).reshape(seen.shape).astype(np.int32)
-                outcomes, places = [], []
+                outcomes, places, more = [], [], None
             part = _MOST / (right.sum(1) * float(1 << _SHARE))
             least = _LEAST / (1 << _SHARE)
             shares = np.empty((len(right), 2))
@@ -229,90 +234,93 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
             if ids is None:
                 named = np.repeat(names, width.ravel())
         # what the contexts say
-        h1 = h >> (32 - _ONE)
+        h1 = (h >> np.uint64(64 - _ONE)).view(np.int64)
         h1 += in_one
-        h_before *= 5
+        h_before *= five
         h_before += h
-        h_before &= 0xFFFFFFFF
-        h_before >>= 32 - _TWO
-        h_before += in_two
-        h2, h_before = h_before, h
+        h_before >>= np.uint64(64 - _TWO)
+        h2, h_before = h_before.view(np.int64), h
+        h2 += in_two
         c1, c2 = one.take(h1), two.take(h2)
         g1, g2 = c1 >> 4, c2 >> 4
-        c1 |= c2 & 15
+        c1 |= c2
         c1 &= 15
         state = in_shares + c1
         # one step of the coder: order 2's id, order 1's, or another
         low, rng = coder.low[:live], coder.range[:live]
         both = shares.take(state)
-        to2, to1 = np.floor(both.real * rng), np.floor(both.imag * rng)
+        to2, to1 = both.real * rng, both.imag * rng
+        np.floor(to2, out=to2)
+        np.floor(to1, out=to1)
         if ids is None:
-            hit2, hit = low < to2, low < to1
-            found = np.where(hit2, g2, g1)
-            is2, is1 = found == g2, found == g1
+            is2, hit = low < to2, low < to1
+            found = np.where(is2, g2, g1)
+            is1 = found == g1
+            is1 &= hit
         else:
-            found = ids[step, :live] + kind(1)
+            found = ids[step, :live].astype(kind)
+            found += kind(1)
             is2, is1 = found == g2, found == g1
-            hit2, hit = is2, is2 | is1
-        span2, miss, miss2 = to1 - to2, ~hit, ~hit2  # products by 0 or 1 choose, and are quicker than where()
-        coder.move(low, to2 * miss2 + span2 * miss)
-        rng -= to1
-        rng *= miss
-        rng += span2 * (hit ^ hit2)
-        rng += to2 * hit2
-        state *= 3
-        state += hit.view(np.uint8) + hit2.view(np.uint8)
+            hit = is2 | is1
+        who = (~hit).nonzero()[0]
+        rest = low.take(who), rng.take(who), to1.take(who)
+        coder.move(low, to2 * ~is2)  # of lanes with another id, both are set below
+        to1 -= to2
+        rng[:] = np.where(is2, to2, to1)
+        state <<= 2
+        right_ones = is2.view(np.uint8) << np.uint8(1)
+        right_ones |= is1.view(np.uint8)
+        state += right_ones
         outcomes.append(state)
-        who = np.flatnonzero(miss)
         if len(who):  # order 0: a class with its last id or another
-            low, rng = coder.low.take(who), coder.range.take(who)
+            low, rng, skip = rest
+            coder.move(low, skip)
+            rng -= skip
             rng *= 2.0**-_PLACE
             np.floor(rng, out=rng)
-            at = in_symbols.take(who)
+            at = who * symbols
             if ids is None:
-                s = (low / rng).astype(np.int64)  # exact: the quotient is below 2^11
-                np.minimum(s, (1 << _PLACE) - 1, out=s)
-                s += in_places.take(who)
+                s = low / rng
+                s = np.minimum(s, (1 << _PLACE) - 1, out=s).astype(np.int64)  # exact: the quotient is below 2^11
+                s += who << _PLACE
                 s = named.take(s)
                 at += s
                 cell = at >> 1
-                old = last.take(cell)
             else:
                 v = found.take(who)
-                s = _class_of(v - 1) << 1 if wide else known.take(v - 1).astype(np.int64)
-                cell = at >> 1
-                cell += s >> 1
-                s += last.take(cell) != v
+                s = _class_of(v - 1) << 1 if wide else known.take(v)
                 at += s
+                cell = at >> 1
+                other = last.take(cell) != v
+                at += other
             places.append(at)
             span = spans.take(at)
             coder.move(low, rng * (span >> _PLACE + 1))
             span &= (2 << _PLACE) - 1
             rng *= span
             coder.low[who], coder.range[who] = low, rng
-            many = extra.take(s)
             if ids is None:
-                v = first.take(s)
-                v += coder.bits(who, many).astype(kind)
-                v = np.where(s & 1, v, old)
+                s = s.astype(np.int64)
+                v = coder.bits(who, extra.take(s), below.take(s)).astype(kind, copy=False)
+                v += first.take(s)
+                v = np.where(s & 1, v, last.take(cell))
                 found[who] = v
-                is2, is1 = found == g2, found == g1
             else:
-                many <<= coder.shift
-                many |= (v - first.take(s)) * (s & 1)
-                coder.plain[step][who] = many.astype(coder.plain.dtype)
+                word = (extra.take(s | 1) << coder.shift | v - first.take(s)).astype(np.uint64) if wide else words.take(v)
+                word *= other
+                coder.plain[step][who] = word
             last[cell] = v
         coder.settle(live)
         if ids is None:
-            got[step, :live] = found
+            got[step, :live] = found - kind(1)
         # learn
+        state = state & 63
         new = found << 4
-        c1 |= ((is1.view(np.uint8) << 4) + (is2.view(np.uint8) << 5)).astype(kind)
-        one[h1] = new | surer1.take(c1)
-        two[h2] = new | surer2.take(c1)
-        h = found * np.int64(0x9E3779B1)
-        h &= 0xFFFFFFFF
-    return got if ids is not None else got - kind(1)
+        one[h1] = new | surer1.take(state)
+        two[h2] = new | surer2.take(state)
+        h = found.astype(np.uint64)
+        h *= mix
+    return got
 
 
 def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
@@ -322,7 +330,7 @@ def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes],
     if not n:
         return sizes, [], []
     sizes[-1] = len(ids) - BLOCK * (n - 1)
-    grid = np.zeros((n, BLOCK), np.int64 if wide else np.int32)
+    grid = np.zeros((n, BLOCK), np.int64 if wide else np.uint16)
     grid.ravel()[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.T)
     coder = _Encoder(n, int(sizes[0]), wide)
@@ -334,9 +342,11 @@ def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes],
 def write_segment(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> bytes:
     """Of documents: their ids, null marks, numbers of tokens and all token ids in a row (unsigned 32 bits)."""
     wide = bool(len(flat) and flat.max() > 0xFFFF)
-    sizes, coded, plain = encode_blocks(flat, wide)
     flat = np.ascontiguousarray(flat, "<u4")
-    checks = [crc(flat[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(len(sizes))]
+    checks = [crc(flat[k : k + BLOCK].tobytes()) for k in range(0, len(flat), BLOCK)]
+    if not wide:  # held in half the room while blocks are coded
+        flat = flat.astype(np.uint16)
+    sizes, coded, plain = encode_blocks(flat, wide)
     tables = [doc_ids.astype("<i8"), null.astype("u1"), counts.astype("<u4"), sizes.astype("<u4"), *(np.array([len(x) for x in part], "<u4") for part in (coded, plain)), np.array(checks, "<u4")]
     tables = b"".join(x.tobytes() for x in tables)
     head = MAGIC + np.array([WIDE * wide, len(doc_ids), len(sizes), crc(tables)], "<u4").tobytes()
@@ -363,7 +373,9 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         bounds = (20 + size + np.concatenate([[0], np.cumsum(np.concatenate([coded, plain]), dtype=np.int64)])).tolist()
         pieces = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         grid = _run(_Decoder(pieces[:blocks], pieces[blocks:], bool(flags & WIDE)), sizes.astype(np.int64), bool(flags & WIDE), None)
-        flat = np.ascontiguousarray(grid.T).ravel().astype("<u4")[: int(sizes.sum())]  # only the last block may be short
+        flat = np.empty((blocks, len(grid)), "<u4")
+        flat[:] = grid.T
+        flat = flat.ravel()[: int(sizes.sum())]  # only the last block may be short
     for k, c in enumerate(checks.tolist()):
         if crc(flat[k * BLOCK : (k + 1) * BLOCK].tobytes()) != c:
             raise ValueError(f"block {k} of a token segment is damaged")
@@ -386,7 +398,7 @@ def write_files(docs: DataFrame, vocabulary_path: str | None = None, end_id: int
             nonlocal segment, doc_ids, null, counts, ids, n
             held = [np.concatenate(x) for x in (doc_ids, null, counts, ids)]
             ids = []
-            data = write_segment(*held)
+            data = write_segment(*held[:3], held.pop())
             row = pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["part", "segment", "n_ids", "data"])
             segment, doc_ids, null, counts, ids, n = segment + 1, [], [], [], [], 0
             return row

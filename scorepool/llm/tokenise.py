@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from scorepool.llm.common import Words, mix64, utf8
+from scorepool.llm.common import Words, looked_up, mix64, utf8
 
-#: Words and ids kept in a worker's memo; beyond either it starts anew. They change speed only.
+#: Words and ids kept in a worker's memo; beyond either it keeps what came again, at most half of that. They change speed only.
 MEMO_WORDS, MEMO_IDS = 1 << 20, 1 << 23
 #: Text to be tokenised at once, in bytes: a slice's arrays take about 50 times that.
 TEXT_BYTES = 1 << 20
@@ -67,9 +67,11 @@ _MARK = "!"
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_ODD_LEAD = _ODD_LEAD.tobytes()
 #: Bytes of plain words: ASCII letters, and the two-byte letters from U+00C0 to U+00FF, whose second byte is looked up apart.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
+_LETTER = _LETTER.tobytes()
 _LATIN = np.zeros(256, bool)
 _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 _FRONT = (1 << 8 * np.arange(9, dtype=object)) - 1
@@ -82,6 +84,24 @@ def _listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
 
+def _keys(padded: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and its kind, and its first eight bytes as a number. Eight bytes of it are taken at a time; at least as many follow
+    the last word."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    front = eight[start]
+    front &= _FRONT.take(size, mode="clip")
+    key, at, left = mix64(front + (size << 2 | kind).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 8, np.flatnonzero(size > 8)
+    while len(left):
+        more = size.take(left) - at
+        part = eight[start.take(left) + at]
+        part &= _FRONT.take(more, mode="clip")
+        part *= np.uint64(0xA0761D6478BD642F)
+        part += key.take(left)
+        key[left] = mix64(part)
+        left, at = left[more > 8], at + 8
+    return key, front
+
+
 def _lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
     """Words and the space before each, in byte letters, one to a line."""
     if not len(start):
@@ -122,9 +142,23 @@ class Memo:
     def clear(self) -> None:
         self.keys, self.checks, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ptr, self.size, self.flat = np.zeros(MEMO_WORDS, np.int64), np.zeros(MEMO_WORDS, np.int64), np.zeros(1 << 16, "<u4")
+        self.again = np.zeros(MEMO_WORDS, bool)
         self.n, self.used = 0, 0
         self._add(np.array([1, 2], np.uint64), np.zeros(2, np.uint64), *_listed([self._merge("."), self._merge(",")]))  # entries 0 and 1
 
+    def _thin(self) -> None:
+        """Starts anew with the words that came again since they were added."""
+        at = np.flatnonzero(self.keys)
+        at = at[self.again[self.entry[at]] & (self.entry[at] > 1)]
+        entry = self.entry[at]
+        many = self.size[entry]
+        if len(at) > MEMO_WORDS // 2 or many.sum() > MEMO_IDS // 2:
+            return self.clear()
+        key, check = self.keys[at], self.checks[at]
+        ids = self.flat[np.repeat(self.ptr[entry] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        self.clear()
+        self._add(key, check, ids, many)
+
     def _merge(self, part: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(part)]
 
@@ -213,8 +247,10 @@ class Memo:
     def _odd(self, array: pa.Array, w: Words, doc_of: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Texts to encode whole."""
         odd = np.zeros(len(array), bool)
+        raw = w.data.tobytes()
         for name in self.special:
-            odd |= pc.match_substring(array, name).to_numpy(zero_copy_only=False)
+            if name.encode() in raw:
+                odd |= pc.match_substring(array, name).to_numpy(zero_copy_only=False)
         odd[doc_of[size > LONG_WORD]] = True
         if self.split:
             return odd
@@ -226,7 +262,7 @@ class Memo:
         odd |= ~filled & (w.offsets[1:] > w.offsets[:-1])
         first, last = w.ptr[:-1][filled], w.ptr[1:][filled] - 1
         odd[filled] |= (w.start[first] != w.offsets[:-1][filled]) | (w.end[last] != w.offsets[1:][filled])
-        lead = _ODD_LEAD[w.data]
+        lead = looked_up(w.data, _ODD_LEAD).copy()
         two = w.data[:-1] == 0xC2
         lead[:-1] |= two & ((w.data[1:] == 0x85) | (w.data[1:] == 0xA0))
         suspect = np.unique(np.searchsorted(w.offsets, np.flatnonzero(lead), side="right") - 1)
@@ -242,7 +278,7 @@ class Memo:
         size = w.end - w.start
         odd = self._odd(array, w, doc_of, size)
         # letters of both vocabularies' splitters, as bytes; a mark after letters alone is a piece of its own
-        letter = _LETTER[w.data]
+        letter = looked_up(w.data, _LETTER).copy()
         second = np.flatnonzero(w.data == 0xC3) + 1
         letter[second] = _LATIN[w.data[second]]
         strange = np.zeros(len(letter) + 1, np.int64 if len(letter) >> 31 else np.int32)
@@ -252,25 +288,26 @@ class Memo:
         w.end -= marked
         size = size - marked
         plain = strange[w.end] == strange[w.start]
-        hashes = w.hashes()
         at = np.flatnonzero(~odd[doc_of]) if odd.any() else np.arange(len(doc_of))
         doc_of, start, end, size = doc_of[at], w.start[at], w.end[at], size[at]
-        key, plain, marked, mark = hashes[at], plain[at], marked[at], mark[at]
+        plain, marked, mark = plain[at], marked[at], mark[at]
         kind = np.zeros(len(at), np.int64)
         if not self.split and len(at):
             fed = w.data[np.maximum(start - 1, 0)] == 0x0A
             kind[fed] = AFTER_LINE
             kind[start == w.offsets[doc_of]] = BARE
-            key = mix64(key + kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        key = np.where(key < 3, key + np.uint64(3), key)  # 0 marks a free place; 1 and 2 are the marks'
         padded = np.concatenate([w.data, np.zeros(8, np.uint8)])
-        front = np.ndarray((len(w.data) + 1,), "<u8", padded, strides=(1,))[start] & _FRONT[np.minimum(size, 8)]
+        key, front = _keys(padded, start, size, kind)
+        key = np.where(key < 3, key + np.uint64(3), key)  # 0 marks a free place; 1 and 2 are the marks'
         check = front ^ (size.astype(np.uint64) << np.uint64(56))
         entry = self._find(key, check)
         new, first = self._new(entry, key, check)
+        self.again[entry[entry >= 0]] = True
         if self.n and len(first) and (self.n + len(first) > MEMO_WORDS or self.used > MEMO_IDS):
-            self.clear()
-            entry[:] = -1
+            self._thin()
+            if self.n + len(first) > MEMO_WORDS:
+                self.clear()
+            entry = self._find(key, check)
             new, first = self._new(entry, key, check)
         if len(first):
             self._reserve(len(first))
@@ -284,7 +321,9 @@ class Memo:
         sums = np.concatenate([[0], np.cumsum(many)])
         cut = sums[np.append(place, len(entry))[np.searchsorted(doc_of, np.arange(len(array) + 1))]]
         counts = np.diff(cut)
-        flat = self.flat[np.repeat(self.ptr[entry] - sums[:-1], many) + np.arange(sums[-1])]
+        at = np.repeat(self.ptr.take(entry) - sums[:-1], many)
+        at += np.arange(sums[-1])
+        flat = self.flat.take(at)
         if odd.any():
             which = np.flatnonzero(odd).tolist()
             whole = [np.array(g.ids, "<u4") for g in self.tokenizer.encode_batch_fast([w.text(i).decode("utf-8") for i in which], add_special_tokens=False)]
@@ -309,6 +348,7 @@ class Memo:
             self.bits = max(self.bits, (2 * n + 7).bit_length())
             self.clear()
             self.ptr, self.size = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.ptr, self.size))
+            self.again = np.zeros(len(self.ptr), bool)
 
 
 @lru_cache(maxsize=4)

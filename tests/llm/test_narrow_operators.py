@@ -79,6 +79,19 @@ def test_small_memo_equals_whole_texts(rows, words, monkeypatch):
         assert counts.tolist() == [len(want), 0, len(want)] and flat.tolist() == want * 2
 
 
+def test_full_memo_keeps_what_came_again(monkeypatch):
+    """Words that came again are not merged anew when the memo is full; others are, and all ids stay right."""
+    monkeypatch.setattr(tokenise, "MEMO_WORDS", 64)
+    own = tokenise.Memo(tokenise.default_path("byte_bpe_50k.json"), False)
+    new, encode = [], own._encode
+    own._encode = lambda *args: new.append(len(args[1])) or encode(*args)
+    often = "x alpha beta internationalisation internationalised"
+    for text in (often, often, "x " + " ".join(f"w{k}" for k in range(50)), "x " + " ".join(f"v{k}" for k in range(30)), often):
+        flat, _ = own.ids(pa.array([text]))
+        assert flat.tolist() == plain_tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    assert new == [5, 50, 30]  # "x" begins each text
+
+
 class Counted:
     """Passes everything on and notes how many texts it is given."""
 
