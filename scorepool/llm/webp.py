@@ -550,7 +550,7 @@ _TABLE = 12
 _BLOCK_BITS = 9
 LEFT, TOP = 1, 2
 
-_TURN = {bits: np.array([_reversed(k, bits) for k in range(1 << bits)]) for bits in (PLAIN_BITS, DISTANCE_BITS)}
+_TURN = {bits: np.array([_reversed(k, bits) for k in range(1 << bits)]) for bits in (7, 8, PLAIN_BITS, DISTANCE_BITS)}
 #: Symbol, extra value and its bits of each length and distance code, and the distance codes of tiles.
 _PREFIX = np.array([(0, 0, 0)] + [prefix_of(v) for v in range(1, TILE + len(NEAR) + 1)]).T
 _NEAR_CODE = np.arange(TILE + 1) + len(NEAR)
@@ -578,18 +578,8 @@ _HEAD, _HEAD_BITS = _palette_head()
 _ENTRY = 9
 
 
-def _palette_bits(values: np.ndarray) -> int:
-    """Sorted sample values as a palette of opaque colours, padded by repeats to _COLOURS."""
-    step = np.zeros(max(len(values), _COLOURS), np.uint8)
-    step[: len(values)] = np.diff(values, prepend=np.uint8(0))
-    bits = np.zeros((len(step), _ENTRY), np.uint8)
-    bits[:, :8] = np.unpackbits(step[:, None], axis=1)
-    bits[0, 8] = 1
-    return int.from_bytes(np.packbits(bits.ravel(), bitorder="little").tobytes(), "little")
-
-
 def _read_palette(r: Reader) -> np.ndarray | None:
-    """Green of all indices after a palette transform's mark; null if it is not of the form that _palette_bits writes."""
+    """Green of all indices after a palette transform's mark; null if it is not of the form that encode_tiles() writes."""
     size = r.read(8) + 1
     bits = _HEAD_BITS + _ENTRY * size
     held = (r.value >> r.at) & ((1 << bits) - 1)
@@ -692,6 +682,180 @@ def references(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, last + _MATCH - start, distance[start]
 
 
+# --- prefix codes and bits of many tiles, in lockstep -----------------------------------------------------------
+
+
+def lengths_of(counts: np.ndarray, most: int) -> np.ndarray:
+    """code_lengths() of each row of counts, in lockstep: the two lightest nodes are at the front of the sorted symbols or of the joined ones."""
+    n, m = counts.shape
+    out = np.zeros((n, m), np.int64)
+    used = np.count_nonzero(counts, axis=1)
+    out[used == 1] = counts[used == 1] > 0
+    rows = np.flatnonzero(used > 1)
+    rows = rows[np.argsort(-used[rows], kind="stable")]
+    weight = counts[rows].astype(np.int64)
+    while len(rows):
+        depth = _depths(weight, used[rows])
+        fits = depth.max(axis=1) <= most
+        out[rows[fits]] = depth[fits]
+        rows, weight = rows[~fits], weight[~fits]
+        weight = np.where(weight > 0, (weight + 1) // 2 + 1, 0)
+    return out
+
+
+def _depths(weight: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Depths of used symbols in the rows' Huffman trees; rows by the number of their symbols, most first, two at least."""
+    n, m = weight.shape
+    none = np.int64(1) << 40
+    order = np.argsort(np.where(weight > 0, weight, none), axis=1, kind="stable")
+    wide = int(used[0])
+    # a row's leaves, then its joined nodes; both are sorted, and a queue's end is heavier than all
+    leaf = np.full((n, wide + 1), none)
+    leaf[:, :wide] = np.take_along_axis(np.where(weight > 0, weight, none), order[:, :wide], 1)
+    joined = np.full((n, wide + 1), none)
+    leaf, joined = leaf.ravel(), joined.ravel()
+    parent = np.zeros(2 * n * (wide + 1), np.int64)
+    base, far = np.arange(n) * (wide + 1), n * (wide + 1)
+    a, b, live = base.copy(), base.copy(), n
+    for step in range(wide - 1):
+        if used[live - 1] - 1 <= step:
+            live = int(np.searchsorted(-used, -step - 1, side="left"))
+            a, b = a[:live], b[:live]
+        total = 0
+        for _ in range(2):
+            la, lb = leaf.take(a), joined.take(b)
+            first = la <= lb
+            parent[np.where(first, a, b + far)] = step
+            total = total + np.minimum(la, lb)
+            a = a + first
+            b = b + ~first
+        joined[base[:live] + step] = total
+    above = parent[far:].reshape(n, -1)
+    depth = np.zeros((n, wide + 1), np.int64)
+    for step in range(wide - 3, -1, -1):
+        live = int(np.searchsorted(-used, -step - 2, side="left"))  # of these it isn't the root
+        depth[:live, step] = depth[np.arange(live), above[:live, step]] + 1
+    out = np.zeros((n, m), np.int64)
+    own = np.take_along_axis(depth, parent[:far].reshape(n, -1)[:, :wide], 1) + 1
+    own[np.arange(wide) >= used[:, None]] = 0
+    np.put_along_axis(out, order[:, :wide], own, 1)
+    return out
+
+
+def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's symbols in the order of their codes, unused ones last, and their lengths (99 for unused ones)."""
+    keyed = np.where(lengths > 0, lengths, 99).astype(np.uint8)
+    order = np.argsort(keyed, axis=1, kind="stable")
+    return order, np.take_along_axis(keyed, order, 1).astype(np.int64)
+
+
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """codes() of each row."""
+    order, size = _canonical(lengths)
+    share = np.where(size < 99, 1 << np.maximum(15 - size, 0), 0)
+    code = np.cumsum(share, axis=1) - share  # in units of the longest code
+    out = np.zeros(lengths.shape, np.int64)
+    np.put_along_axis(out, order, _TURNED_15[np.where(size < 99, code, 0) & 0x7FFF], 1)
+    return out
+
+
+_TURNED_15 = np.array(_TURNED)
+
+
+def _tables(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: symbol and length of the code that each of the next `bits` bits begin with, and whether its code is complete."""
+    order, size = _canonical(lengths)
+    single = size[:, 1] == 99
+    size[single, 0] = 0
+    held = size <= bits
+    good = (np.where(held, 1 << np.maximum(bits - size, 0), 0).sum(1) == 1 << bits) & (order[:, 0] >= 0) & (held | (size == 99)).all(1) & lengths.any(1)
+    held &= good[:, None]
+    out = np.zeros((len(lengths), 1 << bits), np.int32)
+    out[good] = np.repeat((order[held] << 4) | size[held], 1 << (bits - size[held])).reshape(-1, 1 << bits)[:, _TURN[bits]]
+    return out, good
+
+
+class _Parts:
+    """Bits of many files: sections of (file, value, bits), each by files and in order, follow one another in every file."""
+
+    def __init__(self, n: int):
+        self.n, self.sections, self.total = n, [], np.zeros(n, np.int64)
+
+    def put(self, who: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+        sums = np.concatenate([[0], np.cumsum(bits)])
+        ptr = np.searchsorted(who, np.arange(self.n + 1))
+        self.sections.append((who, value.astype(np.uint64), bits, sums[:-1] + (self.total - sums[ptr[:-1]])[who]))
+        self.total = self.total + sums[ptr[1:]] - sums[ptr[:-1]]
+
+    def every(self, value: np.ndarray | int, bits: np.ndarray | int) -> None:
+        """One value in each file."""
+        every = np.arange(self.n)
+        self.put(every, np.broadcast_to(np.asarray(value), self.n), np.broadcast_to(np.asarray(bits), self.n))
+
+    def fixed(self, value: int, bits: int, who: np.ndarray) -> None:
+        """The same bits in some files, however many."""
+        for at in range(0, bits, 32):
+            self.put(who, np.full(len(who), value >> at & 0xFFFFFFFF), np.full(len(who), min(32, bits - at)))
+
+    def files(self) -> list[bytes]:
+        begin = np.concatenate([[0], np.cumsum(-(-self.total // 64))]) * 64
+        out = np.zeros(begin[-1] // 64 + 2, np.uint64)
+        for who, value, bits, place in self.sections:
+            if not len(who):
+                continue
+            place = place + begin[:-1][who]
+            word, shift = place >> 6, (place & 63).astype(np.uint64)
+            first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+            out[word[first]] |= np.add.reduceat(value << shift, first)  # bits never meet, so sums are unions
+            over = np.flatnonzero((place & 63) + bits > 64)
+            out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+        raw, begin = out.tobytes(), (begin // 8).tolist()
+        return [raw[a : a + n] for a, n in zip(begin[:-1], (-(-self.total // 8)).tolist(), strict=True)]
+
+
+_RUN_EXTRA = np.array([0] * 16 + [2, 3, 7])
+_RUN_LEAST = np.array([1] * 16 + [3, 3, 11])
+
+
+def _put_lengths(w: _Parts, lengths: np.ndarray) -> None:
+    """write_lengths() of each row."""
+    n, m = lengths.shape
+    used = np.count_nonzero(lengths, axis=1)
+    plain = (used <= 2) & ~(lengths > 1).any(1) & ~lengths[:, 256:].any(1)
+    who = np.flatnonzero(plain)
+    two = (used[who] == 2).astype(np.int64)
+    first, last = np.argmax(lengths[who] > 0, axis=1), m - 1 - np.argmax(lengths[who, ::-1] > 0, axis=1)
+    w.put(who, 0b101 | two << 1 | first << 3 | np.where(two > 0, last, 0) << 11, 11 + 8 * two)
+    rows = np.flatnonzero(~plain)
+    flat = lengths[rows].ravel()
+    change = np.ones(len(flat), bool)
+    change[1:] = flat[1:] != flat[:-1]
+    change[::m] = True
+    start = np.flatnonzero(change)
+    value, many, own = flat[start], np.diff(start, append=len(flat)), start // m
+    lead = (value > 0).astype(np.int64)  # a length is written out before it is repeated
+    most = np.where(lead > 0, 6, 138)
+    full, left = np.divmod(many - lead, most)
+    part = left >= 3
+    items = lead + full + np.where(part, 1, left)
+    run = np.repeat(np.arange(len(items)), items)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(items) - items, items)
+    at -= lead[run]
+    whole, rest = (at >= 0) & (at < full[run]), (at == full[run]) & part[run]
+    length = np.where(whole, most[run], np.where(rest, left[run], 1))
+    symbol = np.where(whole | rest, np.where(lead[run] > 0, 16, np.where(length >= 11, 18, 17)), value[run])
+    extra, own = length - _RUN_LEAST[symbol], own[run]
+    lengths = lengths_of(np.bincount(own * 19 + symbol, minlength=len(rows) * 19).reshape(-1, 19), 7)
+    code, bits = codes_of(lengths), np.where(np.count_nonzero(lengths, axis=1)[:, None] > 1, lengths, 0)
+    listed = lengths[:, CODE_LENGTH_ORDER]
+    listed_many = np.maximum(4, 19 - np.argmax(listed[:, ::-1] > 0, axis=1))
+    w.put(rows, (listed_many - 4) << 1, np.full(len(rows), 5))
+    within = np.arange(19) < listed_many[:, None]
+    w.put(rows[np.nonzero(within)[0]], listed[within], np.full(within.sum(), 3))
+    w.put(rows, np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64))  # the whole alphabet
+    w.put(rows[own], np.where(bits[own, symbol] > 0, code[own, symbol], 0) | extra << bits[own, symbol], bits[own, symbol] + _RUN_EXTRA[symbol])
+
+
 def encode_tiles(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A file for each stretch of data, of up to TILE bytes and a multiple of WIDTH: the tile's values are its palette, the pixels
     their places in it, predicted from the left or from above where that leaves fewer bits. What repeats is a back-reference."""
@@ -701,7 +865,6 @@ def encode_tiles(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     size = np.diff(offsets)
     tile_of = np.repeat(np.arange(n), size)
     present = np.bincount(tile_of * 256 + data, minlength=n * 256).reshape(n, 256) > 0
-    palettes = [np.flatnonzero(x).astype(np.uint8) for x in present]
     data = (np.cumsum(present, axis=1) - 1).astype(np.uint8)[tile_of, data]
     best, mode = _entropy(np.bincount(tile_of * 256 + data, minlength=n * 256).reshape(n, 256)), np.zeros(n, np.int64)
     for m, left_over in _residuals(data, offsets[:-1] // WIDTH).items():
@@ -718,62 +881,49 @@ def encode_tiles(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     cover = np.zeros(len(data) + 1, np.int64)
     cover[start] += 1
     np.add.at(cover, start + length, -1)
-    literal = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+    covered = np.cumsum(cover[:-1]) > 0
+    literal = np.flatnonzero(~covered)
     counts = np.bincount(np.concatenate([tile_of[literal] * GREEN + data[literal], whose * GREEN + 256 + long]), minlength=n * GREEN).reshape(n, GREEN)
     distances = np.bincount(whose * DISTANCES + far, minlength=n * DISTANCES).reshape(n, DISTANCES)
-    code, bits_of = np.zeros((n, GREEN), np.uint64), np.zeros((n, GREEN), np.int64)
-    far_code, far_bits_of = np.zeros((n, DISTANCES), np.uint64), np.zeros((n, DISTANCES), np.int64)
-    head, head_bits = [], np.zeros(n, np.int64)
-    for t in range(n):
-        w = Writer()
-        w.put(0x2F | (WIDTH - 1) << 8 | (int(size[t]) // WIDTH - 1) << 22, 8 + 14 + 14 + 1 + 3)
-        w.put(1 | PALETTE << 1, 3)
-        entries = max(len(palettes[t]), _COLOURS)
-        w.put(entries - 1, 8)
-        w.put(_HEAD, _HEAD_BITS)
-        w.put(_palette_bits(palettes[t]), _ENTRY * entries)
-        if mode[t]:
-            w.put(*_PREDICTOR_HEADS[int(mode[t])])
-        w.put(0, 3)  # no other transform, no colour cache, one group
-        lengths = code_lengths(counts[t].tolist(), PLAIN_BITS)
-        write_lengths(w, lengths)
-        if np.count_nonzero(counts[t]) > 1:
-            code[t], bits_of[t] = codes(lengths), lengths
-        for only in (0, 0, 0 if mode[t] else 255):  # red, blue, alpha
-            w.put(0b101 | only << 3, 11)
-        lengths = code_lengths(distances[t].tolist(), DISTANCE_BITS)
-        write_lengths(w, lengths)
-        if np.count_nonzero(distances[t]) > 1:
-            far_code[t], far_bits_of[t] = codes(lengths), lengths
-        head.append(w.value)
-        head_bits[t] = w.n
+    w = _Parts(n)
+    w.every(0x2F | (WIDTH - 1) << 8 | (size // WIDTH - 1) << 22, 8 + 14 + 14 + 1 + 3)
+    colours = present.sum(1)
+    entries = np.maximum(colours, _COLOURS)  # padded by repeats of the last one
+    w.every(1 | PALETTE << 1 | (entries - 1) << 3, 3 + 8)
+    w.fixed(_HEAD, _HEAD_BITS, np.arange(n))
+    who, value = np.nonzero(present)
+    step = np.diff(value, prepend=0)
+    first = np.cumsum(colours) - colours
+    step[first] = value[first]
+    listed = np.zeros((n, int(entries.max())), np.int64)
+    listed[who, np.arange(len(who)) - first[who]] = _TURN[8][step]
+    listed[:, 0] |= 256
+    held = np.arange(listed.shape[1]) < entries[:, None]
+    w.put(np.repeat(np.arange(n), entries), listed[held], np.full(int(entries.sum()), _ENTRY))
+    for m, (value, bits) in _PREDICTOR_HEADS.items():
+        w.fixed(value, bits, np.flatnonzero(mode == m))
+    w.every(0, 3)  # no other transform, no colour cache, one group
+    lengths = lengths_of(counts, PLAIN_BITS)
+    _put_lengths(w, lengths)
+    code, bits_of = codes_of(lengths), np.where(np.count_nonzero(counts, axis=1)[:, None] > 1, lengths, 0)
+    w.every(0b101 | 0b101 << 11 | (0b101 | np.where(mode > 0, 0, 255) << 3) << 22, 33)  # red, blue, alpha
+    lengths = lengths_of(distances, DISTANCE_BITS)
+    _put_lengths(w, lengths)
+    far_code, far_bits_of = codes_of(lengths), np.where(np.count_nonzero(distances, axis=1)[:, None] > 1, lengths, 0)
+    code[bits_of == 0], far_code[far_bits_of == 0] = 0, 0
     # a reference is one value: its length's code and extra bits, then its distance's
     value, bits = code[whose, 256 + long], bits_of[whose, 256 + long]
     for part, many in ((long_extra, long_bits), (far_code[whose, far], far_bits_of[whose, far]), (far_extra, far_bits)):
-        value = value | part.astype(np.uint64) << bits.astype(np.uint64)
+        value = value | part << bits
         bits = bits + many
-    at = np.concatenate([literal, start])
-    order = np.argsort(at, kind="stable")
-    who = tile_of[at[order]]
-    value = np.concatenate([code[tile_of[literal], data[literal]], value])[order]
-    bits = np.concatenate([bits_of[tile_of[literal], data[literal]], bits])[order]
-    sums = np.concatenate([[0], np.cumsum(bits)])
-    ptr = np.searchsorted(who, np.arange(n + 1))
-    total = head_bits + sums[ptr[1:]] - sums[ptr[:-1]]
-    begin = np.concatenate([[0], np.cumsum(-(-total // 64))]) * 64
-    place = sums[:-1] - sums[ptr[:-1]][who] + (begin[:-1] + head_bits)[who]
-    out = np.zeros(begin[-1] // 64 + 2, np.uint64)
-    word, shift = place >> 6, (place & 63).astype(np.uint64)
-    np.add.at(out, word, value << shift)  # bits of codes never meet, so sums are unions
-    over = (shift > 0) & (value >> (np.uint64(63) - shift) >> np.uint64(1) > 0)
-    np.add.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
-    raw, files = out.tobytes(), []
-    for t in range(n):
-        have = raw[begin[t] // 8 : begin[t] // 8 + -(-int(total[t]) // 8)]
-        front = -(-int(head_bits[t]) // 8)
-        joined = (int.from_bytes(have[:front], "little") | head[t]).to_bytes(front, "little") + have[front:]
-        files.append(_framed(joined))
-    return files
+    own, symbol = tile_of[literal], data[literal]
+    values, sizes = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    values[literal], sizes[literal] = code[own, symbol], bits_of[own, symbol]
+    values[start], sizes[start] = value, bits
+    covered[start] = False
+    held = np.flatnonzero(~covered)
+    w.put(tile_of[held], values[held], sizes[held])
+    return [_framed(x) for x in w.files()]
 
 
 @dataclass
@@ -823,17 +973,103 @@ def _plain(body: bytes) -> _Plain | None:
     return _Plain(width, height, r.at, lengths, tuple(fixed), distances, palette, mode) if 0 < max(distances) <= DISTANCE_BITS else None
 
 
-def _table(lengths: list[int], bits: int) -> np.ndarray:
-    """Symbol and length of the code that each of the next `bits` bits begin with."""
-    lengths = np.array(lengths)
-    used = np.flatnonzero(lengths)
-    if len(used) == 1:
-        return np.full(1 << bits, used[0] << 4, np.int32)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    wide = np.repeat((order << 4) | lengths[order], 1 << (bits - lengths[order]))
-    if len(wide) != 1 << bits:
-        raise ValueError("a prefix code that is not complete")
-    return wide[_TURN[bits]]
+class _Heads:
+    """Reads headers of the form that encode_tiles() writes, a lane for each body; `good` lanes have it."""
+
+    def __init__(self, bodies: list[bytes]):
+        size = np.array([len(b) for b in bodies], np.int64)
+        data = np.frombuffer(b"".join(bodies) + bytes(16), np.uint8)
+        self.words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        self.bit = 8 * (np.cumsum(size) - size)
+        self.stop, self.good = self.bit + 8 * size, np.ones(len(bodies), bool)
+        head = self.read(40)
+        self.width, self.height = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1
+        self.good &= (head & 0xFF == 0x2F) & (head >> 37 == 0)
+        head = self.read(11)
+        size = (head >> 3) + 1
+        self.good &= (head & 7 == 1 | PALETTE << 1) & (size >= _COLOURS) & self.follows(_HEAD, _HEAD_BITS)
+        self.bit += _HEAD_BITS
+        entry = self.ahead(self.bit[:, None] + _ENTRY * np.arange(256)) & 511
+        inside = np.arange(256) < size[:, None]
+        self.good &= ((entry >> 8 > 0) & inside == (np.arange(256) == 0)).all(1)
+        self.palette = np.cumsum(np.where(inside, _TURN[8][entry & 255], 0), axis=1).astype(np.uint8) * inside
+        self.bit += _ENTRY * size
+        self.mode = np.zeros(len(bodies), np.int64)
+        for m, (value, bits) in _PREDICTOR_HEADS.items():
+            has = self.follows(value, bits)
+            self.mode[has] = m
+            self.bit += bits * has
+        self.good &= (np.maximum(self.width, self.height) <= 1 << _BLOCK_BITS) | (self.mode == 0)
+        self.good &= self.read(3) == 0
+        self.lengths = self.read_lengths(GREEN)
+        fixed = self.read(33)
+        self.good &= (fixed & 7 == 5) & (fixed >> 11 & 7 == 5) & (fixed >> 22 & 7 == 5)
+        self.distances = self.read_lengths(DISTANCES)
+        for lengths, most in ((self.lengths, PLAIN_BITS), (self.distances, DISTANCE_BITS)):
+            self.good &= (lengths.max(1, initial=0) > 0) & (lengths.max(1, initial=0) <= most)
+        self.good &= self.bit <= self.stop
+
+    def ahead(self, bit: np.ndarray) -> np.ndarray:
+        """At least 56 bits."""
+        return (self.words[np.minimum(bit >> 3, len(self.words) - 1)] >> (bit & 7).astype(np.uint64)).view(np.int64) & ((1 << 56) - 1)
+
+    def read(self, bits: int) -> np.ndarray:
+        out = self.ahead(self.bit) & ((1 << bits) - 1)
+        self.bit = self.bit + bits
+        return out
+
+    def follows(self, value: int, bits: int) -> np.ndarray:
+        out = np.ones(len(self.bit), bool)
+        for at in range(0, bits, 32):
+            most = (1 << min(32, bits - at)) - 1
+            out &= self.ahead(self.bit + at) & most == value >> at & most
+        return out
+
+    def read_lengths(self, alphabet: int) -> np.ndarray:
+        """read_lengths() of each lane; forms that aren't written here are not good."""
+        lengths = np.zeros((len(self.bit), alphabet), np.int64)
+        head = self.ahead(self.bit)
+        few = head & 1 > 0
+        rows = np.flatnonzero(few)
+        two, first, second = head[rows] >> 1 & 1, head[rows] >> 3 & 255, head[rows] >> 11 & 255
+        self.good[rows] &= (head[rows] >> 2 & 1 > 0) & (np.maximum(first, second * two) < alphabet)
+        lengths[rows, np.minimum(first, alphabet - 1)] = 1
+        lengths[rows[two > 0], np.minimum(second, alphabet - 1)[two > 0]] = 1
+        self.bit[rows] += 11 + 8 * two
+        rows = np.flatnonzero(~few)
+        many = 4 + (head[rows] >> 1 & 15)
+        own, bit = np.zeros((len(rows), 19), np.int64), self.bit[rows]
+        listed = self.ahead(bit[:, None] + 5 + 3 * np.arange(19)) & 7
+        own[:, CODE_LENGTH_ORDER] = listed * (np.arange(19) < many[:, None])
+        bit = bit + 5 + 3 * many
+        table, good = _tables(own, 7)
+        good &= self.ahead(bit) & 1 == 0  # the whole alphabet
+        self.good[rows[~good]] = False
+        rows, bit, table = rows[good], bit[good] + 1, table[good].ravel()
+        lane, at, last = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), 8)
+        found = []
+        while len(lane):
+            window = self.ahead(bit)
+            e = table.take((window & 127) + (lane << 7)).astype(np.int64)
+            symbol, size = e >> 4, e & 15
+            extra = _RUN_EXTRA.take(symbol)
+            n = _RUN_LEAST.take(symbol) + (window >> size & (1 << extra) - 1)
+            bit = bit + size + extra
+            value = np.where(symbol < 16, symbol, np.where(symbol == 16, last, 0))
+            last = np.where((symbol > 0) & (symbol < 16), symbol, last)
+            found.append((rows.take(lane) * alphabet + at, n, value))
+            at = at + n
+            done = at >= alphabet
+            if done.any():
+                self.good[rows[lane[at > alphabet]]] = False
+                self.bit[rows[lane[done]]] = bit[done]
+                lane, at, last, bit = (x[~done] for x in (lane, at, last, bit))
+        if found:
+            place, n, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            held = np.flatnonzero((value > 0) & self.good[place // alphabet])
+            place, n = place[held], n[held]
+            lengths.ravel()[np.repeat(place - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.repeat(value[held], n)
+        return lengths
 
 
 def _copied(samples: np.ndarray, at: np.ndarray, many: np.ndarray, back: np.ndarray) -> None:
@@ -861,25 +1097,50 @@ _LEAST = np.where(np.arange(DISTANCES) < 4, np.arange(DISTANCES), (2 + (np.arang
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """decode() of every file; plain ones advance together, a symbol each at a time."""
-    out: list[np.ndarray | None] = [None] * len(files)
+    out = []
+    for image, fixed in _decoded(files):
+        if fixed is not None:
+            green, image = image, np.empty((*image.shape, 4), np.uint8)
+            image[..., 1] = green
+            image[..., 0], image[..., 2], image[..., 3] = fixed
+        out.append(image)
+    return out
+
+
+def greens(files: list[bytes]) -> list[np.ndarray]:
+    """The green channels of decode_many()."""
+    return [image if fixed is not None else image[..., 1] for image, fixed in _decoded(files)]
+
+
+def _decoded(files: list[bytes]) -> list[tuple[np.ndarray, tuple[int, int, int] | None]]:
+    """Images, and None; of plain ones their green channel, and what red, blue and alpha are throughout."""
+    out: list[tuple | None] = [None] * len(files)
     bodies = [_body(f) for f in files]
-    heads = [_plain(b) for b in bodies]
-    lanes = [i for i, h in enumerate(heads) if h]
-    for i, h in enumerate(heads):
+    if not files:
+        return out
+    read = _Heads(bodies)
+    others = {i: _plain(bodies[i]) for i in np.flatnonzero(~read.good).tolist()}
+    for i, h in others.items():
         if h is None:
-            out[i] = decode(files[i])
+            out[i] = decode(files[i]), None
+            continue
+        read.good[i] = True
+        read.width[i], read.height[i], read.bit[i], read.mode[i], read.lengths[i], read.distances[i] = h.width, h.height, h.first_bit + read.stop[i] - 8 * len(bodies[i]), h.mode, h.lengths, h.distances
+        if h.palette is not None:
+            read.palette[i] = h.palette
+    lanes = np.flatnonzero(read.good).tolist()
     if not lanes:
         return out
-    sizes = np.array([heads[i].width * heads[i].height for i in lanes])
+    wide, high, mode, palette = (x[lanes] for x in (read.width, read.height, read.mode, read.palette))
+    sizes = wide * high
     base = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(bodies[i] for i in lanes) + bytes(8), np.uint8).astype(np.uint32)
+    data = np.frombuffer(b"".join(bodies) + bytes(8), np.uint8).astype(np.uint32)
     at32 = (data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(bodies[i]) for i in lanes])])
-    bit = 8 * starts[:-1] + np.array([heads[i].first_bit for i in lanes])
-    stop = 8 * starts[1:]
-    table = np.concatenate([_table(heads[i].lengths, PLAIN_BITS) for i in lanes])
-    far_table = np.concatenate([_table(heads[i].distances, DISTANCE_BITS) for i in lanes])
-    wide = np.array([heads[i].width for i in lanes])
+    bit, stop = read.bit[lanes], read.stop[lanes]
+    (table, whole), (far_table, far_whole) = _tables(read.lengths[lanes], PLAIN_BITS), _tables(read.distances[lanes], DISTANCE_BITS)
+    if not (whole & far_whole).all():
+        raise ValueError("a prefix code that is not complete")
+    table, far_table = table.ravel(), far_table.ravel()
     copies = []
     samples = np.zeros(base[-1], np.uint8)
     where, limit = base[:-1].copy(), base[1:]
@@ -937,18 +1198,15 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
         if (at - back < base[lane]).any() or (at + many > limit[lane]).any():
             raise ValueError("a reference beyond the image")
         _copied(samples, at, many, back)
+    coloured = np.array([i not in others or others[i].palette is not None for i in lanes])
+    tile_of = np.repeat(np.arange(len(lanes)), sizes)
+    for k in np.flatnonzero(mode).tolist():
+        own = samples[base[k] : base[k + 1]].reshape(high[k], wide[k])
+        own[:] = _restored(own, int(mode[k]))
+    palette[~coloured] = np.arange(256)
+    samples = palette.ravel().take((tile_of << 8) + samples)
     for k, i in enumerate(lanes):
-        h = heads[i]
-        image = np.empty((h.height, h.width, 4), np.uint8)
-        own = samples[base[k] : base[k + 1]].reshape(h.height, h.width)
-        own = _restored(own, h.mode) if h.mode else own
-        if h.palette is None:
-            image[..., 1] = own
-            image[..., 0], image[..., 2], image[..., 3] = h.fixed[:3]
-        else:
-            image[..., 1] = h.palette[own]
-            image[..., 0], image[..., 2], image[..., 3] = 0, 0, 255
-        out[i] = image
+        out[i] = samples[base[k] : base[k + 1]].reshape(high[k], wide[k]), (0, 0, 255) if coloured[k] else others[i].fixed
     return out
 
 
@@ -1006,9 +1264,9 @@ def load(stored: DataFrame) -> DataFrame:
             for part in slices(batch, "media", 2 << 20):
                 media = [x.as_py() for x in part.column("media")]
                 files = [split_files(m) for m in media]
-                images, at, rows = decode_many([f for fs in files for f in fs]), 0, []
+                images, at, rows = greens([f for fs in files for f in fs]), 0, []
                 for m, fs in zip(media, files, strict=True):
-                    payload = np.concatenate([i[..., 1].ravel() for i in images[at : at + len(fs)]])
+                    payload = np.concatenate([i.ravel() for i in images[at : at + len(fs)]])
                     at += len(fs)
                     raw = payload.tobytes()
                     rows.append((len(raw), hashlib.sha256(raw).hexdigest(), crc(raw[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload)))

@@ -495,6 +495,38 @@ def test_tiles_refer_back_and_predict():
         assert all(data[a + k] == data[a + k - d] for k in range(n))
 
 
+@pytest.mark.parametrize("most", [5, 7, 11, 15])
+def test_lockstep_codes_are_as_short(most):
+    """Of many rows: as few bits in all as one row's code_lengths() where no limit binds, and complete codes within the limit."""
+    rng = np.random.default_rng(most)
+    counts = rng.integers(0, 2, (60, 30)) * rng.geometric(0.1, (60, 30))
+    counts[0], counts[1, 1:], counts[2, :12] = 0, 0, [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]
+    lengths = webp.lengths_of(counts, most)
+    for row, got, code in zip(counts.tolist(), lengths.tolist(), webp.codes_of(lengths).tolist(), strict=True):
+        free, want = webp.code_lengths(row), webp.code_lengths(row, most)
+        assert max(got) <= most and [n > 0 for n in got] == [c > 0 for c in row] and code == webp.codes(got)
+        assert sum(n > 0 for n in got) < 2 or sum(2.0**-n for n in got if n) == 1
+        if max(free) <= most:
+            assert sum(c * n for c, n in zip(row, got, strict=True)) == sum(c * n for c, n in zip(row, want, strict=True))
+
+
+def test_tiles_take_no_call_each(monkeypatch):
+    """Codes and headers of tiles are written and read in lockstep, for tiles of one sample, of all, and predicted ones alike."""
+    rng = np.random.default_rng(8)
+    text = np.frombuffer(b"one two three, four five six; seven" * 117, np.uint8)[:4032]
+    tiles = [np.zeros(64, np.uint8), np.full(webp.TILE, 255, np.uint8), rng.integers(0, 256, webp.TILE).astype(np.uint8), text, rng.permutation(text), np.cumsum(rng.integers(0, 3, webp.TILE)).astype(np.uint8), np.arange(128, dtype=np.uint8)]
+    data, offsets = np.concatenate(tiles), np.concatenate([[0], np.cumsum([len(t) for t in tiles])])
+    with monkeypatch.context() as m:
+        for name in ("code_lengths", "write_lengths", "read_lengths", "codes", "decode", "_plain"):
+            m.setattr(webp, name, None)
+        files = webp.encode_tiles(data, offsets)
+        many = webp.decode_many(files)
+    for tile, f, image in zip(tiles, files, many, strict=True):
+        assert (image[..., 1].ravel() == tile).all() and (webp.decode(f) == image).all()
+    for f in files:  # the same file in any company
+        assert webp.encode_tiles(webp.decode(f)[..., 1].ravel(), np.array([0, webp.decode(f)[..., 1].size])) == [f]
+
+
 def test_broken_images():
     good = webp.encode(np.zeros((4, 4, 4), np.uint8) + np.arange(4, dtype=np.uint8))
     for bad in (b"RIFF", good[:12] + b"VP8 " + good[16:], good[:20] + b"\x2e" + good[21:]):
