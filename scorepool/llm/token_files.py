@@ -5,7 +5,8 @@ predicts over all ids: adaptive frequencies of classes of ids (a power of two's
 last, with an adaptive probability, against the others evenly. The three are mixed into one distribution by shares that
 adapt for each pair of confidences, and that distribution drives the range coder; what is even goes as plain bits beside it.
 All numbers are integers below 2^53, held in float64, where each step is exact: files read the same on every machine. Blocks
-don't depend on each other: a segment codes its blocks in lockstep, one lane each, in vector operations.
+don't depend on each other: a segment codes its blocks in lockstep, one lane each, in vector operations. A writer, who knows all ids,
+finds what the contexts say by sorting, many steps at once, and goes step by step in the range coder alone.
 
 A segment, all integers little-endian: magic, format flags u32, documents u32, blocks u32, crc32 u32 of the tables; ids of
 documents i64, their null marks u8, their numbers of tokens u32; numbers of ids u32, coded bytes u32, plain bytes u32 and crc32
@@ -29,6 +30,8 @@ WIDE = 1
 #: Ids of a block, and blocks of a segment.
 BLOCK = 4096
 LANES = 4608
+#: Blocks that are coded at once, so that their tables stay in a cache.
+RUN = 1536
 #: Text of a file's range of documents, in bytes: about 3700 blocks, as each step of theirs has a fixed cost beside that of its lanes.
 FILE_BYTES = 36 << 20
 
@@ -54,6 +57,13 @@ def _class_of(ids: np.ndarray) -> np.ndarray:
     return (bits << _PER) + (ids >> bits)
 
 
+_MIX = np.uint32(0x9E3779B1)  # hashes of contexts are of 32 bits
+#: Class and plain bits (and above them, how many) of each id of 16 bits.
+_KNOWN = _class_of(np.arange(1 << 16)).astype(np.uint8)
+_PLAIN = _classes(False)
+_PLAIN = ((_PLAIN[1].take(_KNOWN) << 12) + np.arange(1 << 16) - _PLAIN[0].take(_KNOWN)).astype(np.uint16)
+
+
 def _first_shares() -> np.ndarray:
     """How often order 2, order 1 or neither is right to begin with, by their confidences: 0 for no prediction, else 1 to 3."""
     sure = np.array([0, 10, 28, 46])
@@ -62,64 +72,9 @@ def _first_shares() -> np.ndarray:
     return np.stack([64 - two - one, one, two], 1)
 
 
-class _Encoder:
-    """Range coders in lockstep; carries are settled at the end."""
-
-    def __init__(self, lanes: int, steps: int, wide: bool):
-        self.low, self.range = np.zeros(lanes), np.full(lanes, _WHOLE)
-        self.room = steps + 8
-        self.out, self.at = np.zeros(lanes * self.room, np.int32), np.arange(lanes)  # digit by digit, as lanes are about as far
-        self.plain, self.shift = np.zeros((steps, lanes), np.uint64 if wide else np.uint16), 32 if wide else 12  # bits, and above them how many
-
-    def move(self, low: np.ndarray, by: np.ndarray) -> None:
-        low += by
-
-    def settle(self, live: int) -> None:
-        few = (self.range[:live] < _NARROW).nonzero()[0]
-        low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
-        digit = np.floor(low * (1 / _NARROW))
-        self.out[at] = digit
-        at += len(self.at)
-        digit *= _NARROW
-        low -= digit
-        low *= _DIGIT
-        rng *= _DIGIT
-        self.low[few], self.at[few], self.range[few] = low, at, rng
-
-    def finish(self) -> tuple[list[bytes], list[bytes]]:
-        """Coded and plain bytes of each lane."""
-        lanes = len(self.at)
-        for _ in range(3):
-            digit = np.floor(self.low * (1 / _NARROW))
-            self.out[self.at] = digit
-            self.at += lanes
-            self.low = (self.low - digit * _NARROW) * _DIGIT
-        out, size = self.out, self.at // max(lanes, 1)
-        at = np.flatnonzero(out >> 24)
-        while len(at):
-            out[at] &= 0xFFFFFF
-            np.add.at(out, at - lanes, 1)
-            at = np.unique(at - lanes)
-            at = at[out[at] >> 24 > 0]
-        return self._digits(size), self._bits()
-
-    def _digits(self, size: np.ndarray, stretch: int = 256) -> list[bytes]:
-        """Digits of each lane, three bytes each; a stretch of lanes at a time, to hold little at once."""
-        lanes, out = len(size), self.out.reshape(self.room, -1)
-        found = []
-        for first in range(0, lanes, stretch):
-            part = np.ascontiguousarray(out[:, first : first + stretch].T).astype(">i4")
-            found += [row[:n].view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() for row, n in zip(part, size[first : first + stretch].tolist(), strict=True)]
-        return found
-
-    def _bits(self, stretch: int = 256) -> list[bytes]:
-        """Plain bits of each lane, the lowest first, from a whole byte on; a stretch of lanes at a time, to hold little at once."""
-        return [x for at in range(0, len(self.at), stretch) for x in _packed(self.plain[:, at : at + stretch], self.shift)]
-
-
 def _packed(plain: np.ndarray, shift: int) -> list[bytes]:
-    """Of plain[step, lane] its low bits, as many as it says above them, in a byte string for each lane."""
-    (steps, lanes), plain = plain.shape, np.ascontiguousarray(plain.T).ravel()
+    """Of plain[lane, step] its low bits, as many as it says above them, the lowest first, in a byte string for each lane."""
+    (lanes, steps), plain = plain.shape, plain.ravel()
     held = np.flatnonzero(plain)
     lane = held // max(steps, 1)
     value = plain[held].astype(np.uint64)
@@ -145,7 +100,7 @@ class _Decoder:
         self.low, self.range = np.zeros(len(coded)), np.full(len(coded), _WHOLE)
         digits = np.frombuffer(b"".join(coded) + bytes(9), np.uint8).reshape(-1, 3).astype(np.uint32)
         digits = digits[:, 0] << 16 | digits[:, 1] << 8 | digits[:, 2]
-        self.data = ((digits[:-1] << 4 | digits[1:] >> 20) & 0xFFFFFF).astype(np.float64)  # an interval ends 4 bits into a digit
+        self.data = ((digits[:-1] << 4 | digits[1:] >> 20) & 0xFFFFFF).astype(np.float32)  # an interval ends 4 bits into a digit
         self.at = np.cumsum([0] + [len(x) // 3 for x in coded])[:-1]
         self.low += digits.take(self.at) >> 20
         for _ in range(2):
@@ -156,9 +111,6 @@ class _Decoder:
         self.window = two[:-2] | two[1:-1] << 16 | (two[2:] << 32 if wide else 0)  # from each second byte on, more than a symbol takes
         self.bit = 8 * np.cumsum([0] + [len(x) for x in plain])[:-1]
 
-    def move(self, low: np.ndarray, by: np.ndarray) -> None:
-        low -= by
-
     def settle(self, live: int) -> None:
         few = (self.range[:live] < _NARROW).nonzero()[0]
         low, at, rng = self.low.take(few), self.at.take(few), self.range.take(few)
@@ -178,32 +130,65 @@ class _Decoder:
         return out
 
 
-def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndarray | None) -> np.ndarray:
-    """The model, for both directions: codes ids[step, lane], or finds them. Lanes must be in order of size, longest first.
+class _Model:
+    """What adapts: shares of the orders by their confidences, and spans of order 0's symbols, and beside those two columns for none, whose span is the whole."""
+
+    def __init__(self, lanes: int, symbols: int):
+        self.right, self.seen, self.symbols = np.tile(_first_shares(), (lanes, 1)).astype(np.int32), np.zeros((lanes, symbols + 2), np.int32), symbols
+
+    def saw(self, code: np.ndarray, symbol: np.ndarray, group: int = 64) -> None:
+        """Takes up confidences in fours, plus which orders were right, and symbols, all [step, lane]; a few lanes at a time, whose counts are close."""
+        lanes, columns = self.seen.shape
+        for at in range(0, lanes, group):
+            many = min(group, lanes - at)
+            more = np.bincount((np.ascontiguousarray(code[:, at : at + many].T) + (np.arange(many) << 6)[:, None]).ravel(), minlength=many << 6).reshape(-1, 4)
+            more[:, 2] += more[:, 3]
+            self.right[at << 4 : at + many << 4] += more[:, :3].astype(np.int32)
+            more = np.bincount((np.ascontiguousarray(symbol[:, at : at + many].T) + (np.arange(many) * columns)[:, None]).ravel(), minlength=many * columns)
+            self.seen[at : at + many] += more.reshape(many, columns).astype(np.int32)
+
+    def renew(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Up to where order 2's share goes and where order 1's (as one complex number); starts and widths of spans (as one number); widths."""
+        part = _MOST / (self.right.sum(1) * float(1 << _SHARE))
+        least = _LEAST / (1 << _SHARE)
+        shares = np.empty((len(self.right), 2))
+        shares[:, 0] = self.right[:, 2] * part + least
+        shares[:, 1] = shares[:, 0] + self.right[:, 1] * part + least
+        symbols, seen = self.symbols, self.seen[:, : self.symbols]
+        width = (seen * 16 + 1) * ((1 << _PLACE) - symbols) / (seen.sum(1, keepdims=True, dtype=np.int32) * 16 + symbols)
+        width = width.astype(np.int32) + np.int32(1)  # rounded down exactly, as both numbers are below 2^27
+        start = np.cumsum(width, axis=1, dtype=np.int32)
+        width[:, -1] += (1 << _PLACE) - start[:, -1]
+        start -= width
+        start[:, -1] = (1 << _PLACE) - width[:, -1]
+        spans = np.ones(self.seen.shape, np.int32)
+        spans[:, :symbols] = start << _PLACE + 1 | width
+        return shares.view(np.complex128).ravel(), spans.ravel(), width
+
+
+def _decoded(coder: _Decoder, sizes: np.ndarray, wide: bool) -> np.ndarray:
+    """Finds ids[step, lane], in lockstep. Lanes must be in order of size, longest first.
 
     Inside, an id is its value plus one, and 0 means none.
     """
     lanes, steps, kind = len(sizes), int(sizes.max(initial=0)), np.int64 if wide else np.int32
-    got = np.zeros((steps, lanes), np.int64 if wide else np.uint16) if ids is None else ids
+    got = np.zeros((steps, lanes), np.int64 if wide else np.uint16)
     first, extra = _classes(wide)
     symbols = 2 * len(first)  # a class's last id, or another of the class
-    first, extra = np.repeat(first + 1, 2).astype(kind), np.repeat(extra, 2)
+    first, extra = np.repeat(first, 2).astype(kind), np.repeat(extra, 2)
     extra[0::2] = 0
     below = (1 << extra) - 1
-    known = None if wide else np.concatenate([[0], _class_of(np.arange(1 << 16)) << 1]).astype(np.uint8)
-    words = None if wide else ((extra[known | 1] << coder.shift) + np.arange(len(known)) - first[known | 1]).astype(np.uint16) if ids is not None else None  # plain bits of each id
     one, two = np.zeros(lanes << _ONE, kind), np.zeros(lanes << _TWO, kind)  # id; two bits of order 2's confidence; two of order 1's
-    # confidences after a step, by those before it in fours, plus 1 if order 1 was right and 2 if order 2 was
-    surer1 = np.concatenate([np.ones(16), [1, 2, 3, 3] * 4] * 2).astype(kind).reshape(4, 16).T.ravel()
-    surer2 = np.concatenate([np.full(32, 4), np.repeat([4, 8, 12, 12], 4), np.repeat([4, 8, 12, 12], 4)]).astype(kind).reshape(4, 16).T.ravel()
-    right, seen = np.tile(_first_shares(), (lanes, 1)).astype(np.int32), np.zeros((lanes, symbols), np.int32)
-    outcomes, places = [], []
-    last = np.zeros(lanes * symbols >> 1, kind)
+    # confidences after a step, by those before it in fours, plus 1 if order 1 was right and 2 if order 2 was; each table looks at its own
+    surer = np.array([[[4, 8, 12, 12][k >> 2] if right & 2 else 4, [1, 2, 3, 3][k & 3] if right & 1 else 1] for k in range(16) for right in range(4)]).sum(1).astype(kind)
+    model, seen = _Model(lanes, symbols), 0
+    codes, taken = np.zeros((_RENEW, lanes), np.uint8), np.full((_RENEW, lanes), symbols, np.uint16 if wide else np.uint8)  # since probabilities took them up
+    last = np.zeros(lanes * (symbols + 2) >> 1, got.dtype)
     every = np.arange(lanes)
     in_one, in_two, in_shares = every << _ONE, every << _TWO, every << 4
     names = np.tile(np.arange(symbols, dtype=np.uint8 if symbols <= 256 else np.uint16), lanes)
-    # hashes of the last id and the one before, in the upper half of a number
-    h, h_before, mix, five = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.uint64(0x9E3779B1 << 32), np.uint64(5)
+    # hashes of the last id and the one before
+    h, h_before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     live, due = lanes, 0
     for step in range(steps):
         if sizes[live - 1] <= step:
@@ -213,130 +198,239 @@ def _run(coder: _Encoder | _Decoder, sizes: np.ndarray, wide: bool, ids: np.ndar
         if step == due:
             due = step + min(max(8, step), _RENEW)
             if step:
-                more = np.bincount(np.concatenate(outcomes), minlength=lanes << 6).reshape(-1, 4)
-                more[:, 2] += more[:, 3]
-                right += more[:, :3].astype(np.int32)
-                if places:
-                    seen += np.bincount(np.concatenate(places), minlength=seen.size).reshape(seen.shape).astype(np.int32)
-                outcomes, places, more = [], [], None
-            part = _MOST / (right.sum(1) * float(1 << _SHARE))
-            least = _LEAST / (1 << _SHARE)
-            shares = np.empty((len(right), 2))
-            shares[:, 0] = right[:, 2] * part + least
-            shares[:, 1] = shares[:, 0] + right[:, 1] * part + least
-            shares = shares.view(np.complex128).ravel()  # both in one look
-            width = (seen * 16 + 1) * ((1 << _PLACE) - symbols) // (seen.sum(1, keepdims=True, dtype=np.int32) * 16 + symbols) + 1
-            start = np.cumsum(width, axis=1, dtype=np.int32)
-            width[:, -1] += (1 << _PLACE) - start[:, -1]
-            start -= width
-            start[:, -1] = (1 << _PLACE) - width[:, -1]
-            spans = (start << _PLACE + 1 | width).ravel()
-            if ids is None:
-                named = np.repeat(names, width.ravel())
+                model.saw(codes[: step - seen], taken[: step - seen])
+                taken.fill(symbols)
+            seen = step
+            shares, spans, width = model.renew()
+            named = np.repeat(names, width.ravel())
         # what the contexts say
-        h1 = (h >> np.uint64(64 - _ONE)).view(np.int64)
-        h1 += in_one
-        h_before *= five
+        h1 = in_one + (h >> np.uint32(32 - _ONE))
+        h_before *= np.uint32(5)
         h_before += h
-        h_before >>= np.uint64(64 - _TWO)
-        h2, h_before = h_before.view(np.int64), h
-        h2 += in_two
+        h_before >>= np.uint32(32 - _TWO)
+        h2, h_before = in_two + h_before, h
         c1, c2 = one.take(h1), two.take(h2)
         g1, g2 = c1 >> 4, c2 >> 4
+        c1 &= 3
+        c2 &= 12
         c1 |= c2
-        c1 &= 15
-        state = in_shares + c1
         # one step of the coder: order 2's id, order 1's, or another
         low, rng = coder.low[:live], coder.range[:live]
-        both = shares.take(state)
+        both = shares.take(in_shares + c1)
         to2, to1 = both.real * rng, both.imag * rng
         np.floor(to2, out=to2)
         np.floor(to1, out=to1)
-        if ids is None:
-            is2, hit = low < to2, low < to1
-            found = np.where(is2, g2, g1)
-            is1 = found == g1
-            is1 &= hit
-        else:
-            found = ids[step, :live].astype(kind)
-            found += kind(1)
-            is2, is1 = found == g2, found == g1
-            hit = is2 | is1
+        is2, hit = low < to2, low < to1
+        found = np.where(is2, g2, g1)
+        is1 = found == g1
+        is1 &= hit
         who = (~hit).nonzero()[0]
-        rest = low.take(who), rng.take(who), to1.take(who)
-        coder.move(low, to2 * ~is2)  # of lanes with another id, both are set below
+        rest = (low - to1).take(who), (rng - to1).take(who)
+        low -= to2 * ~is2  # of lanes with another id, both are set below
         to1 -= to2
         rng[:] = np.where(is2, to2, to1)
-        state <<= 2
-        right_ones = is2.view(np.uint8) << np.uint8(1)
-        right_ones |= is1.view(np.uint8)
-        state += right_ones
-        outcomes.append(state)
+        right = is2.view(np.uint8) << np.uint8(1)
+        right |= is1.view(np.uint8)
+        c1 <<= 2
+        c1 |= right
+        codes[step - seen, :live] = c1
         if len(who):  # order 0: a class with its last id or another
-            low, rng, skip = rest
-            coder.move(low, skip)
-            rng -= skip
+            low, rng = rest
             rng *= 2.0**-_PLACE
             np.floor(rng, out=rng)
-            at = who * symbols
-            if ids is None:
-                s = low / rng
-                s = np.minimum(s, (1 << _PLACE) - 1, out=s).astype(np.int64)  # exact: the quotient is below 2^11
-                s += who << _PLACE
-                s = named.take(s)
-                at += s
-                cell = at >> 1
-            else:
-                v = found.take(who)
-                s = _class_of(v - 1) << 1 if wide else known.take(v)
-                at += s
-                cell = at >> 1
-                other = last.take(cell) != v
-                at += other
-            places.append(at)
+            at = who * (symbols + 2)
+            s = low / rng
+            s = np.minimum(s, (1 << _PLACE) - 1, out=s).astype(np.int64)  # exact: the quotient is below 2^11
+            s += who << _PLACE
+            s = named.take(s)
+            at += s
+            cell = at >> 1
+            taken[step - seen][who] = s
             span = spans.take(at)
-            coder.move(low, rng * (span >> _PLACE + 1))
+            low -= rng * (span >> _PLACE + 1)
             span &= (2 << _PLACE) - 1
             rng *= span
             coder.low[who], coder.range[who] = low, rng
-            if ids is None:
-                s = s.astype(np.int64)
-                v = coder.bits(who, extra.take(s), below.take(s)).astype(kind, copy=False)
-                v += first.take(s)
-                v = np.where(s & 1, v, last.take(cell))
-                found[who] = v
-            else:
-                word = (extra.take(s | 1) << coder.shift | v - first.take(s)).astype(np.uint64) if wide else words.take(v)
-                word *= other
-                coder.plain[step][who] = word
+            s = s.astype(np.int64)
+            v = coder.bits(who, extra.take(s), below.take(s)).astype(kind, copy=False)
+            v += first.take(s)
+            again = (s & 1 == 0).nonzero()[0]
+            v[again] = last.take(cell.take(again))
             last[cell] = v
+            v += 1
+            found[who] = v
         coder.settle(live)
-        if ids is None:
-            got[step, :live] = found - kind(1)
+        got[step, :live] = found - kind(1)
         # learn
-        state = state & 63
         new = found << 4
-        one[h1] = new | surer1.take(state)
-        two[h2] = new | surer2.take(state)
-        h = found.astype(np.uint64)
-        h *= mix
+        new |= surer.take(c1)
+        one[h1] = new
+        two[h2] = new
+        h = found.astype(np.uint32)
+        h *= _MIX
     return got
 
 
-def encode_blocks(ids: np.ndarray, wide: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Sizes, coded and plain bytes of the blocks of a run of ids."""
+def _foretold(v: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Of each step, what its slot of a table of contexts says, which holds what came last there: the confidence, plus 4 if it is right.
+    Slots are sorted, so that steps of one stand side by side."""
+    key, at, same, held = _sorted(v, slot)
+    right = np.zeros(key.shape, np.uint8)
+    right[:, 1:] = same & (held[:, 1:] == held[:, :-1])
+    sure = right + np.uint8(1)
+    sure[:, 1:] += right[:, 1:] & right[:, :-1]
+    right <<= np.uint8(2)
+    right[:, 1:] |= sure[:, :-1] * same
+    out = np.empty(key.size, np.uint8)
+    out[at] = right.ravel()
+    return out.reshape(key.shape)
+
+
+def _sorted(v: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of each lane by slot, then in their order: slots, places in v, whether the slot is that of the step before, and v there."""
+    lanes, steps = v.shape
+    bits = max(steps - 1, 1).bit_length()
+    key = slot << bits
+    key |= np.arange(steps, dtype=key.dtype)
+    key.sort(axis=1)
+    at = np.add(key & ((1 << bits) - 1), (np.arange(lanes) * steps)[:, None], dtype=np.int64).ravel()
+    key >>= bits
+    return key, at, key[:, 1:] == key[:, :-1], v.ravel().take(at).reshape(lanes, steps)
+
+
+def _modelled(ids: np.ndarray, wide: bool, short: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of ids[lane, step], known beforehand: each step's confidences in fours, plus 1 if order 1 is right and 2 if order 2 is; its symbol of
+    order 0, or one beyond those if another order is right; and the lanes' plain bytes, of which the last lane's end after `short` steps."""
+    first, extra = _classes(wide)
+    v = ids.astype(np.int64 if wide else np.int32)
+    v += 1
+    h = v.astype(np.uint32)
+    h *= _MIX
+    slot = np.zeros(h.shape, np.uint32)
+    slot[:, 1:] = h[:, :-1]
+    one = _foretold(v, (slot >> np.uint32(32 - _ONE)).view(np.int32))
+    slot[:, 2:] += h[:, :-2] * np.uint32(5)
+    two = _foretold(v, (slot >> np.uint32(32 - _TWO)).view(np.int32))
+    code = ((two & np.uint8(3)) << np.uint8(4)) | ((one & np.uint8(3)) << np.uint8(2)) | ((two >> np.uint8(2)) << np.uint8(1)) | (one >> np.uint8(2))
+    kind = _class_of(ids.astype(np.int64)).astype(np.int32) if wide else _KNOWN.take(ids).astype(np.int32)
+    hit = (code & np.uint8(3)) > 0
+    kind[hit] = len(first)
+    key, at, same, held = _sorted(v, kind)
+    key <<= 1
+    key |= 1  # a class's last id, or another of the class
+    key[:, 1:] -= same & (held[:, 1:] == held[:, :-1])
+    symbol = np.empty(key.size, np.uint16 if wide else np.uint8)
+    symbol[at] = key.ravel()
+    symbol = symbol.reshape(key.shape)
+    coded = (symbol & 1).astype(bool)
+    coded &= ~hit
+    if wide:
+        k = np.minimum(kind, len(first) - 1)
+        plain = ((extra[k] << 32) + (ids - first[k])).astype(np.uint64)
+    else:
+        plain = _PLAIN.take(ids)
+    plain *= coded
+    plain[-1, short:] = 0
+    return code, symbol, _packed(plain, 32 if wide else 12)
+
+
+def _coded(code: np.ndarray, symbol: np.ndarray, sizes: np.ndarray, wide: bool) -> list[bytes]:
+    """The range coder of all lanes in lockstep, over what _modelled() found, now [step, lane]. Only the last lane may be short.
+
+    A step narrows a lane's interval to a part between two shares, then, for order 0, to a symbol's span; lanes that need no span have the
+    whole one. Carries are settled at the end.
+    """
+    (steps, lanes), symbols = code.shape, 2 * len(_classes(wide)[0])
+    model = _Model(lanes, symbols)
+    in_code, in_symbols = np.arange(lanes) << 6, np.arange(lanes) * (symbols + 2)
+    low, rng = np.zeros(lanes), np.full(lanes, _WHOLE)
+    digits = np.empty((steps + 3, lanes), np.int32)  # -1 for none
+    part, of, narrow = np.empty(lanes), np.empty(lanes), np.empty(lanes, bool)
+    due, short, scales = 0, int(sizes[-1]), np.array([2.0**-_PLACE, 1.0, 1.0, 1.0])
+    for begin in range(0, steps, 8):
+        if begin == due:
+            if begin:
+                model.saw(code[seen:begin], symbol[seen:begin])
+            seen, due = begin, begin + min(max(8, begin), _RENEW)
+            shares, spans, _ = model.renew()
+            edges = np.zeros((lanes, 16, 4), np.complex128)  # from and to, by which of the orders is right
+            edges[:, :, 0] = shares.imag.reshape(lanes, 16) + 1j
+            edges[:, :, 1] = shares.reshape(lanes, 16)
+            edges.imag[:, :, 2] = edges.imag[:, :, 3] = shares.real.reshape(lanes, 16)
+            edges = edges.ravel()
+        end = min(begin + 8, steps)
+        outcome, place = code[begin:end] + in_code, symbol[begin:end] + in_symbols
+        both, span, scale = edges.take(outcome), spans.take(place), scales.take(code[begin:end] & 3)
+        start, width = (span >> _PLACE + 1).astype(np.float64), (span & ((2 << _PLACE) - 1)).astype(np.float64)
+        lower, upper = np.ascontiguousarray(both.real), np.ascontiguousarray(both.imag)
+        if end > short:  # a lane that has ended stays as it is
+            lower[max(short - begin, 0) :, -1], start[max(short - begin, 0) :, -1] = 0, 0
+            for x in (upper, scale, width):
+                x[max(short - begin, 0) :, -1] = 1
+        for k in range(end - begin):
+            if begin + k == short:
+                rng[-1] = _WHOLE
+            np.floor(np.multiply(lower[k], rng, out=part), out=part)
+            np.floor(np.multiply(upper[k], rng, out=rng), out=rng)
+            rng -= part
+            low += part
+            rng *= scale[k]
+            np.floor(rng, out=rng)
+            low += np.multiply(rng, start[k], out=part)
+            rng *= width[k]
+            # a digit off where the interval is narrow
+            np.less(rng, _NARROW, out=narrow)
+            np.floor(np.multiply(low, 1 / _NARROW, out=part), out=part)
+            part *= narrow
+            np.multiply(narrow, _DIGIT - 1, out=of)
+            of += 1
+            low -= part * _NARROW
+            low *= of
+            rng *= of
+            part -= ~narrow
+            digits[begin + k] = part
+    for k in range(3):
+        digits[steps + k] = np.floor(low * (1 / _NARROW))
+        low = (low - digits[steps + k] * _NARROW) * _DIGIT
+    return [x for at in range(0, lanes, 256) for x in _settled(np.ascontiguousarray(digits[:, at : at + 256].T))]
+
+
+def _settled(digits: np.ndarray) -> list[bytes]:
+    """Digits of each lane, three bytes each, after their carries."""
+    given = digits >= 0
+    ends = 3 * np.cumsum(given.sum(1))
+    out = digits[given]
+    at = np.flatnonzero(out >> 24)
+    while len(at):
+        out[at] &= 0xFFFFFF
+        np.add.at(out, at - 1, 1)
+        at = np.unique(at - 1)
+        at = at[out[at] >> 24 > 0]
+    raw = out.astype(">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def encode_blocks(ids: np.ndarray, wide: bool, group: int = 32) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Sizes, coded and plain bytes of the blocks of a run of ids: RUN blocks are coded at a time, and a group of those is modelled at a time."""
     n = -(-len(ids) // BLOCK)
-    sizes = np.full(n, BLOCK, np.int64)
-    if not n:
-        return sizes, [], []
-    sizes[-1] = len(ids) - BLOCK * (n - 1)
-    grid = np.zeros((n, BLOCK), np.int64 if wide else np.uint16)
-    grid.ravel()[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.T)
-    coder = _Encoder(n, int(sizes[0]), wide)
-    _run(coder, sizes, wide, grid)
-    del grid
-    return sizes, *coder.finish()
+    sizes, coded, plain = np.full(n, BLOCK, np.int64), [], []
+    if n:
+        sizes[-1] = len(ids) - BLOCK * (n - 1)
+    run = -(-n // max(1, -(-n // RUN)))
+    for begin in range(0, n, max(1, run)):
+        size = sizes[begin : begin + run]
+        lanes, steps = len(size), int(size[0])
+        code, symbol = np.empty((steps, lanes), np.uint8), np.empty((steps, lanes), np.uint16 if wide else np.uint8)
+        for at in range(0, lanes, group):
+            many = min(group, lanes - at)
+            part = ids[(begin + at) * BLOCK : (begin + at + many) * BLOCK]
+            if len(part) < many * steps:  # the rest of a short block, which is cut off
+                part = np.concatenate([part, np.zeros(many * steps - len(part), part.dtype)])
+            c, y, bits = _modelled(part.reshape(many, steps), wide, int(size[at + many - 1]))
+            code[:, at : at + many], symbol[:, at : at + many] = c.T, y.T
+            plain += bits
+        coded += _coded(code, symbol, size, wide)
+    return sizes, coded, plain
 
 
 def write_segment(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> bytes:
@@ -372,7 +466,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if blocks:
         bounds = (20 + size + np.concatenate([[0], np.cumsum(np.concatenate([coded, plain]), dtype=np.int64)])).tolist()
         pieces = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        grid = _run(_Decoder(pieces[:blocks], pieces[blocks:], bool(flags & WIDE)), sizes.astype(np.int64), bool(flags & WIDE), None)
+        grid = _decoded(_Decoder(pieces[:blocks], pieces[blocks:], bool(flags & WIDE)), sizes.astype(np.int64), bool(flags & WIDE))
         flat = np.empty((blocks, len(grid)), "<u4")
         flat[:] = grid.T
         flat = flat.ravel()[: int(sizes.sum())]  # only the last block may be short

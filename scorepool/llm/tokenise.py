@@ -20,6 +20,8 @@ from scorepool.llm.common import Words, looked_up, mix64, utf8
 MEMO_WORDS, MEMO_IDS = 1 << 20, 1 << 23
 #: Text to be tokenised at once, in bytes: a slice's arrays take about 50 times that.
 TEXT_BYTES = 1 << 20
+#: New words to a text for the library, as its time for each grows with a text's length, and to a piece that it merges.
+TEXT_WORDS, PIECE_WORDS = 192, 16
 #: Longest word that is kept, in bytes.
 LONG_WORD = 200
 
@@ -102,22 +104,27 @@ def _keys(padded: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndar
     return key, front
 
 
-def _lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
-    """Words and the space before each, in byte letters, one to a line."""
+def _lines(data: np.ndarray, start: np.ndarray, end: np.ndarray, words: int) -> list[str]:
+    """Words and the space before each, in byte letters, so many to a line, in texts of a few lines."""
     if not len(start):
-        return ""
-    ends = np.cumsum(end - start + 2)
-    at = np.repeat(end + 1 - ends, end - start + 2)
+        return []
+    feed = np.arange(1, len(start) + 1) % words == 0
+    feed[-1] = True
+    size = end - start + 1 + feed
+    ends = np.cumsum(size)
+    at = np.repeat(start - 1 - ends + size, size)
     at += np.arange(len(at))
     part = data.take(at)
-    part[ends - 1] = 0x0A
-    first, second = _LETTER_BYTES[:, 0].take(part[:-1]), _LETTER_BYTES[:, 1].take(part[:-1])
+    part[ends[feed] - 1] = 0x0A
+    first, second = _LETTER_BYTES[:, 0].take(part), _LETTER_BYTES[:, 1].take(part)
     two = first > 0
     place = np.cumsum(two) + np.arange(len(two))
     out = np.empty(int(place[-1]) + 1, np.uint8)
     out[place] = second
     out[place[two] - 1] = first[two]
-    return out.tobytes().decode("utf-8")
+    cut = [0, *(place[ends[feed] - 1][max(1, TEXT_WORDS // words) - 1 :: max(1, TEXT_WORDS // words)] + 1).tolist(), len(out)]
+    raw = out.tobytes()
+    return [raw[a : b - 1].decode("utf-8") for a, b in zip(cut[:-1], cut[1:], strict=True) if a < b]
 
 
 class Memo:
@@ -133,7 +140,11 @@ class Memo:
             self.heads[AFTER_LINE] = "\n".translate(_LETTERS) + "\n"
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-            self.leads[[i for token, i in vocabulary.items() if token.startswith(self.heads[SPACED])]] = True
+            space, letters = self.heads[SPACED], {_LETTERS[b] for b in range(256) if _LETTER[b] or 0x80 <= b < 0xC0}
+            self.leads[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+            # words of a piece stay apart if no token goes on over the space after a plain word's letter
+            inside = [x for x in vocabulary if space in x[1:] and all(c == space or ord(c) in letters for c in x)]
+            self.piece_words = 1 if any(a != space and b == space for x in inside for a, b in zip(x, x[1:], strict=False)) else PIECE_WORDS
         mark = self._merge(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.bits = (2 * MEMO_WORDS - 1).bit_length()
@@ -164,14 +175,14 @@ class Memo:
 
     def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words data[start:end] in a row, and the number of each word's. Plain ones, of letters alone, go straight to the merges. Words
-        after a space are encoded in one text, and told apart by the space that only their first ids hold."""
+        after a space are encoded in common texts, and told apart by the space that only their first ids hold."""
         spaced = (kinds == SPACED) & (not self.split)
         groups = [np.flatnonzero(x) for x in (plain & spaced, plain & ~spaced, ~plain & spaced, ~plain & ~spaced)]
         bare, joined, rest = ([data[a:b].tobytes() for a, b in zip(start[x].tolist(), end[x].tolist(), strict=True)] for x in groups[1:])
         found = [
-            self._apart(_pieces, _lines(data, start[groups[0]], end[groups[0]])),
+            self._apart(_pieces, _lines(data, start[groups[0]], end[groups[0]], 1 if self.split else self.piece_words)),
             self._marked([self.heads[k] + self._part(x) for k, x in zip(kinds[groups[1]].tolist(), bare, strict=True)]),
-            self._apart(_load, b"".join([b" " + x for x in joined]).decode("utf-8")),
+            self._apart(_load, [b"".join([b" " + x for x in joined[k : k + TEXT_WORDS]]).decode("utf-8") for k in range(0, len(joined), TEXT_WORDS)]),
         ]
         other = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False)
         found.append(_listed([self.line + g.ids if k == AFTER_LINE else g.ids for k, g in zip(kinds[groups[3]].tolist(), other, strict=True)]))
@@ -190,19 +201,19 @@ class Memo:
             return (word.lower() if self.split else word).decode("latin-1")
         return (word.decode("utf-8").lower().encode() if self.split else word).decode("latin-1").translate(_LETTERS)
 
-    def _apart(self, load: Callable, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words after spaces in one text, and each word's number."""
-        if not text:
+    def _apart(self, load: Callable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after spaces in texts, and each word's number."""
+        if not texts:
             return _listed([])
-        ids = load(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids
-        ids = np.fromiter(ids, np.uint32, len(ids))
+        ids = _listed([g.ids for g in load(self.path).encode_batch_fast(texts, add_special_tokens=False)])[0]
         return ids, np.diff(np.flatnonzero(self.leads.take(ids)), append=len(ids))
 
     def _marked(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts to merge, and each part's number: in one text, with a mark after each that no part holds."""
+        """Ids of parts to merge, and each part's number: in common texts, with a mark after each that no part holds."""
         if not parts or self.mark is None:
             return _listed([[i for line in x.split("\n") for i in self._merge(line)] for x in parts])
-        ids = np.array(_pieces(self.path).encode_batch_fast(["".join([f"{x}\n{_MARK}\n" for x in parts])], add_special_tokens=False)[0].ids, np.uint32)
+        texts = ["".join([f"{x}\n{_MARK}\n" for x in parts[k : k + TEXT_WORDS]]) for k in range(0, len(parts), TEXT_WORDS)]
+        ids = _listed([g.ids for g in _pieces(self.path).encode_batch_fast(texts, add_special_tokens=False)])[0]
         ends = np.flatnonzero(ids == self.mark)
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 

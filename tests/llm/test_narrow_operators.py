@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,6 +128,41 @@ def test_new_words_share_a_text(name, split):
         assert flat.tolist() == plain_tokenizer(name).encode(words, add_special_tokens=False).ids and sum(given) < 5
 
 
+def test_new_words_share_a_piece(monkeypatch):
+    """The library gets many new words to a piece, not one each, and texts of some hundred words, as its time grows with both."""
+    path, given = tokenise.default_path("byte_bpe_50k.json"), []
+    words = " ".join(f"{a}{b}{c}" for a in ("x", "ab", "Éß", "thon") for b in ("the", "ñ", "ing", "Q", "tion") for c in "abcdefghijklmnopqrstuvwxyzÀÿ")
+
+    class Kept:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return self.of.encode_batch_fast(texts, **more)
+
+    pieces = tokenise._pieces
+    monkeypatch.setattr(tokenise, "_pieces", lambda path: Kept(pieces(path)))
+    flat, _ = tokenise.Memo(path, False).ids(pa.array([words]))
+    assert flat.tolist() == plain_tokenizer("byte_bpe_50k.json").encode(words, add_special_tokens=False).ids
+    many = sum(x.count("Ġ") for x in given)
+    assert many > 500 and sum(x.count("\n") + 1 for x in given) < many / 10 and max(x.count("Ġ") for x in given) <= 200
+
+
+def test_tokens_that_hold_a_space_part_words(tmp_path):
+    """A vocabulary that would merge over the space between two words doesn't do so here, as it doesn't in the library."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    merges = [("b", "Ġ"), ("bĠ", "a"), ("a", "b"), ("Ġ", "a")]
+    vocab = {x: k for k, x in enumerate([*sorted(pre_tokenizers.ByteLevel.alphabet()), *map("".join, merges)])}
+    own = Tokenizer(models.BPE(vocab, merges))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "own.json"))
+    text = "x ab ab aab ba b a ab abab baa bab"
+    flat, _ = tokenise.text_ids(pa.array([text]), str(tmp_path / "own.json"), False)
+    assert flat.tolist() == own.encode(text).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, token_files.BLOCK, token_files.BLOCK + 1])
 @pytest.mark.parametrize("top", [1, 50257, 2**32 - 1])
 def test_segment_round_trip(n, top):
@@ -145,6 +181,36 @@ def test_odd_ids_round_trip():
         assert (token_files.read_segment(data)[3] == flat).all()
 
 
+def test_runs_of_blocks_are_alike(monkeypatch):
+    """Blocks are coded alike, whatever the number coded or modelled at once; the last one is short."""
+    ids = (np.random.default_rng(4).geometric(0.002, 9 * token_files.BLOCK + 777) % 50000).astype("<u4")
+    want = token_files.encode_blocks(ids, False)[1:]
+    for run, group in ((1, 1), (3, 2), (7, 32)):
+        monkeypatch.setattr(token_files, "RUN", run)
+        assert token_files.encode_blocks(ids, False, group)[1:] == want
+        assert token_files.encode_blocks(ids, True, group)[1:] != want
+
+
+def test_files_stay_readable():
+    """Files are those of the format's first writer, byte for byte."""
+    k = np.arange(30000)
+    for ids, want in ((k * k % 977, 3855564462), (k * 2654435761 % 2**32 >> (k % 32), 3122148433)):
+        assert zlib.crc32(token_files.write_segment(np.array([0]), np.array([0]), np.array([len(ids)]), ids.astype("<u4"))) == want
+
+
+def test_writing_takes_less_than_reading():
+    """What a writer knows beforehand is modelled in large steps; only the range coder goes step by step."""
+    ids = (np.random.default_rng(6).geometric(0.002, 200 * token_files.BLOCK) % 50000).astype("<u4")
+    took = []
+    for _ in range(2):
+        began = time.process_time()
+        data = token_files.write_segment(np.array([0]), np.array([0]), np.array([len(ids)]), ids)
+        half = time.process_time()
+        assert (token_files.read_segment(data)[3] == ids).all()
+        took.append((half - began) / (time.process_time() - half))
+    assert min(took) < 0.7
+
+
 def test_text_ids_shrink(spark):
     """On ids of plain text the files are smaller than 16-bit ids by a third at least."""
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").toPandas()["text"]
